@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from quadrille.llm import language_id, line_dedup, matroska, phrase_index, simhash, substring_dedup, token_counts, toxicity
+from quadrille.llm import language_id, line_dedup, matroska, phrase_index, quote_threads, sentence_pieces, simhash, substring_dedup, token_counts, toxicity
 from quadrille.llm._spark import table
 
 
@@ -21,6 +21,10 @@ def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op4_sentence_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sentence_pieces.encode_texts(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
 def op5_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return matroska.media_digests(table(spark, sf_dir, "documents"))
 
@@ -33,6 +37,10 @@ def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op8_quote_threads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quote_threads.format_messages(table(spark, sf_dir, "conversations"))
+
+
 def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.language_id(table(spark, sf_dir, "documents"))
 
@@ -41,5 +49,10 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.substring_dedup(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_line_dedup, op2_toxicity, op3_token_counts, op5_media_columns, op6_decontamination, op7_simhash, op9_language_id, op10_substring_dedup)}
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_line_dedup, op2_toxicity, op3_token_counts, op4_sentence_pieces, op5_media_columns,
+        op6_decontamination, op7_simhash, op8_quote_threads, op9_language_id, op10_substring_dedup)
+}
 ORACLE_SQL: dict[str, str] = {}
