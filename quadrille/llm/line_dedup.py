@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quadrille.llm import _spark, _text
+from quadrille.llm import _bitmap, _spark, _text
 from quadrille.llm.components import connected_components
 
 LONG, MIDDLE = 20, 10
@@ -255,11 +255,14 @@ def near_links(docs: DataFrame, edits: int = 2) -> DataFrame:
     pair = F.explode(F.transform(F.sequence(F.lit(0).cast("long"), parts - 1), lambda o: F.least(o, own) * parts + F.greatest(o, own)))
     dealt = groups.select("h", F.when(parts > 1, F.lit(True)).otherwise(False).alias("large"), "grp", pair.alias("pair")).select(F.when(F.col("large"), F.xxhash64("grp", "pair")).otherwise(F.col("grp")).alias("grp"), "h")
     wanted = groups.select("h").distinct()
+    bitmap = docs.sparkSession.sparkContext.broadcast(_bitmap.build(wanted))
 
     def texts(batches):
         for part, _, _ in _text.slices(batches):
-            seen = {s: None for text in part.column(1).to_pylist() for _, s in lines_of(text) if len(s) >= MIDDLE}
-            yield pa.RecordBatch.from_arrays([pa.array([line_hash(s) for s in seen], pa.int64()), pa.array(list(seen), pa.string())], names=["h", "line"])
+            seen = list({s: None for text in part.column(1).to_pylist() for _, s in lines_of(text) if len(s) >= MIDDLE})
+            h = np.fromiter(map(line_hash, seen), np.int64, len(seen))
+            pick = np.flatnonzero(_bitmap.holds(bitmap.value, h))
+            yield pa.RecordBatch.from_arrays([pa.array(h[pick]), pa.array([seen[i] for i in pick], pa.string())], names=["h", "line"])
 
     held = docs.mapInArrow(texts, "h long, line string").join(wanted, "h", "left_semi").dropDuplicates(["h"])
 
