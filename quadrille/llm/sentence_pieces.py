@@ -31,7 +31,7 @@ SPACE = "▁"
 CHUNK = regex.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+")
 CACHE_CHUNKS = 300_000
 CACHE_PAIRS = 3_000_000
-SLICE = 4 << 20
+BATCH_CHARS = 120_000  # of new chunks that are matched at once
 
 
 class Pieces:
@@ -285,8 +285,12 @@ class Encoder:
         if new:
             new.sort(key=len)
             self.codes.update(zip(new, range(len(self.codes), len(self.codes) + len(new))))
-            ids, bounds = self.encode_chunks(new)
-            self.flat, self.ptr = np.concatenate([self.flat, ids]), np.concatenate([self.ptr, self.ptr[-1] + bounds[1:]])
+            size = np.cumsum([len(c) + 1 for c in new])
+            cut = np.searchsorted(size, np.arange(BATCH_CHARS, size[-1] + BATCH_CHARS, BATCH_CHARS), side="right").tolist()
+            done = [self.encode_chunks(new[a:b]) for a, b in zip([0, *cut], [*cut, len(new)]) if a < b]
+            ends = np.concatenate([[0], np.cumsum([len(ids) for ids, _ in done])])
+            self.flat = np.concatenate([self.flat, *(ids for ids, _ in done)])
+            self.ptr = np.concatenate([self.ptr, *(self.ptr[-1] + e + bounds[1:] for e, (_, bounds) in zip(ends, done))])
         n = np.fromiter(map(len, split), np.int64, len(split))
         code = np.fromiter(map(self.codes.__getitem__, chain.from_iterable(split)), np.int64, int(n.sum()))
         size = (self.ptr[1:] - self.ptr[:-1])[code] if len(code) else np.zeros(0, np.int64)
@@ -314,7 +318,7 @@ def encode_texts(docs: DataFrame, model_path: str) -> DataFrame:
         if model_path not in _STATE:
             _STATE[model_path] = Encoder(shared.value)
         enc = _STATE[model_path]
-        for part, _, _ in _text.slices(batches, limit=SLICE):
+        for part, _, _ in _text.slices(batches):
             values = [t or "" for t in part.column(1).to_pylist()]
             flat, bounds = enc.encode(values)
             cut, all_ids = bounds.tolist(), flat.tolist()
