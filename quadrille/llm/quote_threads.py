@@ -88,8 +88,13 @@ def threads(links: DataFrame) -> DataFrame:
 def format_messages(messages: DataFrame) -> DataFrame:
     """conv_id, turn, role, reply_to, thread, depth, n_quoted and formatted of every message; (thread, turn) orders a conversation."""
     rows = messages.select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), F.col("role").cast("string").alias("role"), "text")
-    parsed = parse(rows)
-    found = threads(passage_links(parsed))
+    quotes = F.coalesce(F.col("text").cast("string").rlike(r"(?m)^ ?>"), F.lit(False))
+    # only conversations with a quote are searched for links, and only messages with one are parsed for their text
+    quoting = rows.filter(quotes & F.col("conv_id").isNotNull()).select("conv_id").distinct()
+    found = threads(passage_links(parse(rows.join(quoting, "conv_id", "left_semi"))))
+    bare = F.regexp_replace(F.regexp_replace(F.coalesce(F.col("text").cast("string"), F.lit("")), "\r\n", "\n"), r"^\s+|\s+$", "")
+    plain = rows.filter(~quotes).select("conv_id", "turn", "role", bare.alias("clean"), F.lit(0).cast("long").alias("n_quoted"))
+    parsed = parse(rows.filter(quotes)).drop("parts").unionByName(plain)
     head, middle, tail = TEMPLATE
     out = parsed.join(found, ["conv_id", "turn"], "left")
     return out.select(
