@@ -25,7 +25,7 @@ def place_tokens(spark, d):
     return places(spark, d).select("name", F.size(t).cast("long").alias("n_tokens"), F.concat_ws(" ", F.array_sort(t)).alias("tokens"))
 
 
-_ASK = "Part 11 steel"
+_ASK = "Red Widget small"
 
 
 @query(f"""WITH {PLACES}, t AS (SELECT *, {_TOKENS.format('name')} AS own, {_TOKENS.format("'" + _ASK + "'")} AS q FROM places),
