@@ -29,9 +29,9 @@ from quadrille.llm import _spark, _text
 
 SPACE = "▁"
 CHUNK = regex.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+")
-CACHE_CHUNKS = 300_000
+CACHE_CHUNKS = 800_000
 CACHE_PAIRS = 3_000_000
-BATCH_CHARS = 120_000  # of new chunks that are matched at once
+BATCH_CHARS = 200_000  # of new chunks that are matched at once
 
 
 class Pieces:
@@ -163,8 +163,8 @@ def occurrences(text: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndar
     order = suffixes(text, rows.shape[1])
     padded = np.concatenate([text, np.zeros(rows.shape[1], dtype=text.dtype)])
 
-    def bound(after: bool) -> np.ndarray:
-        low, high = np.zeros(len(rows), np.int64), np.full(len(rows), len(order))
+    def bound(rows: np.ndarray, low: np.ndarray, after: bool) -> np.ndarray:
+        low, high = low.copy(), np.full(len(rows), len(order))
         while (open_ := np.flatnonzero(low < high)).size:
             mid = (low[open_] + high[open_]) // 2
             at = order[mid]
@@ -186,7 +186,13 @@ def occurrences(text: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndar
             high[open_[~less]] = mid[~less]
         return low
 
-    return order, bound(False), bound(True)
+    low = bound(rows, np.zeros(len(rows), np.int64), False)
+    high = low.copy()
+    some = np.flatnonzero(low < len(order))
+    for k in range(rows.shape[1]):  # rows that don't occur need no second search
+        some = some[(rows[some, k] == 0) | (padded[order[low[some]] + k] == rows[some, k])]
+    high[some] = bound(rows[some], low[some], True)
+    return order, low, high
 
 
 class Encoder:
@@ -305,6 +311,16 @@ def decode_ids(text: list[bytes], ids: list[int]) -> str:
     return (raw[1:] if raw[:1] == b" " else raw).decode("utf-8", "replace")
 
 
+def decoded_bytes(pieces: Pieces, flat: np.ndarray, bounds: np.ndarray) -> tuple[bytes, list[int]]:
+    """The bytes of all piece sequences, one after the other, and where each begins."""
+    size = np.fromiter(map(len, pieces.text), np.int64, len(pieces.text))
+    at = np.cumsum(size) - size
+    table = np.frombuffer(b"".join(pieces.text), np.uint8)
+    out = table[_text.ranges(at[flat], size[flat])].tobytes()
+    ends = np.concatenate([[0], np.cumsum(size[flat])])
+    return out, ends[bounds].tolist()
+
+
 _STATE: dict[str, Encoder] = {}
 
 
@@ -318,11 +334,12 @@ def encode_texts(docs: DataFrame, model_path: str) -> DataFrame:
         if model_path not in _STATE:
             _STATE[model_path] = Encoder(shared.value)
         enc = _STATE[model_path]
-        for part, _, _ in _text.slices(batches):
-            values = [t or "" for t in part.column(1).to_pylist()]
-            flat, bounds = enc.encode(values)
-            cut, all_ids = bounds.tolist(), flat.tolist()
-            same = [decode_ids(enc.p.text, all_ids[a:b]) == t.replace(SPACE, " ") for a, b, t in zip(cut, cut[1:], values)]
+        for part, data, offsets in _text.slices(batches):
+            flat, bounds = enc.encode([t or "" for t in part.column(1).to_pylist()])
+            back, at = decoded_bytes(enc.p, flat, bounds)
+            raw, cut = data.tobytes(), offsets.tolist()
+            mark = SPACE.encode()
+            same = [back[min(a + 1, b) : b] == raw[c:d].replace(mark, b" ") for a, b, c, d in zip(at, at[1:], cut, cut[1:])]
             yield pa.RecordBatch.from_arrays([part.column(0), pa.array(np.diff(bounds)), _text.ragged(flat, bounds, pa.int32()), pa.array(same)], names=["doc_id", "n_tokens", "ids", "round_trip"])
 
     return _spark.texts(docs).mapInArrow(run, "doc_id long, n_tokens long, ids array<int>, round_trip boolean")
