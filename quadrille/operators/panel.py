@@ -15,7 +15,12 @@ from quadrille.functions import timeutil
 
 LAGS = (1, 2, 4, 8, 12, 24, 96, 192, 672)
 HORIZONS = (1, 2, 3, 4)
-BY_REGION = W.partitionBy("region_id").orderBy("ts")
+
+
+def by_region():
+    """Each region in time order (made on call: a window needs a live session)."""
+    return W.partitionBy("region_id").orderBy("ts")
+
 
 
 def counts(events: DataFrame, minutes: int = 15) -> DataFrame:
@@ -45,20 +50,20 @@ def scaled_threshold(value: float, days: float, full_days: float) -> int:
 
 def targets(names=("pickups", "dropoffs"), horizons=HORIZONS) -> dict[str, Column]:
     """The value h bins ahead; null, never 0, past the end."""
-    return {f"{n[:-1]}_h{h}": F.lead(n, h).over(BY_REGION) for n in names for h in horizons}
+    return {f"{n[:-1]}_h{h}": F.lead(n, h).over(by_region()) for n in names for h in horizons}
 
 
 def lags(names=("pickups", "dropoffs"), steps=LAGS) -> dict[str, Column]:
-    return {f"{n}_lag{k}": F.lag(n, k).over(BY_REGION) for n in names for k in steps}
+    return {f"{n}_lag{k}": F.lag(n, k).over(by_region()) for n in names for k in steps}
 
 
 def warm(df: DataFrame, steps: int) -> DataFrame:
     """Rows with at least `steps` predecessors in their region."""
-    return df.withColumn("_n", F.row_number().over(BY_REGION)).filter(F.col("_n") > steps).drop("_n")
+    return df.withColumn("_n", F.row_number().over(by_region())).filter(F.col("_n") > steps).drop("_n")
 
 
 def frame(w: int):
-    return BY_REGION.rowsBetween(1 - w, 0)
+    return by_region().rowsBetween(1 - w, 0)
 
 
 def rolling(name: str, windows) -> dict[str, Column]:
@@ -73,7 +78,7 @@ def rolling(name: str, windows) -> dict[str, Column]:
 
 def seasonal_slots(name: str, seasons=(96, 672), horizons=HORIZONS) -> dict[str, Column]:
     """The value one season before the target of each horizon."""
-    return {f"{name}_season{s}_h{h}": F.lag(name, s - h).over(BY_REGION) for s in seasons for h in horizons}
+    return {f"{name}_season{s}_h{h}": F.lag(name, s - h).over(by_region()) for s in seasons for h in horizons}
 
 
 def expanding_slot_mean(name: str, ts: str = "ts", minutes: int = 15, least: int = 3) -> Column:
@@ -109,11 +114,11 @@ def ewm_exact(panel: DataFrame, name: str, spans) -> DataFrame:
 
 def trend(a: str = "pickups", b: str = "dropoffs") -> dict[str, Column]:
     """Differences, hour over hour, net flow and the smoothed ratio of the last hour's flows."""
-    out = {f"{a}_delta{s}": F.col(a) - F.lag(a, s).over(BY_REGION) for s in (1, 2, 4)}
+    out = {f"{a}_delta{s}": F.col(a) - F.lag(a, s).over(by_region()) for s in (1, 2, 4)}
     net = F.col(b) - F.col(a)
-    out[f"{a}_hour_change"] = F.avg(a).over(frame(4)) - F.avg(a).over(BY_REGION.rowsBetween(-7, -4))
+    out[f"{a}_hour_change"] = F.avg(a).over(frame(4)) - F.avg(a).over(by_region().rowsBetween(-7, -4))
     out["net_flow"] = net
-    out["net_flow_lag1"] = F.lag(net, 1).over(BY_REGION)
+    out["net_flow_lag1"] = F.lag(net, 1).over(by_region())
     out["net_sum4"] = F.sum(net).over(frame(4))
     out["net_sum24"] = F.sum(net).over(frame(24))
     out["flow_ratio"] = (F.sum(b).over(frame(4)) + 1) / (F.sum(a).over(frame(4)) + 1)

@@ -14,7 +14,7 @@ from quadrille.plans.registry import query
 
 
 def design(spark, d):
-    cols = P.lags(("pickups",), (1, 2, 4, 8, 96)) | {"target": F.lead("pickups", 1).over(P.BY_REGION), "mean12": F.avg("pickups").over(P.frame(12))}
+    cols = P.lags(("pickups",), (1, 2, 4, 8, 96)) | {"target": F.lead("pickups", 1).over(P.by_region()), "mean12": F.avg("pickups").over(P.frame(12))}
     f = panel(spark, d).select("region_id", "ts", F.col("pickups").cast("double").alias("pickups"), *(c.cast("double").alias(n) for n, c in cols.items()))
     return f.withColumn("hour", F.hour("ts").cast("double")).withColumn("dow", F.extract(F.lit("dayofweek_iso"), "ts").cast("double"))
 

@@ -71,7 +71,7 @@ def simulate_no_moves(spark, d):
 @query(f"""WITH {PANEL}, f AS (SELECT region_id, ts, lag(pickups, 95) OVER w AS a, lag(dropoffs, 95) OVER w AS b FROM panel WINDOW w AS (PARTITION BY region_id ORDER BY ts)), p AS (SELECT region_id, ts, least(greatest(6 + b - a * 3, 0), 20) AS level FROM f WHERE a IS NOT NULL)
 SELECT region_id, ts, level AS projected_inventory, CASE WHEN level < 20 * 0.2::DOUBLE THEN 20 * 0.5::DOUBLE - level ELSE 0 END AS shortage, CASE WHEN level > 20 * 0.8::DOUBLE THEN level - 20 * 0.5::DOUBLE ELSE 0 END AS surplus FROM p""")
 def shortage_surplus(spark, d):
-    f = panel(spark, d).select("region_id", "ts", F.lag("pickups", 95).over(P.BY_REGION).alias("a"), F.lag("dropoffs", 95).over(P.BY_REGION).alias("b")).dropna()
+    f = panel(spark, d).select("region_id", "ts", F.lag("pickups", 95).over(P.by_region()).alias("a"), F.lag("dropoffs", 95).over(P.by_region()).alias("b")).dropna()
     level = I.projected(F.lit(6), F.col("a") * 3, F.col("b"), F.lit(20)).cast("long")
     p = f.select("region_id", "ts", level.alias("projected_inventory"))
     low, high = I.shortage_surplus(F.col("projected_inventory"), F.lit(20.0), 0.2, 0.5)
@@ -82,7 +82,7 @@ def shortage_surplus(spark, d):
 def strategy_sweep(spark, d):
     """Service level with rebalancing, for safety shares and a naive forecast; sequential, so checked by tests."""
     p = panel(spark, d)
-    ahead = lambda c: F.sum(c).over(P.BY_REGION.rowsBetween(-96, -93))
+    ahead = lambda c: F.sum(c).over(P.by_region().rowsBetween(-96, -93))
     spots = p.select("region_id").distinct().withColumn("k", F.crc32("region_id") % 100)
     s = p.select("region_id", "ts", "pickups", "dropoffs", F.coalesce(ahead("pickups"), F.lit(0)).alias("predicted_out"), F.coalesce(ahead("dropoffs"), F.lit(0)).alias("predicted_in")).filter("ts < timestamp_ntz'2024-01-15'")
     s = s.join(F.broadcast(spots), "region_id").select("*", F.lit(5).cast("long").alias("inventory"), F.lit(10).cast("long").alias("capacity"), (40.6 + F.col("k") / 5000).alias("lat"), (-74.0 + F.col("k") / 7000).alias("lng")).drop("k")
@@ -114,7 +114,7 @@ _ERR = "count(*) AS n, round(avg(abs(predicted - actual)), 6) AS mae, round(sqrt
 
 
 def predictions(spark, d):
-    w = P.BY_REGION
+    w = P.by_region()
     return panel(spark, d).select("region_id", "ts", F.lead("pickups", 1).over(w).alias("actual"), F.lag("pickups", 95).over(w).alias("predicted")).dropna()
 
 
@@ -160,7 +160,7 @@ e AS (SELECT region_id, avg(abs(a - y)) AS day, avg(abs(b - y)) AS week, avg(abs
 SELECT region_id, round(day, 6) AS day, round(week, 6) AS week, round(model, 6) AS model, CASE WHEN day <= week THEN 'same_day' ELSE 'same_week' END AS best_naive, round(1 - model / nullif(least(day, week), 0), 6) AS skill, model < least(day, week) AS passes FROM e""")
 def skill_gate(spark, d):
     """Skill of a moving mean over the better naive forecast at the same rows, and whether it passes."""
-    w = P.BY_REGION
+    w = P.by_region()
     f = panel(spark, d).select("region_id", F.lead("pickups", 1).over(w).alias("y"), F.lag("pickups", 95).over(w).alias("a"), F.lag("pickups", 671).over(w).alias("b"), F.avg("pickups").over(P.frame(96)).alias("m")).filter("y is not null and b is not null")
     mae = lambda c: F.avg(F.abs(F.col(c) - F.col("y")))
     e = f.groupBy("region_id").agg(mae("a").alias("day"), mae("b").alias("week"), mae("m").alias("model"))
@@ -223,7 +223,7 @@ def route_choice(spark, d):
 SELECT region_id, ts, CAST(recent AS BIGINT) AS recent, round(typical, 6) AS typical, round(recent / nullif(typical, 0), 6) AS ratio, last_week, CASE WHEN recent / nullif(typical, 0) > 1.25 THEN 'busier than usual' WHEN recent / nullif(typical, 0) < 0.75 THEN 'quieter than usual' ELSE 'as usual' END AS driver FROM f WHERE hour(ts) = 8""")
 def explain_drivers(spark, d):
     recent, typical = F.sum("pickups").over(P.frame(4)), F.avg("pickups").over(P.frame(672)) * 4
-    f = panel(spark, d).select("region_id", "ts", recent.alias("recent"), typical.alias("typical"), F.lag("pickups", 671).over(P.BY_REGION).alias("last_week")).filter(F.hour("ts") == 8)
+    f = panel(spark, d).select("region_id", "ts", recent.alias("recent"), typical.alias("typical"), F.lag("pickups", 671).over(P.by_region()).alias("last_week")).filter(F.hour("ts") == 8)
     ratio = F.col("recent") / F.nullif("typical", F.lit(0.0))
     return f.select("region_id", "ts", "recent", F.round("typical", 6).alias("typical"), F.round(ratio, 6).alias("ratio"), "last_week", F.when(ratio > 1.25, "busier than usual").when(ratio < 0.75, "quieter than usual").otherwise("as usual").alias("driver"))
 

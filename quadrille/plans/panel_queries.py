@@ -60,7 +60,7 @@ SELECT region_id, model, count(*) AS n, round(avg(abs(actual - predicted)), 6) A
 round(sum(abs(actual - predicted)) / nullif(sum(abs(actual)), 0), 6) AS wape, round(avg(predicted - actual), 6) AS bias, round(avg(actual), 6) AS actual_mean,
 round(avg(CASE WHEN actual = 0 THEN 1.0::DOUBLE ELSE 0 END), 6) AS zero_share FROM l WHERE actual IS NOT NULL AND predicted IS NOT NULL GROUP BY 1, 2""")
 def seasonal_naive_eval(spark, d):
-    f = panel(spark, d).select("region_id", F.lead("pickups", 1).over(P.BY_REGION).alias("actual"), F.lag("pickups", 95).over(P.BY_REGION).alias("same_day"), F.lag("pickups", 671).over(P.BY_REGION).alias("same_week"))
+    f = panel(spark, d).select("region_id", F.lead("pickups", 1).over(P.by_region()).alias("actual"), F.lag("pickups", 95).over(P.by_region()).alias("same_day"), F.lag("pickups", 671).over(P.by_region()).alias("same_week"))
     long = f.unpivot(["region_id", "actual"], ["same_day", "same_week"], "model", "predicted").dropna(subset=["actual", "predicted"])
     return metrics.evaluate(long.withColumn("predicted", F.greatest("predicted", F.lit(0))), ["region_id", "model"])
 
@@ -180,7 +180,7 @@ SELECT a.region_id, count(*) AS n, count(*) FILTER (WHERE a.x IS NOT DISTINCT FR
 FROM a LEFT JOIN panel f ON a.region_id = f.region_id AND f.ts = a.ts + INTERVAL 60 MINUTE LEFT JOIN panel b ON a.region_id = b.region_id AND b.ts = a.ts - INTERVAL 1440 MINUTE GROUP BY 1""")
 def shifted_self_join(spark, d):
     p = panel(spark, d)
-    a = p.select("region_id", "ts", F.lead("pickups", 4).over(P.BY_REGION).alias("x"), F.lag("pickups", 96).over(P.BY_REGION).alias("y"))
+    a = p.select("region_id", "ts", F.lead("pickups", 4).over(P.by_region()).alias("x"), F.lag("pickups", 96).over(P.by_region()).alias("y"))
     f = p.select("region_id", (F.col("ts") - F.expr("interval 60 minutes")).alias("ts"), F.col("pickups").alias("fx"))
     b = p.select("region_id", (F.col("ts") + F.expr("interval 1440 minutes")).alias("ts"), F.col("pickups").alias("by"))
     j = a.join(f, ["region_id", "ts"], "left").join(b, ["region_id", "ts"], "left")
@@ -190,7 +190,7 @@ def shifted_self_join(spark, d):
 @query(f"""WITH {PANEL}, n AS (SELECT *, row_number() OVER (PARTITION BY region_id ORDER BY ts) - 1 AS i FROM panel)
 SELECT region_id, ts, i AS step FROM n WHERE i >= 672 AND i < 2880 - 4 AND (i - 672) % 97 = 0""")
 def strided_anchors(spark, d):
-    n = panel(spark, d).select("region_id", "ts", (F.row_number().over(P.BY_REGION) - 1).cast("long").alias("step"), F.lead("ts", 4).over(P.BY_REGION).alias("end"))
+    n = panel(spark, d).select("region_id", "ts", (F.row_number().over(P.by_region()) - 1).cast("long").alias("step"), F.lead("ts", 4).over(P.by_region()).alias("end"))
     return n.filter((F.col("step") >= 672) & F.col("end").isNotNull() & ((F.col("step") - 672) % 97 == 0)).drop("end")
 
 

@@ -32,7 +32,7 @@ def predict(panel: DataFrame, model: str, when: str | datetime, horizons: list[i
     when = datetime.fromisoformat(when) if isinstance(when, str) else when
     check_request(when, horizons, model)
     season = MODELS[model]
-    at = lambda c, h: F.greatest(F.lag(c, season - h).over(P.BY_REGION), F.lit(0))
+    at = lambda c, h: F.greatest(F.lag(c, season - h).over(P.by_region()), F.lit(0))
     each = F.array(*(F.struct(F.lit(h).alias("horizon"), at("pickups", h).alias("predicted_pickups"), at("dropoffs", h).alias("predicted_dropoffs")) for h in horizons))
     rows = panel.select("region_id", "ts", each.alias("e")).filter(F.col("ts") == F.lit(when).cast("timestamp_ntz")).select("region_id", F.col("ts").alias("forecast_time"), F.inline("e"))
     w = W.partitionBy("region_id").orderBy("horizon")
@@ -45,7 +45,7 @@ def predict(panel: DataFrame, model: str, when: str | datetime, horizons: list[i
 
 def actuals(panel: DataFrame, when: datetime, horizons: list[int]) -> DataFrame:
     """What happened after `when`, per horizon."""
-    each = F.array(*(F.struct(F.lit(h).alias("horizon"), F.lead("pickups", h).over(P.BY_REGION).alias("pickups"), F.lead("dropoffs", h).over(P.BY_REGION).alias("dropoffs")) for h in horizons))
+    each = F.array(*(F.struct(F.lit(h).alias("horizon"), F.lead("pickups", h).over(P.by_region()).alias("pickups"), F.lead("dropoffs", h).over(P.by_region()).alias("dropoffs")) for h in horizons))
     return panel.select("region_id", "ts", each.alias("e")).filter(F.col("ts") == F.lit(when).cast("timestamp_ntz")).select("region_id", F.inline("e"))
 
 
