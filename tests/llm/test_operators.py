@@ -175,21 +175,32 @@ def test_toxicity_separates(spark, empty):
 def test_ratio_is_that_of_the_formula():
     import numpy as np
 
-    run, t, o = np.array([0, 1, 40, 1 << 20]), np.array([5.0, 0, 2, 1]), np.array([1.0, 3, 0, 1])
+    rng = np.random.default_rng(4)
+    run = np.unique(rng.integers(0, 6, (60, 5)) @ np.array([1 << 20, 1 << 15, 1 << 10, 1 << 5, 1]))
+    t, o = (rng.integers(0, 4, len(run)).astype(float) for _ in range(2))
     got = toxicity.log_ratio(run, t, o)
-    before = {}
-    for r in run:
-        before[int(r) & (1 << 20) - 1] = before.get(int(r) & (1 << 20) - 1, 0) + 1
+
+    def discounted(c, x, low):
+        s = sum(c.values())
+        return low if not s else (max(c.get(x, 0) - 0.75, 0) + sum(min(v, 0.75) for v in c.values()) * low) / s
 
     def p(n, x):
-        ctx = {int(r): c for r, c in zip(run, n) if r >> 5 == x >> 5}
-        tail = x & (1 << 20) - 1
-        total = sum(v for k, v in before.items() if k >> 5 == tail >> 5)
-        shared = (before.get(tail, 0) + 1 / 32) / (total + 1)
-        s = sum(ctx.values())
-        return shared if not s else (max(ctx.get(x, 0) - 0.75, 0) + sum(min(c, 0.75) for c in ctx.values()) * shared) / s
-
-    for x in (0, 1, 2, 40, 41, 1 << 20, 77777):
+        sym, three, two = x & 31, (x >> 5) & 0x7FFF, (x >> 5) & 0x3FF
+        pairs = {(int(r) >> 5 & 0x3FF, int(r) & 31, int(r) >> 15 & 31) for r in run}
+        shared = {}
+        for c, s, _ in pairs:
+            if c == two:
+                shared[s] = shared.get(s, 0) + 1
+        base = (shared.get(sym, 0) + 1 / 32) / (sum(shared.values()) + 1)
+        own, top = {}, {}
+        for r, v in zip(run.tolist(), n.tolist()):
+            if v and r >> 5 & 0x7FFF == three:
+                own[r & 31] = own.get(r & 31, 0) + 1
+            if v and r >> 5 == x >> 5:
+                top[r & 31] = v
+        return discounted(top, sym, discounted(own, sym, base))
+
+    for x in [*run[:30].tolist(), *(run[:10] + 7).tolist(), 77777, 0]:
         assert abs(got[x] * toxicity.STEP - np.log(p(t, x) / p(o, x))) <= toxicity.STEP / 2 + 1e-9
 
 
