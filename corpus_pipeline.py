@@ -8,13 +8,11 @@ from pyspark.sql import functions as F
 
 from quadrille.llm import _spark, line_dedup, phrase_index, sentence_pieces, simhash, toxicity
 
-TOXIC_FROM = 0.5
-
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the class-conditional models score below `TOXIC_FROM`; the columns stay."""
+    """Documents that the class-conditional models don't predict to be toxic; the columns stay."""
     scored = toxicity.toxicity(docs, _spark.table(spark, sf_dir, "labels"))
-    rejected = scored.filter(F.col("score") >= TOXIC_FROM).select("doc_id").distinct()
+    rejected = scored.filter("predicted = 1").select("doc_id").distinct()
     return docs.join(rejected, "doc_id", "left_anti").select(*docs.columns)
 
 

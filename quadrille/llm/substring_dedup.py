@@ -9,8 +9,11 @@ consecutive windows that share the anchor.
 A shard joins the distinct pieces of its anchors into an FM-index with document numbers and streams every
 piece through it: backward search keeps the interval of the words matched so far and the least
 document in it, and reports the ranges whose match is at least `WIDTH` words long in a smaller document.
-Pieces arrive sorted by anchor; a shard is closed after `SHARD_WORDS` words at an anchor's end, or inside
-a very frequent anchor, whose later pieces then run against each closed part's remaining pieces.
+Pieces arrive sorted by anchor, and a shard is closed after `SHARD_WORDS` words at an anchor's end.
+
+An anchor of more than `HOT` pieces isn't brought into one task.  Its equal pieces are aggregated first: all
+but the least document lose the whole piece.  What is left, one row per distinct piece, is dealt in blocks
+of about `HOT` pieces, and every pair of blocks is a shard of its own, so that each two pieces meet.
 
 Cases: null and short texts have no window; equal windows within one document aren't removed for each
 other; ties cannot occur among distinct doc_ids, and rows that repeat a doc_id with the same text are
@@ -32,6 +35,7 @@ from quadrille.llm.fm_index import FMIndex, earlier_windows
 
 WIDTH, GRAM = 50, 16
 SHARD_WORDS = 400_000
+HOT = 4000
 
 
 def _sliding(x: np.ndarray, w: int, pick) -> np.ndarray:
@@ -82,7 +86,7 @@ def anchor_rows(docs: DataFrame) -> DataFrame:
 
 
 def pieces(docs: DataFrame) -> DataFrame:
-    """(anchor, doc_id, begin, words) around the shared anchors of rows (doc_id, text, shared: array of positions)."""
+    """(anchor, doc_id, begin, words) of the shared stretches of rows (doc_id, text, shared: array of first windows)."""
     def run(batches):
         for part, data, offsets in _text.slices(batches):
             h, first = _hashed(data, offsets)
@@ -93,11 +97,10 @@ def pieces(docs: DataFrame) -> DataFrame:
                 at, size, g = anchors(h[a:b])
                 mine = np.isin(at, np.array(shared, dtype=np.int64))
                 low, high = at[mine], (at + size)[mine] + WIDTH - 1
-                for x, y, z in zip(low.tolist(), high.tolist(), g[mine].view(np.int64).tolist()):
-                    key.append(z)
-                    who.append(doc)
-                    begin.append(x)
-                    blob.append(short[a + x : a + y].tobytes())
+                key += g[mine].view(np.int64).tolist()
+                who += [doc] * len(low)
+                begin += low.tolist()
+                blob += [short[a + x : a + y].tobytes() for x, y in zip(low.tolist(), high.tolist())]
             if key:
                 yield pa.RecordBatch.from_arrays([pa.array(key, pa.int64()), pa.array(who, pa.int64()), pa.array(begin, pa.int32()), pa.array(blob, pa.binary())], names=["anchor", "doc_id", "begin", "words"])
 
@@ -164,14 +167,43 @@ def _search(batches):
         yield shard.removed()
 
 
+CUTS = "doc_id long, a int, b int"
+
+
+def _around(rows: DataFrame, found: DataFrame, chosen: DataFrame) -> DataFrame:
+    """The pieces of `rows` at the anchors of `chosen`."""
+    shared = found.join(chosen.select("anchor"), "anchor", "left_semi").groupBy("doc_id").agg(F.collect_list("pos").alias("shared"))
+    return pieces(rows.join(shared, "doc_id").select("doc_id", "text", "shared"))
+
+
+def _hot_cuts(around: DataFrame) -> DataFrame:
+    """Removed ranges at very frequent anchors: equal pieces by aggregation, distinct ones by pairs of blocks."""
+    around = _spark.materialise(around, "hot-pieces")
+    place = F.struct("doc_id", "begin")
+    distinct = _spark.materialise(around.groupBy("anchor", "words").agg(F.min(place).alias("first"), F.count("*").alias("n")), "hot-distinct")
+    later = around.join(distinct.filter("n > 1"), ["anchor", "words"]).filter(F.col("doc_id") > F.col("first.doc_id"))
+    whole = later.select("doc_id", F.col("begin").alias("a"), (F.col("begin") + F.length("words") / 4).cast("int").alias("b"))
+    sizes = distinct.groupBy("anchor").agg(F.ceil(F.count("*") / HOT).cast("long").alias("parts"))
+    own, parts = F.pmod(F.xxhash64("words"), F.col("parts")), F.col("parts")
+    pair = F.explode(F.transform(F.sequence(F.lit(0).cast("long"), parts - 1), lambda o: F.least(o, own) * parts + F.greatest(o, own)))
+    dealt = distinct.join(sizes, "anchor").select("anchor", pair.alias("pair"), "first.doc_id", "first.begin", "words").select(F.xxhash64("anchor", "pair").alias("anchor"), "doc_id", "begin", "words")
+    return whole.unionByName(_shards(dealt))
+
+
+def _shards(around: DataFrame) -> DataFrame:
+    return around.repartition("anchor").sortWithinPartitions("anchor").mapInArrow(_search, CUTS)
+
+
 def removed_ranges(docs: DataFrame) -> DataFrame:
     """(doc_id, ranges: array of (a, b) word ranges to remove) of the documents that lose words."""
     rows = docs.filter("doc_id is not null")
     found = _spark.materialise(anchor_rows(rows), "anchors")
-    several = found.groupBy("anchor").agg(F.min("doc_id").alias("x"), F.max("doc_id").alias("y")).filter("x < y").select("anchor")
-    shared = found.join(several, "anchor", "left_semi").groupBy("doc_id").agg(F.collect_list("pos").alias("shared"))
-    around = pieces(rows.join(shared, "doc_id").select("doc_id", "text", "shared"))
-    cuts = around.repartition("anchor").sortWithinPartitions("anchor").mapInArrow(_search, "doc_id long, a int, b int")
+    several = found.groupBy("anchor").agg(F.min("doc_id").alias("x"), F.max("doc_id").alias("y"), F.count("*").alias("n")).filter("x < y").select("anchor", "n")
+    several = _spark.materialise(several, "shared-anchors")
+    cuts = _shards(_around(rows, found, several.filter(F.col("n") <= HOT)))
+    hot = several.filter(F.col("n") > HOT)
+    if hot.limit(1).count():
+        cuts = cuts.unionByName(_hot_cuts(_around(rows, found, hot)))
     return _spark.materialise(cuts.groupBy("doc_id").agg(F.collect_set(F.struct("a", "b")).alias("ranges")), "removed")
 
 

@@ -501,9 +501,10 @@ def plain_substrings(rows):
     return out
 
 
-@pytest.mark.parametrize("shard", [400_000, 600])
-def test_substring_dedup(spark, docs, empty, monkeypatch, shard):
+@pytest.mark.parametrize("shard, hot", [(400_000, 4000), (600, 4000), (400_000, 6)])
+def test_substring_dedup(spark, docs, empty, monkeypatch, shard, hot):
     monkeypatch.setattr(substring_dedup, "SHARD_WORDS", shard)
+    monkeypatch.setattr(substring_dedup, "HOT", hot)
     rng = random.Random(shard)
     rows = list(docs[1])
     vocab = [f"w{i}" for i in range(400)]
