@@ -17,7 +17,7 @@ an empty result; very long chunks are relaxed like others.
 
 from __future__ import annotations
 
-from itertools import chain
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -202,6 +202,7 @@ class Encoder:
         self.p = pieces
         self.codes: dict[str, int] = {}
         self.flat, self.ptr = np.zeros(0, np.int32), np.zeros(1, np.int64)
+        self.hits = np.zeros(0, np.int64)
         self.pair_keys, self.pair_ok = np.zeros(0, np.int64), np.zeros(0, bool)
 
     def _apart(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
@@ -231,10 +232,13 @@ class Encoder:
         n = int(size.sum()) + len(chunks) + 1
         text = np.zeros(n, dtype=np.int32)
         text[_text.ranges(begin, size)] = np.frombuffer("".join(chunks).encode("utf-32-le"), np.int32) + 1
-        order, low, high = occurrences(text, p.rows)
+        letters = np.zeros(0x110002, dtype=bool)
+        letters[text] = True
+        possible = np.flatnonzero(letters[p.rows].all(axis=1))  # padding is the separator, which is there
+        order, low, high = occurrences(text, p.rows[possible])
         count = high - low
         start = order[_text.ranges(low, count)]
-        piece = np.repeat(p.ids, count)
+        piece = np.repeat(p.ids[possible], count)
         alone = text > 0
         alone[start[p.length[piece] == 1]] = False
         lone = np.flatnonzero(alone)
@@ -242,12 +246,11 @@ class Encoder:
         good = p.stable[piece]
         start, piece = start[good], piece[good]
         end = start + p.length[piece]
-        head = np.repeat(begin, size + 1)  # chunk start of each place; a place is the end of the symbol before it
-        head = np.concatenate([[0], head])[:n] if len(head) < n else head[:n]
         first = np.zeros(n + 1, dtype=np.int64)
         first[_text.ranges(begin, size + 1)] = np.repeat(begin, size + 1)
         depth = end - first[end - 1]
-        by = np.lexsort((end, depth))  # edges by their end's place in the chunk: all chunks advance together
+        # edges by their end's place in the chunk, so that all chunks advance together
+        by = np.argsort(depth.astype(np.uint16) if depth.max(initial=0) < 1 << 16 else depth, kind="stable")
         start, piece, end, depth = start[by], piece[by], end[by], depth[by]
         cut = np.concatenate([[0], np.flatnonzero(depth[1:] != depth[:-1]) + 1, [len(depth)]])
         last = np.full(n + 1, -1, dtype=np.int64)
@@ -281,15 +284,29 @@ class Encoder:
             ids[_text.ranges(place[unknown], width[unknown])] = p.byte_ids[np.frombuffer(b"".join(spelled), np.uint8)]
         return ids.astype(np.int32), np.searchsorted(owner, np.arange(len(chunks) + 1))
 
+    def _forget(self) -> None:
+        """Keep the chunks that were met more than twice, or none if these are too many."""
+        keep = self.hits > 2
+        if keep.sum() > CACHE_CHUNKS // 2:
+            keep[:] = False
+        at = np.flatnonzero(keep)
+        size = np.diff(self.ptr)[at]
+        self.flat, self.ptr = self.flat[_text.ranges(self.ptr[at], size)], np.concatenate([[0], np.cumsum(size)])
+        place = np.cumsum(keep) - 1
+        self.codes = {c: int(place[i]) for c, i in self.codes.items() if keep[i]}
+        self.hits = np.zeros(len(at), np.int64)
+
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Flat ids of all texts and their bounds."""
         split = [CHUNK.findall(SPACE + t.replace(" ", SPACE)) if t else [] for t in texts]
         if len(self.codes) > CACHE_CHUNKS:
-            self.codes.clear()
-            self.flat, self.ptr = np.zeros(0, np.int32), np.zeros(1, np.int64)
-        new = list(set(chain.from_iterable(split)).difference(self.codes))
-        if new:
-            new.sort(key=len)
+            self._forget()
+        n = np.fromiter(map(len, split), np.int64, len(split))
+        chunks = list(chain.from_iterable(split))
+        code = np.fromiter(map(self.codes.get, chunks, repeat(-1)), np.int64, len(chunks))
+        missing = np.flatnonzero(code < 0).tolist()
+        if missing:
+            new = sorted({chunks[i] for i in missing}, key=len)
             self.codes.update(zip(new, range(len(self.codes), len(self.codes) + len(new))))
             size = np.cumsum([len(c) + 1 for c in new])
             cut = np.searchsorted(size, np.arange(BATCH_CHARS, size[-1] + BATCH_CHARS, BATCH_CHARS), side="right").tolist()
@@ -297,8 +314,9 @@ class Encoder:
             ends = np.concatenate([[0], np.cumsum([len(ids) for ids, _ in done])])
             self.flat = np.concatenate([self.flat, *(ids for ids, _ in done)])
             self.ptr = np.concatenate([self.ptr, *(self.ptr[-1] + e + bounds[1:] for e, (_, bounds) in zip(ends, done))])
-        n = np.fromiter(map(len, split), np.int64, len(split))
-        code = np.fromiter(map(self.codes.__getitem__, chain.from_iterable(split)), np.int64, int(n.sum()))
+            self.hits = np.concatenate([self.hits, np.zeros(len(new), np.int64)])
+            code[missing] = [self.codes[chunks[i]] for i in missing]
+        self.hits += np.bincount(code, minlength=len(self.hits))
         size = (self.ptr[1:] - self.ptr[:-1])[code] if len(code) else np.zeros(0, np.int64)
         flat = self.flat[_text.ranges(self.ptr[code], size)] if len(code) else np.zeros(0, np.int32)
         total = np.concatenate([[0], np.cumsum(size)])
