@@ -28,9 +28,16 @@ def build_session(app: str = "quadrille", master: str | None = None, **conf) ->
     return spark
 
 
+ARROW_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
 def ship(spark: SparkSession) -> SparkSession:
-    """Send this package to the Python workers, once per context, whatever path the driver found it on."""
+    """Send this package to the Python workers, once per context, whatever path the driver found it on.
+
+    Batches to Python are held to 8 MB unless the session asks for another size: rows of text can be very long."""
     sc = spark.sparkContext
+    if spark.conf.get(ARROW_BYTES, None) in (None, "67108864b"):  # not set, or Spark's default
+        spark.conf.set(ARROW_BYTES, "8m")
     if not getattr(sc, "_quadrille_shipped", False):
         root = Path(__file__).resolve().parent
         out = os.path.join(tempfile.mkdtemp(), "quadrille.zip")
