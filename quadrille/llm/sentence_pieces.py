@@ -17,21 +17,19 @@ an empty result; very long chunks are relaxed like others.
 
 from __future__ import annotations
 
-from itertools import chain, repeat
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
-import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quadrille.llm import _spark, _text
 
 SPACE = "▁"
-CHUNK = regex.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+")
-CACHE_CHUNKS = 800_000
-CACHE_PAIRS = 3_000_000
-BATCH_CHARS = 200_000  # of new chunks that are matched at once
+CACHE_CHUNKS = 1_000_000
+CACHE_PAIRS = 1_500_000
+BATCH_CHARS = 150_000  # of new chunks that are matched at once
 
 
 class Pieces:
@@ -200,9 +198,7 @@ class Encoder:
 
     def __init__(self, pieces: Pieces):
         self.p = pieces
-        self.codes: dict[str, int] = {}
-        self.flat, self.ptr = np.zeros(0, np.int32), np.zeros(1, np.int64)
-        self.hits = np.zeros(0, np.int64)
+        self._empty()
         self.pair_keys, self.pair_ok = np.zeros(0, np.int64), np.zeros(0, bool)
 
     def _apart(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
@@ -284,43 +280,110 @@ class Encoder:
             ids[_text.ranges(place[unknown], width[unknown])] = p.byte_ids[np.frombuffer(b"".join(spelled), np.uint8)]
         return ids.astype(np.int32), np.searchsorted(owner, np.arange(len(chunks) + 1))
 
+    def _empty(self) -> None:
+        self.keys, self.codes = np.zeros(0, np.uint64), np.zeros(0, np.int64)  # hashes in order, and their chunks
+        self.flat, self.ptr = np.zeros(0, np.int32), np.zeros(1, np.int64)  # ids of the chunks
+        self.raw, self.raw_ptr = np.zeros(0, np.uint8), np.zeros(1, np.int64)  # their bytes
+        self.hits = np.zeros(0, np.int64)
+
     def _forget(self) -> None:
         """Keep the chunks that were met more than twice, or none if these are too many."""
         keep = self.hits > 2
         if keep.sum() > CACHE_CHUNKS // 2:
-            keep[:] = False
-        at = np.flatnonzero(keep)
-        size = np.diff(self.ptr)[at]
-        self.flat, self.ptr = self.flat[_text.ranges(self.ptr[at], size)], np.concatenate([[0], np.cumsum(size)])
-        place = np.cumsum(keep) - 1
-        self.codes = {c: int(place[i]) for c, i in self.codes.items() if keep[i]}
+            return self._empty()
+        at, place = np.flatnonzero(keep), np.cumsum(keep) - 1
+        for flat, ptr in (("flat", "ptr"), ("raw", "raw_ptr")):
+            old = getattr(self, ptr)
+            size = np.diff(old)[at]
+            setattr(self, flat, getattr(self, flat)[_text.ranges(old[at], size)])
+            setattr(self, ptr, np.concatenate([[0], np.cumsum(size)]))
+        still = keep[self.codes]
+        self.keys, self.codes = self.keys[still], place[self.codes[still]]
         self.hits = np.zeros(len(at), np.int64)
 
+    def _find(self, h: np.ndarray, data: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
+        """The chunk of each distinct hash, -1 where it is new or its bytes are others."""
+        if not len(self.keys):
+            return np.full(len(h), -1, dtype=np.int64)
+        at = np.minimum(np.searchsorted(self.keys, h), len(self.keys) - 1)
+        code = np.where(self.keys[at] == h, self.codes[at], -1)
+        some = np.flatnonzero(code >= 0)
+        same = (self.raw_ptr[code[some] + 1] - self.raw_ptr[code[some]]) == size[some]
+        code[some[~same]] = -1
+        some = some[same]
+        if len(some):
+            n = size[some]
+            other = data[_text.ranges(start[some], n)] != self.raw[_text.ranges(self.raw_ptr[code[some]], n)]
+            code[some[np.logical_or.reduceat(other, np.cumsum(n) - n)]] = -1
+        return code
+
+    def _learn(self, h: np.ndarray, data: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
+        """Encode new chunks; a hash that is taken keeps its first chunk."""
+        whole = data.tobytes()
+        new = [whole[a : a + n].decode("utf-8", "surrogatepass").replace(" ", SPACE) for a, n in zip(start.tolist(), size.tolist())]
+        reach = np.cumsum([len(c) + 1 for c in new])
+        cut = np.searchsorted(reach, np.arange(BATCH_CHARS, reach[-1] + BATCH_CHARS, BATCH_CHARS), side="right").tolist()
+        done = [self.encode_chunks(new[a:b]) for a, b in zip([0, *cut], [*cut, len(new)]) if a < b]
+        ends = np.concatenate([[0], np.cumsum([len(ids) for ids, _ in done])])
+        first = len(self.hits)
+        self.flat = np.concatenate([self.flat, *(ids for ids, _ in done)])
+        self.ptr = np.concatenate([self.ptr, *(self.ptr[-1] + e + bounds[1:] for e, (_, bounds) in zip(ends, done))])
+        self.raw = np.concatenate([self.raw, data[_text.ranges(start, size)]])
+        self.raw_ptr = np.concatenate([self.raw_ptr, self.raw_ptr[-1] + np.cumsum(size)])
+        self.hits = np.concatenate([self.hits, np.zeros(len(new), np.int64)])
+        code = np.arange(first, first + len(new))
+        where = np.searchsorted(self.keys, h)
+        free = (self.keys[np.minimum(where, len(self.keys) - 1)] != h) if len(self.keys) else np.ones(len(h), bool)
+        self.keys, self.codes = np.insert(self.keys, where[free], h[free]), np.insert(self.codes, where[free], code[free])
+        return code
+
+    def encode_bytes(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Flat ids of all texts of a slice and their bounds.
+
+        Equal chunks of a slice are recognised by a 64-bit hash, and cached ones by their bytes as well."""
+        mark = SPACE.encode()
+        if mark in (raw := data.tobytes()):
+            parts = [raw[a:b].replace(mark, b" ") for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist())]
+            data, offsets = np.frombuffer(b"".join(parts), np.uint8), np.concatenate([[0], np.cumsum([len(x) for x in parts])])
+        if len(self.hits) > CACHE_CHUNKS:
+            self._forget()
+        text, start, end, bounds = chunks_of(data, offsets)
+        if not len(start):
+            return np.zeros(0, np.int32), np.zeros(len(offsets), np.int64)
+        h, at, back, count = np.unique(_text.word_hashes(text, start, end), return_index=True, return_inverse=True, return_counts=True)
+        begin, size = start[at], (end - start)[at]
+        code = self._find(h, text, begin, size)
+        new = np.flatnonzero(code < 0)
+        if len(new):
+            code[new] = self._learn(h[new], text, begin[new], size[new])
+        self.hits[code] += count
+        each = code[back]
+        n = (self.ptr[1:] - self.ptr[:-1])[each]
+        total = np.concatenate([[0], np.cumsum(n)])
+        return self.flat[_text.ranges(self.ptr[each], n)], total[bounds]
+
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Flat ids of all texts and their bounds."""
-        split = [CHUNK.findall(SPACE + t.replace(" ", SPACE)) if t else [] for t in texts]
-        if len(self.codes) > CACHE_CHUNKS:
-            self._forget()
-        n = np.fromiter(map(len, split), np.int64, len(split))
-        chunks = list(chain.from_iterable(split))
-        code = np.fromiter(map(self.codes.get, chunks, repeat(-1)), np.int64, len(chunks))
-        missing = np.flatnonzero(code < 0).tolist()
-        if missing:
-            new = sorted({chunks[i] for i in missing}, key=len)
-            self.codes.update(zip(new, range(len(self.codes), len(self.codes) + len(new))))
-            size = np.cumsum([len(c) + 1 for c in new])
-            cut = np.searchsorted(size, np.arange(BATCH_CHARS, size[-1] + BATCH_CHARS, BATCH_CHARS), side="right").tolist()
-            done = [self.encode_chunks(new[a:b]) for a, b in zip([0, *cut], [*cut, len(new)]) if a < b]
-            ends = np.concatenate([[0], np.cumsum([len(ids) for ids, _ in done])])
-            self.flat = np.concatenate([self.flat, *(ids for ids, _ in done)])
-            self.ptr = np.concatenate([self.ptr, *(self.ptr[-1] + e + bounds[1:] for e, (_, bounds) in zip(ends, done))])
-            self.hits = np.concatenate([self.hits, np.zeros(len(new), np.int64)])
-            code[missing] = [self.codes[chunks[i]] for i in missing]
-        self.hits += np.bincount(code, minlength=len(self.hits))
-        size = (self.ptr[1:] - self.ptr[:-1])[code] if len(code) else np.zeros(0, np.int64)
-        flat = self.flat[_text.ranges(self.ptr[code], size)] if len(code) else np.zeros(0, np.int32)
-        total = np.concatenate([[0], np.cumsum(size)])
-        return flat, total[np.concatenate([[0], np.cumsum(n)])]
+        raw = [t.encode("utf-8", "surrogatepass") for t in texts]
+        return self.encode_bytes(np.frombuffer(b"".join(raw), np.uint8), np.concatenate([[0], np.cumsum([len(x) for x in raw])]).astype(np.int64))
+
+
+def chunks_of(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The bytes with a space put before each text that isn't empty, starts and ends of all chunks, and each text's first chunk.
+
+    A chunk is a run of spaces and what follows up to the next space."""
+    width = np.diff(offsets)
+    full = width > 0
+    shift = np.cumsum(full)
+    text = np.full(len(data) + int(full.sum()), 0x20, dtype=np.uint8)
+    text[np.arange(len(data)) + np.repeat(shift, width)] = data
+    heads = offsets[:-1] + shift - full
+    space = text == 0x20
+    first = space.copy()
+    first[1:] &= ~space[:-1]
+    first[heads[full]] = True
+    start = np.flatnonzero(first)
+    return text, start, np.append(start[1:], len(text)), np.searchsorted(start, np.append(heads, len(text)))
 
 
 def decode_ids(text: list[bytes], ids: list[int]) -> str:
@@ -353,7 +416,7 @@ def encode_texts(docs: DataFrame, model_path: str) -> DataFrame:
             _STATE[model_path] = Encoder(shared.value)
         enc = _STATE[model_path]
         for part, data, offsets in _text.slices(batches):
-            flat, bounds = enc.encode([t or "" for t in part.column(1).to_pylist()])
+            flat, bounds = enc.encode_bytes(data, offsets)
             back, at = decoded_bytes(enc.p, flat, bounds)
             raw, cut = data.tobytes(), offsets.tolist()
             mark = SPACE.encode()
