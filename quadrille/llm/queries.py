@@ -55,4 +55,17 @@ QUERIES = {
         op1_line_dedup, op2_toxicity, op3_token_counts, op4_sentence_pieces, op5_media_columns,
         op6_decontamination, op7_simhash, op8_quote_threads, op9_language_id, op10_substring_dedup)
 }
-ORACLE_SQL: dict[str, str] = {}
+_LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+_ALNUM = r"'[^\x00-\x2F\x3A-\x60\x7B-\x7F]+'"
+
+ORACLE_SQL: dict[str, str] = {
+    "op6_decontamination": f"""WITH d AS (SELECT doc_id, regexp_extract_all({_LOWER}, {_ALNUM}) AS w FROM documents), i AS (SELECT item_id, regexp_extract_all({_LOWER}, {_ALNUM}) AS w FROM benchmark),
+q AS (SELECT item_id, least(len(w), 10) AS n, unnest(range(1, greatest(len(w) - 9, 1) + 1)) AS s, w FROM i WHERE len(w) > 0), k AS (SELECT DISTINCT item_id, n, array_to_string(w[s : s + n - 1], ' ') AS k FROM q),
+x AS (SELECT doc_id, n, unnest(range(1, len(w) - n + 2)) AS s, w FROM d, (SELECT DISTINCT n FROM k) m WHERE len(w) >= n), y AS (SELECT x.doc_id, x.s, x.n, k.item_id FROM x JOIN k ON x.n = k.n AND array_to_string(x.w[x.s : x.s + x.n - 1], ' ') = k.k),
+p AS (SELECT doc_id, count(DISTINCT pos) AS n_hit FROM (SELECT doc_id, unnest(range(s, s + n)) AS pos FROM y) z GROUP BY 1), j AS (SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS item FROM y) z GROUP BY 1)
+SELECT d.doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated FROM d LEFT JOIN p USING (doc_id) LEFT JOIN j USING (doc_id)""",
+    "op10_substring_dedup": r"""WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents), x AS (SELECT doc_id, unnest(range(1, len(w) - 48)) AS s, w FROM d WHERE len(w) >= 50),
+y AS (SELECT doc_id, s, min(doc_id) OVER (PARTITION BY array_to_string(w[s : s + 49], ' ')) AS first FROM x), g AS (SELECT DISTINCT doc_id, unnest(range(s, s + 50)) AS pos FROM y WHERE first < doc_id),
+e AS (SELECT doc_id, unnest(w) AS word, unnest(range(1, len(w) + 1)) AS pos FROM d), k AS (SELECT e.doc_id, count(*) AS kept, string_agg(word, ' ' ORDER BY e.pos) AS text FROM e LEFT JOIN g ON e.doc_id = g.doc_id AND e.pos = g.pos WHERE g.pos IS NULL GROUP BY 1)
+SELECT d.doc_id, len(w) AS n_words, len(w) - coalesce(kept, 0) AS n_removed, sha256(coalesce(k.text, '')) AS kept_sha256 FROM d LEFT JOIN k USING (doc_id)""",
+}
