@@ -9,7 +9,8 @@ The test set is broadcast in blocks of at most `BLOCK_BYTES` of text (`query_blo
 more blocks against all rows, whose hits are merged per document.
 
 Cases: a null or empty text has no words (0 words, 0 hits); an item without words has no window;
-repeated items each count as an item; repeated documents are judged each; an empty table or an empty
+repeated items each count as an item; repeated documents each get a row (under a
+large test set rows of one doc_id share their hits); an empty table or an empty
 test set gives no hits; extra columns are ignored.
 """
 
@@ -227,9 +228,11 @@ def phrase_hits(docs: DataFrame, items: DataFrame, width: int = 10, block_bytes:
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
-    return out.groupBy("doc_id").agg(
+    merged = out.groupBy(F.col("doc_id").alias("_id")).agg(
         F.max("n_words").alias("n_words"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("hits")))).alias("hits"),
         F.array_sort(F.array_distinct(F.flatten(F.collect_list("item_ids")))).alias("item_ids"))
+    rows = _spark.texts(docs).select("doc_id")  # a row for each row, repeated ones too
+    return rows.join(merged, rows["doc_id"].eqNullSafe(merged["_id"])).select("doc_id", "n_words", "hits", "item_ids")
 
 
 def contamination(docs: DataFrame, items: DataFrame, width: int = 10, block_bytes: int = BLOCK_BYTES) -> DataFrame:

@@ -152,8 +152,10 @@ def near_links(fps: DataFrame, k: int = 4, block: int = BLOCK) -> DataFrame:
             keys = variant_keys(fp, k)
             yield pa.RecordBatch.from_arrays([pa.array(keys.ravel().view(np.int64)), pa.array(np.repeat(fp, keys.shape[1]).view(np.int64))], names=["key", "fp"])
 
-    keyed = fps.select("fp").mapInArrow(index, "key long, fp long")
-    hot = _spark.materialise(hot_keys(fps.select("fp").mapInArrow(index, "key long, fp long"), block), "simhash-hot")
+    # a fingerprint makes 64 rows: deal them evenly before, whatever few partitions they have come in
+    fps = fps.select("fp").repartition(int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions")), "fp")
+    keyed = fps.mapInArrow(index, "key long, fp long")
+    hot = _spark.materialise(hot_keys(keyed, block), "simhash-hot")
     n_hot = hot.count()
     cold, split = keyed, None
     if n_hot:
