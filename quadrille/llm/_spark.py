@@ -9,8 +9,6 @@ from pyspark.sql import functions as F
 
 from quadrille.session import ship
 
-TEXT_SCHEMA_NOTE = "documents(doc_id long, text string)"
-
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

@@ -9,7 +9,6 @@ from __future__ import annotations
 
 import numpy as np
 
-SEPARATOR = 0
 
 
 def suffix_order(text: np.ndarray, depth: int) -> np.ndarray:
@@ -48,7 +47,7 @@ class WaveletMatrix:
             self.blocks.append(np.concatenate([[0], np.cumsum(np.bitwise_count(words), dtype=np.int64)]).astype(np.int32))
             self.zeros.append(int(self.n - bit.sum()))
             v = np.concatenate([v[~bit], v[bit]])
-        self.start = np.searchsorted(v, np.arange(0)) if False else self._starts(sigma)
+        self.start = self._starts(sigma)
 
     def _down(self, symbol: np.ndarray, i: np.ndarray) -> np.ndarray:
         for k in range(self.bits):

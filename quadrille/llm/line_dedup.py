@@ -32,7 +32,6 @@ from quadrille.llm.components import connected_components
 
 LONG, MIDDLE = 20, 10
 BLOCK = 512
-SEEK = 64
 
 
 def threshold(n: int, edits: int = 2) -> int:
@@ -174,7 +173,6 @@ def keyed_lines(docs: DataFrame, edits: int) -> DataFrame:
             h = np.fromiter(map(line_hash, lines), np.int64, len(lines))
             for a in range(0, len(key), 1 << 17):
                 cut = slice(a, a + (1 << 17))
-                # the lowest bit of the key's hash says nothing by itself; the side is carried there
                 yield pa.RecordBatch.from_arrays([pa.array(key[cut]), pa.array(h[who[cut]]), pa.array(probe[cut])], names=["key", "h", "probes"])
 
     return docs.mapInArrow(run, "key long, h long, probes boolean")

@@ -261,9 +261,8 @@ def pad(raw: bytes, unit: int = 192) -> bytes:
     return raw + b" " * (-len(raw) % unit if raw else unit)
 
 
-def features(buf: bytes, samples: bytes) -> str:
+def features(table: list[Packet], meta: dict, samples: bytes) -> str:
     """A short description from the packet table and the samples read back."""
-    table, meta = packets(buf)
     x = np.frombuffer(samples, dtype=np.uint8).astype(np.int64)
     total, square = int(x.sum()), int((x * x).sum())
     turns = int(np.count_nonzero((x[1:] >= 128) != (x[:-1] >= 128)))
@@ -281,8 +280,9 @@ def media_digests(docs: DataFrame, unit: int = 192) -> DataFrame:
             raw, rows = data.tobytes(), []
             for key, a, b in zip(part.column(0).to_pylist(), offsets[:-1].tolist(), offsets[1:].tolist()):
                 media = mux(pad(raw[a:b], unit))
-                back = demux(media)
-                rows.append((key, b - a, len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-16:]), len(media), hashlib.sha256(media).hexdigest(), features(media, back)))
+                table, meta = packets(media)
+                back = b"".join(media[p.offset : p.offset + p.size] for p in table if p.track == 1)
+                rows.append((key, b - a, len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-16:]), len(media), hashlib.sha256(media).hexdigest(), features(table, meta, back)))
             kinds = [pa.int64()] * 3 + [pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()]
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names=names)
 

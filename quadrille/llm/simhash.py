@@ -82,10 +82,8 @@ def variant_keys(fp: np.ndarray, k: int) -> np.ndarray:
     return np.stack(cols, axis=1)
 
 
-def _links_of_group(fp: np.ndarray, k: int, left: int) -> list[tuple[int, int]]:
-    """Index pairs within k bits that join distinct parts; enough of them that every pair within k bits is connected.
-
-    left: over 0 for two blocks, of which pairs across are sought too but pairs within a block as well."""
+def _links_of_group(fp: np.ndarray, k: int) -> list[tuple[int, int]]:
+    """Index pairs within k bits that join distinct parts; enough of them that every pair within k bits is connected."""
     parent = np.arange(len(fp))
     links = []
     for i in range(len(fp) - 1):
@@ -122,7 +120,7 @@ def _linked(batches, k: int):
             b.append(sf[hit + d])
         for g in np.flatnonzero(size > 16):
             part = np.unique(fp[cut[g] : cut[g + 1]])
-            if pairs := _links_of_group(part, k, 0):
+            if pairs := _links_of_group(part, k):
                 x, y = np.array(pairs).T
                 a.append(part[x])
                 b.append(part[y])
