@@ -38,7 +38,8 @@ def connected_components(edges: DataFrame, max_rounds: int = 40) -> DataFrame:
     tally = lambda d: d.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
     before = tally(e)
     for _ in range(max_rounds if before[0] else 0):
-        e = _spark.materialise(_star(_star(e, True), False), "cc")
+        old, e = e, _spark.materialise(_star(_star(e, True), False), "cc")
+        _spark.discard(old)
         now = tally(e)
         if now == before:
             break

@@ -12,7 +12,8 @@ components; the first line of a component (least doc_id, then line number) stays
 
 Keys are dealt and sorted, not paired: a key's members give only the links that their union still needs,
 groups with the same members are verified once, and keys of more than `BLOCK` members are split into
-pairs of blocks, each pair verified in a task of its own.
+pairs of blocks, each pair verified in a task of its own.  A key of over `HELD` rows is passed on as it
+streams by and counted afterwards.
 
 Cases: null texts have no line; blank lines are never duplicates; repeated rows give equal lines; ties
 (equal doc_id and line) are one line; very long lines are joined like others; extra columns are ignored; an
@@ -32,6 +33,7 @@ from quadrille.llm.components import connected_components
 
 LONG, MIDDLE = 20, 10
 BLOCK = 512
+HELD = 200_000
 
 
 def threshold(n: int, edits: int = 2) -> int:
@@ -178,7 +180,7 @@ def keyed_lines(docs: DataFrame, edits: int) -> DataFrame:
     return docs.mapInArrow(run, "key long, h long, probes boolean")
 
 
-def _groups(batches):
+def _groups(batches, held: int):
     """Rows (key, h, probes) sorted by key to (grp, h): the members of every key that has an indexed and another probing line.
 
     The group's number depends on its members only, so that the same members under another key are found to be the same."""
@@ -202,16 +204,30 @@ def _groups(batches):
         pick = np.repeat(useful, size)
         return pa.RecordBatch.from_arrays([pa.array(np.repeat(number, size)[pick].view(np.int64)), pa.array(h[pick]), pa.array(np.repeat(size, size)[pick])], names=["grp", "h", "size"])
 
+    def stream(key, h):
+        """Members of a key that is too frequent to be held; they are counted and rid of repeats afterwards."""
+        return pa.RecordBatch.from_arrays([pa.array(_text.mix(np.full(1, key).view(np.uint64) ^ np.uint64(1)).view(np.int64).repeat(len(h := np.unique(h)))), pa.array(h), pa.array(np.full(len(h), -1, np.int64))], names=["grp", "h", "size"])
+
+    frequent = None
     for batch in batches:
         cols = [batch.column(i).to_numpy(zero_copy_only=False) for i in range(3)]
         if rest is not None:
             cols = [np.concatenate(x) for x in zip(rest, cols)]
+        if len(cols[0]) and cols[0][0] == frequent:
+            n = int(np.searchsorted(cols[0], frequent, side="right"))
+            yield stream(frequent, cols[1][:n])
+            cols = [c[n:] for c in cols]
+        rest = cols
         if not len(cols[0]):
             continue
         last = int(np.searchsorted(cols[0], cols[0][-1]))
         if last and (out := work(*(c[:last] for c in cols))) is not None:
             yield out
         rest = [c[last:] for c in cols]
+        if len(rest[0]) > held:
+            frequent = rest[0][0]
+            yield stream(frequent, rest[1])
+            rest = [c[:0] for c in rest]
     if rest is not None and len(rest[0]) and (out := work(*rest)) is not None:
         yield out
 
@@ -245,8 +261,11 @@ def links_of(lines: list[str], edits: int) -> list[tuple[int, int]]:
 def near_links(docs: DataFrame, edits: int = 2) -> DataFrame:
     """(a, b): links between hashes of distinct lines, enough to connect all lines within their thresholds."""
     keyed = keyed_lines(docs, edits)
-    groups = keyed.repartition("key").sortWithinPartitions("key").mapInArrow(_groups, "grp long, h long, size long")
+    held = HELD
+    groups = keyed.repartition("key").sortWithinPartitions("key").mapInArrow(lambda it: _groups(it, held), "grp long, h long, size long")
     groups = _spark.materialise(groups.dropDuplicates(["grp", "h"]), "line-groups")
+    counted = groups.filter("size < 0").groupBy("grp").agg(F.count("*").alias("members"))
+    groups = groups.join(counted, "grp", "left").select("grp", "h", F.coalesce("members", "size").alias("size"))
     # members of large groups go to every pair of blocks that holds theirs
     parts = F.ceil(F.col("size") / BLOCK).cast("long")
     own = F.pmod(F.xxhash64("h"), parts)
@@ -262,7 +281,7 @@ def near_links(docs: DataFrame, edits: int = 2) -> DataFrame:
             pick = np.flatnonzero(_bitmap.holds(bitmap.value, h))
             yield pa.RecordBatch.from_arrays([pa.array(h[pick]), pa.array([seen[i] for i in pick], pa.string())], names=["h", "line"])
 
-    held = docs.mapInArrow(texts, "h long, line string").join(wanted, "h", "left_semi").dropDuplicates(["h"])
+    lines = docs.mapInArrow(texts, "h long, line string").join(wanted, "h", "left_semi").dropDuplicates(["h"])
 
     def verify(batches):
         grp, rows = None, []
@@ -279,7 +298,7 @@ def near_links(docs: DataFrame, edits: int = 2) -> DataFrame:
         if out:
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out)], names=["a", "b"])
 
-    return dealt.join(held, "h").select("grp", "h", "line").repartition("grp").sortWithinPartitions("grp").mapInArrow(verify, "a long, b long")
+    return dealt.join(lines, "h").select("grp", "h", "line").repartition("grp").sortWithinPartitions("grp").mapInArrow(verify, "a long, b long")
 
 
 def duplicate_lines(docs: DataFrame, edits: int = 2, rows: DataFrame | None = None) -> DataFrame:

@@ -81,7 +81,8 @@ def threads(links: DataFrame) -> DataFrame:
         step = state.join(up, ["conv_id", "thread"], "left")
         if not step.filter("next is not null").limit(1).count():
             return state
-        state = _spark.materialise(step.select("conv_id", "turn", "reply_to", F.coalesce("next", "thread").alias("thread"), (F.col("depth") + F.coalesce("more", F.lit(0))).alias("depth")), "threads")
+        old, state = state, _spark.materialise(step.select("conv_id", "turn", "reply_to", F.coalesce("next", "thread").alias("thread"), (F.col("depth") + F.coalesce("more", F.lit(0))).alias("depth")), "threads")
+        _spark.discard(old)
     raise RuntimeError("threads did not converge")
 
 

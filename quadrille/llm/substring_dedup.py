@@ -153,12 +153,12 @@ class _Shard:
         return pa.RecordBatch.from_arrays([pa.array(doc, pa.int64()), pa.array(x, pa.int32()), pa.array(y, pa.int32())], names=["doc_id", "a", "b"])
 
 
-def _search(batches):
+def _search(batches, most: int):
     """Pieces sorted by anchor to removed ranges, shard by shard."""
     shard, last = _Shard(), None
     for batch in batches:
         for anchor, doc, begin, words in zip(*(c.to_pylist() for c in batch.columns)):
-            if anchor != last and shard.words >= SHARD_WORDS:
+            if anchor != last and shard.words >= most:
                 yield shard.removed()
                 shard = _Shard()
             last = anchor
@@ -191,7 +191,8 @@ def _hot_cuts(around: DataFrame) -> DataFrame:
 
 
 def _shards(around: DataFrame) -> DataFrame:
-    return around.repartition("anchor").sortWithinPartitions("anchor").mapInArrow(_search, CUTS)
+    most = SHARD_WORDS
+    return around.repartition("anchor").sortWithinPartitions("anchor").mapInArrow(lambda it: _search(it, most), CUTS)
 
 
 def removed_ranges(docs: DataFrame) -> DataFrame:
@@ -204,7 +205,9 @@ def removed_ranges(docs: DataFrame) -> DataFrame:
     hot = several.filter(F.col("n") > HOT)
     if hot.limit(1).count():
         cuts = cuts.unionByName(_hot_cuts(_around(rows, found, hot)))
-    return _spark.materialise(cuts.groupBy("doc_id").agg(F.collect_set(F.struct("a", "b")).alias("ranges")), "removed")
+    out = _spark.materialise(cuts.groupBy("doc_id").agg(F.collect_set(F.struct("a", "b")).alias("ranges")), "removed")
+    _spark.discard(found, several)
+    return out
 
 
 def kept_texts(docs: DataFrame, ranges: DataFrame, with_text: bool = False) -> DataFrame:

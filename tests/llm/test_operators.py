@@ -131,8 +131,9 @@ def test_line_dedup(spark, docs, empty, monkeypatch):
         rows.append((2000 + k, "\n".join([changed(rng, rng.choice(base), rng.randint(0, 3)), f"short line {k}", f"tiny{k % 7}", "", changed(rng, hot, rng.randint(0, 3))])))
     df = spark.createDataFrame(rows, "doc_id long, text string")
     want = plain_lines(rows)
-    for block in (512, 8):  # few members a block: large groups are dealt in pairs of blocks
+    for block, held in ((512, 200_000), (8, 5)):  # few members a block: large groups are dealt in pairs of blocks; few rows held: they are streamed
         monkeypatch.setattr(line_dedup, "BLOCK", block)
+        monkeypatch.setattr(line_dedup, "HELD", held)
         got = line_dedup.line_report(df).collect()
         assert len(got) == len(rows)
         assert all(set(r.removed) == want.get(r.doc_id, set()) for r in got)
