@@ -68,4 +68,14 @@ SELECT d.doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_item
 y AS (SELECT doc_id, s, min(doc_id) OVER (PARTITION BY array_to_string(w[s : s + 49], ' ')) AS first FROM x), g AS (SELECT DISTINCT doc_id, unnest(range(s, s + 50)) AS pos FROM y WHERE first < doc_id),
 e AS (SELECT doc_id, unnest(w) AS word, unnest(range(1, len(w) + 1)) AS pos FROM d), k AS (SELECT e.doc_id, count(*) AS kept, string_agg(word, ' ' ORDER BY e.pos) AS text FROM e LEFT JOIN g ON e.doc_id = g.doc_id AND e.pos = g.pos WHERE g.pos IS NULL GROUP BY 1)
 SELECT d.doc_id, len(w) AS n_words, len(w) - coalesce(kept, 0) AS n_removed, sha256(coalesce(k.text, '')) AS kept_sha256 FROM d LEFT JOIN k USING (doc_id)""",
+    "op8_quote_threads": rf"""WITH RECURSIVE l AS (SELECT conv_id, turn, role, unnest(string_split_regex(coalesce(text, ''), '\r?\n')) AS s, unnest(range(len(string_split_regex(coalesce(text, ''), '\r?\n')))) AS i FROM conversations),
+p AS (SELECT conv_id, turn, role, i, length(replace(regexp_extract(s, '{quote_threads.QUOTE}'), ' ', '')) AS level, regexp_replace(regexp_replace(s, '{quote_threads.QUOTE}', ''), '^ ', '') AS s FROM l),
+c AS (SELECT *, CASE WHEN level = lag(level) OVER w THEN 0 ELSE 1 END AS opens FROM p WINDOW w AS (PARTITION BY conv_id, turn ORDER BY i)), g AS (SELECT *, sum(opens) OVER (PARTITION BY conv_id, turn ORDER BY i) AS part FROM c),
+k AS (SELECT conv_id, turn, any_value(level) AS level, trim(regexp_replace(lower(string_agg(s, ' ' ORDER BY i)), '\s+', ' ', 'g')) AS body FROM g GROUP BY conv_id, turn, part UNION SELECT conv_id, turn, level, trim(regexp_replace(lower(s), '\s+', ' ', 'g')) FROM p),
+q AS (SELECT conv_id, turn, body, min(level) AS level FROM k WHERE level > 0 AND body <> '' GROUP BY 1, 2, 3), f AS (SELECT q.conv_id, q.turn, q.level, max(o.turn) AS found FROM q JOIN k o ON o.conv_id = q.conv_id AND o.body = q.body AND o.level = 0 AND o.turn < q.turn GROUP BY q.conv_id, q.turn, q.level, q.body),
+r AS (SELECT conv_id, turn, -1 * min(struct_pack(a := level, b := -found)).b AS reply_to FROM f GROUP BY 1, 2), t AS (SELECT conv_id, turn, reply_to AS thread, 1 AS depth FROM r UNION ALL SELECT t.conv_id, t.turn, r.reply_to, t.depth + 1 FROM t JOIN r ON r.conv_id = t.conv_id AND r.turn = t.thread),
+d AS (SELECT conv_id, turn, min(thread) AS thread, max(depth) AS depth FROM t GROUP BY 1, 2), n AS (SELECT conv_id, turn, any_value(role) AS role, count(*) FILTER (WHERE level > 0) AS n_quoted FROM p GROUP BY 1, 2),
+e AS (SELECT p.conv_id, p.turn, regexp_replace(string_agg(s, chr(10) ORDER BY i), '^\s+|\s+$', '', 'g') AS clean FROM p JOIN n ON n.conv_id = p.conv_id AND n.turn = p.turn WHERE level = 0 AND NOT (n_quoted > 0 AND regexp_matches(s, '{quote_threads.ATTRIBUTION}')) GROUP BY 1, 2)
+SELECT n.conv_id, n.turn, n.role, r.reply_to, coalesce(d.thread, n.turn) AS thread, CAST(coalesce(d.depth, 0) AS BIGINT) AS depth, n.n_quoted, '<|' || coalesce(n.role, '') || '|>' || chr(10) || coalesce(e.clean, '') || '<|end|>' AS formatted
+FROM n LEFT JOIN r ON r.conv_id = n.conv_id AND r.turn = n.turn LEFT JOIN d ON d.conv_id = n.conv_id AND d.turn = n.turn LEFT JOIN e ON e.conv_id = n.conv_id AND e.turn = n.turn""",
 }
