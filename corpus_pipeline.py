@@ -1,4 +1,7 @@
-"""A training-corpus pipeline: each stage calls one operator on all that the stage before it kept."""
+"""A training-corpus pipeline: each stage calls one operator on all that the stage before it kept.
+
+Null and empty texts pass all stages as texts without words; rows that repeat a doc_id are kept or dropped
+together; an empty table stays empty; extra columns of documents are carried through all but the last stage."""
 
 from __future__ import annotations
 
