@@ -87,18 +87,18 @@ def theta_month_join(spark, d):
     return external.station_network(g, s)
 
 
-_WEATHER = """w AS (SELECT CAST(o_orderdate AS DATE) AS day, avg(o_totalprice) / 10000 - 10 AS temperature, count(*) FILTER (WHERE o_orderstatus = 'F') / 20.0::DOUBLE AS rain, count(*) FILTER (WHERE o_orderstatus = 'P') / 4.0::DOUBLE AS snow, max(o_totalprice) / 10000 AS wind FROM orders GROUP BY 1)"""
+_WEATHER = """w AS (SELECT CAST(o_orderdate AS DATE) AS day, CAST(round(sum(o_totalprice) * 100) AS BIGINT) // count(*) / 1000000.0::DOUBLE - 10 AS temperature, count(*) FILTER (WHERE o_orderstatus = 'F') / 20.0::DOUBLE AS rain, count(*) FILTER (WHERE o_orderstatus = 'P') / 4.0::DOUBLE AS snow, max(o_totalprice) / 10000 AS wind FROM orders GROUP BY 1)"""
 
 
 def weather(spark, d):
     o = table(spark, d, "orders")
-    return o.groupBy(F.to_date("o_orderdate").alias("day")).agg((F.avg("o_totalprice") / 10000 - 10).alias("temperature"), (F.count_if(F.col("o_orderstatus") == "F") / 20).alias("rain"), (F.count_if(F.col("o_orderstatus") == "P") / 4).alias("snow"), (F.max("o_totalprice") / 10000).alias("wind"))
+    return o.groupBy(F.to_date("o_orderdate").alias("day")).agg((F.floor(F.round(F.sum("o_totalprice") * 100).cast("long") / F.count("*")) / 1000000 - 10).alias("temperature"), (F.count_if(F.col("o_orderstatus") == "F") / 20).alias("rain"), (F.count_if(F.col("o_orderstatus") == "P") / 4).alias("snow"), (F.max("o_totalprice") / 10000).alias("wind"))
 
 
-@query(f"WITH {_WEATHER} SELECT l_orderkey, l_linenumber, round(temperature, 3) AS temperature, rain > 0.1 AS is_rain, snow > 0.1 AS is_snow, temperature < 0 AS is_freezing, wind > 30 AS is_windy FROM lineitem LEFT JOIN w ON CAST(l_shipdate + INTERVAL 15 MINUTE AS DATE) = w.day")
+@query(f"WITH {_WEATHER} SELECT l_orderkey, l_linenumber, round(temperature, 6) AS temperature, rain > 0.1 AS is_rain, snow > 0.1 AS is_snow, temperature < 0 AS is_freezing, wind > 30 AS is_windy FROM lineitem LEFT JOIN w ON CAST(l_shipdate + INTERVAL 15 MINUTE AS DATE) = w.day")
 def weather_join(spark, d):
     x = table(spark, d, "lineitem").withColumn("day", F.to_date(F.col("l_shipdate") + F.expr("interval 15 minutes")))
-    return x.join(weather(spark, d), "day", "left").select("l_orderkey", "l_linenumber", F.round("temperature", 3).alias("temperature"), *(c.alias(n) for n, c in external.weather_flags().items()))
+    return x.join(weather(spark, d), "day", "left").select("l_orderkey", "l_linenumber", F.round("temperature", 6).alias("temperature"), *(c.alias(n) for n, c in external.weather_flags().items()))
 
 
 _READ = "SELECT ts, max(value) AS reading FROM events WHERE event_id % 40 = 0 GROUP BY 1"

@@ -72,11 +72,11 @@ def ring_events(spark, d):
     return s.select("home", F.explode(g.ring(F.col("home"))).alias("region_id")).groupBy("region_id").agg(F.count_if(F.col("region_id") == F.col("home")).alias("home"), F.count_if(F.col("region_id") != F.col("home")).alias("ring"))
 
 
-@query(f"""WITH {_WEATHER} SELECT strftime(day, '%Y-%m-%d') AS day, round(temperature, 4) AS temperature, round(temperature - lag(temperature, 4) OVER o, 4) AS change4, round(temperature - lag(temperature, 12) OVER o, 4) AS change12 FROM w WINDOW o AS (ORDER BY day)""")
+@query(f"""WITH {_WEATHER} SELECT strftime(day, '%Y-%m-%d') AS day, round(temperature, 6) AS temperature, round(temperature - lag(temperature, 4) OVER o, 6) AS change4, round(temperature - lag(temperature, 12) OVER o, 6) AS change12 FROM w WINDOW o AS (ORDER BY day)""")
 def weather_change(spark, d):
     w = W.orderBy("day")  # one row a day
     t = F.col("temperature")
-    return weather(spark, d).select(F.date_format("day", "yyyy-MM-dd").alias("day"), F.round(t, 4).alias("temperature"), F.round(t - F.lag(t, 4).over(w), 4).alias("change4"), F.round(t - F.lag(t, 12).over(w), 4).alias("change12"))
+    return weather(spark, d).select(F.date_format("day", "yyyy-MM-dd").alias("day"), F.round(t, 6).alias("temperature"), F.round(t - F.lag(t, 4).over(w), 6).alias("change4"), F.round(t - F.lag(t, 12).over(w), 6).alias("change12"))
 
 
 @query(f"""WITH {PANEL}, f AS (SELECT region_id, ts, lag(pickups, 95) OVER w AS predicted FROM panel WINDOW w AS (PARTITION BY region_id ORDER BY ts)), g AS (SELECT region_id, ts, pickups, dropoffs FROM panel WHERE ts >= TIMESTAMP '2024-01-20' AND ts < TIMESTAMP '2024-01-22')
