@@ -555,3 +555,15 @@ def test_bitmap_loses_nothing(spark):
     values = [(i * 0x9E3779B97F4A7C15) % (1 << 64) - (1 << 63) for i in range(1, 2000)]
     bits = _bitmap.build(spark.createDataFrame([(v,) for v in values], "h long"))
     assert _bitmap.holds(bits, np.array(values)).all() and _bitmap.holds(bits, np.arange(1 << 40, (1 << 40) + 5000)).sum() < 50
+
+
+def test_null_ids_and_empty_conversations(spark):
+    df = spark.createDataFrame([(None, "a b c d e f"), (None, None), (1, None), (2, "one two three four five six seven")], "doc_id long, text string")
+    items = spark.createDataFrame([(1, "two three")], "item_id long, text string")
+    labels = spark.createDataFrame([], "doc_id long, quality int, toxic int")
+    for out in (toxicity.toxicity(df, labels), phrase_index.contamination(df, items), phrase_index.contamination(df, items, block_bytes=1), simhash.near_duplicates(df), line_dedup.line_report(df), substring_dedup.substring_dedup(df), matroska.media_digests(df)):
+        assert out.count() == 4
+    none = spark.createDataFrame([], "conv_id long, turn long, role string, text string")
+    assert quote_threads.format_messages(none).count() == 0
+    odd = spark.createDataFrame([(None, None, None, None), (1, None, None, "> q"), (None, 2, "u", "x")], none.schema)
+    assert quote_threads.format_messages(odd).count() == 3

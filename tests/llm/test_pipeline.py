@@ -38,3 +38,14 @@ def test_run_equals_its_stages(spark):
         docs = _spark.materialise(stage(spark, docs, SF), f"test-{name}")
     key = lambda df: sorted((r.doc_id, tuple(r.ids)) for r in df.select("doc_id", "ids").collect())
     assert key(docs) == key(corpus.run(spark, SF))
+
+
+def test_odd_tables_pass_all_stages(spark):
+    schema = "doc_id long, text string, lang string, source string, n_chars long, component_id string"
+    odd = [(None, None, None, None, None, "a"), (5, "same text here for all of us", "en", None, None, "b"), (5, "same text here for all of us", "en", None, None, "b"), (6, "", "en", "s", 0, "c")]
+    for rows in ([], odd):
+        docs = spark.createDataFrame(rows, schema)
+        for name, stage in corpus.STAGES[:-1]:
+            docs = stage(spark, docs, SF)
+            assert docs.columns == [c.split()[0] for c in schema.split(", ")]
+        assert corpus.STAGES[-1][1](spark, docs, SF).count() == len(rows)
