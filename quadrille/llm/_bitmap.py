@@ -7,7 +7,9 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 BITS = 1 << 26
 CHUNKS = 64
@@ -51,3 +53,17 @@ def holds(bitmap: np.ndarray, h: np.ndarray) -> np.ndarray:
     """False only for hashes that aren't in the set."""
     cell = _cell(h)
     return (bitmap[cell >> 3] >> (7 - (cell & 7)).astype(np.uint8) & 1).astype(bool)
+
+
+def likely(rows: DataFrame, ids: DataFrame) -> DataFrame:
+    """The rows (doc_id, ...) whose doc_id may be in `ids`: all that are, and few others while the set isn't full.
+
+    Put before a join on doc_id, it spares the shuffle of rows that the join would drop."""
+    shared = rows.sparkSession.sparkContext.broadcast(build(ids.select(F.xxhash64("doc_id"))))
+
+    def run(batches):
+        for batch in batches:
+            keep = holds(shared.value, batch.column(batch.num_columns - 1).to_numpy(zero_copy_only=False))
+            yield pa.RecordBatch.from_arrays([pc.filter(c, pa.array(keep)) for c in batch.columns[:-1]], schema=pa.schema(list(batch.schema)[:-1]))
+
+    return rows.withColumn("_hash", F.xxhash64("doc_id")).mapInArrow(run, rows.schema)

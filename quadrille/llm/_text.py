@@ -13,7 +13,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-SLICE_BYTES = (1 << 20) - 64
+SLICE_BYTES = (1 << 19) - 64
 _MULT = np.uint64(0x9E3779B97F4A7C15)
 _MULT2 = np.uint64(0xD6E8FEB86659FD93)
 _GOLD = 0xBF58476D1CE4E5B9
