@@ -55,15 +55,24 @@ def holds(bitmap: np.ndarray, h: np.ndarray) -> np.ndarray:
     return (bitmap[cell >> 3] >> (7 - (cell & 7)).astype(np.uint8) & 1).astype(bool)
 
 
-def likely(rows: DataFrame, ids: DataFrame) -> DataFrame:
-    """The rows (doc_id, ...) whose doc_id may be in `ids`: all that are, and few others while the set isn't full.
+def split(rows: DataFrame, ids: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The rows (doc_id, ...) whose doc_id may be in `ids`, and those whose doc_id surely isn't.
 
-    Put before a join on doc_id, it spares the shuffle of rows that the join would drop."""
+    The first has all rows that are in, and few others while the set isn't full; put before a join on
+    doc_id, it spares the shuffle of rows that the join would drop or leave as they are."""
     shared = rows.sparkSession.sparkContext.broadcast(build(ids.select(F.xxhash64("doc_id"))))
 
-    def run(batches):
-        for batch in batches:
-            keep = holds(shared.value, batch.column(batch.num_columns - 1).to_numpy(zero_copy_only=False))
-            yield pa.RecordBatch.from_arrays([pc.filter(c, pa.array(keep)) for c in batch.columns[:-1]], schema=pa.schema(list(batch.schema)[:-1]))
+    def chosen(inside: bool):
+        def run(batches):
+            for batch in batches:
+                keep = holds(shared.value, batch.column(batch.num_columns - 1).to_numpy(zero_copy_only=False)) == inside
+                yield pa.RecordBatch.from_arrays([pc.filter(c, pa.array(keep)) for c in batch.columns[:-1]], schema=pa.schema(list(batch.schema)[:-1]))
+
+        return rows.withColumn("_hash", F.xxhash64("doc_id")).mapInArrow(run, rows.schema)
 
-    return rows.withColumn("_hash", F.xxhash64("doc_id")).mapInArrow(run, rows.schema)
+    return chosen(True), chosen(False)
+
+
+def likely(rows: DataFrame, ids: DataFrame) -> DataFrame:
+    """The first part of `split`."""
+    return split(rows, ids)[0]

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quadrille.llm import _spark, _text
+from quadrille.llm import _bitmap, _spark, _text
 from quadrille.llm.fm_index import FMIndex, earlier_windows
 
 WIDTH, GRAM = 50, 16
@@ -173,7 +173,8 @@ CUTS = "doc_id long, a int, b int"
 def _around(rows: DataFrame, found: DataFrame, chosen: DataFrame) -> DataFrame:
     """The pieces of `rows` at the anchors of `chosen`."""
     shared = found.join(chosen.select("anchor"), "anchor", "left_semi").groupBy("doc_id").agg(F.collect_list("pos").alias("shared"))
-    return pieces(rows.join(shared, "doc_id").select("doc_id", "text", "shared"))
+    shared = _spark.materialise(shared, "shared")
+    return pieces(_bitmap.likely(rows, shared).join(shared, "doc_id").select("doc_id", "text", "shared"))
 
 
 def _hot_cuts(around: DataFrame) -> DataFrame:
@@ -235,7 +236,9 @@ def kept_texts(docs: DataFrame, ranges: DataFrame, with_text: bool = False) -> D
                 names.append("kept_text")
             yield pa.RecordBatch.from_arrays(cols, names=names)
 
-    rows = docs.join(ranges, "doc_id", "left").select("doc_id", "text", "ranges")
+    some, rest = _bitmap.split(docs, ranges)
+    rows = some.join(ranges, "doc_id", "left").select("doc_id", "text", "ranges")
+    rows = rows.unionByName(rest.select("doc_id", "text", F.lit(None).cast(ranges.schema["ranges"].dataType).alias("ranges")))
     return rows.mapInArrow(run, "doc_id long, n_words long, n_removed long, kept_sha256 string" + ", kept_text string" * with_text)
 
 
