@@ -23,14 +23,14 @@ def _cell(h: np.ndarray) -> np.ndarray:
 def build(values: DataFrame) -> np.ndarray:
     """The set of all 64-bit hashes in the first column, as packed bits."""
     def fill(batches):
-        bits = np.zeros(BITS, dtype=bool)
+        packed = np.zeros(BITS // 8, dtype=np.uint8)
         some = False
         for batch in batches:
-            h = batch.column(0).to_numpy(zero_copy_only=False)
-            some |= bool(len(h))
-            bits[_cell(h)] = True
+            cell = _cell(batch.column(0).to_numpy(zero_copy_only=False))
+            some |= bool(len(cell))
+            np.bitwise_or.at(packed, cell >> 3, (128 >> (cell & 7)).astype(np.uint8))
         if some:
-            packed = np.packbits(bits).reshape(CHUNKS, _STEP)
+            packed = packed.reshape(CHUNKS, _STEP)
             full = np.flatnonzero(packed.any(axis=1))
             yield pa.RecordBatch.from_arrays([pa.array(full.astype(np.int32)), pa.array([packed[i].tobytes() for i in full], pa.binary())], names=["chunk", "bits"])
 
