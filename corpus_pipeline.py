@@ -9,7 +9,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quadrille.llm import _spark, line_dedup, phrase_index, sentence_pieces, simhash, toxicity
+from quadrille.llm import _spark, line_dedup, phrase_index, sentence_pieces, shingle_join, simhash, toxicity
+from quadrille.llm.components import connected_components
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -25,10 +26,13 @@ def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, the one with the least doc_id, of each component of near fingerprints.
+    """One document, the one with the least doc_id, of each component of near copies.
 
-    Documents that have no words after the line stage share fingerprint zero and so count as copies of each other."""
-    groups = simhash.near_duplicates(docs)
+    Two documents link if their fingerprints are within 4 bits, or if the Jaccard similarity of their five-word
+    shingles is at least 0.8. Documents that have no words after the line stage share fingerprint zero and so count
+    as copies of each other."""
+    near = simhash.near_duplicates(docs).select(F.col("doc_id").alias("a"), F.col("component_id").alias("b"))
+    groups = connected_components(near.union(shingle_join.similar_documents(docs))).select(F.col("node").alias("doc_id"), F.col("component").alias("component_id"))
     gone = groups.filter("doc_id <> component_id").select("doc_id").distinct()
     return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
 
