@@ -6,7 +6,7 @@ indexed under their segments and probe with those of their substrings that the m
 allows, for every indexable length not above their own.  Lines that meet under a key are verified with a
 banded bit-parallel edit distance after common ends are cut off.
 
-The threshold follows the shorter line: 2 edits from 20 characters, 1 from 10, none below.  Equal lines (after
+The threshold follows the shorter line: `edits` (2 unless said otherwise) from 20 characters, 1 from 10, none below.  Equal lines (after
 trimming white space) are one class before the join, keyed by a 64-bit hash.  Links join lines into
 components; the first line of a component (least doc_id, then line number) stays.
 
@@ -38,7 +38,7 @@ HELD = 200_000
 
 def threshold(n: int, edits: int = 2) -> int:
     """Edits allowed between two lines of which the shorter has n characters."""
-    return min(edits, 2) if n >= LONG else min(edits, 1) if n >= MIDDLE else 0
+    return edits if n >= LONG else min(edits, 1) if n >= MIDDLE else 0
 
 
 def edit_distance_within(a: str, b: str, limit: int) -> bool:
@@ -120,13 +120,12 @@ def join_keys(lines: list[str], edits: int = 2) -> tuple[np.ndarray, np.ndarray,
 
     def emit(who, start, length, indexed, segment, probes):
         a = base[who] + start
-        tag = (indexed.astype(np.uint64) << np.uint64(3)) | np.uint64(segment)
+        tag = (indexed.astype(np.uint64) << np.uint64(16)) | np.uint64(segment)
         keys.append(_text.mix((acc[a + length] - acc[a]) * down[a] + _text.mix(tag + np.uint64(11))))
         owner.append(who)
         probe.append(np.full(len(who), probes))
 
-    for t in range(1, min(edits, 2) + 1):
-        low, high = (MIDDLE, LONG) if t == 1 and edits >= 2 else (MIDDLE if t == 1 else LONG, 1 << 60)
+    for t, low, high in [(1, MIDDLE, LONG), (edits, LONG, 1 << 60)] if edits > 0 else []:
         who = np.flatnonzero((size >= low) & (size < high))
         for i, (start, length) in enumerate(segment_places(size[who], t)):
             emit(who, start, length, size[who], i, False)
@@ -248,7 +247,7 @@ def links_of(lines: list[str], edits: int) -> list[tuple[int, int]]:
         n, rest = len(lines[i]), []
         for j in open_:
             t = threshold(len(lines[j]), edits)
-            if n - len(lines[j]) > 2:
+            if n - len(lines[j]) > max(edits, 1):
                 continue
             rest.append(j)
             if find(i) != find(j) and edit_distance_within(lines[j], lines[i], t):
