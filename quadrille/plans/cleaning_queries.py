@@ -172,8 +172,14 @@ def traffic_profile(spark, d):
 
 @query("""SELECT strftime(d, '%Y-%m-%d') AS day FROM (SELECT unnest(generate_series(TIMESTAMP '1995-01-01', TIMESTAMP '2001-08-01', INTERVAL 1 DAY)) AS d) x
 WHERE CAST(d AS DATE) NOT IN (SELECT CAST(o_orderdate AS DATE) FROM orders WHERE o_custkey % 40 = 1)""")
-def missing_days(spark, d):
-    return quality.missing_days(table(spark, d, "orders").filter("o_custkey % 40 = 1"), "o_orderdate", date(1995, 1, 1), date(2001, 8, 1)).select(F.date_format("day", "yyyy-MM-dd").alias("day"))
+def missing_days(spark, d, where="o_custkey % 40 = 1"):
+    return quality.missing_days(table(spark, d, "orders").filter(where), "o_orderdate", date(1995, 1, 1), date(2001, 8, 1)).select(F.date_format("day", "yyyy-MM-dd").alias("day"))
+
+
+@query()
+def missing_days_whole(spark, d):
+    """The days without any order."""
+    return missing_days(spark, d, "true")
 
 
 @query("""WITH e AS (SELECT user_id AS station_id, event_type AS name, ts, 40.55::DOUBLE + ((user_id * 37 + event_id % 7) % 450)::DOUBLE / 1000 AS lat, -74.15::DOUBLE + ((user_id * 53) % 450)::DOUBLE / 1000 AS lng, event_id % 2 = 1 AS is_pickup FROM events),
