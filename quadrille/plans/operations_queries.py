@@ -68,6 +68,14 @@ def simulate_no_moves(spark, d):
     return I.simulate(p, start)
 
 
+@query()
+def simulate_no_moves_whole(spark, d):
+    """All bins of the panel; a recursive query is too dear for them, so checked by a loop in tests."""
+    p = panel(spark, d)
+    start = p.select("region_id").distinct().withColumn("inventory", F.lit(10).cast("long")).withColumn("capacity", F.lit(20).cast("long"))
+    return I.simulate(p, start)
+
+
 @query(f"""WITH {PANEL}, f AS (SELECT region_id, ts, lag(pickups, 95) OVER w AS a, lag(dropoffs, 95) OVER w AS b FROM panel WINDOW w AS (PARTITION BY region_id ORDER BY ts)), p AS (SELECT region_id, ts, least(greatest(6 + b - a * 3, 0), 20) AS level FROM f WHERE a IS NOT NULL)
 SELECT region_id, ts, level AS projected_inventory, CASE WHEN level < 20 * 0.2::DOUBLE THEN 20 * 0.5::DOUBLE - level ELSE 0 END AS shortage, CASE WHEN level > 20 * 0.8::DOUBLE THEN level - 20 * 0.5::DOUBLE ELSE 0 END AS surplus FROM p""")
 def shortage_surplus(spark, d):

@@ -1,8 +1,9 @@
-"""Queries over whole tables: the SQL of the filtered ones with the filter taken out."""
+"""Queries over whole tables: the SQL of the filtered ones with the filter taken out, and a plain loop."""
 
 import pytest
 
 from quadrille.plans import catalog
+from quadrille.plans.panel_queries import panel
 from test_queries import SF, duck, rows  # noqa: F401
 
 FILTERS = {
@@ -16,3 +17,18 @@ def test_whole_table(spark, duck, name):  # noqa: F811
     assert FILTERS[name] in sql
     got = catalog.QUERIES[f"{name}_whole"](spark, SF).toPandas()
     assert rows(got) == rows(duck.sql(sql.replace(FILTERS[name], "")).df())
+
+
+def test_simulation_of_all_bins(spark):
+    series = {}
+    for r in panel(spark, SF).select("region_id", "ts", "pickups", "dropoffs").orderBy("ts").collect():
+        series.setdefault(r.region_id, []).append((r.pickups, r.dropoffs))
+    got = {r.region_id: r for r in catalog.QUERIES["simulate_no_moves_whole"](spark, SF).collect()}
+    assert set(got) == set(series)
+    for name, steps in series.items():
+        inv, served, unserved, over = 10, 0, 0, 0
+        for p, q in steps:
+            out = min(p, inv)
+            into = min(q, 20 - inv + out)
+            inv, served, unserved, over = inv - out + into, served + out, unserved + p - out, over + q - into
+        assert (got[name].end_inventory, got[name].served, got[name].unserved, got[name].overflow) == (inv, served, unserved, over)
