@@ -9,7 +9,7 @@ from quadrille.operators import external, spatial
 from quadrille.operators import panel as P
 from quadrille.plans.context_queries import KM, STATIONS, _WEATHER, sides, stations, weather
 from quadrille.plans.panel_queries import PANEL, panel
-from quadrille.plans.registry import query, table
+from quadrille.plans.registry import ORACLE_SQL, query, table
 
 
 @query("""WITH e AS (SELECT 40.55::DOUBLE + ((user_id * 37) % 450)::DOUBLE / 1000 AS lat, -74.15::DOUBLE + ((user_id * 53) % 450)::DOUBLE / 1000 AS lng FROM events
@@ -62,7 +62,7 @@ def nearby_events(spark, d, where="event_id % 5 = 0"):
     return n.select(F.col("a_id").alias("station_id"), F.col("b_id").alias("event_id"), "rank", F.round("km", 6).alias("km"))
 
 
-@query()
+@query(ORACLE_SQL["nearby_events"].replace(" WHERE event_id % 5 = 0", ""))
 def nearby_events_whole(spark, d):
     """The nearest of all running events."""
     return nearby_events(spark, d, "true")

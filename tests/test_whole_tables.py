@@ -1,5 +1,6 @@
 """Queries over whole tables: the SQL of the filtered ones with the filter taken out, and a plain loop."""
 
+import duckdb
 import pytest
 
 from quadrille.plans import catalog
@@ -32,3 +33,11 @@ def test_simulation_of_all_bins(spark):
             into = min(q, 20 - inv + out)
             inv, served, unserved, over = inv - out + into, served + out, unserved + p - out, over + q - into
         assert (got[name].end_inventory, got[name].served, got[name].unserved, got[name].overflow) == (inv, served, unserved, over)
+
+
+def test_nearby_events_on_more_rows(spark):
+    sf = "/root/testdata/sf0.01"  # the smallest table has no event that runs then
+    con = duckdb.connect()
+    con.sql(f"create view events as select * from '{sf}/events.parquet'")
+    want = rows(con.sql(catalog.ORACLE_SQL["nearby_events_whole"]).df())
+    assert want and rows(catalog.QUERIES["nearby_events_whole"](spark, sf).toPandas()) == want
