@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -9,6 +10,12 @@ from pyspark.sql import functions as F
 
 from quadrille.session import ship
 
+HEAVY = 4000  # rows of one join key beyond which they are dealt to several tasks
+HEAVY_BROADCAST = 100_000
+SALTS = 64
+_RUN = uuid.uuid4().hex
+_FOLDERS: dict[str, object] = {}
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -21,17 +28,30 @@ def texts(docs: DataFrame) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared checkpoint folder; a default of our own only where none is set."""
+    """The cluster's shared checkpoint folder; a default of our own only where none is set and driver and executors are one process."""
     base = spark.conf.get("spark.checkpoint.dir", None)
-    return base or "/tmp/quadrille-checkpoints"
+    if base:
+        return base
+    if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return "/tmp/quadrille-checkpoints"
+
+
+def _filesystem(spark: SparkSession, path: str):
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()), where
 
 
 def materialise(df: DataFrame, label: str) -> DataFrame:
     """Cut lineage by writing a table into the shared folder and reading it back.
 
-    The files are visible to every executor, so a lost executor costs a re-read and no recomputation."""
+    The files are visible to every executor, so a lost executor costs a re-read and no recomputation.  What
+    `discard` doesn't delete, `sweep` or the end of the driver's process does."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/quadrille/{label}-{uuid.uuid4().hex}"
+    folder = f"{shared_dir(spark)}/quadrille/{_RUN}"
+    if folder not in _FOLDERS:
+        _FOLDERS[folder] = _filesystem(spark, folder)
+    path = f"{folder}/{label}-{uuid.uuid4().hex}"
     df.write.mode("overwrite").parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._table_path = path
@@ -41,6 +61,40 @@ def materialise(df: DataFrame, label: str) -> DataFrame:
 def discard(*tables: DataFrame) -> None:
     """Delete materialised tables that later tables have replaced."""
     for df in tables:
-        jvm, path = df.sparkSession._jvm, df._table_path
-        where = jvm.org.apache.hadoop.fs.Path(path)
-        where.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(where, True)
+        files, where = _filesystem(df.sparkSession, df._table_path)
+        files.delete(where, True)
+
+
+def sweep() -> None:
+    """Delete every table that this process has materialised; results that still read one can't be computed any more."""
+    while _FOLDERS:
+        _, (files, where) = _FOLDERS.popitem()
+        try:
+            files.delete(where, True)
+        except Exception:  # the JVM has gone before us: nothing can be deleted from here
+            return
+
+
+atexit.register(sweep)
+
+
+def skew_join(rows: DataFrame, keys: DataFrame, on: list[str], n: str = "n", how: str = "inner", heavy: int = HEAVY) -> DataFrame:
+    """rows joined with keys, which has one row per key and the number `n` of rows with it (dropped from the result).
+
+    The rows of a key with more than `heavy` are dealt over n / heavy tasks, with a copy of the key's own row in
+    each.  Heavy keys are few (rows / heavy at most); a list of more than `HEAVY_BROADCAST` is joined with a fixed
+    number of salts instead of being broadcast.  The result is that of the plain join."""
+    hot = keys.filter(F.col(n) > heavy).select(*on, F.ceil(F.col(n) / heavy).cast("int").alias("_parts"))
+    count = hot.count()
+    if not count:
+        return rows.join(keys.drop(n), on, how)
+    copies = F.explode(F.sequence(F.lit(0), F.greatest(F.ceil(F.col(n) / heavy), F.lit(1)).cast("int") - 1))
+    dealt = keys.withColumn("_salt", copies).drop(n)
+    draw = F.xxhash64(*rows.columns)
+    if count <= HEAVY_BROADCAST:
+        marked = rows.join(F.broadcast(hot), on, "left")
+    else:
+        spread = hot.withColumn("_draw", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        marked = rows.withColumn("_draw", F.pmod(draw, F.lit(SALTS)).cast("int")).join(spread, [*on, "_draw"], "left").drop("_draw")
+    salted = marked.withColumn("_salt", F.coalesce(F.pmod(draw, F.col("_parts")), F.lit(0)).cast("int")).drop("_parts")
+    return salted.join(dealt, [*on, "_salt"], how).drop("_salt")

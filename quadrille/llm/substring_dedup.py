@@ -12,8 +12,10 @@ document in it, and reports the ranges whose match is at least `WIDTH` words lon
 Pieces arrive sorted by anchor, and a shard is closed after `SHARD_WORDS` words at an anchor's end.
 
 An anchor of more than `HOT` pieces isn't brought into one task.  Its equal pieces are aggregated first: all
-but the least document lose the whole piece.  What is left, one row per distinct piece, is dealt in blocks
-of about `HOT` pieces, and every pair of blocks is a shard of its own, so that each two pieces meet.
+but the least document lose the whole piece, wherever it stands.  If at most `HOT` distinct pieces are left, they
+are a shard like any other, with all places that each has in its least document.  The windows of an anchor with
+more distinct pieces (a very common passage in ever new surroundings) are compared by themselves, one row per
+distinct piece and window under a 128-bit hash, so that the work stays in proportion to the distinct pieces.
 
 Cases: null and short texts have no window; equal windows within one document aren't removed for each
 other; ties cannot occur among distinct doc_ids, and rows that repeat a doc_id with the same text are
@@ -27,6 +29,7 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -35,7 +38,7 @@ from quadrille.llm.fm_index import FMIndex, earlier_windows
 
 WIDTH, GRAM = 50, 16
 SHARD_WORDS = 400_000
-HOT = 4000
+HOT = 1000
 
 
 def _sliding(x: np.ndarray, w: int, pick) -> np.ndarray:
@@ -116,14 +119,14 @@ class _Shard:
         self.begins: list[list[int]] = []
         self.words = 0
 
-    def add(self, anchor: int, doc: int, begin: int, words: bytes) -> None:
+    def add(self, anchor: int, doc: int, begins: list[int], words: bytes) -> None:
         i = self.ids.setdefault((anchor, words), len(self.docs))
         if i == len(self.docs):
             self.docs.append([])
             self.begins.append([])
             self.words += len(words) // 4
-        self.docs[i].append(doc)
-        self.begins[i].append(begin)
+        self.docs[i] += [doc] * len(begins)
+        self.begins[i] += begins
 
     def removed(self):
         """A batch (doc_id, begins, ends) of removed word ranges."""
@@ -157,12 +160,12 @@ def _search(batches, most: int):
     """Pieces sorted by anchor to removed ranges, shard by shard."""
     shard, last = _Shard(), None
     for batch in batches:
-        for anchor, doc, begin, words in zip(*(c.to_pylist() for c in batch.columns)):
+        for anchor, doc, begins, words in zip(*(c.to_pylist() for c in batch.columns)):
             if anchor != last and shard.words >= most:
                 yield shard.removed()
                 shard = _Shard()
             last = anchor
-            shard.add(anchor, doc, begin, words)
+            shard.add(anchor, doc, begins, words)
     if shard.docs:
         yield shard.removed()
 
@@ -170,25 +173,39 @@ def _search(batches, most: int):
 CUTS = "doc_id long, a int, b int"
 
 
-def _around(rows: DataFrame, found: DataFrame, chosen: DataFrame) -> DataFrame:
-    """The pieces of `rows` at the anchors of `chosen`."""
-    shared = found.join(chosen.select("anchor"), "anchor", "left_semi").groupBy("doc_id").agg(F.collect_list("pos").alias("shared"))
-    shared = _spark.materialise(shared, "shared")
-    return pieces(_bitmap.likely(rows, shared).join(shared, "doc_id").select("doc_id", "text", "shared"))
+def _around(rows: DataFrame, shared: DataFrame, column: str) -> DataFrame:
+    """The pieces of `rows` at the windows that `column` of `shared` lists."""
+    chosen = shared.filter(F.size(column) > 0).select("doc_id", F.col(column).alias("shared"))
+    return pieces(_bitmap.likely(rows, chosen).join(chosen, "doc_id").select("doc_id", "text", "shared"))
+
 
+def _windows(batches):
+    """Rows (doc_id, begins, words) to a row for each of their windows."""
+    for batch in batches:
+        key, doc, at = [], [], []
+        for d, begins, words in zip(*(c.to_pylist() for c in batch.columns)):
+            for i in range(len(words) // 4 - WIDTH + 1):
+                key.append(xxhash.xxh3_128_digest(words[4 * i : 4 * (i + WIDTH)]))
+                doc.append(d)
+                at.append([b + i for b in begins])
+        yield pa.RecordBatch.from_arrays([pa.array(key, pa.binary()), pa.array(doc, pa.int64()), pa.array(at, pa.list_(pa.int32()))], names=["key", "doc_id", "begins"])
 
-def _hot_cuts(around: DataFrame) -> DataFrame:
-    """Removed ranges at very frequent anchors: equal pieces by aggregation, distinct ones by pairs of blocks."""
+
+def _hot_cuts(around: DataFrame, hot: int) -> tuple[DataFrame, list[DataFrame]]:
+    """Removed ranges at very frequent anchors, and the tables that they are read from."""
     around = _spark.materialise(around, "hot-pieces")
-    place = F.struct("doc_id", "begin")
-    distinct = _spark.materialise(around.groupBy("anchor", "words").agg(F.min(place).alias("first"), F.count("*").alias("n")), "hot-distinct")
-    later = around.join(distinct.filter("n > 1"), ["anchor", "words"]).filter(F.col("doc_id") > F.col("first.doc_id"))
+    own = around.groupBy("anchor", "words", "doc_id").agg(F.collect_set("begin").alias("begins"), F.count("*").alias("n"))
+    distinct = _spark.materialise(own.groupBy("anchor", "words").agg(F.min(F.struct("doc_id", "begins")).alias("first"), F.sum("n").alias("n")), "hot-distinct")
+    least = distinct.filter("n > 1").select("anchor", "words", F.col("first.doc_id").alias("least"), "n")
+    later = _spark.skew_join(around, least, ["anchor", "words"], heavy=hot).filter(F.col("doc_id") > F.col("least"))
     whole = later.select("doc_id", F.col("begin").alias("a"), (F.col("begin") + F.length("words") / 4).cast("int").alias("b"))
-    sizes = distinct.groupBy("anchor").agg(F.ceil(F.count("*") / HOT).cast("long").alias("parts"))
-    own, parts = F.pmod(F.xxhash64("words"), F.col("parts")), F.col("parts")
-    pair = F.explode(F.transform(F.sequence(F.lit(0).cast("long"), parts - 1), lambda o: F.least(o, own) * parts + F.greatest(o, own)))
-    dealt = distinct.join(sizes, "anchor").select("anchor", pair.alias("pair"), "first.doc_id", "first.begin", "words").select(F.xxhash64("anchor", "pair").alias("anchor"), "doc_id", "begin", "words")
-    return whole.unionByName(_shards(dealt))
+    sizes = distinct.groupBy("anchor").agg(F.count("*").alias("n")).withColumn("many", F.col("n") > hot)
+    rows = _spark.skew_join(distinct.select("anchor", "first.doc_id", "first.begins", "words"), sizes, ["anchor"], heavy=hot)
+    cuts = whole.unionByName(_shards(rows.filter("not many").drop("many")))
+    single = _spark.materialise(rows.filter("many").select("doc_id", "begins", "words").mapInArrow(_windows, "key binary, doc_id long, begins array<int>"), "hot-windows")
+    first = single.groupBy("key").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("last"), F.count("*").alias("n")).filter("least < last").drop("last")
+    again = _spark.skew_join(single, first, ["key"], heavy=hot).filter(F.col("doc_id") > F.col("least")).select("doc_id", F.explode("begins").alias("a"))
+    return cuts.unionByName(again.select("doc_id", "a", (F.col("a") + WIDTH).cast("int").alias("b"))), [around, distinct, single]
 
 
 def _shards(around: DataFrame) -> DataFrame:
@@ -196,18 +213,23 @@ def _shards(around: DataFrame) -> DataFrame:
     return around.repartition("anchor").sortWithinPartitions("anchor").mapInArrow(lambda it: _search(it, most), CUTS)
 
 
-def removed_ranges(docs: DataFrame) -> DataFrame:
+def removed_ranges(docs: DataFrame, hot: int | None = None) -> DataFrame:
     """(doc_id, ranges: array of (a, b) word ranges to remove) of the documents that lose words."""
+    hot = hot or HOT
     rows = docs.filter("doc_id is not null")
     found = _spark.materialise(anchor_rows(rows), "anchors")
-    several = found.groupBy("anchor").agg(F.min("doc_id").alias("x"), F.max("doc_id").alias("y"), F.count("*").alias("n")).filter("x < y").select("anchor", "n")
+    several = found.groupBy("anchor").agg(F.min("doc_id").alias("x"), F.max("doc_id").alias("y"), F.count("*").alias("n")).filter("x < y").select("anchor", "n", (F.col("n") > hot).alias("hot"))
     several = _spark.materialise(several, "shared-anchors")
-    cuts = _shards(_around(rows, found, several.filter(F.col("n") <= HOT)))
-    hot = several.filter(F.col("n") > HOT)
-    if hot.limit(1).count():
-        cuts = cuts.unionByName(_hot_cuts(_around(rows, found, hot)))
+    at = lambda cond: F.collect_list(F.when(cond, F.col("pos")))
+    shared = _spark.skew_join(found, several, ["anchor"], heavy=hot).groupBy("doc_id").agg(at(~F.col("hot")).alias("cold"), at(F.col("hot")).alias("hot"))
+    shared = _spark.materialise(shared, "shared")
+    cuts = _shards(_around(rows, shared, "cold").select("anchor", "doc_id", F.array("begin").alias("begins"), "words"))
+    used = [found, several, shared]
+    if several.filter("hot").limit(1).count():
+        more, tables = _hot_cuts(_around(rows, shared, "hot"), hot)
+        cuts, used = cuts.unionByName(more), used + tables
     out = _spark.materialise(cuts.groupBy("doc_id").agg(F.collect_set(F.struct("a", "b")).alias("ranges")), "removed")
-    _spark.discard(found, several)
+    _spark.discard(*used)
     return out
 
 

@@ -502,7 +502,7 @@ def plain_substrings(rows):
     return out
 
 
-@pytest.mark.parametrize("shard, hot", [(400_000, 4000), (600, 4000), (400_000, 6)])
+@pytest.mark.parametrize("shard, hot", [(400_000, 4000), (600, 4000), (400_000, 6), (400_000, 1), (400_000, 40)])
 def test_substring_dedup(spark, docs, empty, monkeypatch, shard, hot):
     monkeypatch.setattr(substring_dedup, "SHARD_WORDS", shard)
     monkeypatch.setattr(substring_dedup, "HOT", hot)
@@ -520,6 +520,9 @@ def test_substring_dedup(spark, docs, empty, monkeypatch, shard, hot):
                 p = p[rng.randrange(10) :]
             w += p + [rng.choice(vocab) for _ in range(rng.randint(0, 40))]
         rows.append((3000 + k, " ".join(w)))
+    # one document has a passage twice, and a smaller one holds it in other surroundings
+    seed, lead = [f"s{i}" for i in range(60)], [f"l{i}" for i in range(30)]
+    rows += [(4000, " ".join(lead + seed)), (4001, " ".join(["x"] + seed + ["y", "x"] + seed + ["y"])), (4002, " ".join(["x"] + seed + ["y", "x"] + seed + ["y", "x"] + seed + ["y"]))]
     df = spark.createDataFrame([(i, t, 1) for i, t in rows], "doc_id long, text string, pos int")
     want = plain_substrings(rows)
     for r in substring_dedup.substring_dedup(df, with_text=True).collect():
@@ -567,3 +570,16 @@ def test_null_ids_and_empty_conversations(spark):
     assert quote_threads.format_messages(none).count() == 0
     odd = spark.createDataFrame([(None, None, None, None), (1, None, None, "> q"), (None, 2, "u", "x")], none.schema)
     assert quote_threads.format_messages(odd).count() == 3
+
+
+def test_long_pre_tokens_merge_like_the_library():
+    from tokenizers import Tokenizer
+
+    path = P.path("byte_bpe_50k.json")
+    library, table = Tokenizer.from_file(path), token_counts.MergeTable.load(path)
+    rng = random.Random(8)
+    texts = ["a" * 2049, "ab" * 1500, "ha" * 700 + "h"]
+    texts += ["".join(rng.choice(letters) for _ in range(rng.randint(513, 6000))) for letters in ("ab", "theinga", "abcdefghijklmnopqrstuvwxyz", "éèaßñ", "漢字語") for _ in range(4)]
+    texts += ["".join(rng.choice(["the", "ing", "station", "q", "zz"]) for _ in range(2000))]
+    want = [len(library.encode(t, add_special_tokens=False).ids) for t in texts]
+    assert token_counts.count_texts(table, texts, {}) == want
