@@ -7,8 +7,9 @@ Equal pre-tokens are merged once per batch and kept in a bounded cache of the wo
 
 Cases: null and empty texts count 0 tokens; ties in rank cannot occur (ranks are unique) and
 overlapping occurrences of one pair merge from the left; repeated rows are counted each; extra
-columns are ignored; an empty table gives an empty result; sequences over `LONG` bytes use a heap
-with the same merge order, since the number of rounds grows with a sequence's length.
+columns are ignored; an empty table gives an empty result.  The number of rounds grows with a sequence's
+length, so a sequence over `LONG` bytes runs its rounds by itself on a linked list, where a round costs only what
+it merges; texts of any length are counted whole.
 """
 
 from __future__ import annotations
@@ -122,26 +123,50 @@ class MergeTable:
             rank[touched], at[touched] = r, a
 
     def _count_long(self, token: bytes) -> int:
+        """The same rounds over one long sequence as a linked list; a round touches only the pairs that it merges."""
         sym = self.byte_ids[np.frombuffer(token, dtype=np.uint8)]
         n = len(sym)
-        rank, at = self.lookup(sym[:-1], sym[1:])
-        sym, nxt, prev = sym.tolist(), list(range(1, n + 1)), list(range(-1, n - 1))
-        heap = [(int(r), i, int(a)) for i, (r, a) in enumerate(zip(rank, at)) if r < NONE]
-        heapq.heapify(heap)
-        pair = dict(zip(self.keys.tolist(), zip(self.ranks.tolist(), self.results.tolist()))) if heap else {}
-        alive, left = [True] * n, n
-        while heap:
-            r, i, _ = heapq.heappop(heap)
-            j = nxt[i] if alive[i] else n
-            if j >= n or (found := pair.get(sym[i] * self.size + sym[j])) is None or found[0] != r:
+        after, before = np.arange(1, n + 1), np.arange(-1, n - 1)
+        rank, at = np.full(n, NONE), np.zeros(n, np.int64)
+        places: dict[int, list[np.ndarray]] = {}
+        ranks: list[int] = []
+
+        def note(where):
+            """Look up the pairs that begin at `where` and file them under their ranks."""
+            has = after[where] < n
+            rank[where[~has]] = NONE
+            where = where[has]
+            rank[where], at[where] = self.lookup(sym[where], sym[after[where]])
+            where = where[rank[where] < NONE]
+            where = where[np.argsort(rank[where], kind="stable")]
+            cut = np.flatnonzero(np.diff(rank[where])) + 1
+            for part in np.split(where, cut) if len(where) else ():
+                r = int(rank[part[0]])
+                if r not in places:
+                    places[r] = []
+                    heapq.heappush(ranks, r)
+                places[r].append(part)
+
+        note(np.arange(n))
+        left = n
+        while ranks:
+            r = heapq.heappop(ranks)
+            pos = np.unique(np.concatenate(places.pop(r)))
+            pos = pos[rank[pos] == r]
+            if not len(pos):
                 continue
-            sym[i], alive[j], nxt[i] = found[1], False, nxt[j]
-            left -= 1
-            if nxt[j] < n:
-                prev[nxt[j]] = i
-            for a in (prev[i], i):
-                if a >= 0 and nxt[a] < n and (f := pair.get(sym[a] * self.size + sym[nxt[a]])):
-                    heapq.heappush(heap, (f[0], a, 0))
+            run = np.ones(len(pos), dtype=bool)
+            run[1:] = after[pos[:-1]] != pos[1:]
+            head = np.maximum.accumulate(np.where(run, np.arange(len(pos)), 0))
+            pos = pos[(np.arange(len(pos)) - head) % 2 == 0]
+            gone = after[pos]
+            sym[pos], rank[gone] = self.results[at[pos]], NONE
+            after[pos] = after[gone]
+            inside = after[pos] < n
+            before[after[pos[inside]]] = pos[inside]
+            left -= len(pos)
+            prev = before[pos]
+            note(np.unique(np.concatenate([pos, prev[prev >= 0]])))
         return left
 
 
