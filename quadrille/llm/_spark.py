@@ -42,7 +42,7 @@ def _filesystem(spark: SparkSession, path: str):
     return where.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()), where
 
 
-def materialise(df: DataFrame, label: str) -> DataFrame:
+def materialise(df: DataFrame, label: str, codec: str = "snappy") -> DataFrame:
     """Cut lineage by writing a table into the shared folder and reading it back.
 
     The files are visible to every executor, so a lost executor costs a re-read and no recomputation.  What
@@ -52,7 +52,7 @@ def materialise(df: DataFrame, label: str) -> DataFrame:
     if folder not in _FOLDERS:
         _FOLDERS[folder] = _filesystem(spark, folder)
     path = f"{folder}/{label}-{uuid.uuid4().hex}"
-    df.write.mode("overwrite").parquet(path)
+    df.write.mode("overwrite").option("compression", codec).parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._table_path = path
     return out

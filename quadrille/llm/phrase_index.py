@@ -1,33 +1,37 @@
 """Benchmark decontamination with a distributed positional inverted index.
 
-The index is partitioned by documents: each slice of documents becomes one index row with a sorted term
-list and, per term, the ascending positions of all its tokens.  Test phrases visit every row: a phrase
-starts from its rarest term's postings and intersects the offset-adjusted postings of the other terms,
-rarest first, so that a phrase with an absent term costs one probe.  Nothing is shuffled.
+The index is a stored table, partitioned by documents: each slice of documents is one row with a sorted term
+dictionary and, per term, the ascending positions of all its tokens (as differences).  It is written once to the
+shared folder and every search reads it: a phrase starts from its rarest term's postings and intersects the
+offset-adjusted postings of the other terms, rarest first, so that a phrase with an absent term costs one probe.
+Nothing is shuffled.
 
-The test set is broadcast in blocks of at most `BLOCK_BYTES` of text (`query_blocks`); a larger test set is
-more blocks against all rows, whose hits are merged per document.
+The test set is broadcast in blocks of at most `BLOCK_BYTES` of text (`query_blocks`), one at a time; a larger test
+set is more searches of the stored index, and the hits of a row of documents are merged by its place in the index.
+The answer is the same for any number of blocks.
 
 Cases: a null or empty text has no words (0 words, 0 hits); an item without words has no window;
-repeated items each count as an item; repeated documents each get a row (under a
-large test set rows of one doc_id share their hits); an empty table or an empty
-test set gives no hits; extra columns are ignored.
+repeated items each count as an item; rows that repeat a doc_id are each judged by their own text; a very long
+text is a slice of its own and indexed whole; an empty table or an empty test set gives no hits; extra columns
+are ignored.
 """
 
 from __future__ import annotations
 
 import hashlib
+import uuid
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quadrille.llm import _spark, _text
 
 BLOCK_BYTES = 4 << 20
-INDEX = "doc_ids binary, first_word binary, terms binary, ptr binary, postings binary"
+INDEX = "shard string, doc_ids binary, first_word binary, terms binary, ptr binary, postings binary"
 
 
 def token_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -38,27 +42,35 @@ def token_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.
 
 
 def build_index(docs: DataFrame) -> DataFrame:
-    """One positional inverted index per slice of (doc_id, text); every token of every text is in it."""
+    """One positional inverted index per slice of (doc_id, text); every token of every text is in it.
+
+    `shard` is drawn anew whenever a row is computed: search a stored index (`store_index`), not this plan."""
     def run(batches):
         for part, data, offsets in _text.slices(batches):
             h, first = token_hashes(data, offsets)
             order = np.argsort(h, kind="stable")
             by = h[order]
             ptr = np.flatnonzero(np.concatenate([np.ones(min(1, len(by)), bool), by[1:] != by[:-1]]))
-            ids = np.array(part.column(0).to_pylist(), dtype=object)
-            blob = [
-                np.array([-(1 << 63) if i is None else i for i in ids], dtype=np.int64), first.astype(np.int32),
-                by[ptr], np.append(ptr, len(by)).astype(np.int32), order.astype(np.int32)]
-            yield pa.RecordBatch.from_arrays([pa.array([x.tobytes()], pa.binary()) for x in blob], names=[c.split()[0] for c in INDEX.split(", ")])
+            ids = np.array([-(1 << 63) if i is None else i for i in part.column(0).to_pylist()], dtype=np.int64)
+            gaps = np.diff(order, prepend=0)
+            gaps[ptr] = order[ptr]
+            blob = [ids, first.astype(np.int32), by[ptr], np.append(ptr, len(by)).astype(np.int32), gaps.astype(np.int32)]
+            yield pa.RecordBatch.from_arrays([pa.array([uuid.uuid4().hex]), *(pa.array([x.tobytes()], pa.binary()) for x in blob)], names=[c.split()[0] for c in INDEX.split(", ")])
 
     return _spark.texts(docs).mapInArrow(run, INDEX)
 
 
+def store_index(docs: DataFrame) -> DataFrame:
+    """The index as a table in the shared folder; `_spark.discard` deletes it."""
+    return _spark.materialise(build_index(docs), "phrase-index", "zstd")
+
+
 @dataclass
 class Queries:
-    """Distinct phrases as rows of terms, padded with 0 beyond their length, and the items of each."""
+    """Distinct phrases and the items of each: `terms` are sorted, `rows` gives the terms of a phrase, padded beyond its length."""
 
     terms: np.ndarray
+    rows: np.ndarray
     lengths: np.ndarray
     item_ptr: np.ndarray
     items: list[str]
@@ -79,7 +91,8 @@ def compile_windows(items: list[tuple[object, str | None]], width: int = 10) ->
     for i, w in enumerate(owner):
         terms[i, : len(w)] = w
     names = [sorted(v) for v in owner.values()]
-    return Queries(terms, lengths, np.cumsum([0, *map(len, names)]), [x for v in names for x in v])
+    distinct, back = np.unique(terms, return_inverse=True)
+    return Queries(distinct, back.reshape(terms.shape), lengths, np.cumsum([0, *map(len, names)]), [x for v in names for x in v])
 
 
 class Shard:
@@ -89,7 +102,9 @@ class Shard:
         self.doc_ids = np.frombuffer(doc_ids, np.int64)
         self.first = np.frombuffer(first_word, np.int32).astype(np.int64)
         self.terms, self.ptr = np.frombuffer(terms, np.uint64), np.frombuffer(ptr, np.int32).astype(np.int64)
-        self.postings = np.frombuffer(postings, np.int32).astype(np.int64)
+        gaps = np.frombuffer(postings, np.int32).astype(np.int64)
+        total, start = np.cumsum(gaps), self.ptr[:-1]
+        self.postings = total - np.repeat(total[start] - gaps[start], np.diff(self.ptr))
         self.n = len(self.postings)
         self._joint: np.ndarray | None = None
 
@@ -116,9 +131,8 @@ class Shard:
         none = np.zeros(0, np.int64)
         if not self.n or not len(q.lengths):
             return none, none
-        used = np.arange(q.terms.shape[1]) < q.lengths[:, None]
-        distinct, back = np.unique(q.terms, return_inverse=True)
-        ids = np.where(used, self.find(distinct)[back.reshape(q.terms.shape)], 0)
+        used = np.arange(q.rows.shape[1]) < q.lengths[:, None]
+        ids = np.where(used, self.find(q.terms)[q.rows], 0)
         here = np.flatnonzero((ids >= 0).all(axis=1))
         if not len(here):
             return none, none
@@ -174,17 +188,15 @@ def query_blocks(items: DataFrame, block_bytes: int = BLOCK_BYTES):
         yield [(r[0], r[1]) for r in part.collect()]
 
 
-HITS = "doc_id long, n_words long, hits array<long>, item_ids array<string>"
-
+HITS = "shard string, row int, doc_id long, n_words long, hits array<long>, item_ids array<string>"
 
-def search(index: DataFrame, queries: Queries) -> DataFrame:
-    """Per document of the index: its number of words, the hit word positions (ascending), the items found (sorted)."""
-    shared = index.sparkSession.sparkContext.broadcast(queries)
 
+def search(index: DataFrame, queries: Broadcast, rows_without_hits: bool = True) -> DataFrame:
+    """Per row of the indexed documents: its number of words, the hit word positions (ascending), the items found (sorted)."""
     def run(batches):
-        q = shared.value
+        q = queries.value
         for batch in batches:
-            for row in zip(*(c.to_pylist() for c in batch.columns)):
+            for shard, *row in zip(*(c.to_pylist() for c in batch.columns)):
                 s = Shard(*row)
                 n = len(s.doc_ids)
                 start, phrase = s.phrases(q)
@@ -196,9 +208,11 @@ def search(index: DataFrame, queries: Queries) -> DataFrame:
                 who = np.unique(np.repeat(s.document_of(start), size) * (len(q.items) + 1) + _text.ranges(q.item_ptr[phrase], size))
                 for d, i in zip(*(x.tolist() for x in np.divmod(who, len(q.items) + 1))):
                     found[d].append(q.items[i])
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(s.doc_ids, mask=s.doc_ids == -(1 << 63)), pa.array(np.diff(s.first)), _text.ragged(hit - np.repeat(s.first[:-1], np.diff(bounds)), bounds, pa.int64()), pa.array([sorted(set(f)) for f in found], pa.list_(pa.string()))],
-                    names=["doc_id", "n_words", "hits", "item_ids"])
+                out = pa.RecordBatch.from_arrays(
+                    [pa.array([shard] * n), pa.array(np.arange(n, dtype=np.int32)), pa.array(s.doc_ids, mask=s.doc_ids == -(1 << 63)), pa.array(np.diff(s.first)),
+                     _text.ragged(hit - np.repeat(s.first[:-1], np.diff(bounds)), bounds, pa.int64()), pa.array([sorted(set(f)) for f in found], pa.list_(pa.string()))],
+                    names=[c.split()[0] for c in HITS.split(", ")])
+                yield out if rows_without_hits else out.filter(pa.array(np.diff(bounds) > 0))
 
     return index.mapInArrow(run, HITS)
 
@@ -210,7 +224,7 @@ def proximity(index: DataFrame, terms: list[str], slop: int) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            for row in zip(*(c.to_pylist() for c in batch.columns)):
+            for _, *row in zip(*(c.to_pylist() for c in batch.columns)):
                 s = Shard(*row)
                 at = s.near(h, slop)
                 doc = s.document_of(at)
@@ -220,19 +234,21 @@ def proximity(index: DataFrame, terms: list[str], slop: int) -> DataFrame:
 
 
 def phrase_hits(docs: DataFrame, items: DataFrame, width: int = 10, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """Exact hits of all windows of `items` in `docs`, over as many blocks of items as their size needs."""
-    index = build_index(docs)
-    parts = [search(index, compile_windows(b, width)) for b in query_blocks(items, block_bytes)]
-    if len(parts) == 1:
-        return parts[0]
+    """(doc_id, n_words, hits, item_ids) of every row of `docs`: exact hits of all windows of `items`, over as many blocks of items as their size needs."""
+    index = store_index(docs)
+    parts = []
+    for block in query_blocks(items, block_bytes):
+        shared = docs.sparkSession.sparkContext.broadcast(compile_windows(block, width))
+        parts.append(_spark.materialise(search(index, shared, not parts), "phrase-hits"))
+        shared.destroy()
+    _spark.discard(index)
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
-    merged = out.groupBy(F.col("doc_id").alias("_id")).agg(
-        F.max("n_words").alias("n_words"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("hits")))).alias("hits"),
-        F.array_sort(F.array_distinct(F.flatten(F.collect_list("item_ids")))).alias("item_ids"))
-    rows = _spark.texts(docs).select("doc_id")  # a row for each row, repeated ones too
-    return rows.join(merged, rows["doc_id"].eqNullSafe(merged["_id"])).select("doc_id", "n_words", "hits", "item_ids")
+    if len(parts) > 1:
+        merge = lambda c: F.array_sort(F.array_distinct(F.flatten(F.collect_list(c)))).alias(c)
+        out = out.groupBy("shard", "row").agg(F.max("doc_id").alias("doc_id"), F.max("n_words").alias("n_words"), merge("hits"), merge("item_ids"))
+    return out.select("doc_id", "n_words", "hits", "item_ids")
 
 
 def contamination(docs: DataFrame, items: DataFrame, width: int = 10, block_bytes: int = BLOCK_BYTES) -> DataFrame:

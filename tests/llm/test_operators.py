@@ -302,6 +302,32 @@ def test_foreign_lacing_and_unknown_sizes():
     assert got[0].timestamp_ms == 105 and got[3].timestamp_ms == 109
 
 
+def test_broken_headers_are_rows_without_packets(spark):
+    import struct
+
+    M = matroska
+    block = M.element(M.SIMPLE_BLOCK, M.put_size(1) + b"\x00\x00\x80" + b"abcd")
+    head = M._HEAD + M.SEGMENT.to_bytes(4, "big") + b"\xff"
+    rate = lambda x: M.element(M.TRACKS, M.element(M.ENTRY, M.element(M.AUDIO, M.element(M.RATE, struct.pack(">d", x)))))
+    cluster = M.element(M.CLUSTER, M.number(M.TIMESTAMP, 7) + block)
+    late = M.element(M.CLUSTER, M.element(M.TIMESTAMP, b"\xff" * 8) + block)
+    odd_rate = M.element(M.TRACKS, M.element(M.ENTRY, M.element(M.AUDIO, M.element(M.RATE, b"\x01\x02\x03"))))
+    files = [head + rate(8000.0) + cluster, head + rate(0.0) + cluster, head + rate(float("nan")) + cluster, head + M._TRACKS + late, head + odd_rate + cluster, b"", None, head + rate(-1.0) + cluster]
+    df = spark.createDataFrame([(i, None if b is None else bytearray(b)) for i, b in enumerate(files)], "doc_id long, media binary")
+    got = sorted((r.doc_id, r.ok, r.size) for r in matroska.packet_table(df).collect())
+    assert got == [(0, True, 4), *((i, False, None) for i in (1, 2, 3, 4, 5, 7))]
+    rng = random.Random(5)
+    whole = M.mux(M.pad(b"some text " * 200))
+    bad = []
+    for i in range(400):
+        b = bytearray(whole)
+        for _ in range(rng.randint(1, 4)):
+            b[rng.randrange(min(400, len(b)))] = rng.randrange(256)
+        bad.append((i, b))
+    assert matroska.packet_table(spark.createDataFrame(bad, "doc_id long, media binary")).count() >= 1
+    assert matroska.packet_table(df.limit(0)).count() == 0
+
+
 # ---- decontamination ----
 
 
@@ -331,9 +357,18 @@ def test_decontamination(spark, docs, empty):
     assert phrase_index.contamination(df, it.limit(0)).filter("contaminated").count() == 0
 
 
+def test_decontamination_keeps_rows_of_one_id_apart(spark):
+    df = spark.createDataFrame([(1, "a b c"), (1, "x y z w"), (None, "a b"), (None, "q"), (2, "a b x y"), (1, "a b c")], "doc_id long, text string")
+    it = spark.createDataFrame([(i, t) for i, t in enumerate(["a b", "x y", "z w", "q q"])], "item_id long, text string")
+    runs = [sorted(map(str, phrase_index.contamination(df, it, block_bytes=b).collect())) for b in (1 << 22, 1)]
+    assert runs[0] == runs[1] and len(runs[0]) == 6
+    got = sorted((r.doc_id or 0, r.n_words, r.n_hit, r.n_items) for r in phrase_index.contamination(df, it, block_bytes=1).collect())
+    assert got == [(0, 1, 0, 0), (0, 2, 2, 1), (1, 3, 2, 1), (1, 3, 2, 1), (1, 4, 4, 2), (2, 4, 4, 2)]
+
+
 def test_proximity(spark):
     df = spark.createDataFrame([(1, "alpha x x beta"), (2, "alpha x x x x x beta"), (3, "alpha"), (4, "beta alpha"), (5, None)], "doc_id long, text string")
-    index = phrase_index.build_index(df)
+    index = phrase_index.store_index(df)
     assert sorted({r.doc_id for r in phrase_index.proximity(index, ["alpha", "beta"], 3).collect()}) == [1, 4]
 
 
@@ -583,3 +618,23 @@ def test_long_pre_tokens_merge_like_the_library():
     texts += ["".join(rng.choice(["the", "ing", "station", "q", "zz"]) for _ in range(2000))]
     want = [len(library.encode(t, add_special_tokens=False).ids) for t in texts]
     assert token_counts.count_texts(table, texts, {}) == want
+
+
+def test_models_of_other_kinds_are_refused():
+    with open(P.path("piece_bpe_32k.model"), "rb") as f:
+        raw = f.read()
+    sentence_pieces.check_model(raw)
+    for trainer, normaliser in ((b"\x18\x01", b""), (b"", b"\x12\x02ab"), (b"\x98\x02\x00", b""), (b"", b"\x20\x01")):
+        # the last value of a field counts, so that appended fields change the model's kind
+        spec = sentence_pieces._fields(raw)
+        wrap = lambda tag, body: bytes([tag]) + message_size(len(body)) + body
+        changed = wrap(0x12, spec[2] + trainer) + wrap(0x1A, spec[3] + normaliser)
+        with pytest.raises(ValueError):
+            sentence_pieces.check_model(changed)
+
+
+def message_size(n):
+    out = b""
+    while n > 127:
+        out, n = out + bytes([n & 127 | 128]), n >> 7
+    return out + bytes([n])
