@@ -5,8 +5,10 @@ cues and clusters whose blocks carry up to eight EBML-laced frames.  `packets` p
 bytes (variable-length ids and sizes, unknown-size clusters, SimpleBlock and BlockGroup, no, Xiph,
 fixed and EBML lacing) into a packet table: track, timestamp, byte range.  `cues` reads the index.
 
-Cases: a null payload is an empty one; truncated or foreign bytes raise ValueError in `packets`
-and give no packets in `packet_table` (with `ok` false); equal payloads give equal bytes.
+Cases: a null or empty payload is an empty one, stored as one unit of padding; equal payloads give equal bytes, and
+repeated rows a row each; a very long text is more clusters; truncated or foreign bytes, a sampling rate that isn't
+above zero and times beyond 64 bits raise ValueError or IndexError in `packets` and are a row without packets
+in `packet_table` (with `ok` false); an empty table gives an empty result; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -35,6 +37,7 @@ SAMPLE_RATE = 8000
 FRAME = 1920  # samples of a frame: 240 ms
 LACED = 8
 CLUSTER_BLOCKS = 16
+LARGEST = 1 << 63
 
 
 @dataclass(frozen=True)
@@ -171,6 +174,12 @@ def _block(buf: bytes, at: int, end: int) -> tuple[int, int, bool, list[tuple[in
     return track, relative, bool(flags & 0x80), frames
 
 
+def _real(raw: bytes) -> float:
+    if len(raw) not in (0, 4, 8):
+        raise ValueError("a real number has 0, 4 or 8 bytes")
+    return float(np.frombuffer(raw, f">f{len(raw)}")[0]) if raw else 0.0
+
+
 def packets(buf: bytes, frame_ms: float | None = None) -> tuple[list[Packet], dict]:
     """All frames in file order and what the header says (scale, duration, rate, cues).
 
@@ -190,13 +199,15 @@ def packets(buf: bytes, frame_ms: float | None = None) -> tuple[list[Packet], di
                     if k == SCALE:
                         meta["scale"] = int.from_bytes(buf[x:y], "big")
                     elif k == DURATION:
-                        meta["duration"] = float(np.frombuffer(buf[x:y], ">f8" if y - x == 8 else ">f4")[0])
+                        meta["duration"] = _real(buf[x:y])
             elif kind == TRACKS:
                 for k, x, y in elements(buf, a, b):
                     for k2, x2, y2 in elements(buf, x, y) if k == ENTRY else ():
                         for k3, x3, y3 in elements(buf, x2, y2) if k2 == AUDIO else ():
                             if k3 == RATE:
-                                meta["rate"] = float(np.frombuffer(buf[x3:y3], ">f8" if y3 - x3 == 8 else ">f4")[0])
+                                meta["rate"] = _real(buf[x3:y3])
+                                if not 0 < meta["rate"] < 1e12:
+                                    raise ValueError("no usable sampling rate")
             elif kind == CUES:
                 for k, x, y in elements(buf, a, b):
                     point = {}
@@ -219,7 +230,10 @@ def packets(buf: bytes, frame_ms: float | None = None) -> tuple[list[Packet], di
                         track, relative, key, frames = _block(buf, p, q)
                         done = 0
                         for at, n in frames:
-                            out.append(Packet(track, (base + relative) * meta["scale"] // 1_000_000 + int(done * 1000 // meta["rate"]), at, n, key, index))
+                            time = (base + relative) * meta["scale"] // 1_000_000 + int(done * 1000 // meta["rate"])
+                            if not (-LARGEST <= time < LARGEST and 0 <= track < LARGEST):
+                                raise ValueError("a time or track beyond 64 bits")
+                            out.append(Packet(track, time, at, n, key, index))
                             done += n
     return out, meta
 
@@ -247,7 +261,7 @@ def packet_table(media: DataFrame, column: str = "media") -> DataFrame:
                     continue
                 try:
                     rows += [(key, True, p.track, p.timestamp_ms, p.offset, p.size, p.keyframe, p.cluster) for p in packets(buf)[0]]
-                except (ValueError, IndexError):
+                except (ValueError, IndexError):  # what the parser raises on bytes that break the format
                     rows.append((key, False, *[None] * 6))
             cols = list(zip(*rows)) if rows else [[]] * 8
             kinds = [pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.int64()]
