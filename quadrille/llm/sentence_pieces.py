@@ -32,6 +32,43 @@ CACHE_PAIRS = 1_500_000
 BATCH_CHARS = 150_000  # of new chunks that are matched at once
 
 
+def _fields(raw: bytes) -> dict[int, object]:
+    """The last value of each field of a protocol buffer message."""
+    out, at = {}, 0
+
+    def number() -> int:
+        nonlocal at
+        n = shift = 0
+        while True:
+            byte, at = raw[at], at + 1
+            n |= (byte & 127) << shift
+            shift += 7
+            if byte < 128:
+                return n
+
+    while at < len(raw):
+        tag = number()
+        if tag & 7 == 0:
+            out[tag >> 3] = number()
+            continue
+        size = {1: 8, 5: 4}.get(tag & 7) or number()
+        out[tag >> 3] = raw[at : at + size]
+        at += size
+    return out
+
+
+def check_model(raw: bytes) -> None:
+    """Raise ValueError unless the file is a merge model with byte pieces that leaves texts as they are but for a space in front."""
+    model = _fields(raw)
+    trainer, normaliser = _fields(model.get(2, b"")), _fields(model.get(3, b""))
+    # fields of the published model format; absent ones have its defaults
+    found = {
+        "merge model": trainer.get(3, 1) == 2, "byte fallback": trainer.get(35, 0) == 1, "space before the piece": trainer.get(24, 0) == 0,
+        "no character map": not normaliser.get(2, b""), "space put in front": normaliser.get(3, 1) == 1, "spaces kept": normaliser.get(4, 1) == 0, "spaces escaped": normaliser.get(5, 1) == 1}
+    if missing := [k for k, ok in found.items() if not ok]:
+        raise ValueError(f"not a model that this operator encodes: {', '.join(missing)}")
+
+
 class Pieces:
     """The pieces of a merge model and what follows from them."""
 
@@ -69,9 +106,11 @@ class Pieces:
 
     @classmethod
     def load(cls, path: str) -> "Pieces":
-        """Reads the vocabulary file; the library does no more than parse it."""
+        """Reads the vocabulary file; the library does no more than parse it.  Other kinds of models raise ValueError."""
         import sentencepiece
 
+        with open(path, "rb") as f:
+            check_model(f.read())
         m = sentencepiece.SentencePieceProcessor(model_file=path)
         n = m.get_piece_size()
         names = [m.id_to_piece(i) for i in range(n)]
