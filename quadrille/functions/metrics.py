@@ -38,7 +38,10 @@ def skill(mae: Column, naive: Column) -> Column:
     return 1 - mae / F.nullif(naive, F.lit(0))
 
 
-def verdicts(steps: DataFrame, order: str = "step", score: str = "mae", margin: float = 0.05) -> DataFrame:
-    """The gain of each step over the one before, and what it says of the added family."""
-    gain = F.lag(score).over(W.orderBy(order)) - F.col(score)
-    return steps.withColumn("gain", F.round(gain, 6)).withColumn("verdict", F.when(gain.isNull(), "BASE").when(gain > margin, "HELPS").when(gain <= -margin, "HURTS").otherwise("NEUTRAL"))
+def verdicts(steps: DataFrame, margin: float = 0.05) -> DataFrame:
+    """Of steps(step, target, mae): the gain of each step over the one before in per cent, per target and as a mean, and what it says of the added family."""
+    before = F.lag("mae").over(W.partitionBy("target").orderBy("step"))
+    gains = steps.withColumn("gain_pct", 100 * (before - F.col("mae")) / before)
+    mean = F.avg("gain_pct").over(W.partitionBy("step"))
+    word = F.when(mean.isNull(), F.lit(None).cast("string")).when(mean > margin, "HELPS").when(mean > -margin, "no effect").otherwise("HURTS")
+    return gains.select("step", "target", F.round("mae", 6).alias("mae"), F.round("gain_pct", 3).alias("gain_pct"), F.round(mean, 3).alias("mean_gain_pct"), word.alias("verdict"))

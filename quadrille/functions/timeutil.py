@@ -44,13 +44,27 @@ def interval_bins(start: Column, end: Column, minutes: int = 15, cap_hours: int
     return F.sequence(bin_start(start, minutes), capped, F.expr(f"interval {minutes} minutes"))
 
 
+MORNING, EVENING = (7, 10), (16, 19)  # rush hours, the last not included
+
+
+def is_rush(c: Column, hours: tuple[int, int]) -> Column:
+    return (F.hour(c) >= hours[0]) & (F.hour(c) < hours[1])
+
+
 def calendar(c: Column) -> dict[str, Column]:
-    """Hour, minute, ISO weekday (Monday 1), day, ISO week, month, weekend, rush hours."""
-    hour, dow = F.hour(c), F.extract(F.lit("dayofweek_iso"), c)
+    """Hour, minute, ISO weekday (Monday 1), day, ISO week, month, weekend, rush hours (of every day) of a local time."""
+    dow = F.extract(F.lit("dayofweek_iso"), c)
+    return {
+        "hour": F.hour(c).cast("long"), "minute": F.minute(c).cast("long"), "day_of_week": dow.cast("long"), "day_of_month": F.dayofmonth(c).cast("long"),
+        "week_of_year": F.weekofyear(c).cast("long"), "month_of_year": F.month(c).cast("long"), "is_weekend": dow >= 6, "is_morning_rush": is_rush(c, MORNING), "is_evening_rush": is_rush(c, EVENING)}
+
+
+def target_calendar(local: Column, horizon: int) -> dict[str, Column]:
+    """Time of day, weekday, hour and rush of the target of a horizon, from its local time."""
+    turn = 2 * 3.141592653589793 * (F.hour(local) * 60 + F.minute(local)) / 1440
     return {
-        "hour": hour.cast("long"), "minute": F.minute(c).cast("long"), "iso_dow": dow.cast("long"), "day": F.dayofmonth(c).cast("long"),
-        "iso_week": F.weekofyear(c).cast("long"), "month": F.month(c).cast("long"), "is_weekend": dow >= 6,
-        "is_morning_rush": (dow < 6) & hour.between(7, 9), "is_evening_rush": (dow < 6) & hour.between(16, 18)}
+        f"target_tod_sin_h{horizon}": F.sin(turn), f"target_tod_cos_h{horizon}": F.cos(turn), f"target_weekday_h{horizon}": F.extract(F.lit("dayofweek_iso"), local).cast("long"),
+        f"target_hour_h{horizon}": F.hour(local).cast("long"), f"target_is_rush_h{horizon}": is_rush(local, MORNING) | is_rush(local, EVENING)}
 
 
 def cyclical(c: Column) -> dict[str, Column]:

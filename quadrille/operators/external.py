@@ -9,14 +9,16 @@ from pyspark.sql import Window as W
 from quadrille.functions import timeutil
 
 
-def event_bins(events: DataFrame, minutes: int = 15, cap_hours: int = 24) -> DataFrame:
-    """Per (region_id, ts) over the bins of events(region_id, event_type, event_start, event_end, is_home): counts of home and ring events, types, fresh and ending ones."""
-    spread = events.withColumn("ts", F.explode(timeutil.interval_bins(F.col("event_start"), F.col("event_end"), minutes, cap_hours)))
-    hour = F.expr("interval 1 hour")
+def event_bins(events: DataFrame, minutes: int = 15, cap_hours: int = 24, fresh_minutes: int = 60) -> DataFrame:
+    """Per (region_id, ts) over the bins of events(region_id, event_type, event_start, event_end, is_home), which last `cap_hours` at most.
+
+    Home and ring events are counted apart; types, and events that began or end within `fresh_minutes`, over both."""
+    last = F.least("event_end", F.col("event_start") + F.expr(f"interval {cap_hours} hours"))
+    spread = events.withColumn("event_end", last).withColumn("ts", F.explode(timeutil.interval_bins(F.col("event_start"), F.col("event_end"), minutes, cap_hours)))
+    near = F.expr(f"interval {fresh_minutes} minutes")
     return spread.groupBy("region_id", "ts").agg(
-        F.count_if("is_home").alias("event_count"), F.count_if(~F.col("is_home")).alias("event_count_ring"), F.countDistinct("event_type").alias("event_types"),
-        F.count_if(F.col("is_home") & (F.col("ts") < F.col("event_start") + hour)).alias("event_started_recently"),
-        F.count_if(F.col("is_home") & (F.col("ts") >= F.col("event_end") - hour)).alias("event_ending_soon"))
+        F.count_if("is_home").alias("event_count"), F.count_if(~F.col("is_home")).alias("event_count_ring"), F.countDistinct("event_type").alias("event_attendee_types"),
+        F.count_if(F.col("ts") < F.col("event_start") + near).alias("event_started_recently"), F.count_if(F.col("ts") >= F.col("event_end") - near).alias("event_ending_soon"))
 
 
 def link_means(readings: DataFrame) -> DataFrame:

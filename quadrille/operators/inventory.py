@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import functools
+
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
@@ -26,7 +29,7 @@ def nearest_quantile(column: str, q: float) -> Column:
 def capacity(flow: DataFrame, q: float = 0.95, least: int = 8, days: int = 30, deciles: int = 10) -> DataFrame:
     """Per station: the q-quantile of the daily range, rounded up, at least `least`.
 
-    Stations observed on fewer than `days` days take the median capacity of their decile by trips instead."""
+    Stations observed on fewer than `days` days take the median capacity (whole docks) of the well observed ones in their decile by trips instead."""
     raw = flow.groupBy("station_id").agg(nearest_quantile("flow_range", q).alias("raw"), F.count("*").alias("observed_days"), F.sum("day_trips").alias("total_trips"))
     own = raw.withColumn("own", F.greatest(F.ceil("raw"), F.lit(least)).cast("long"))
     edges = own.agg(F.percentile("total_trips", [i / deciles for i in range(1, deciles)]).alias("edges"))
@@ -35,21 +38,22 @@ def capacity(flow: DataFrame, q: float = 0.95, least: int = 8, days: int = 30, d
     few = F.col("observed_days") < days
     out = placed.join(F.broadcast(middle), "decile", "left")
     return out.select(
-        "station_id", "observed_days", "total_trips", "decile", F.when(few & F.col("middle").isNotNull(), F.ceil("middle").cast("long")).otherwise(F.col("own")).alias("capacity"),
-        F.when(few & F.col("middle").isNotNull(), "decile_median").otherwise("observed").alias("capacity_source"))
+        "station_id", "observed_days", "total_trips", "decile", F.when(few & F.col("middle").isNotNull(), F.floor("middle").cast("long")).otherwise(F.col("own")).alias("capacity"),
+        F.when(few, "volume_decile_median").otherwise("flow_q95").alias("capacity_source"))
 
 
 def start_inventory(low: Column, high: Column, cap: Column) -> tuple[Column, Column]:
-    """The start that keeps start + [low, high] in [0, cap], or with least overshoot, and that overshoot.
-
-    Candidates in order: -low, cap - high, half of cap; the first of equally good ones (to 1e-3) wins."""
-    clip = lambda c: F.least(F.greatest(c, F.lit(0)), cap)
-    cost = lambda s: F.greatest(F.lit(0), -(s + low)) + F.greatest(F.lit(0), s + high - cap)
-    half = F.floor(cap / 2).cast("long")
-    options = [clip(-low), clip(cap - high), clip(F.least(F.greatest(half, -low), cap - high))]
-    ranked = F.array(*(F.struct(F.round(cost(s) * 1000).alias("c"), F.abs(s - half).alias("d"), F.lit(i).alias("i"), s.cast("long").alias("s")) for i, s in enumerate(options)))
-    best = F.array_min(ranked)
-    return best["s"], cost(best["s"]).cast("long")
+    """The start nearest to half of cap that keeps start + [low, high] in [0, cap], and 0; on days where none does, the
+    best of three candidates (-low, cap - high, half of cap) by overshoot and a thousandth of the distance to half, and its overshoot."""
+    low, high, cap = (c.cast("double") for c in (low, high, cap))
+    clip = lambda c, a, b: F.least(F.greatest(c, a), b)
+    none, half = F.lit(0.0), cap / 2
+    floor, roof = F.greatest(none, -low), F.least(cap, cap - high)
+    miss = lambda s: F.greatest(none, -(s + low)) + F.greatest(none, s + high - cap)
+    options = [floor, roof, clip(half, none, cap)]
+    best = F.array_min(F.array(*(F.struct((miss(s) + F.abs(s - half) * 1e-3).alias("cost"), F.lit(i).alias("i"), s.alias("s"), miss(s).alias("miss")) for i, s in enumerate(options))))
+    fits = floor <= roof
+    return F.when(fits, clip(half, floor, roof)).otherwise(clip(best["s"], none, cap)), F.when(fits, none).otherwise(best["miss"])
 
 
 def projected(inventory: Column, pickups: Column, dropoffs: Column, cap: Column) -> Column:
@@ -57,29 +61,41 @@ def projected(inventory: Column, pickups: Column, dropoffs: Column, cap: Column)
 
 
 def shortage_surplus(level: Column, cap: Column, safety: float, target: float) -> tuple[Column, Column]:
-    """Below safety * cap, what is lacking to target * cap; above 1 - safety of cap, what exceeds it."""
-    return F.when(level < cap * safety, cap * target - level).otherwise(0.0), F.when(level > cap * (1 - safety), level - cap * target).otherwise(0.0)
+    """Bikes that are lacking to safety * cap, and bikes above target * cap."""
+    return F.greatest(cap * safety - level, F.lit(0.0)), F.greatest(level - cap * target, F.lit(0.0))
 
 
-def verdict(pickups: Column, dropoffs: Column, cap: Column) -> Column:
-    """Where a station is heading, by net inflow over capacity; below one expected trip it is quiet."""
-    p = (dropoffs - pickups) / F.nullif(cap, F.lit(0))
-    return F.when(pickups + dropoffs < 1, "quiet").when(p < -0.25, "emptying fast").when(p < -0.05, "emptying").when(p <= 0.05, "balanced").when(p <= 0.25, "filling").otherwise("filling fast")
+QUIET = 1.0  # expected trips below which nothing is said about a place
 
 
-def pressure_penalty_km(pickups: Column, dropoffs: Column, metres: float = 550.0) -> Column:
-    """Extra distance for a station that drains; half of the most for one without any traffic."""
+def pressure(pickups: Column, dropoffs: Column) -> Column:
+    """Net inflow over all trips, -1 (only departures) to 1 (only arrivals); null below `QUIET` trips."""
     total = pickups + dropoffs
-    pressure = (dropoffs - pickups) / F.nullif(total, F.lit(0))
-    return F.when(total <= 0, metres / 2000).otherwise(metres / 1000 * F.least(F.greatest(-pressure, F.lit(0.0)), F.lit(1.0)))
+    return F.when(total >= QUIET, (dropoffs - pickups) / total)
+
+
+def verdict(pickups: Column, dropoffs: Column) -> Column:
+    """Where a place is heading, by pressure."""
+    p = pressure(pickups, dropoffs)
+    return F.when(p.isNull(), "quiet").when(p <= -0.25, "draining").when(p <= -0.05, "tightening").when(p < 0.05, "balanced").when(p < 0.25, "filling").otherwise("crowded")
+
+
+def pressure_penalty_km(pickups: Column, dropoffs: Column, metres: float = 550.0) -> Column:
+    """Extra distance for a station that drains; half of the most for one that is quiet."""
+    p = pressure(pickups, dropoffs)
+    return F.when(p.isNull(), F.lit(0.5)).otherwise(F.least(F.greatest(-p, F.lit(0.0)), F.lit(1.0))) * (metres / 1000)
 
 
 def shares(stations: DataFrame, least: int = 2000) -> DataFrame:
-    """Each station's share of its region's pickups; equal shares where a region has none; whether the region's volume supports it."""
+    """Each station's shares of its region's pickups and of its dropoffs, equal shares where a region has none, and how far they may be trusted."""
     w = W.partitionBy("region_id")
-    total = F.sum("pickups").over(w).cast("double")
-    share = F.when(total > 0, F.col("pickups") / total).otherwise(1 / F.count("*").over(w))
-    return stations.withColumn("share", share).withColumn("confident", F.sum(F.col("pickups") + F.col("dropoffs")).over(w) >= least)
+
+    def share(c):
+        total = F.sum(c).over(w).cast("double")
+        return F.when(total > 0, F.col(c) / total).otherwise(1 / F.count("*").over(w))
+
+    trips = F.col("pickups") + F.col("dropoffs")
+    return stations.withColumns({"pickup_share": share("pickups"), "dropoff_share": share("dropoffs"), "lifetime_trips": trips, "share_confidence": F.when(trips >= least, "high").otherwise("low")})
 
 
 def simulate(steps: DataFrame, start: DataFrame) -> DataFrame:
@@ -103,70 +119,128 @@ def simulate(steps: DataFrame, start: DataFrame) -> DataFrame:
     return r.select("region_id", "capacity", F.col("r.inv").alias("end_inventory"), *(F.col(f"r.{n}").alias(n) for n in ("served", "unserved", "overflow", "empty", "full")), F.round(F.col("r.served") / F.nullif(F.col("r.served") + F.col("r.unserved"), F.lit(0)), 6).alias("service_level"))
 
 
-def plan_moves(shortage: dict, surplus: dict, distance, inventory: dict, cap: dict, most: int, radius_km: float) -> list[tuple]:
-    """One round of moves: the largest shortage takes from the nearest surplus in reach, until either is used up.
+MOVES, RADIUS_KM = 150, 3.0  # of one round
+
+
+def plan_moves(shortage: np.ndarray, surplus: np.ndarray, stock: np.ndarray, cap: np.ndarray, km_from, most: int = MOVES, radius_km: float = RADIUS_KM) -> list[tuple[int, int, int, float]]:
+    """One round of moves (source, destination, bikes, km) between places by number; km_from(i) gives the distances from i to all.
 
-    Amounts are whole bikes; needs or offers below 0.5 are done; a source never gives more than it holds and a destination never takes more than fits."""
-    need, give, stock = dict(shortage), dict(surplus), dict(inventory)
-    barred: set = set()
-    out: list[tuple] = []
-    while len(out) < most:
-        open_ = [r for r, n in need.items() if n >= 0.5 and r not in barred]
-        if not open_:
+    The largest shortage takes whole bikes from the nearest surplus in reach.  Half a bike or less is no shortage and no
+    surplus.  A move is held by the shortage, the surplus, what the source holds and what fits the destination;
+    a source that can give nothing is left out from then on, and so is a destination without a source in reach.
+    Each of these steps counts towards `most`; ties go to the lesser number."""
+    need, spare, stock = shortage.astype(float), surplus.astype(float), stock.astype(float)
+    out = []
+    for _ in range(most):
+        to = int(need.argmax()) if len(need) else 0
+        givers = np.flatnonzero(spare > 0.5)
+        if not len(givers) or need[to] <= 0.5:
             break
-        to = min(open_, key=lambda r: (-need[r], r))
-        near = sorted((distance(s, to), s) for s, n in give.items() if n >= 0.5 and s != to)
-        source = next((s for km, s in near if km <= radius_km), None)
-        if source is None:
-            barred.add(to)
+        km = km_from(to)[givers]
+        if not (km <= radius_km).any():
+            need[to] = 0.0
             continue
-        n = int(min(need[to], give[source], stock[source], cap[to] - stock[to]))
+        source = int(givers[np.where(km <= radius_km, km, np.inf).argmin()])
+        n = int(min(need[to], spare[source], stock[source], cap[to] - stock[to]))
         if n < 1:
-            (barred.add(to) if cap[to] - stock[to] < 1 or need[to] < 1 else give.pop(source))
+            spare[source] = 0.0
             continue
-        out.append((source, to, n, distance(source, to)))
+        out.append((source, to, n, float(km_from(to)[source])))
+        stock[[source, to]] += (-n, n)
+        spare[source] -= n
         need[to] -= n
-        give[source] -= n
-        stock[to] += n
-        stock[source] -= n
     return out
 
 
-def strategies(steps: DataFrame, scenarios: DataFrame, every: int = 4, most: int = 20, radius_km: float = 5.0, target: float = 0.5) -> DataFrame:
-    """Replay with rebalancing, one independent task per scenario.
-
-    steps: scenario, region_id, ts, pickups, dropoffs, predicted_out, predicted_in, inventory, capacity, lat, lng, safety.
-    Every `every` steps the forecast levels decide moves, which take effect at once; levels advance on every step."""
-    import math
-
-    def run(pdf):
+def distances(lat: np.ndarray, lng: np.ndarray):
+    """km_from(i) for `plan_moves`: a row at a time, kept once computed."""
+    a, b = np.radians(lat), np.radians(lng)
+
+    @functools.cache
+    def km_from(i: int) -> np.ndarray:
+        h = np.sin((a - a[i]) / 2) ** 2 + np.cos(a[i]) * np.cos(a) * np.sin((b - b[i]) / 2) ** 2
+        return 2 * 6371.0088 * np.arcsin(np.sqrt(np.minimum(h, 1.0)))
+
+    return km_from
+
+
+class _Replay:
+    """The running state of one scenario."""
+
+    def __init__(self, key: str, safety: float, rows):
+        self.key, self.safety = key, safety
+        self.place = {r: i for i, r in enumerate(rows["region_id"])}
+        self.stock, self.cap = rows["inventory"].to_numpy(dtype=float), rows["capacity"].to_numpy(dtype=float)
+        self.km = distances(rows["lat"].to_numpy(), rows["lng"].to_numpy())
+        self.step = 0
+        self.totals = dict.fromkeys(("served", "unserved", "overflow", "empty", "full", "bikes_moved", "moves"), 0)
+        self.far = 0.0
+
+    def advance(self, rows, every: int, target: float) -> None:
+        """One bin: on every `every`-th the forecast decides moves, which take effect at once; then demand and returns."""
+        at = rows["region_id"].map(self.place).to_numpy()
+        col = lambda c: np.bincount(at, weights=rows[c].to_numpy(dtype=float), minlength=len(self.cap))
+        t = self.totals
+        if self.step % every == 0 and self.safety is not None:
+            level = np.clip(self.stock + col("predicted_in") - col("predicted_out"), 0, self.cap)
+            for source, to, n, km in plan_moves(np.maximum(self.safety * self.cap - level, 0), np.maximum(level - target * self.cap, 0), self.stock, self.cap, self.km):
+                self.stock[[source, to]] += (-n, n)
+                t["bikes_moved"], t["moves"], self.far = t["bikes_moved"] + n, t["moves"] + 1, self.far + round(km, 3)
+        wanted, back = col("pickups"), col("dropoffs")
+        out = np.minimum(wanted, self.stock)
+        into = np.minimum(back, self.cap - self.stock + out)
+        self.stock += into - out
+        for name, n in (("served", out.sum()), ("unserved", (wanted - out).sum()), ("overflow", (back - into).sum()), ("empty", (self.stock <= 0).sum()), ("full", (self.stock >= self.cap).sum())):
+            t[name] += int(n)
+        self.step += 1
+
+    def summary(self) -> tuple:
+        t = self.totals
+        demand = t["served"] + t["unserved"]
+        return (self.key, self.safety, *t.values(), round(self.far, 1), t["served"] / demand if demand else None)
+
+
+def strategies(steps: DataFrame, scenarios: list[tuple[str, str | None, float | None]], every: int = 4, target: float = 0.5) -> DataFrame:
+    """Replay with rebalancing for each scenario (name, forecast, safety share): what is served, and what the moves gain over none.
+
+    steps: region_id, ts, pickups, dropoffs, inventory, capacity, lat, lng and, per forecast, {forecast}_out and {forecast}_in.
+    A scenario is a task; its bins stream by in time order, so that a task holds one bin and one number per region."""
+    made = F.explode(F.array(*(F.struct(
+        F.lit(name).alias("scenario"), F.lit(safety).cast("double").alias("safety"),
+        *((F.col(f"{forecast}_{side}") if forecast else F.lit(0)).cast("double").alias(f"predicted_{side}") for side in ("out", "in"))) for name, forecast, safety in scenarios)))
+    names = ["region_id", "ts", "pickups", "dropoffs", "inventory", "capacity", "lat", "lng"]
+    rows = steps.select(*names, made.alias("s")).select(*names, "s.*")
+
+    def run(frames):
         import pandas as pd
 
-        key, safety = pdf["scenario"].iloc[0], float(pdf["safety"].iloc[0])
-        first = pdf.drop_duplicates("region_id").set_index("region_id").sort_index()
-        inv, cap = {r: int(v) for r, v in first["inventory"].items()}, {r: int(v) for r, v in first["capacity"].items()}
-        spot = {r: (math.radians(a), math.radians(b)) for r, a, b in zip(first.index, first["lat"], first["lng"])}
-
-        def km(a, b):
-            (p, q), (x, y) = spot[a], spot[b]
-            return 2 * 6371.0088 * math.asin(math.sqrt(min(1.0, math.sin((x - p) / 2) ** 2 + math.cos(p) * math.cos(x) * math.sin((y - q) / 2) ** 2)))
-
-        served = unserved = overflow = moved = trips = 0
-        for i, (_, rows) in enumerate(pdf.sort_values(["ts", "region_id"]).groupby("ts")):
-            if i % every == 0 and safety > 0:
-                level = {r: min(max(inv[r] + b - a, 0), cap[r]) for r, a, b in zip(rows["region_id"], rows["predicted_out"], rows["predicted_in"])}
-                lack = {r: cap[r] * target - v for r, v in level.items() if v < cap[r] * safety}
-                over = {r: v - cap[r] * target for r, v in level.items() if v > cap[r] * (1 - safety)}
-                for s, t, n, _km in plan_moves(lack, over, km, inv, cap, most, radius_km):
-                    inv[s] -= n
-                    inv[t] += n
-                    moved, trips = moved + n, trips + 1
-            for r, a, b in zip(rows["region_id"], rows["pickups"], rows["dropoffs"]):
-                out = min(int(a), inv[r])
-                into = min(int(b), cap[r] - inv[r] + out)
-                served, unserved, overflow = served + out, unserved + int(a) - out, overflow + int(b) - into
-                inv[r] += into - out
-        return pd.DataFrame([(key, safety, served, unserved, overflow, moved, trips, round(served / (served + unserved), 6) if served + unserved else None)], columns=["scenario", "safety", "served", "unserved", "overflow", "bikes_moved", "moves", "service_level"])
+        state, rest, done = None, None, []
+        for pdf in frames:
+            pdf = pdf if rest is None else pd.concat([rest, pdf], ignore_index=True)
+            change = (pdf["scenario"] != pdf["scenario"].shift()) | (pdf["ts"] != pdf["ts"].shift())
+            starts = np.flatnonzero(change.to_numpy())
+            for a, b in zip(starts, starts[1:]):
+                state = follow(state, pdf.iloc[a:b], done)
+            rest = pdf.iloc[starts[-1] :] if len(starts) else None
+        if rest is not None:
+            state = follow(state, rest, done)
+            done.append(state.summary())
+        yield pd.DataFrame(done, columns=[c.split()[0] for c in TOTALS.split(", ")])
+
+    def follow(state, step, done):
+        if state is None or state.key != step["scenario"].iloc[0]:
+            if state is not None:
+                done.append(state.summary())
+            safety = step["safety"].iloc[0]
+            state = _Replay(step["scenario"].iloc[0], None if safety != safety or safety is None else float(safety), step)
+        state.advance(step, every, target)
+        return state
 
     ship(steps.sparkSession)
-    return steps.join(F.broadcast(scenarios), how="cross").groupBy("scenario").applyInPandas(run, "scenario string, safety double, served long, unserved long, overflow long, bikes_moved long, moves long, service_level double")
+    out = rows.repartition("scenario").sortWithinPartitions("scenario", "ts", "region_id").mapInPandas(run, TOTALS)
+    none = F.max(F.when(F.col("safety").isNull(), F.struct("service_level", "unserved"))).over(W.partitionBy(F.lit(1)))  # a row per scenario
+    return out.withColumn("_none", none).select(
+        "*", F.round(F.col("service_level") - F.col("_none.service_level"), 6).alias("service_level_gain"), (F.col("_none.unserved") - F.col("unserved")).alias("unserved_avoided")).drop("_none").withColumn("service_level", F.round("service_level", 6))
+
+
+TOTALS = "scenario string, safety double, served long, unserved long, overflow long, empty long, full long, bikes_moved long, moves long, distance_km double, service_level double"

@@ -81,9 +81,9 @@ def seasonal_slots(name: str, seasons=(96, 672), horizons=HORIZONS) -> dict[str,
     return {f"{name}_season{s}_h{h}": F.lag(name, s - h).over(by_region()) for s in seasons for h in horizons}
 
 
-def expanding_slot_mean(name: str, ts: str = "ts", minutes: int = 15, least: int = 3) -> Column:
-    """Mean of strictly earlier values in the region's same weekday and slot; null until `least` of them."""
-    w = W.partitionBy("region_id", F.extract(F.lit("dayofweek_iso"), F.col(ts)), timeutil.slot_of_day(F.col(ts), minutes)).orderBy(ts).rowsBetween(W.unboundedPreceding, -1)
+def expanding_slot_mean(name: str, local: Column, minutes: int = 15, least: int = 3) -> Column:
+    """Mean of strictly earlier values in the region's same weekday and slot of the local clock; null until `least` of them."""
+    w = W.partitionBy("region_id", F.extract(F.lit("dayofweek_iso"), local), timeutil.slot_of_day(local, minutes)).orderBy("ts").rowsBetween(W.unboundedPreceding, -1)
     return F.when(F.count(name).over(w) >= least, F.avg(name).over(w))
 
 
@@ -123,29 +123,3 @@ def trend(a: str = "pickups", b: str = "dropoffs") -> dict[str, Column]:
     out["net_sum24"] = F.sum(net).over(frame(24))
     out["flow_ratio"] = (F.sum(b).over(frame(4)) + 1) / (F.sum(a).over(frame(4)) + 1)
     return out
-
-
-def family_columns() -> dict[str, list[str]]:
-    """Feature families by letter; cumulative sets are unions in this order."""
-    both = ("pickups", "dropoffs")
-    return {
-        "A": [*both, *(f"{n}_lag{k}" for n in both for k in LAGS)],
-        "B": [*timeutil_calendar_names(), *(f"{n}_season{s}_h{h}" for n in both for s in (96, 672) for h in HORIZONS)],
-        "C": [f"{n}_{f}{w}" for n in both for f in ("mean", "std", "sum") for w in (4, 12, 24, 96, 672)],
-        "D": ["temperature", "is_rain", "is_snow", "is_freezing", "is_windy"],
-        "E": ["neighbor_sum", "neighbor_mean", "neighbor_max"],
-        "F": ["event_count", "event_started_recently", "event_ending_soon"],
-        "G": ["traffic_speed_mean", "traffic_speed_min", "congestion_index"],
-        "H": ["active_station_count", "station_density_km2"]}
-
-
-def timeutil_calendar_names() -> list[str]:
-    return ["hour", "minute", "iso_dow", "day", "iso_week", "month", "is_weekend", "is_holiday", "is_business_day", "is_morning_rush", "is_evening_rush"]
-
-
-def cumulative_sets() -> dict[str, list[str]]:
-    out, so_far = {}, []
-    for k, cols in family_columns().items():
-        so_far = so_far + cols
-        out["A" if k == "A" else f"A..{k}"] = list(so_far)
-    return out

@@ -9,6 +9,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from quadrille.storage import discard, materialise
+
 DETOUR, WALK_M_PER_MIN, DIRECT_KM, TOO_FAR_KM = 1.30, 80.0, 0.75, 2.0
 
 
@@ -24,14 +26,22 @@ def street_edges(ways: DataFrame, nodes: DataFrame) -> DataFrame:
     return j.select("u", "v", haversine_km("a", "b", "c", "d").alias("km"))
 
 
-def shortest_paths(edges: DataFrame, source: str, max_hops: int) -> DataFrame:
-    """(node, km): least distance from `source` over at most max_hops edges(u, v, km), by relaxing all nodes a hop at a time."""
-    both = edges.select("u", "v", "km").union(edges.select("v", "u", "km")).groupBy("u", "v").agg(F.min("km").alias("km"))
-    best = edges.sparkSession.createDataFrame([(source, 0.0)], "node string, dist double")
-    for _ in range(max_hops):
-        step = best.join(both, F.col("node") == F.col("u")).select(F.col("v").alias("node"), (F.col("dist") + F.col("km")).alias("dist"))
-        best = best.union(step).groupBy("node").agg(F.min("dist").alias("dist"))
-    return best.select("node", F.col("dist").alias("km"))
+def shortest_paths(edges: DataFrame, source: str) -> DataFrame:
+    """(node, km): least distance from `source` over edges(u, v, km) in any number of hops, to every node that it reaches.
+
+    Each round relaxes only the nodes that came nearer in the last one, and is a table of its own, so that plans don't
+    grow; it ends when no distance changes."""
+    spark = edges.sparkSession
+    both = materialise(edges.select("u", "v", "km").union(edges.select("v", "u", "km")).groupBy("u", "v").agg(F.min("km").alias("km")), "edges")
+    best = materialise(spark.createDataFrame([(source, 0.0, True)], "node string, km double, moved boolean"), "paths")
+    while best.filter("moved").limit(1).count():
+        step = best.filter("moved").withColumnRenamed("km", "_from").join(both, F.col("node") == F.col("u")).select(F.col("v").alias("node"), (F.col("_from") + F.col("km")).alias("_new"))
+        near = step.groupBy("node").agg(F.min("_new").alias("_new"))
+        closer = F.col("_new").isNotNull() & (F.col("km").isNull() | (F.col("_new") < F.col("km")))
+        old, best = best, materialise(best.drop("moved").join(near, "node", "full").select("node", F.when(closer, F.col("_new")).otherwise(F.col("km")).alias("km"), closer.alias("moved")), "paths")
+        discard(old)
+    discard(both)
+    return best.select("node", "km")
 
 
 def km_between(a: tuple[float, float], b: tuple[float, float]) -> float:
@@ -74,13 +84,15 @@ class Graph:
         return None
 
 
-def route_scores(candidates: DataFrame) -> DataFrame:
-    """Order stations(station_id, km, pickups, dropoffs) for a walker: detoured walk plus the pressure penalty; the first is the choice."""
+def route_scores(candidates: DataFrame, prefer_available: bool = True) -> DataFrame:
+    """Order stations(station_id, km, pickups, dropoffs) for a walker: the detoured walk and, if wanted, the pressure penalty; the first by score is the choice.
+
+    `direct` says whether the walk is one hop; beyond it the way leads over other stations."""
     from quadrille.operators.inventory import pressure_penalty_km
 
-    walk = F.when(F.col("km") <= DIRECT_KM, F.col("km")).otherwise(F.col("km") * DETOUR)
-    c = candidates.withColumn("walk_km", walk).withColumn("minutes", F.col("walk_km") * 1000 / WALK_M_PER_MIN).withColumn("too_far", F.col("walk_km") > TOO_FAR_KM)
-    return c.withColumn("score", F.col("walk_km") + pressure_penalty_km(F.col("pickups"), F.col("dropoffs")))
+    penalty = pressure_penalty_km(F.col("pickups"), F.col("dropoffs")) if prefer_available else F.lit(0.0)
+    c = candidates.withColumn("walk_km", F.col("km") * DETOUR).withColumn("penalty_km", penalty)
+    return c.withColumns({"minutes": F.col("walk_km") * 1000 / WALK_M_PER_MIN, "too_far": F.col("walk_km") > TOO_FAR_KM, "direct": F.col("km") <= DIRECT_KM, "score": F.col("walk_km") + F.col("penalty_km")})
 
 
 def line_string(points: list[tuple[float, float]]) -> dict:

@@ -42,17 +42,32 @@ def label(df: DataFrame, rules: Rules) -> DataFrame:
     return df.withColumn("drop_reason", reason)
 
 
-def waterfall(labelled: DataFrame, rules: Rules, before: list[tuple[str, int]] = ()) -> DataFrame:
-    """step, name, n, pct: earlier removals, every rule in order (zeros included), the total removed and the kept."""
-    spark = labelled.sparkSession
+def waterfall(labelled: DataFrame, rules: Rules, before: list[str] = ()) -> DataFrame:
+    """step, name, n, pct: what was removed before the rules, every rule in order (zeros included), the total removed and the kept.
+
+    One aggregation of the labelled rows; `before` names reasons that were charged before the rules (`mark_repeats`)."""
     got = labelled.groupBy(F.coalesce("drop_reason", F.lit("KEPT")).alias("name")).agg(F.count("*").alias("n"))
-    pre = spark.createDataFrame(list(before), "name string, n long")
-    names = [n for n, _ in before] + [n for n, _ in rules] + ["KEPT"]
-    steps = spark.createDataFrame([(i, n) for i, n in enumerate(names)], "step long, name string")
-    full = F.broadcast(steps).join(got.unionByName(pre), "name", "left").groupBy("step", "name").agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"))
-    removed = full.filter("name <> 'KEPT'").agg(F.lit(len(names)).cast("long").alias("step"), F.lit("TOTAL REMOVED").alias("name"), F.sum("n").alias("n"))
-    total = full.agg(F.sum("n").alias("total"))
-    return full.unionByName(removed).crossJoin(F.broadcast(total)).select("step", "name", "n", F.round(100 * F.col("n") / F.nullif("total", F.lit(0)), 4).alias("pct"))
+    names = [*before, *(n for n, _ in rules)]
+    counts = F.map_from_entries(F.collect_list(F.struct("name", "n")))  # one entry a reason
+    n = lambda c, name: F.coalesce(F.try_element_at(c, F.lit(name)), F.lit(0)).cast("long")
+    c = F.col("c")
+    removed = F.aggregate(F.array(*(n(c, x) for x in names)), F.lit(0).cast("long"), lambda a, x: a + x)
+    steps = [(i, x, n(c, x)) for i, x in enumerate(names)] + [(len(names), "KEPT", n(c, "KEPT")), (len(names) + 1, "TOTAL REMOVED", F.col("removed"))]
+    rows = got.agg(counts.alias("c")).withColumn("removed", removed).withColumn("total", F.col("removed") + n(c, "KEPT"))
+    rows = rows.select("total", F.inline(F.array(*(F.struct(F.lit(i).cast("long").alias("step"), F.lit(x).alias("name"), v.alias("n")) for i, x, v in steps))))
+    return rows.select("step", "name", "n", F.round(100 * F.col("n") / F.nullif("total", F.lit(0)), 4).alias("pct"))
+
+
+def mark_repeats(df: DataFrame, keys: list[str], order: list[Column], rules: Rules, reason: str) -> DataFrame:
+    """Labels with drop_reason: rows whose key stands before them in `order` are charged to `reason`, the others to the first rule they break.
+
+    Rows with a null key are no repeats."""
+    known = F.lit(True)
+    for k in keys:
+        known = known & F.col(k).isNotNull()
+    w = W.partitionBy(*keys).orderBy(*order)
+    later = df.filter(known).withColumn("_later", F.row_number().over(w) > 1).unionByName(df.filter(~known).withColumn("_later", F.lit(False)))
+    return label(later, [(reason, F.col("_later")), *rules]).drop("_later")
 
 
 def keep_first(df: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
@@ -77,7 +92,14 @@ def with_flags(df: DataFrame) -> DataFrame:
     return df.withColumn("missing_station_id", a.isNull() | b.isNull()).withColumn("is_round_trip", F.coalesce(a == b, F.lit(False)))
 
 
-def sortedness(df: DataFrame, order: list, column: str) -> DataFrame:
-    """Rows and inversions (a value below its predecessor) when read in `order`; partition ends are compared too."""
-    w = W.orderBy(*order)
-    return df.select(column, F.lag(column).over(w).alias("_before")).agg(F.count("*").alias("n_rows"), F.count_if(F.col(column) < F.col("_before")).alias("inversions"))
+def sortedness(df: DataFrame, order: str, column: str, part: Column | None = None) -> DataFrame:
+    """Rows and inversions (a value below its predecessor) when read by the distinct values of `order`.
+
+    Parts (files, or value ranges of `order` by a whole-number expression) are compared inside by themselves, and their
+    ends with each other: the only unpartitioned window is over one row a part."""
+    part = part if part is not None else F.floor(F.col(order) / 65536).cast("long")
+    rows = df.select(F.col(order).alias("_o"), F.col(column).alias("_v"), part.alias("_p"))
+    inner = rows.withColumn("_b", F.lag("_v").over(W.partitionBy("_p").orderBy("_o"))).groupBy("_p").agg(
+        F.count("*").alias("n"), F.count_if(F.col("_v") < F.col("_b")).alias("bad"), F.min_by("_v", "_o").alias("head"), F.max_by("_v", "_o").alias("tail"))
+    ends = inner.withColumn("_b", F.lag("tail").over(W.orderBy("_p")))
+    return ends.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n_rows"), F.coalesce(F.sum(F.col("bad") + (F.coalesce(F.col("head") < F.col("_b"), F.lit(False))).cast("long")), F.lit(0)).alias("inversions"))

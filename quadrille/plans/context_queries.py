@@ -11,26 +11,22 @@ from quadrille.operators import external, spatial
 from quadrille.plans.panel_queries import PANEL, panel
 from quadrille.plans.registry import query, table
 
-SPANS = """spans AS (SELECT event_type AS region_id, props AS kind, ts AS event_start, ts + CAST(floor(value) AS BIGINT) * INTERVAL 10 MINUTE AS event_end, event_id % 3 > 0 AS is_home FROM events WHERE event_id % 4 = 0)"""
+SPANS = """spans AS (SELECT event_type AS region_id, props AS kind, ts AS event_start, ts + CAST(floor(value) AS BIGINT) * INTERVAL 10 MINUTE AS event_end, event_id % 3 > 0 AS is_home FROM events)"""
 
 
-def spans(spark, d, where="event_id % 4 = 0"):
-    e = table(spark, d, "events").filter(where)
+def spans(spark, d):
+    e = table(spark, d, "events")
     return e.select(F.col("event_type").alias("region_id"), F.col("props").alias("event_type"), F.col("ts").alias("event_start"), (F.col("ts") + F.make_dt_interval(mins=(F.floor("value") * 10).cast("int"))).alias("event_end"), (F.col("event_id") % 3 > 0).alias("is_home"))
 
 
-@query(f"""WITH {SPANS}, b AS (SELECT *, unnest(generate_series(time_bucket(INTERVAL 15 MINUTE, event_start), least(event_end, event_start + INTERVAL 24 HOUR), INTERVAL 15 MINUTE)) AS ts FROM spans)
-SELECT region_id, ts, count(*) FILTER (WHERE is_home) AS event_count, count(*) FILTER (WHERE NOT is_home) AS event_count_ring, count(DISTINCT kind) AS event_types,
-count(*) FILTER (WHERE is_home AND ts < event_start + INTERVAL 1 HOUR) AS event_started_recently, count(*) FILTER (WHERE is_home AND ts >= event_end - INTERVAL 1 HOUR) AS event_ending_soon FROM b GROUP BY 1, 2""")
+@query(f"""WITH {SPANS}, k AS (SELECT region_id, kind, is_home, event_start, CASE WHEN event_end > event_start + INTERVAL 24 HOUR THEN event_start + INTERVAL 24 HOUR ELSE event_end END AS event_end FROM spans),
+b AS (SELECT *, unnest(generate_series(time_bucket(INTERVAL 15 MINUTE, event_start), time_bucket(INTERVAL 15 MINUTE, event_end), INTERVAL 15 MINUTE)) AS ts FROM k)
+SELECT region_id, ts, count(*) FILTER (WHERE is_home) AS event_count, count(*) FILTER (WHERE NOT is_home) AS event_count_ring, count(DISTINCT kind) AS event_attendee_types,
+count(*) FILTER (WHERE ts < event_start + INTERVAL 1 HOUR) AS event_started_recently, count(*) FILTER (WHERE ts >= event_end - INTERVAL 1 HOUR) AS event_ending_soon FROM b GROUP BY 1, 2""")
 def event_interval_bins(spark, d):
     return external.event_bins(spans(spark, d))
 
 
-@query()
-def event_interval_bins_whole(spark, d):
-    """The bins of all events."""
-    return external.event_bins(spans(spark, d, "true"))
-
 
 @query("SELECT o_orderkey FROM orders WHERE o_orderdate <= TIMESTAMP '1997-03-31' AND o_orderdate + INTERVAL 30 DAY >= TIMESTAMP '1997-03-01'")
 def interval_overlap(spark, d):
@@ -83,21 +79,16 @@ def adjacency_agg(spark, d):
     return n.join(p, ["region_id", "ts"]).select("region_id", "ts", "neighbor_sum", F.round("neighbor_mean", 6).alias("neighbor_mean"), "neighbor_max", "neighbor_count", F.round(F.col("pickups") - F.col("neighbor_mean"), 6).alias("gradient"))
 
 
-@query("""WITH s AS (SELECT user_id AS station_id, any_value(CAST(user_id % 16 AS VARCHAR)) AS region_id, min(ts) AS first_seen, count(*) AS appearances FROM events WHERE event_id > 300 OR user_id % 3 = 0 GROUP BY 1),
+@query("""WITH s AS (SELECT user_id AS station_id, any_value(CAST(user_id % 16 AS VARCHAR)) AS region_id, min(ts) AS first_seen, count(*) AS appearances FROM events GROUP BY 1),
 g AS (SELECT region_id, month FROM (SELECT DISTINCT region_id FROM s) x, (SELECT unnest(['202312', '202401', '202402']) AS month) y)
 SELECT g.region_id, g.month, count(s.station_id) AS active_station_count, count(s.station_id) / 2.5::DOUBLE AS station_density_km2, CAST(coalesce(sum(s.appearances), 0) AS BIGINT) AS region_hist_trip_volume
 FROM g LEFT JOIN s ON g.region_id = s.region_id AND strftime(s.first_seen, '%Y%m') <= g.month GROUP BY 1, 2""")
-def theta_month_join(spark, d, where="event_id > 300 or user_id % 3 = 0"):
-    s = table(spark, d, "events").filter(where).groupBy(F.col("user_id").alias("station_id"), (F.col("user_id") % 16).cast("string").alias("region_id")).agg(F.min("ts").alias("first_seen"), F.count("*").alias("appearances"))
+def theta_month_join(spark, d):
+    s = table(spark, d, "events").groupBy(F.col("user_id").alias("station_id"), (F.col("user_id") % 16).cast("string").alias("region_id")).agg(F.min("ts").alias("first_seen"), F.count("*").alias("appearances"))
     g = s.select("region_id").distinct().select("region_id", F.explode(F.array(*map(F.lit, ("202312", "202401", "202402")))).alias("month"), F.lit(2.5).alias("area_km2"))
     return external.station_network(g, s)
 
 
-@query()
-def theta_month_join_whole(spark, d):
-    """The stations of all events."""
-    return theta_month_join(spark, d, "true")
-
 
 _WEATHER = """w AS (SELECT CAST(o_orderdate AS DATE) AS day, CAST(round(sum(o_totalprice) * 100) AS BIGINT) // count(*) / 1000000.0::DOUBLE - 10 AS temperature, count(*) FILTER (WHERE o_orderstatus = 'F') / 20.0::DOUBLE AS rain, count(*) FILTER (WHERE o_orderstatus = 'P') / 4.0::DOUBLE AS snow, max(o_totalprice) / 10000 AS wind FROM orders GROUP BY 1)"""
 
@@ -113,34 +104,25 @@ def weather_join(spark, d):
     return x.join(weather(spark, d), "day", "left").select("l_orderkey", "l_linenumber", F.round("temperature", 6).alias("temperature"), *(c.alias(n) for n, c in external.weather_flags().items()))
 
 
-_READ = "SELECT ts, max(value) AS reading FROM events WHERE event_id % 40 = 0 GROUP BY 1"
+# readings arrive seven minutes after they were made, so that no row has its own
+_READ = "SELECT ts + INTERVAL 7 MINUTE AS ts, max(value) AS reading FROM events GROUP BY 1"
 
 
 @query(f"WITH r AS ({_READ}) SELECT e.event_id, e.ts, r.reading FROM events e ASOF LEFT JOIN r ON e.ts >= r.ts")
-def asof_weather(spark, d, where="event_id % 40 = 0"):
+def asof_weather(spark, d):
     e = table(spark, d, "events")
-    r = e.filter(where).groupBy("ts").agg(F.max("value").alias("reading"))
+    r = e.groupBy((F.col("ts") + F.expr("interval 7 minutes")).alias("ts")).agg(F.max("value").alias("reading"))
     return external.as_of_buckets(e.select("event_id", "ts"), r, "ts", "reading")
 
 
-@query()
-def asof_weather_whole(spark, d):
-    """Readings of all events."""
-    return asof_weather(spark, d, "true")
 
-
-@query("WITH r AS (SELECT event_type, ts, max(value) AS reading FROM events WHERE event_id % 40 = 0 GROUP BY 1, 2) SELECT e.event_id, e.event_type, e.ts, r.reading FROM events e ASOF LEFT JOIN r ON e.event_type = r.event_type AND e.ts >= r.ts")
-def asof_by_key(spark, d, where="event_id % 40 = 0"):
+@query("WITH r AS (SELECT event_type, ts + INTERVAL 7 MINUTE AS ts, max(value) AS reading FROM events GROUP BY 1, 2) SELECT e.event_id, e.event_type, e.ts, r.reading FROM events e ASOF LEFT JOIN r ON e.event_type = r.event_type AND e.ts >= r.ts")
+def asof_by_key(spark, d):
     e = table(spark, d, "events")
-    r = e.filter(where).groupBy("event_type", "ts").agg(F.max("value").alias("reading"))
+    r = e.groupBy("event_type", (F.col("ts") + F.expr("interval 7 minutes")).alias("ts")).agg(F.max("value").alias("reading"))
     return external.as_of(e.select("event_id", "event_type", "ts"), r, ["event_type"], "ts", "reading")
 
 
-@query()
-def asof_by_key_whole(spark, d):
-    """Readings of all events."""
-    return asof_by_key(spark, d, "true")
-
 
 @query("""SELECT a.n_nationkey AS left_key, b.n_nationkey AS right_key FROM (SELECT n_nationkey, CASE WHEN n_nationkey % 5 = 0 THEN NULL ELSE n_regionkey END AS k FROM nation) a JOIN (SELECT n_nationkey, CASE WHEN n_nationkey % 3 = 0 THEN NULL ELSE n_regionkey END AS k FROM nation) b ON a.k IS NOT DISTINCT FROM b.k""")
 def null_safe_join(spark, d):

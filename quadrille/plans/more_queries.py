@@ -9,7 +9,7 @@ from quadrille.operators import external, spatial
 from quadrille.operators import panel as P
 from quadrille.plans.context_queries import KM, STATIONS, _WEATHER, sides, stations, weather
 from quadrille.plans.panel_queries import PANEL, panel
-from quadrille.plans.registry import ORACLE_SQL, query, table
+from quadrille.plans.registry import query, table
 
 
 @query("""WITH e AS (SELECT 40.55::DOUBLE + ((user_id * 37) % 450)::DOUBLE / 1000 AS lat, -74.15::DOUBLE + ((user_id * 53) % 450)::DOUBLE / 1000 AS lng FROM events
@@ -49,24 +49,19 @@ def roster_join(spark, d):
     return stations(spark, d).select(F.col("id").alias("station_id")).join(r, "station_id", "left").select("station_id", "roster_name", F.coalesce("_in", F.lit(False)).alias("in_roster_snapshot"))
 
 
-@query(f"""WITH s AS ({STATIONS}), e AS (SELECT event_id, ts AS event_start, ts + INTERVAL 6 HOUR AS event_end, 40.55::DOUBLE + ((event_id * 31) % 450)::DOUBLE / 1000 AS lat, -74.15::DOUBLE + ((event_id * 29) % 450)::DOUBLE / 1000 AS lng FROM events WHERE event_id % 5 = 0),
+@query(f"""WITH s AS ({STATIONS}), e AS (SELECT event_id, ts AS event_start, ts + INTERVAL 6 HOUR AS event_end, 40.55::DOUBLE + ((event_id * 31) % 450)::DOUBLE / 1000 AS lat, -74.15::DOUBLE + ((event_id * 29) % 450)::DOUBLE / 1000 AS lng FROM events),
 p AS (SELECT s.id AS station_id, e.event_id, {KM.format(a='s.lat', b='s.lng', c='e.lat', d='e.lng')} AS km FROM s, e WHERE e.event_start <= TIMESTAMP '2024-01-15 12:00:00' AND e.event_end >= TIMESTAMP '2024-01-15 12:00:00'),
 k AS (SELECT *, row_number() OVER (PARTITION BY station_id ORDER BY km, event_id) AS rank FROM p WHERE km <= 8) SELECT station_id, event_id, rank, round(km, 6) AS km FROM k WHERE rank <= 3""")
-def nearby_events(spark, d, where="event_id % 5 = 0"):
+def nearby_events(spark, d):
     """The nearest running events in reach of each station."""
     i = F.col("event_id")
     at = F.expr("timestamp_ntz'2024-01-15 12:00:00'")
-    e = table(spark, d, "events").filter(where).filter((F.col("ts") <= at) & (F.col("ts") + F.expr("interval 6 hours") >= at))
+    e = table(spark, d, "events").filter((F.col("ts") <= at) & (F.col("ts") + F.expr("interval 6 hours") >= at))
     e = e.select(i.alias("b_id"), (40.55 + (i * 31 % 450) / 1000).alias("b_lat"), (-74.15 + (i * 29 % 450) / 1000).alias("b_lng"))
     n = spatial.nearest(sides(stations(spark, d))[0], e, 3, 8.0)
     return n.select(F.col("a_id").alias("station_id"), F.col("b_id").alias("event_id"), "rank", F.round("km", 6).alias("km"))
 
 
-@query(ORACLE_SQL["nearby_events"].replace(" WHERE event_id % 5 = 0", ""))
-def nearby_events_whole(spark, d):
-    """The nearest of all running events."""
-    return nearby_events(spark, d, "true")
-
 
 @query(f"""WITH s AS ({STATIONS}), c AS (SELECT id, CAST(floor(lat / 0.05) AS BIGINT) AS r, CAST(floor(lng / 0.05) AS BIGINT) AS c FROM s),
 x AS (SELECT id, CAST(r + i AS VARCHAR) || '_' || CAST(c + j AS VARCHAR) AS region_id, i = 0 AND j = 0 AS is_home FROM c, (SELECT unnest([-1, 0, 1]) AS i) a, (SELECT unnest([-1, 0, 1]) AS j) b)

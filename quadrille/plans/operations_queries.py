@@ -3,14 +3,13 @@
 from __future__ import annotations
 
 from pyspark.sql import functions as F
-from pyspark.sql import Window as W
 
-from quadrille.functions import metrics
+from quadrille.functions import explain, metrics, timeutil
 from quadrille.operators import inventory as I
 from quadrille.operators import panel as P
 from quadrille.operators import routing, spatial
 from quadrille.plans.context_queries import KM, STATIONS, stations
-from quadrille.plans.panel_queries import PANEL, panel
+from quadrille.plans.panel_queries import PANEL, ZONE, panel
 from quadrille.plans.registry import query, table
 
 _MOVES = "m AS (SELECT user_id AS station_id, CAST(ts AS DATE) AS day, ts, event_id AS tie, CASE WHEN event_id % 2 = 1 THEN -1 ELSE 1 END AS delta FROM events)"
@@ -19,7 +18,7 @@ flow AS (SELECT station_id, day, min(run) AS min_flow, max(run) AS max_flow, max
 _CAP = f"""{_FLOW}, raw AS (SELECT station_id, list_sort(list(flow_range))[CAST(floor(0.95 * (count(*) - 1) + 0.5) AS BIGINT) + 1] AS raw, count(*) AS observed_days, CAST(sum(day_trips) AS BIGINT) AS total_trips FROM flow GROUP BY 1),
 own AS (SELECT *, greatest(raw, 8) AS own FROM raw), e AS (SELECT quantile_cont(total_trips, [0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9]) AS edges FROM own),
 placed AS (SELECT own.*, (SELECT count(*) FROM (SELECT unnest(e.edges) AS x) y WHERE x < own.total_trips) AS decile FROM own, e), mid AS (SELECT decile, median(own) AS middle FROM placed WHERE observed_days >= 28 GROUP BY 1),
-cap AS (SELECT station_id, observed_days, total_trips, p.decile, CASE WHEN observed_days < 28 AND middle IS NOT NULL THEN CAST(ceil(middle) AS BIGINT) ELSE own END AS capacity, CASE WHEN observed_days < 28 AND middle IS NOT NULL THEN 'decile_median' ELSE 'observed' END AS capacity_source FROM placed p LEFT JOIN mid ON p.decile = mid.decile)"""
+cap AS (SELECT station_id, observed_days, total_trips, p.decile, CASE WHEN observed_days < 28 AND middle IS NOT NULL THEN CAST(floor(middle) AS BIGINT) ELSE own END AS capacity, CASE WHEN observed_days < 28 THEN 'volume_decile_median' ELSE 'flow_q95' END AS capacity_source FROM placed p LEFT JOIN mid ON p.decile = mid.decile)"""
 
 
 def moves(spark, d):
@@ -36,9 +35,10 @@ def capacity_estimate(spark, d):
     return I.capacity(I.daily_flow(moves(spark, d)), days=28)
 
 
-_START = f"""{_CAP}, j AS (SELECT flow.station_id, day, min_flow AS lo, max_flow AS hi, capacity AS c FROM flow JOIN cap USING (station_id)),
-o AS (SELECT *, unnest([least(greatest(-lo, 0), c), least(greatest(c - hi, 0), c), least(greatest(least(greatest(c // 2, -lo), c - hi), 0), c)]) AS s, unnest([0, 1, 2]) AS i FROM j),
-k AS (SELECT *, greatest(0, -(s + lo)) + greatest(0, s + hi - c) AS err, row_number() OVER (PARTITION BY station_id, day ORDER BY greatest(0, -(s + lo)) + greatest(0, s + hi - c), abs(s - c // 2), i) AS n FROM o)"""
+_START = f"""{_CAP}, j AS (SELECT flow.station_id, day, min_flow AS lo, max_flow AS hi, capacity AS c, greatest(0, -min_flow)::DOUBLE AS floor, least(capacity, capacity - max_flow)::DOUBLE AS roof FROM flow JOIN cap USING (station_id)),
+o AS (SELECT *, floor AS s, 0 AS i FROM j UNION ALL SELECT *, roof, 1 FROM j UNION ALL SELECT *, c / 2, 2 FROM j), misses AS (SELECT *, greatest(0, -(s + lo)) + greatest(0, s + hi - c) AS miss FROM o),
+b AS (SELECT *, row_number() OVER (PARTITION BY station_id, day ORDER BY miss + abs(s - c / 2) * 0.001::DOUBLE, i) AS n FROM misses),
+k AS (SELECT station_id, day, c, CASE WHEN floor > roof THEN least(greatest(s, 0), c) WHEN c / 2 < floor THEN floor WHEN c / 2 > roof THEN roof ELSE c / 2 END AS s, CASE WHEN floor > roof THEN miss ELSE 0 END AS err FROM b WHERE n = 1)"""
 
 
 def station_days(spark, d):
@@ -48,28 +48,18 @@ def station_days(spark, d):
     return j.withColumn("start_inventory", s).withColumn("fit_error", err)
 
 
-@query(f"WITH {_START} SELECT station_id, strftime(day, '%Y-%m-%d') AS day, c AS capacity, s AS start_inventory, err AS fit_error FROM k WHERE n = 1")
+@query(f"WITH {_START} SELECT station_id, strftime(day, '%Y-%m-%d') AS day, c AS capacity, CAST(round_even(s, 0) AS BIGINT) AS start_inventory, round(err, 6) AS inventory_fit_error, err > 2 AS inventory_unreliable FROM k")
 def start_inventory(spark, d):
-    return station_days(spark, d).select("station_id", F.date_format("day", "yyyy-MM-dd").alias("day"), "capacity", "start_inventory", "fit_error")
+    return station_days(spark, d).select("station_id", F.date_format("day", "yyyy-MM-dd").alias("day"), "capacity", F.bround("start_inventory").cast("long").alias("start_inventory"), F.round("fit_error", 6).alias("inventory_fit_error"), (F.col("fit_error") > 2).alias("inventory_unreliable"))
 
 
-@query(f"WITH {_START} SELECT CAST(station_id % 16 AS VARCHAR) AS region_id, strftime(day, '%Y-%m-%d') AS day, CAST(sum(c) AS BIGINT) AS capacity, CAST(sum(s) AS BIGINT) AS start_inventory, round(avg(err), 6) AS fit_error FROM k WHERE n = 1 GROUP BY 1, 2")
+@query(f"WITH {_START} SELECT CAST(station_id % 16 AS VARCHAR) AS region_id, strftime(day, '%Y-%m-%d') AS day, CAST(sum(c) AS BIGINT) AS capacity, CAST(sum(round_even(s, 0)) AS BIGINT) AS start_inventory, round(avg(err), 6) AS fit_error FROM k GROUP BY 1, 2")
 def region_inventory(spark, d):
-    return station_days(spark, d).groupBy((F.col("station_id") % 16).cast("string").alias("region_id"), F.date_format("day", "yyyy-MM-dd").alias("day")).agg(F.sum("capacity").alias("capacity"), F.sum("start_inventory").alias("start_inventory"), F.round(F.avg("fit_error"), 6).alias("fit_error"))
-
-
-@query(f"""WITH RECURSIVE {PANEL}, n AS (SELECT *, row_number() OVER (PARTITION BY region_id ORDER BY ts) AS i FROM panel WHERE ts < TIMESTAMP '2024-01-05'), r AS (SELECT region_id, 0::BIGINT AS i, 10::BIGINT AS inv, 0::BIGINT AS served, 0::BIGINT AS unserved, 0::BIGINT AS overflow, 0::BIGINT AS emp, 0::BIGINT AS ful FROM (SELECT DISTINCT region_id FROM panel) x
-UNION ALL SELECT n.region_id, n.i, r.inv - least(n.pickups, r.inv) + least(n.dropoffs, 20 - r.inv + least(n.pickups, r.inv)), r.served + least(n.pickups, r.inv), r.unserved + n.pickups - least(n.pickups, r.inv), r.overflow + n.dropoffs - least(n.dropoffs, 20 - r.inv + least(n.pickups, r.inv)),
-r.emp + CAST(r.inv - least(n.pickups, r.inv) + least(n.dropoffs, 20 - r.inv + least(n.pickups, r.inv)) = 0 AS BIGINT), r.ful + CAST(r.inv - least(n.pickups, r.inv) + least(n.dropoffs, 20 - r.inv + least(n.pickups, r.inv)) = 20 AS BIGINT) FROM r JOIN n ON n.region_id = r.region_id AND n.i = r.i + 1)
-SELECT region_id, 20::BIGINT AS capacity, inv AS end_inventory, served, unserved, overflow, emp AS empty, ful AS "full", round(served::DOUBLE / nullif(served + unserved, 0), 6) AS service_level FROM r WHERE i = 384""")
-def simulate_no_moves(spark, d):
-    p = panel(spark, d).filter("ts < timestamp_ntz'2024-01-05'")
-    start = p.select("region_id").distinct().withColumn("inventory", F.lit(10).cast("long")).withColumn("capacity", F.lit(20).cast("long"))
-    return I.simulate(p, start)
+    return station_days(spark, d).groupBy((F.col("station_id") % 16).cast("string").alias("region_id"), F.date_format("day", "yyyy-MM-dd").alias("day")).agg(F.sum("capacity").alias("capacity"), F.sum(F.bround("start_inventory").cast("long")).alias("start_inventory"), F.round(F.avg("fit_error"), 6).alias("fit_error"))
 
 
 @query()
-def simulate_no_moves_whole(spark, d):
+def simulate_no_moves(spark, d):
     """All bins of the panel; a recursive query is too dear for them, so checked by a loop in tests."""
     p = panel(spark, d)
     start = p.select("region_id").distinct().withColumn("inventory", F.lit(10).cast("long")).withColumn("capacity", F.lit(20).cast("long"))
@@ -77,8 +67,9 @@ def simulate_no_moves_whole(spark, d):
 
 
 @query(f"""WITH {PANEL}, f AS (SELECT region_id, ts, lag(pickups, 95) OVER w AS a, lag(dropoffs, 95) OVER w AS b FROM panel WINDOW w AS (PARTITION BY region_id ORDER BY ts)), p AS (SELECT region_id, ts, least(greatest(6 + b - a * 3, 0), 20) AS level FROM f WHERE a IS NOT NULL)
-SELECT region_id, ts, level AS projected_inventory, CASE WHEN level < 20 * 0.2::DOUBLE THEN 20 * 0.5::DOUBLE - level ELSE 0 END AS shortage, CASE WHEN level > 20 * 0.8::DOUBLE THEN level - 20 * 0.5::DOUBLE ELSE 0 END AS surplus FROM p""")
+SELECT region_id, ts, level AS projected_inventory, CASE WHEN level < 4 THEN (4 - level)::DOUBLE ELSE 0 END AS shortage, CASE WHEN level > 10 THEN (level - 10)::DOUBLE ELSE 0 END AS surplus FROM p""")
 def shortage_surplus(spark, d):
+    """A safety share of 0.2 and a target share of 0.5 of 20 docks."""
     f = panel(spark, d).select("region_id", "ts", F.lag("pickups", 95).over(P.by_region()).alias("a"), F.lag("dropoffs", 95).over(P.by_region()).alias("b")).dropna()
     level = I.projected(F.lit(6), F.col("a") * 3, F.col("b"), F.lit(20)).cast("long")
     p = f.select("region_id", "ts", level.alias("projected_inventory"))
@@ -86,23 +77,33 @@ def shortage_surplus(spark, d):
     return p.withColumn("shortage", low).withColumn("surplus", high)
 
 
+SWEEP = [("no_rebalancing", None, None), *((f"{f} {int(100 * s)}%", f, s) for f in ("foresight", "same_week") for s in (0.0, 0.05, 0.10))]
+
+
+def sweep_steps(spark, d):
+    """The panel with two forecasts of the next four bins: what will happen, and the same bins a week before."""
+    p, w = panel(spark, d), P.by_region()
+    ahead = lambda c, a: F.coalesce(F.sum(c).over(w.rowsBetween(a, a + 3)), F.lit(0))
+    spots = p.select("region_id").distinct().withColumn("k", F.crc32("region_id") % 100)
+    s = p.select("region_id", "ts", "pickups", "dropoffs", *(ahead(c, a).alias(f"{f}_{side}") for f, a in (("foresight", 1), ("same_week", -671)) for c, side in (("pickups", "out"), ("dropoffs", "in"))))
+    return s.join(F.broadcast(spots), "region_id").select("*", F.lit(5).cast("long").alias("inventory"), F.lit(10).cast("long").alias("capacity"), (40.6 + F.col("k") / 5000).alias("lat"), (-74.0 + F.col("k") / 7000).alias("lng")).drop("k")
+
+
 @query()
 def strategy_sweep(spark, d):
-    """Service level with rebalancing, for safety shares and a naive forecast; sequential, so checked by tests."""
-    p = panel(spark, d)
-    ahead = lambda c: F.sum(c).over(P.by_region().rowsBetween(-96, -93))
-    spots = p.select("region_id").distinct().withColumn("k", F.crc32("region_id") % 100)
-    s = p.select("region_id", "ts", "pickups", "dropoffs", F.coalesce(ahead("pickups"), F.lit(0)).alias("predicted_out"), F.coalesce(ahead("dropoffs"), F.lit(0)).alias("predicted_in")).filter("ts < timestamp_ntz'2024-01-15'")
-    s = s.join(F.broadcast(spots), "region_id").select("*", F.lit(5).cast("long").alias("inventory"), F.lit(10).cast("long").alias("capacity"), (40.6 + F.col("k") / 5000).alias("lat"), (-74.0 + F.col("k") / 7000).alias("lng")).drop("k")
-    return I.strategies(s, spark.createDataFrame([("none", 0.0), ("five", 0.05), ("twenty", 0.2)], "scenario string, safety double"))
+    """Service with rebalancing over the whole panel, for forecasts and safety shares; sequential, so checked by tests."""
+    return I.strategies(sweep_steps(spark, d), SWEEP)
 
 
-@query("""WITH s AS (SELECT user_id AS station_id, any_value(user_id % 16) AS region_id, count(*) FILTER (WHERE event_id % 2 = 1 AND user_id % 16 <> 3) AS p, count(*) FILTER (WHERE event_id % 2 = 0) AS q FROM events GROUP BY 1)
-SELECT station_id, region_id, p AS pickups, q AS dropoffs, round(CASE WHEN sum(p) OVER w > 0 THEN p::DOUBLE / sum(p) OVER w ELSE 1.0::DOUBLE / count(*) OVER w END, 6) AS share, sum(p + q) OVER w >= 600 AS confident FROM s WINDOW w AS (PARTITION BY region_id)""")
+@query("""WITH s AS (SELECT user_id AS station_id, any_value(user_id % 16) AS region_id, count(*) FILTER (WHERE event_id % 2 = 1 AND user_id % 16 <> 3) AS p, count(*) FILTER (WHERE event_id % 2 = 0 AND user_id % 16 <> 5) AS q FROM events GROUP BY 1),
+r AS (SELECT region_id, sum(p)::DOUBLE AS rp, sum(q)::DOUBLE AS rq, count(*) AS n FROM s GROUP BY 1)
+SELECT station_id, s.region_id, p AS pickups, q AS dropoffs, round(CASE rp WHEN 0 THEN 1 / n ELSE p / rp END, 6) AS pickup_share, round(CASE rq WHEN 0 THEN 1 / n ELSE q / rq END, 6) AS dropoff_share, p + q AS lifetime_trips, CASE WHEN p + q < 70 THEN 'low' ELSE 'high' END AS share_confidence FROM s JOIN r ON s.region_id = r.region_id""")
 def share_split(spark, d):
+    """The tables' stations have far fewer than 2,000 trips: here 70 are enough for a share to be trusted."""
     e = table(spark, d, "events")
-    s = e.groupBy(F.col("user_id").alias("station_id"), (F.col("user_id") % 16).alias("region_id")).agg(F.count_if((F.col("event_id") % 2 == 1) & (F.col("user_id") % 16 != 3)).alias("pickups"), F.count_if(F.col("event_id") % 2 == 0).alias("dropoffs"))
-    return I.shares(s, 600).withColumn("share", F.round("share", 6))
+    s = e.groupBy(F.col("user_id").alias("station_id"), (F.col("user_id") % 16).alias("region_id")).agg(
+        F.count_if((F.col("event_id") % 2 == 1) & (F.col("user_id") % 16 != 3)).alias("pickups"), F.count_if((F.col("event_id") % 2 == 0) & (F.col("user_id") % 16 != 5)).alias("dropoffs"))
+    return I.shares(s, 70).withColumns({c: F.round(c, 6) for c in ("pickup_share", "dropoff_share")})
 
 
 _HOUR = "h AS (SELECT user_id % 16 AS region_id, date_trunc('hour', ts) AS ts, count(*) FILTER (WHERE event_id % 2 = 1)::DOUBLE AS p, count(*) FILTER (WHERE event_id % 2 = 0)::DOUBLE AS q FROM events GROUP BY 1, 2)"
@@ -112,9 +113,18 @@ def hourly(spark, d):
     return table(spark, d, "events").groupBy((F.col("user_id") % 16).alias("region_id"), F.window("ts", "1 hour")["start"].alias("ts")).agg(F.count_if(F.col("event_id") % 2 == 1).cast("double").alias("p"), F.count_if(F.col("event_id") % 2 == 0).cast("double").alias("q"))
 
 
-@query(f"WITH {_HOUR} SELECT region_id, ts, CASE WHEN p + q < 1 THEN 'quiet' WHEN (q - p) / 6 < -0.25 THEN 'emptying fast' WHEN (q - p) / 6 < -0.05 THEN 'emptying' WHEN (q - p) / 6 <= 0.05 THEN 'balanced' WHEN (q - p) / 6 <= 0.25 THEN 'filling' ELSE 'filling fast' END AS verdict, round(CASE WHEN p + q <= 0 THEN 0.275::DOUBLE ELSE 0.55::DOUBLE * least(greatest(-(q - p) / (p + q), 0), 1) END, 6) + 0.0 AS penalty_km FROM h")
+# independent of the code: total below 1 is quiet and costs 275 m, else 550 m times the outflow's share
+_PRESSURE = "CASE WHEN p + q >= 1 THEN (q - p) / (p + q) END"
+_PENALTY = "CASE WHEN p + q < 1 THEN 0.275::DOUBLE WHEN p > q THEN 0.55::DOUBLE * (p - q) / (p + q) ELSE 0 END"
+
+
+@query(f"""WITH {_HOUR}, x AS (SELECT *, {_PRESSURE} AS x FROM (SELECT region_id, ts, p * 0.4::DOUBLE AS p, q * 0.4::DOUBLE AS q FROM h) y)
+SELECT region_id, ts, round(x, 6) + 0.0 AS pressure, CASE WHEN x IS NULL THEN 'quiet' WHEN x >= 0.25 THEN 'crowded' WHEN x >= 0.05 THEN 'filling' WHEN x > -0.05 THEN 'balanced' WHEN x > -0.25 THEN 'tightening' ELSE 'draining' END AS verdict, round({_PENALTY}, 6) + 0.0 AS penalty_km FROM x""")
 def availability_verdict(spark, d):
-    return hourly(spark, d).select("region_id", "ts", I.verdict(F.col("p"), F.col("q"), F.lit(6)).alias("verdict"), (F.round(I.pressure_penalty_km(F.col("p"), F.col("q")), 6) + 0.0).alias("penalty_km"))
+    """Hourly flows, of which a place has four tenths, so that some are quiet."""
+    h = hourly(spark, d).withColumns({c: F.col(c) * 0.4 for c in ("p", "q")})
+    p, q = F.col("p"), F.col("q")
+    return h.select("region_id", "ts", (F.round(I.pressure(p, q), 6) + 0.0).alias("pressure"), I.verdict(p, q).alias("verdict"), (F.round(I.pressure_penalty_km(p, q), 6) + 0.0).alias("penalty_km"))
 
 
 _PRED = f"""{PANEL}, f AS (SELECT region_id, ts, lead(pickups, 1) OVER w AS actual, lag(pickups, 95) OVER w AS predicted, isodow(ts) >= 6 AS is_weekend, hour(ts) AS hour FROM panel WINDOW w AS (PARTITION BY region_id ORDER BY ts)), g AS (SELECT * FROM f WHERE actual IS NOT NULL AND predicted IS NOT NULL)"""
@@ -158,9 +168,21 @@ def top_regions(spark, d):
     return table(spark, d, "events").groupBy(F.col("user_id").alias("region_id")).agg(F.count("*").alias("pickups")).orderBy(F.desc("pickups"), "region_id").limit(12)
 
 
-@query("WITH v(step, mae) AS (VALUES (1, 0.95::DOUBLE), (2, 0.72), (3, 0.70), (4, 0.78), (5, 0.72)), g AS (SELECT *, lag(mae) OVER (ORDER BY step) - mae AS d FROM v) SELECT step, mae, round(d, 6) AS gain, CASE WHEN d IS NULL THEN 'BASE' WHEN d > 0.05 THEN 'HELPS' WHEN d <= -0.05 THEN 'HURTS' ELSE 'NEUTRAL' END AS verdict FROM g")
+_LADDER = (("A", "{0}"), ("B", "lag({0}, 95) OVER w"), ("C", "avg({0}) OVER (PARTITION BY region_id ORDER BY ts ROWS BETWEEN 3 PRECEDING AND CURRENT ROW)"), ("D", "avg({0}) OVER (PARTITION BY region_id ORDER BY ts ROWS BETWEEN 95 PRECEDING AND CURRENT ROW)"), ("E", "avg({0}) OVER (PARTITION BY region_id ORDER BY ts ROWS BETWEEN 100 PRECEDING AND CURRENT ROW)"))
+
+
+@query(f"""WITH {PANEL}, f AS (SELECT region_id, {', '.join(f"lead({n}, 1) OVER w AS y_{n}, " + ', '.join(f"{e.format(n)} AS {k}_{n}" for k, e in _LADDER) for n in ('pickups', 'dropoffs'))} FROM panel WINDOW w AS (PARTITION BY region_id ORDER BY ts)),
+m AS ({' UNION ALL '.join(f"SELECT '{k}' AS step, '{n}' AS target, avg(abs({k}_{n} - y_{n})) AS mae FROM f WHERE y_{n} IS NOT NULL AND B_{n} IS NOT NULL" for n in ('pickups', 'dropoffs') for k, _ in _LADDER)}),
+g AS (SELECT b.step, b.target, b.mae, 100 * (a.mae - b.mae) / a.mae AS gain FROM m b LEFT JOIN m a ON a.target = b.target AND ord(a.step) = ord(b.step) - 1), k AS (SELECT step, avg(gain) AS mean FROM g GROUP BY 1)
+SELECT g.step, target, round(mae, 6) AS mae, round(gain, 3) AS gain_pct, round(mean, 3) AS mean_gain_pct, CASE WHEN mean > 0.05 THEN 'HELPS' WHEN mean <= -0.05 THEN 'HURTS' WHEN mean IS NOT NULL THEN 'no effect' END AS verdict FROM g JOIN k ON g.step = k.step""")
 def ablation_delta(spark, d):
-    return metrics.verdicts(spark.createDataFrame([(1, 0.95), (2, 0.72), (3, 0.70), (4, 0.78), (5, 0.72)], "step int, mae double"))
+    """A ladder of forecasts in place of trained families: each step's error against the step before, over the same rows."""
+    w = P.by_region()
+    made = lambda n: {"A": F.col(n), "B": F.lag(n, 95).over(w), "C": F.avg(n).over(P.frame(4)), "D": F.avg(n).over(P.frame(96)), "E": F.avg(n).over(P.frame(101))}
+    cols = [F.struct(F.lit(n).alias("target"), F.lit(k).alias("step"), c.cast("double").alias("x"), F.lead(n, 1).over(w).alias("y")).alias(f"{k}_{n}") for n in ("pickups", "dropoffs") for k, c in made(n).items()]
+    f = panel(spark, d).select(F.lead("pickups", 1).over(w).alias("_y"), F.lag("pickups", 95).over(w).alias("_b"), *cols).dropna(subset=["_y", "_b"])
+    long = f.select(F.inline(F.array(*(F.col(f"{k}_{n}") for n in ("pickups", "dropoffs") for k in "ABCDE"))))
+    return metrics.verdicts(long.groupBy("step", "target").agg(F.avg(F.abs(F.col("x") - F.col("y"))).alias("mae")))
 
 
 @query(f"""WITH {PANEL}, f AS (SELECT region_id, lead(pickups, 1) OVER w AS y, lag(pickups, 95) OVER w AS a, lag(pickups, 671) OVER w AS b, avg(pickups) OVER (PARTITION BY region_id ORDER BY ts ROWS BETWEEN 95 PRECEDING AND CURRENT ROW) AS m FROM panel WINDOW w AS (PARTITION BY region_id ORDER BY ts)),
@@ -198,16 +220,19 @@ def region_sample(spark, d):
     return table(spark, d, "events").select(F.col("user_id").alias("region_id")).distinct().orderBy(F.md5(F.col("region_id").cast("string"))).limit(20)
 
 
-_E = f"s AS ({STATIONS}), e AS (SELECT a.id AS u, b.id AS v, {KM.format(a='a.lat', b='a.lng', c='b.lat', d='b.lng')} AS km FROM s a JOIN s b ON a.id < b.id WHERE {KM.format(a='a.lat', b='a.lng', c='b.lat', d='b.lng')} <= 6), g AS (SELECT u, v, km FROM e UNION ALL SELECT v, u, km FROM e)"
+# fifteen regional stations and the roads between those nearest to each other; SQL relaxes all pairs
+_E = f"""s AS (SELECT id % 40 AS id, avg(lat) AS lat, avg(lng) AS lng FROM ({STATIONS}) x GROUP BY 1), p AS (SELECT a.id AS u, b.id AS v, {KM.format(a='a.lat', b='a.lng', c='b.lat', d='b.lng')} AS km FROM s a JOIN s b ON a.id <> b.id),
+n AS (SELECT *, row_number() OVER (PARTITION BY u ORDER BY km, v) AS i FROM p WHERE km <= 40), g AS (SELECT u, v, km FROM n WHERE i <= 3 UNION SELECT v, u, km FROM n WHERE i <= 3)"""
 
 
-@query(f"""WITH RECURSIVE {_E}, r AS (SELECT (SELECT min(id) FROM s) AS node, 0.0::DOUBLE AS km, 0 AS hops UNION SELECT g.v, r.km + g.km, r.hops + 1 FROM r JOIN g ON r.node = g.u WHERE r.hops < 4) SELECT CAST(node AS VARCHAR) AS node, round(min(km), 6) AS km FROM r GROUP BY 1""")
+@query(f"""WITH RECURSIVE {_E}, r AS (SELECT (SELECT u FROM g ORDER BY u LIMIT 1) AS node, 0.0::DOUBLE AS km, 0 AS hops UNION ALL SELECT node, min(km), max(hops) + 1 FROM (SELECT g.v AS node, r.km + g.km AS km, r.hops FROM r JOIN g ON r.node = g.u WHERE r.hops < 40 UNION ALL SELECT node, km, hops FROM r WHERE hops < 40) x GROUP BY node)
+SELECT CAST(node AS VARCHAR) AS node, round(min(km), 6) AS km FROM r GROUP BY 1""")
 def shortest_path(spark, d):
-    s = stations(spark, d)
-    a, b = s.select(F.col("id").alias("a_id"), F.col("lat").alias("a_lat"), F.col("lng").alias("a_lng")), s.select(F.col("id").alias("b_id"), F.col("lat").alias("b_lat"), F.col("lng").alias("b_lng"))
-    e = spatial.within(a, b, 6.0).filter("a_id < b_id").select(F.col("a_id").cast("string").alias("u"), F.col("b_id").cast("string").alias("v"), "km")
-    source = str(s.agg(F.min("id")).first()[0])
-    return routing.shortest_paths(e, source, 4).withColumn("km", F.round("km", 6))
+    """Distances over a road graph from its first node to every node that it reaches."""
+    s = stations(spark, d).groupBy((F.col("id") % 40).alias("id")).agg(F.avg("lat").alias("lat"), F.avg("lng").alias("lng"))
+    e = spatial.station_graph(s, 3, 40.0).select(F.col("u").cast("string").alias("u"), F.col("v").cast("string").alias("v"), "km")
+    source = str(e.agg(F.min(F.col("u").cast("long"))).first()[0])
+    return routing.shortest_paths(e, source).withColumn("km", F.round("km", 6))
 
 
 @query(f"""WITH s AS ({STATIONS}), w AS (SELECT id % 20 AS way_id, id, lead(id) OVER (PARTITION BY id % 20 ORDER BY id) AS nxt FROM s), e AS (SELECT DISTINCT least(id, nxt) AS u, greatest(id, nxt) AS v FROM w WHERE nxt IS NOT NULL)
@@ -219,41 +244,48 @@ def street_edges(spark, d):
 
 
 @query(f"""WITH s AS ({STATIONS}), m AS (SELECT id, {KM.format(a='40.7', b='-74.0', c='lat', d='lng')} AS km FROM s), c AS (SELECT user_id AS id, count(*) FILTER (WHERE event_id % 2 = 1)::DOUBLE AS p, count(*) FILTER (WHERE event_id % 2 = 0)::DOUBLE AS q FROM events GROUP BY 1),
-j AS (SELECT id, km, CASE WHEN km <= 0.75 THEN km ELSE km * 1.3::DOUBLE END AS walk, p, q FROM m JOIN c USING (id)) SELECT id AS station_id, round(walk, 6) AS walk_km, round(walk * 1000 / 80, 4) AS minutes, walk > 2 AS too_far, round(walk + CASE WHEN p + q <= 0 THEN 0.275::DOUBLE ELSE 0.55::DOUBLE * least(greatest(-(q - p) / (p + q), 0), 1) END, 6) AS score FROM j""")
+j AS (SELECT id, km, km * 1.3::DOUBLE AS walk, {_PENALTY} AS penalty FROM m JOIN c USING (id)) SELECT id AS station_id, round(walk, 6) AS walk_km, round(walk * 12.5::DOUBLE, 4) AS minutes, walk > 2 AS too_far, km <= 0.75 AS direct, round(penalty, 6) + 0.0 AS penalty_km, round(walk + penalty, 6) AS score FROM j""")
 def route_choice(spark, d):
     km = stations(spark, d).select(F.col("id").alias("station_id"), spatial.haversine_km(F.lit(40.7), F.lit(-74.0), "lat", "lng").alias("km"))
     c = table(spark, d, "events").groupBy(F.col("user_id").alias("station_id")).agg(F.count_if(F.col("event_id") % 2 == 1).cast("double").alias("pickups"), F.count_if(F.col("event_id") % 2 == 0).cast("double").alias("dropoffs"))
     r = routing.route_scores(km.join(c, "station_id"))
-    return r.select("station_id", F.round("walk_km", 6).alias("walk_km"), F.round("minutes", 4).alias("minutes"), "too_far", F.round("score", 6).alias("score"))
+    return r.select("station_id", F.round("walk_km", 6).alias("walk_km"), F.round("minutes", 4).alias("minutes"), "too_far", "direct", (F.round("penalty_km", 6) + 0.0).alias("penalty_km"), F.round("score", 6).alias("score"))
 
 
-@query(f"""WITH {PANEL}, f AS (SELECT region_id, ts, sum(pickups) OVER (PARTITION BY region_id ORDER BY ts ROWS BETWEEN 3 PRECEDING AND CURRENT ROW) AS recent, avg(pickups) OVER (PARTITION BY region_id ORDER BY ts ROWS BETWEEN 671 PRECEDING AND CURRENT ROW) * 4 AS typical, lag(pickups, 671) OVER (PARTITION BY region_id ORDER BY ts) AS last_week FROM panel)
-SELECT region_id, ts, CAST(recent AS BIGINT) AS recent, round(typical, 6) AS typical, round(recent / nullif(typical, 0), 6) AS ratio, last_week, CASE WHEN recent / nullif(typical, 0) > 1.25 THEN 'busier than usual' WHEN recent / nullif(typical, 0) < 0.75 THEN 'quieter than usual' ELSE 'as usual' END AS driver FROM f WHERE hour(ts) = 8""")
+@query(f"""WITH {PANEL}, l AS (SELECT *, ts - INTERVAL 5 HOUR AS lt, row_number() OVER (PARTITION BY region_id ORDER BY ts) AS i FROM panel), e AS (SELECT a.region_id, a.ts, sum(b.pickups * pow(0.6::DOUBLE, a.i - b.i)) / sum(pow(0.6::DOUBLE, a.i - b.i)) AS recent FROM l a JOIN l b ON a.region_id = b.region_id AND b.i BETWEEN a.i - 63 AND a.i GROUP BY 1, 2),
+s AS (SELECT region_id, ts, lt, lag(pickups, 671) OVER (PARTITION BY region_id ORDER BY ts) AS last_week, count(*) OVER w AS n, avg(pickups) OVER w AS mean FROM l WINDOW w AS (PARTITION BY region_id, isodow(lt), hour(lt), minute(lt) ORDER BY ts ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+x AS (SELECT s.*, e.recent, CASE WHEN n >= 3 THEN mean ELSE 0 END AS typical, lt + INTERVAL 15 MINUTE AS ft FROM s JOIN e ON s.region_id = e.region_id AND s.ts = e.ts)
+SELECT region_id, ts, round(recent, 6) AS recent, round(typical, 6) AS typical, CASE WHEN typical > 0 THEN round(100 * abs(recent / typical - 1), 4) END AS percent_off, CASE WHEN typical > 0 THEN CASE WHEN recent >= typical THEN 'above' ELSE 'below' END END AS direction, coalesce(last_week, 0) AS last_week,
+['Monday', 'Tuesday', 'Wednesday', 'Thursday', 'Friday', 'Saturday', 'Sunday'][isodow(ft)] || ' ' || strftime(ft, '%H:%M') || CASE WHEN hour(lt) BETWEEN 7 AND 9 THEN ', morning rush' ELSE '' END || CASE WHEN hour(lt) BETWEEN 16 AND 18 THEN ', evening rush' ELSE '' END
+|| CASE WHEN isodow(lt) > 5 THEN ', weekend' ELSE '' END || CASE WHEN strftime(lt, '%m-%d') IN ('01-01', '01-15') THEN ', public holiday' ELSE '' END || ', winter' AS time_of_week FROM x""")
 def explain_drivers(spark, d):
-    recent, typical = F.sum("pickups").over(P.frame(4)), F.avg("pickups").over(P.frame(672)) * 4
-    f = panel(spark, d).select("region_id", "ts", recent.alias("recent"), typical.alias("typical"), F.lag("pickups", 671).over(P.by_region()).alias("last_week")).filter(F.hour("ts") == 8)
-    ratio = F.col("recent") / F.nullif("typical", F.lit(0.0))
-    return f.select("region_id", "ts", "recent", F.round("typical", 6).alias("typical"), F.round(ratio, 6).alias("ratio"), "last_week", F.when(ratio > 1.25, "busier than usual").when(ratio < 0.75, "quieter than usual").otherwise("as usual").alias("driver"))
+    """What a forecast rests on, for every region and bin: momentum, the same slot last week, the time of the week."""
+    local = timeutil.utc_to_local(F.col("ts"), ZONE)
+    cols = {"local": local, "recent": P.ewm("pickups", 4), "typical": F.coalesce(P.expanding_slot_mean("pickups", local), F.lit(0.0)), "last_week": F.coalesce(F.lag("pickups", 671).over(P.by_region()), F.lit(0))}
+    f = panel(spark, d).select("region_id", "ts", *(c.alias(n) for n, c in cols.items()))
+    return explain.drivers(f, F.broadcast(timeutil.holiday_table(spark, (2023, 2024)))).select(
+        "region_id", "ts", F.round("recent", 6).alias("recent"), F.round("typical", 6).alias("typical"), F.round("percent_off", 4).alias("percent_off"), "direction", "last_week", "time_of_week")
 
 
 @query()
 def greedy_moves(spark, d):
-    """One round of moves per day over all stations; sequential within the day, days are independent tasks."""
-    from quadrille.operators import routing as R
+    """One round of moves per day over all stations; sequential within the day, days are independent tasks; checked by a plain loop in tests.
+
+    The tables' stations are few and far apart: a safety share of 0.35 and a reach of 8 km."""
     from quadrille.session import ship
 
     flow = station_days(spark, d).join(stations(spark, d).withColumnRenamed("id", "station_id"), "station_id")
 
     def run(pdf):
+        import numpy as np
         import pandas as pd
 
-        r = pdf.sort_values("station_id").to_dict("records")
-        cap, inv = {x["station_id"]: int(x["capacity"]) for x in r}, {x["station_id"]: int(min(max(x["start_inventory"] + x["end_flow"], 0), x["capacity"])) for x in r}
-        at = {x["station_id"]: (x["lat"], x["lng"]) for x in r}
-        lack = {s: cap[s] * 0.5 - v for s, v in inv.items() if v < cap[s] * 0.35}
-        over = {s: v - cap[s] * 0.5 for s, v in inv.items() if v > cap[s] * 0.65}
-        rows = I.plan_moves(lack, over, lambda a, b: R.km_between(at[a], at[b]), inv, cap, 20, 8.0)
-        return pd.DataFrame([(str(r[0]["day"]), *x) for x in rows], columns=["day", "source", "destination", "bikes_moved", "distance_km"])
+        r = pdf.sort_values("station_id").reset_index(drop=True)
+        cap = r["capacity"].to_numpy(dtype=float)
+        level = np.clip(np.round(r["start_inventory"].to_numpy(dtype=float)) + r["end_flow"].to_numpy(dtype=float), 0, cap)
+        rows = I.plan_moves(np.maximum(0.35 * cap - level, 0), np.maximum(level - 0.5 * cap, 0), level, cap, I.distances(r["lat"].to_numpy(), r["lng"].to_numpy()), radius_km=8.0)
+        who = r["station_id"].tolist()
+        return pd.DataFrame([(str(r["day"].iloc[0]), who[a], who[b], n, km) for a, b, n, km in rows], columns=["day", "source", "destination", "bikes_moved", "distance_km"])
 
     ship(spark)
     return flow.groupBy("day").applyInPandas(run, "day string, source long, destination long, bikes_moved long, distance_km double")

@@ -12,6 +12,7 @@ from quadrille.operators import panel as P
 from quadrille.plans.registry import query, table
 
 LO, HI = datetime(2024, 1, 1), datetime(2024, 1, 31)
+ZONE = "America/New_York"  # five hours behind UTC over the whole panel, which is how the SQL has it
 
 PANEL = """
 grid AS (SELECT region_id, ts FROM (SELECT DISTINCT event_type AS region_id FROM events) r,
@@ -71,11 +72,11 @@ def rolling_stats(spark, d):
     return panel(spark, d).select("region_id", "ts", *((c if "sum" in n else F.round(c, 6)).alias(n) for n, c in cols.items()))
 
 
-@query(f"""WITH {PANEL}, s AS (SELECT *, isodow(ts) AS dow, hour(ts) * 4 + minute(ts) // 15 AS slot FROM panel),
+@query(f"""WITH {PANEL}, s AS (SELECT region_id, ts, pickups, isodow(ts - INTERVAL 5 HOUR) AS dow, hour(ts - INTERVAL 5 HOUR) * 4 + minute(ts) // 15 AS slot FROM panel),
 m AS (SELECT region_id, ts, count(pickups) OVER w AS n, avg(pickups) OVER w AS m FROM s WINDOW w AS (PARTITION BY region_id, dow, slot ORDER BY ts ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING))
 SELECT region_id, ts, CASE WHEN n >= 3 THEN round(m, 6) END AS slot_mean FROM m""")
 def expanding_slot_mean(spark, d):
-    return panel(spark, d).select("region_id", "ts", F.round(P.expanding_slot_mean("pickups"), 6).alias("slot_mean"))
+    return panel(spark, d).select("region_id", "ts", F.round(P.expanding_slot_mean("pickups", timeutil.utc_to_local(F.col("ts"), ZONE)), 6).alias("slot_mean"))
 
 
 @query(f"""WITH {PANEL} SELECT region_id, ts, {', '.join(f"lag(pickups, {s - h}) OVER w AS pickups_season{s}_h{h}" for s in (96, 672) for h in (1, 2, 3, 4))} FROM panel WINDOW w AS (PARTITION BY region_id ORDER BY ts)""")
@@ -108,34 +109,40 @@ def deltas_ratio(spark, d):
     return panel(spark, d).select("region_id", "ts", *((F.round(c, 6) if n in ("pickups_hour_change", "flow_ratio") else c).alias(n) for n, c in P.trend().items()))
 
 
-_HOLIDAYS = ", ".join(f"(DATE '{h}', '{n.replace(chr(39), chr(39) * 2)}')" for y in (2024,) for h, n in timeutil.holidays(y).items())
+_HOLIDAYS = ", ".join(f"(DATE '{h}', '{n.replace(chr(39), chr(39) * 2)}')" for y in (2023, 2024) for h, n in timeutil.holidays(y).items())
 
 
-@query(f"""WITH h(holiday_date, holiday_name) AS (VALUES {_HOLIDAYS})
-SELECT e.event_id, CAST(hour(ts) AS BIGINT) AS hour, CAST(minute(ts) AS BIGINT) AS minute, CAST(isodow(ts) AS BIGINT) AS iso_dow, CAST(day(ts) AS BIGINT) AS day, CAST(weekofyear(ts) AS BIGINT) AS iso_week,
-CAST(month(ts) AS BIGINT) AS month, isodow(ts) >= 6 AS is_weekend, isodow(ts) < 6 AND hour(ts) BETWEEN 7 AND 9 AS is_morning_rush, isodow(ts) < 6 AND hour(ts) BETWEEN 16 AND 18 AS is_evening_rush,
-h.holiday_name IS NOT NULL AS is_holiday, isodow(ts) < 6 AND h.holiday_name IS NULL AS is_business_day, h.holiday_name, CASE WHEN month(ts) IN (12, 1, 2) THEN 'winter' WHEN month(ts) IN (3, 4, 5) THEN 'spring' WHEN month(ts) IN (6, 7, 8) THEN 'summer' ELSE 'autumn' END AS season
-FROM events e LEFT JOIN h ON CAST(e.ts AS DATE) = h.holiday_date""")
+_LOCAL = "l AS (SELECT event_id, ts - INTERVAL 5 HOUR AS lt FROM events)"
+
+
+@query(f"""WITH h(holiday_date, holiday_name) AS (VALUES {_HOLIDAYS}), {_LOCAL}
+SELECT event_id, hour(lt) AS hour, minute(lt) AS minute, isodow(lt) AS day_of_week, day(lt) AS day_of_month, weekofyear(lt) AS week_of_year, month(lt) AS month_of_year, isodow(lt) IN (6, 7) AS is_weekend, hour(lt) IN (7, 8, 9) AS is_morning_rush, hour(lt) IN (16, 17, 18) AS is_evening_rush,
+h.holiday_name IS NOT NULL AS is_holiday, isodow(lt) NOT IN (6, 7) AND h.holiday_name IS NULL AS is_business_day, h.holiday_name, CASE month(lt) // 3 % 4 WHEN 0 THEN 'winter' WHEN 1 THEN 'spring' WHEN 2 THEN 'summer' ELSE 'autumn' END AS season
+FROM l LEFT JOIN h ON CAST(lt AS DATE) = h.holiday_date""")
 def calendar_features(spark, d):
-    e = table(spark, d, "events").select("event_id", "ts", *(c.alias(n) for n, c in timeutil.calendar(F.col("ts")).items()))
-    h = F.broadcast(timeutil.holiday_table(spark, (2024,)))  # some dozen rows a year
-    out = e.join(h, F.to_date("ts") == F.col("holiday_date"), "left")
-    return out.withColumn("is_holiday", F.col("holiday_name").isNotNull()).withColumn("is_business_day", ~F.col("is_weekend") & F.col("holiday_name").isNull()).withColumn("season", timeutil.season_of(F.col("month"))).drop("ts", "holiday_date")
+    e = table(spark, d, "events").select("event_id", timeutil.utc_to_local(F.col("ts"), ZONE).alias("local"))
+    e = e.select("event_id", "local", *(c.alias(n) for n, c in timeutil.calendar(F.col("local")).items()))
+    h = F.broadcast(timeutil.holiday_table(spark, (2023, 2024)))  # some dozen rows a year
+    out = e.join(h, F.to_date("local") == F.col("holiday_date"), "left")
+    return out.withColumn("is_holiday", F.col("holiday_name").isNotNull()).withColumn("is_business_day", ~F.col("is_weekend") & F.col("holiday_name").isNull()).withColumn("season", timeutil.season_of(F.col("month_of_year"))).drop("local", "holiday_date")
+
+
+_TURNS = {"tod": "(hour(lt) * 60 + minute(lt)) / 1440", "dow": "isodow(lt) / 7", "doy": "dayofyear(lt) / 365.25"}
 
 
-@query("""SELECT event_id, round(sin(2 * pi() * (hour(ts) * 60 + minute(ts)) / 1440), 6) + 0.0 AS tod_sin, round(cos(2 * pi() * (hour(ts) * 60 + minute(ts)) / 1440), 6) + 0.0 AS tod_cos,
-round(sin(2 * pi() * isodow(ts) / 7), 6) + 0.0 AS dow_sin, round(cos(2 * pi() * isodow(ts) / 7), 6) + 0.0 AS dow_cos,
-round(sin(2 * pi() * dayofyear(ts) / 365.25), 6) + 0.0 AS doy_sin, round(cos(2 * pi() * dayofyear(ts) / 365.25), 6) + 0.0 AS doy_cos FROM events""")
+@query(f"WITH {_LOCAL} SELECT event_id, {', '.join(f'round({f}(2 * pi() * {t}), 6) + 0.0 AS {n}_{f}' for n, t in _TURNS.items() for f in ('sin', 'cos'))} FROM l")
 def cyclical_encoding(spark, d):
-    return table(spark, d, "events").select("event_id", *((F.round(c, 6) + 0.0).alias(n) for n, c in timeutil.cyclical(F.col("ts")).items()))
+    local = timeutil.utc_to_local(F.col("ts"), ZONE)
+    return table(spark, d, "events").select("event_id", *((F.round(c, 6) + 0.0).alias(n) for n, c in timeutil.cyclical(local).items()))
 
 
-@query(f"""WITH {PANEL} SELECT region_id, ts, {', '.join(f"CAST(hour(ts + INTERVAL {15 * h} MINUTE) AS BIGINT) AS hour_h{h}, CAST(isodow(ts + INTERVAL {15 * h} MINUTE) AS BIGINT) AS iso_dow_h{h}, isodow(ts + INTERVAL {15 * h} MINUTE) >= 6 AS is_weekend_h{h}" for h in (1, 2, 3, 4))} FROM panel""")
+@query(f"""WITH {PANEL}, l AS (SELECT region_id, ts, {', '.join(f"ts - INTERVAL 5 HOUR + {h} * INTERVAL 15 MINUTE AS t{h}" for h in (1, 2, 3, 4))} FROM panel)
+SELECT region_id, ts, {', '.join(f"round(sin(pi() * (hour(t{h}) * 60 + minute(t{h})) / 720), 6) + 0.0 AS target_tod_sin_h{h}, round(cos(pi() * (hour(t{h}) * 60 + minute(t{h})) / 720), 6) + 0.0 AS target_tod_cos_h{h}, isodow(t{h}) AS target_weekday_h{h}, hour(t{h}) AS target_hour_h{h}, hour(t{h}) IN (7, 8, 9, 16, 17, 18) AS target_is_rush_h{h}" for h in (1, 2, 3, 4))} FROM l""")
 def target_calendar(spark, d):
     cols = []
     for h in P.HORIZONS:
-        c = timeutil.calendar(F.col("ts") + F.expr(f"interval {15 * h} minutes"))
-        cols += [c[n].alias(f"{n}_h{h}") for n in ("hour", "iso_dow", "is_weekend")]
+        at = timeutil.utc_to_local(F.col("ts") + F.expr(f"interval {15 * h} minutes"), ZONE)
+        cols += [((F.round(c, 6) + 0.0) if "tod" in n else c).alias(n) for n, c in timeutil.target_calendar(at, h).items()]
     return panel(spark, d).select("region_id", "ts", *cols)
 
 

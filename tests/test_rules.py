@@ -30,9 +30,18 @@ def test_first_broken_rule(labelled):
 
 
 def test_waterfall_reconciles(labelled):
-    got = {r.name: r.n for r in R.waterfall(*labelled, [("unreadable", 3)]).collect()}
-    assert got["TOTAL REMOVED"] + got["KEPT"] == len(ROWS) + 3 and got["unreadable"] == 3
-    assert got["null_ride_id"] == 2 and sum(v for k, v in got.items() if k not in ("TOTAL REMOVED", "KEPT")) == got["TOTAL REMOVED"]
+    got = {r.name: r.n for r in R.waterfall(*labelled).collect()}
+    assert got["TOTAL REMOVED"] + got["KEPT"] == len(ROWS) and got["null_ride_id"] == 2 and got["missing_coords"] == 1
+    assert sum(v for k, v in got.items() if k not in ("TOTAL REMOVED", "KEPT")) == got["TOTAL REMOVED"]
+
+
+def test_repeats_are_charged_first(spark):
+    rs = R.trip_rules(date(2024, 1, 1), date(2024, 12, 31), "America/New_York", (40.4, -74.3, 41.0, -73.6))
+    rows = ROWS + [ride("1", "duplicate_ride_id", a=datetime(2024, 6, 4), b=datetime(2024, 6, 4, 1)), ride("8", "duplicate_ride_id", a=datetime(2024, 6, 4), b=datetime(2024, 6, 4, 1), s=3)]
+    marked = R.mark_repeats(spark.createDataFrame(rows, SCHEMA), ["ride_id"], [F.col("started_at").asc_nulls_last()], rs, "duplicate_ride_id")
+    assert all(r.drop_reason == r.want for r in marked.collect()) and marked.count() == len(rows)
+    got = [(r.name, r.n) for r in R.waterfall(marked, rs, ["duplicate_ride_id"]).orderBy("step").collect()]
+    assert got[0] == ("duplicate_ride_id", 2) and dict(got)["TOTAL REMOVED"] + dict(got)["KEPT"] == len(rows)
 
 
 def test_waterfall_of_nothing(spark, labelled):
@@ -62,4 +71,20 @@ def test_traffic_rules(spark):
 
 def test_sortedness(spark):
     df = spark.createDataFrame([(1, 1), (2, 3), (3, 2), (4, 4)], "o int, v int")
-    assert tuple(R.sortedness(df, ["o"], "v").first()) == (4, 1)
+    for width in (1, 2, 3, 100):
+        assert tuple(R.sortedness(df, "o", "v", F.floor(F.col("o") / width)).first()) == (4, 1)
+    assert tuple(R.sortedness(df.limit(0), "o", "v").first()) == (0, 0)
+
+
+def test_quantiles_of_many_equal_values(spark):
+    import numpy as np
+
+    from quadrille.operators import quality
+
+    rng = np.random.default_rng(3)
+    x = np.concatenate([rng.integers(0, 9, 500).astype(float), rng.normal(size=301)])
+    df = spark.createDataFrame([(float(v),) for v in x] + [(None,)], "value double")
+    q = {"a": 0.0, "b": 0.013, "c": 0.5, "d": 0.999, "e": 1.0}
+    r = quality.quantiles(df, "value", q).first()
+    assert all(abs(r[k] - np.quantile(x, p)) < 1e-5 for k, p in q.items()) and abs(r["mean"] - x.mean()) < 1e-5
+    assert set(quality.quantiles(df.filter("value is null"), "value", q).first()) == {None}
