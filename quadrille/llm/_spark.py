@@ -2,19 +2,16 @@
 
 from __future__ import annotations
 
-import atexit
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quadrille.session import ship
+from quadrille.storage import discard, materialise
 
+__all__ = ["discard", "materialise", "ship", "skew_join", "table", "texts"]
 HEAVY = 4000  # rows of one join key beyond which they are dealt to several tasks
 HEAVY_BROADCAST = 100_000
 SALTS = 64
-_RUN = uuid.uuid4().hex
-_FOLDERS: dict[str, object] = {}
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -27,57 +24,6 @@ def texts(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared checkpoint folder; a default of our own only where none is set and driver and executors are one process."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if base:
-        return base
-    if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
-        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-    return "/tmp/quadrille-checkpoints"
-
-
-def _filesystem(spark: SparkSession, path: str):
-    where = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return where.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()), where
-
-
-def materialise(df: DataFrame, label: str, codec: str = "snappy") -> DataFrame:
-    """Cut lineage by writing a table into the shared folder and reading it back.
-
-    The files are visible to every executor, so a lost executor costs a re-read and no recomputation.  What
-    `discard` doesn't delete, `sweep` or the end of the driver's process does."""
-    spark = df.sparkSession
-    folder = f"{shared_dir(spark)}/quadrille/{_RUN}"
-    if folder not in _FOLDERS:
-        _FOLDERS[folder] = _filesystem(spark, folder)
-    path = f"{folder}/{label}-{uuid.uuid4().hex}"
-    df.write.mode("overwrite").option("compression", codec).parquet(path)
-    out = spark.read.schema(df.schema).parquet(path)
-    out._table_path = path
-    return out
-
-
-def discard(*tables: DataFrame) -> None:
-    """Delete materialised tables that later tables have replaced."""
-    for df in tables:
-        files, where = _filesystem(df.sparkSession, df._table_path)
-        files.delete(where, True)
-
-
-def sweep() -> None:
-    """Delete every table that this process has materialised; results that still read one can't be computed any more."""
-    while _FOLDERS:
-        _, (files, where) = _FOLDERS.popitem()
-        try:
-            files.delete(where, True)
-        except Exception:  # the JVM has gone before us: nothing can be deleted from here
-            return
-
-
-atexit.register(sweep)
-
-
 def skew_join(rows: DataFrame, keys: DataFrame, on: list[str], n: str = "n", how: str = "inner", heavy: int = HEAVY) -> DataFrame:
     """rows joined with keys, which has one row per key and the number `n` of rows with it (dropped from the result).
 

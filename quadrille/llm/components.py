@@ -1,9 +1,10 @@
 """Connected components of an edge table, wholly distributed.
 
 Alternating large-star and small-star rounds (Kiveris et al., "Connected Components in MapReduce and
-Beyond") until no edge changes.  Each round is two shuffles on the edge list; the lineage is cut by
-writing the edges into the shared folder.  A hub's neighbours are only aggregated (a minimum), never
-gathered, so a large component cannot overload a task beyond a window over its own sorted rows.
+Beyond") until no edge changes.  Each star is a shuffle of the edge list, and the lineage is cut by writing the
+edges into the shared folder.  A hub's neighbours are aggregated to their minimum before the shuffle and dealt over
+several tasks to meet it (`skew_join`), never gathered, so a component that holds a third of all nodes
+overloads no task.
 """
 
 from __future__ import annotations
@@ -13,6 +14,8 @@ from pyspark.sql import functions as F
 
 from quadrille.llm import _spark
 
+HUB = 1000
+
 
 def _star(edges: DataFrame, large: bool) -> DataFrame:
     """edges(u, v), u > v.  Large: every neighbour above a node links to the least of its neighbourhood; small: those below."""
@@ -20,8 +23,8 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
         both = edges.select("u", "v").union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
     else:
         both = edges
-    least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-    joined = both.join(least, "u")
+    least = both.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")).select("u", F.least("u", "m").alias("m"), "n")
+    joined = _spark.skew_join(both, least, ["u"], heavy=HUB)
     if large:
         out = joined.filter(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.col("m").alias("v"))
     else:
@@ -32,14 +35,16 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
 def connected_components(edges: DataFrame, max_rounds: int = 40) -> DataFrame:
     """(node, component): the least node that each node of edges(a, b) reaches; nodes without an edge are absent.
 
-    Null ends, self-links and repeated links are ignored; no links give an empty result."""
-    e = edges.select(F.greatest("a", "b").cast("long").alias("u"), F.least("a", "b").cast("long").alias("v")).filter("u <> v").distinct()
+    Nodes are numbers or any other type with an order.  Null ends, self-links and repeated links are ignored; no links
+    give an empty result."""
+    e = edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u <> v and a is not null and b is not null").distinct()
     e = _spark.materialise(e, "cc")
     tally = lambda d: d.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
     before = tally(e)
     for _ in range(max_rounds if before[0] else 0):
-        old, e = e, _spark.materialise(_star(_star(e, True), False), "cc")
-        _spark.discard(old)
+        wide = _spark.materialise(_star(e, True), "cc")
+        old, e = e, _spark.materialise(_star(wide, False), "cc")
+        _spark.discard(old, wide)
         now = tally(e)
         if now == before:
             break

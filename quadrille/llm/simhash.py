@@ -12,7 +12,8 @@ different tasks.
 
 Cases: null and empty texts have fingerprint zero and link like any other; a text of fewer words than a
 shingle is one shingle; repeated shingles count; ties (exactly half) give bit 0; repeated doc_ids
-count once; extra columns are ignored; an empty table gives an empty result.
+count once; a very long text is a slice of its own and read whole; a row with a null doc_id has the
+component of its fingerprint; extra columns are ignored; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -30,6 +31,7 @@ from quadrille.llm.components import connected_components
 BLOCK = 4096
 HOT_SAMPLE = 64
 HOT_BROADCAST = 100_000
+HOT_CLASS = 1000
 WORD = regex.compile(rb"[^\x20\x09-\x0D]+")
 
 
@@ -175,11 +177,14 @@ def hot_keys(keyed: DataFrame, block: int) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, width: int = 4, k: int = 4, seed: int = 42) -> DataFrame:
-    """doc_id, fingerprint (16 hex digits) and component_id (smallest doc_id reachable over links of at most k bits)."""
+    """doc_id, fingerprint (16 hex digits) and component_id (smallest doc_id reachable over links of at most k bits).
+
+    Components are found among distinct fingerprints; a fingerprint that very many documents share is dealt over several tasks."""
     rows = _spark.materialise(fingerprints(docs, width, seed), "simhash")
-    classes = rows.groupBy("fp").agg(F.min("doc_id").alias("rep"))
-    links = near_links(classes.select("fp"), k)
-    links = links.join(classes.select(F.col("fp").alias("fa"), F.col("rep").alias("a")), "fa").join(classes.select(F.col("fp").alias("fb"), F.col("rep").alias("b")), "fb")
-    parts = connected_components(links.select("a", "b"))
-    named = classes.join(parts, F.col("rep") == F.col("node"), "left").select("fp", F.coalesce("component", "rep").alias("component_id"))
-    return rows.join(named, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    classes = _spark.materialise(rows.groupBy("fp").agg(F.min("doc_id").alias("rep"), F.count("*").alias("n")), "simhash-classes")
+    parts = connected_components(near_links(classes.select("fp"), k).select(F.col("fa").alias("a"), F.col("fb").alias("b")))
+    named = classes.join(parts, F.col("fp") == F.col("node"), "left").select("fp", "n", "rep", F.coalesce("component", "fp").alias("root"))
+    heads = named.groupBy("root").agg(F.min("rep").alias("component_id"), F.count("*").alias("_size"))
+    named = _spark.materialise(_spark.skew_join(named, heads, ["root"], n="_size", heavy=HOT_CLASS).select("fp", "component_id", "n"), "simhash-named")
+    _spark.discard(classes)
+    return _spark.skew_join(rows, named, ["fp"], heavy=HOT_CLASS).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
