@@ -7,8 +7,9 @@ allows, for every indexable length not above their own.  Lines that meet under a
 banded bit-parallel edit distance after common ends are cut off.
 
 The threshold follows the shorter line: `edits` (2 unless said otherwise) from 20 characters, 1 from 10, none below.  Equal lines (after
-trimming white space) are one class before the join, keyed by a 64-bit hash.  Links join lines into
-components; the first line of a component (least doc_id, then line number) stays.
+trimming white space) are one class before the join, named by a 128-bit hash.  Links join lines into
+components; the first line of a component (least doc_id, then line number) stays.  A line that very many documents
+share sends its keys once a task, and its places are dealt over several tasks.
 
 Keys are dealt and sorted, not paired: a key's members give only the links that their union still needs,
 groups with the same members are verified once, and keys of more than `BLOCK` members are split into
@@ -16,8 +17,9 @@ pairs of blocks, each pair verified in a task of its own.  A key of over `HELD`
 streams by and counted afterwards.
 
 Cases: null texts have no line; blank lines are never duplicates; repeated rows give equal lines; ties
-(equal doc_id and line) are one line; very long lines are joined like others; extra columns are ignored; an
-empty table gives an empty result.
+(equal doc_id and line) are one line; rows with a null doc_id are counted, but nothing is removed from them and
+they are no originals; very long lines are joined like others; extra columns are ignored; an empty table gives
+an empty result.
 """
 
 from __future__ import annotations
@@ -34,6 +36,8 @@ from quadrille.llm.components import connected_components
 LONG, MIDDLE = 20, 10
 BLOCK = 512
 HELD = 200_000
+HEAVY = 1000
+REMEMBERED = 200_000
 
 
 def threshold(n: int, edits: int = 2) -> int:
@@ -90,9 +94,14 @@ def lines_of(text: str | None) -> list[tuple[int, str]]:
     return [(i, s) for i, line in enumerate((text or "").split("\n")) if (s := line.strip())]
 
 
-def line_hash(line: str) -> int:
-    n = xxhash.xxh3_64_intdigest(line.encode("utf-8", "surrogatepass"))
-    return n - (1 << 64) if n >> 63 else n
+def line_id(line: str) -> bytes:
+    """128 bits that name a line."""
+    return xxhash.xxh3_128_digest(line.encode("utf-8", "surrogatepass"))
+
+
+def short_ids(ids: list[bytes]) -> np.ndarray:
+    """The first half of each name as a long: what is dealt around; whole names decide."""
+    return np.frombuffer(b"".join(ids), np.int64)[::2].copy() if ids else np.zeros(0, np.int64)
 
 
 def segment_places(n: np.ndarray, t: int) -> list[tuple[np.ndarray, np.ndarray]]:
@@ -146,32 +155,39 @@ def join_keys(lines: list[str], edits: int = 2) -> tuple[np.ndarray, np.ndarray,
 
 
 def line_rows(docs: DataFrame) -> DataFrame:
-    """(doc_id, line_no, h) of all lines that aren't blank."""
+    """(doc_id, line_no, id) of all lines that aren't blank."""
     def run(batches):
         for part, _, _ in _text.slices(batches):
-            doc, no, h = [], [], []
+            doc, no, ids = [], [], []
             for d, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist()):
                 for i, s in lines_of(text):
                     doc.append(d)
                     no.append(i)
-                    h.append(line_hash(s))
-            yield pa.RecordBatch.from_arrays([pa.array(doc, pa.int64()), pa.array(no, pa.int32()), pa.array(h, pa.int64())], names=["doc_id", "line_no", "h"])
+                    ids.append(line_id(s))
+            yield pa.RecordBatch.from_arrays([pa.array(doc, pa.int64()), pa.array(no, pa.int32()), pa.array(ids, pa.binary())], names=["doc_id", "line_no", "id"])
+
+    return docs.mapInArrow(run, "doc_id long, line_no int, id binary")
 
-    return docs.mapInArrow(run, "doc_id long, line_no int, h long")
+
+def _fresh(batches):
+    """Per slice, its distinct lines that the task hasn't met before (it forgets after `REMEMBERED` lines) and their names."""
+    met: set[bytes] = set()
+    for part, _, _ in _text.slices(batches):
+        lines = list({s: None for text in part.column(1).to_pylist() for _, s in lines_of(text) if len(s) >= MIDDLE})
+        ids = list(map(line_id, lines))
+        new = [i for i, x in enumerate(ids) if x not in met]
+        if len(met) > REMEMBERED:
+            met.clear()
+        met.update(ids)
+        yield [lines[i] for i in new], [ids[i] for i in new]
 
 
 def keyed_lines(docs: DataFrame, edits: int) -> DataFrame:
-    """(key, h): every key of every line; a task sends the keys of equal lines of a slice once."""
+    """(key, h, probes): every key of every line; a task sends the keys of equal lines once."""
     def run(batches):
-        for part, _, _ in _text.slices(batches):
-            seen = {}
-            for text in part.column(1).to_pylist():
-                for _, s in lines_of(text):
-                    if len(s) >= MIDDLE:
-                        seen.setdefault(s, None)
-            lines = list(seen)
+        for lines, ids in _fresh(batches):
             key, who, probe = join_keys(lines, edits)
-            h = np.fromiter(map(line_hash, lines), np.int64, len(lines))
+            h = short_ids(ids)
             for a in range(0, len(key), 1 << 17):
                 cut = slice(a, a + (1 << 17))
                 yield pa.RecordBatch.from_arrays([pa.array(key[cut]), pa.array(h[who[cut]]), pa.array(probe[cut])], names=["key", "h", "probes"])
@@ -231,38 +247,43 @@ def _groups(batches, held: int):
         yield out
 
 
+def _letters(lines: list[str]) -> np.ndarray:
+    """How often each line has a character of each of 32 classes: an edit changes at most two of these counts by one."""
+    size = np.fromiter(map(len, lines), np.int64, len(lines))
+    flat = np.frombuffer("".join(lines).encode("utf-32-le", "surrogatepass"), np.uint32)
+    kind = _text.mix(flat.astype(np.uint64) + np.uint64(1)) >> np.uint64(59)
+    own = np.repeat(np.arange(len(lines)), size)
+    return np.bincount(own * 32 + kind.astype(np.int64), minlength=32 * len(lines)).reshape(-1, 32).astype(np.int32)
+
+
 def links_of(lines: list[str], edits: int) -> list[tuple[int, int]]:
-    """Index pairs within their threshold that join all lines which such pairs connect."""
+    """Index pairs within their threshold that join all lines which such pairs connect.
+
+    All longer lines of a line are compared at once by length and letters; what that leaves is verified by edit distance."""
     order = sorted(range(len(lines)), key=lambda i: (len(lines[i]), lines[i]))
-    root = list(range(len(lines)))
-
-    def find(i):
-        while root[i] != i:
-            root[i] = root[root[i]]
-            i = root[i]
-        return i
-
-    out, open_ = [], []
-    for i in order:
-        n, rest = len(lines[i]), []
-        for j in open_:
-            t = threshold(len(lines[j]), edits)
-            if n - len(lines[j]) > max(edits, 1):
-                continue
-            rest.append(j)
-            if find(i) != find(j) and edit_distance_within(lines[j], lines[i], t):
-                out.append((j, i))
-                root[find(i)] = find(j)
-        open_ = rest + [i]
+    lines = [lines[i] for i in order]
+    size = np.fromiter(map(len, lines), np.int64, len(lines))
+    root, letters = np.arange(len(lines)), _letters(lines)
+    out = []
+    for i, line in enumerate(lines):
+        t = threshold(len(line), edits)
+        last = int(np.searchsorted(size, size[i] + t, side="right"))
+        if last <= i + 1:
+            continue
+        near = np.flatnonzero((root[i + 1 : last] != root[i]) & (np.abs(letters[i + 1 : last] - letters[i]).sum(axis=1) <= 2 * t)) + i + 1
+        for j in near.tolist():
+            if root[j] != root[i] and edit_distance_within(line, lines[j], t):
+                out.append((order[i], order[j]))
+                root[root == root[j]] = root[i]
     return out
 
 
 def near_links(docs: DataFrame, edits: int = 2) -> DataFrame:
-    """(a, b): links between hashes of distinct lines, enough to connect all lines within their thresholds."""
+    """(a, b): links between names of distinct lines, enough to connect all lines within their thresholds."""
     keyed = keyed_lines(docs, edits)
     held = HELD
     groups = keyed.repartition("key").sortWithinPartitions("key").mapInArrow(lambda it: _groups(it, held), "grp long, h long, size long")
-    groups = _spark.materialise(groups.dropDuplicates(["grp", "h"]), "line-groups")
+    groups = groups_table = _spark.materialise(groups.dropDuplicates(["grp", "h"]), "line-groups")
     counted = groups.filter("size < 0").groupBy("grp").agg(F.count("*").alias("members"))
     groups = groups.join(counted, "grp", "left").select("grp", "h", F.coalesce("members", "size").alias("size"))
     # members of large groups go to every pair of blocks that holds theirs
@@ -274,52 +295,71 @@ def near_links(docs: DataFrame, edits: int = 2) -> DataFrame:
     bitmap = docs.sparkSession.sparkContext.broadcast(_bitmap.build(wanted))
 
     def texts(batches):
-        for part, _, _ in _text.slices(batches):
-            seen = list({s: None for text in part.column(1).to_pylist() for _, s in lines_of(text) if len(s) >= MIDDLE})
-            h = np.fromiter(map(line_hash, seen), np.int64, len(seen))
+        for lines, ids in _fresh(batches):
+            h = short_ids(ids)
             pick = np.flatnonzero(_bitmap.holds(bitmap.value, h))
-            yield pa.RecordBatch.from_arrays([pa.array(h[pick]), pa.array([seen[i] for i in pick], pa.string())], names=["h", "line"])
+            yield pa.RecordBatch.from_arrays([pa.array(h[pick]), pa.array([ids[i] for i in pick], pa.binary()), pa.array([lines[i] for i in pick], pa.string())], names=["h", "id", "line"])
 
-    lines = docs.mapInArrow(texts, "h long, line string").join(wanted, "h", "left_semi").dropDuplicates(["h"])
+    lines = docs.mapInArrow(texts, "h long, id binary, line string").join(wanted, "h", "left_semi").dropDuplicates(["h", "id"])
 
     def verify(batches):
         grp, rows = None, []
+
+        def links():
+            return [(rows[i][0], rows[j][0]) for i, j in links_of([r[1] for r in rows], edits)]
+
         for batch in batches:
             out = []
-            for g, h, s in zip(*(c.to_pylist() for c in batch.columns)):
+            for g, i, s in zip(*(c.to_pylist() for c in batch.columns)):
                 if g != grp:
-                    out += [(rows[i][0], rows[j][0]) for i, j in links_of([r[1] for r in rows], edits)]
+                    out += links()
                     grp, rows = g, []
-                rows.append((h, s))
+                rows.append((i, s))
             if out:
-                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out)], names=["a", "b"])
-        out = [(rows[i][0], rows[j][0]) for i, j in links_of([r[1] for r in rows], edits)]
-        if out:
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out)], names=["a", "b"])
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.binary()) for c in zip(*out)], names=["a", "b"])
+        if out := links():
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.binary()) for c in zip(*out)], names=["a", "b"])
 
-    return dealt.join(lines, "h").select("grp", "h", "line").repartition("grp").sortWithinPartitions("grp").mapInArrow(verify, "a long, b long")
+    found = dealt.join(lines, "h").select("grp", "id", "line").repartition("grp").sortWithinPartitions("grp").mapInArrow(verify, "a binary, b binary")
+    found = _spark.materialise(found.distinct(), "line-links")
+    _spark.discard(groups_table)
+    bitmap.destroy()
+    return found
 
 
-def duplicate_lines(docs: DataFrame, edits: int = 2, rows: DataFrame | None = None) -> DataFrame:
+def duplicate_lines(docs: DataFrame, edits: int = 2) -> DataFrame:
     """(doc_id, line_no, kept_doc, kept_line): each line that goes, with the first line of its component."""
     docs = _spark.texts(docs).filter("doc_id is not null")
-    rows = rows or _spark.materialise(line_rows(docs), "lines")
+    rows = _spark.materialise(line_rows(docs), "lines")
     place = F.struct("doc_id", "line_no")
-    classes = rows.groupBy("h").agg(F.min(place).alias("first"), F.count("*").alias("n"))
-    parts = connected_components(near_links(docs, edits))
-    named = classes.join(parts, F.col("h") == F.col("node"), "left").select("h", "n", "first", F.coalesce("component", "h").alias("component"))
-    heads = named.groupBy("component").agg(F.min("first").alias("head"), F.sum("n").alias("lines")).filter("lines > 1")
-    several = named.join(heads, "component").select("h", "head")
-    return rows.join(several, "h").filter(place != F.col("head")).select("doc_id", "line_no", F.col("head.doc_id").alias("kept_doc"), F.col("head.line_no").alias("kept_line"))
+    classes = rows.groupBy("id").agg(F.min(place).alias("first"), F.count("*").alias("n"))
+    links = near_links(docs, edits)
+    parts = connected_components(links)
+    # a line that stands once and has no link stays: it isn't looked up again
+    named = classes.join(parts, F.col("id") == F.col("node"), "left").filter("n > 1 or node is not null").select("id", "n", "first", F.coalesce("component", "id").alias("component"))
+    named = _spark.materialise(named, "line-classes")
+    heads = named.groupBy("component").agg(F.min("first").alias("head"), F.count("*").alias("_size"))
+    several = _spark.skew_join(named, heads, ["component"], n="_size", heavy=HEAVY).select("id", "head", "n")
+    gone = _spark.skew_join(rows, several, ["id"], heavy=HEAVY).filter(place != F.col("head")).select("doc_id", "line_no", F.col("head.doc_id").alias("kept_doc"), F.col("head.line_no").alias("kept_line"))
+    out = _spark.materialise(gone, "lines-gone")
+    _spark.discard(rows, links, named)
+    return out
+
+
+def line_counts(docs: DataFrame) -> DataFrame:
+    """(doc_id, n_lines) of every row."""
+    def run(batches):
+        for part, _, _ in _text.slices(batches):
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array([len(lines_of(t)) for t in part.column(1).to_pylist()], pa.int64())], names=["doc_id", "n_lines"])
+
+    return _spark.texts(docs).mapInArrow(run, "doc_id long, n_lines long")
 
 
 def line_report(docs: DataFrame, edits: int = 2) -> DataFrame:
     """doc_id, n_lines (not blank), n_removed, removed (line numbers, ascending) and kept_docs (doc_ids of the lines kept instead)."""
-    rows = _spark.materialise(line_rows(_spark.texts(docs).filter("doc_id is not null")), "lines")
-    gone = duplicate_lines(docs, edits, rows).groupBy("doc_id").agg(F.sort_array(F.collect_set("line_no")).alias("removed"), F.sort_array(F.collect_set("kept_doc")).alias("kept_docs"))
-    lines = rows.groupBy("doc_id").agg(F.countDistinct("line_no").alias("n_lines"))
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id")).join(lines, "doc_id", "left").join(gone, "doc_id", "left").select(
-        "doc_id", F.coalesce("n_lines", F.lit(0)).alias("n_lines"), F.coalesce(F.size("removed"), F.lit(0)).cast("long").alias("n_removed"),
+    gone = duplicate_lines(docs, edits).groupBy("doc_id").agg(F.sort_array(F.collect_set("line_no")).alias("removed"), F.sort_array(F.collect_set("kept_doc")).alias("kept_docs"))
+    return line_counts(docs).join(gone, "doc_id", "left").select(
+        "doc_id", "n_lines", F.coalesce(F.size("removed"), F.lit(0)).cast("long").alias("n_removed"),
         F.coalesce("removed", F.array().cast("array<int>")).alias("removed"), F.coalesce("kept_docs", F.array().cast("array<long>")).alias("kept_docs"))
 
 
