@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from quadrille.llm import language_id, line_dedup, matroska, phrase_index, quote_threads, sentence_pieces, simhash, substring_dedup, token_counts, toxicity
 from quadrille.llm._spark import table
@@ -37,8 +38,22 @@ def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def quoting(talks: DataFrame) -> DataFrame:
+    """The conversations as their authors would have sent them by mail: the table's messages quote nothing, so three of four
+    turns get quotes in front: of the turn before, of the two turns before with an attribution line, or of the first line two turns before."""
+    said = talks.groupBy("conv_id", "turn").agg(F.min("text").alias("said"))
+    back = lambda k: said.select("conv_id", (F.col("turn") + k).alias("turn"), F.col("said").alias(f"said{k}"))
+    rows = talks.join(back(1), ["conv_id", "turn"], "left").join(back(2), ["conv_id", "turn"], "left")
+    quote = lambda c, mark: F.concat(F.lit(mark), F.replace(F.col(c), F.lit("\n"), F.lit("\n" + mark)), F.lit("\n"))
+    own, k = F.coalesce("text", F.lit("")), F.col("turn") % 4
+    made = F.when((k == 1) & F.col("said1").isNotNull(), F.concat(quote("said1", "> "), F.lit("\n"), own))
+    made = made.when((k == 2) & F.col("said1").isNotNull() & F.col("said2").isNotNull(), F.concat(F.lit("On Monday, they wrote:\n"), quote("said2", "> > "), quote("said1", "> "), own))
+    made = made.when((k == 3) & F.col("said2").isNotNull(), F.concat(F.lit("> "), F.split_part("said2", F.lit("\n"), F.lit(1)), F.lit("\n"), own))
+    return rows.select("conv_id", "turn", "role", made.otherwise(F.col("text")).alias("text"))
+
+
 def op8_quote_threads(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quote_threads.format_messages(table(spark, sf_dir, "conversations"))
+    return quote_threads.format_messages(quoting(table(spark, sf_dir, "conversations")))
 
 
 def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -58,6 +73,12 @@ QUERIES = {
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 _ALNUM = r"'[^\x00-\x2F\x3A-\x60\x7B-\x7F]+'"
 
+# the same quotes as `quoting` puts in front, said in SQL
+_TALKS = """u AS (SELECT conv_id, turn, min(text) AS text FROM conversations GROUP BY 1, 2), talks AS (SELECT c.conv_id, c.turn, c.role, CASE
+WHEN c.turn % 4 = 1 AND a.text IS NOT NULL THEN '> ' || replace(a.text, chr(10), chr(10) || '> ') || chr(10) || chr(10) || coalesce(c.text, '')
+WHEN c.turn % 4 = 2 AND a.text IS NOT NULL AND b.text IS NOT NULL THEN 'On Monday, they wrote:' || chr(10) || '> > ' || replace(b.text, chr(10), chr(10) || '> > ') || chr(10) || '> ' || replace(a.text, chr(10), chr(10) || '> ') || chr(10) || coalesce(c.text, '')
+WHEN c.turn % 4 = 3 AND b.text IS NOT NULL THEN '> ' || split_part(b.text, chr(10), 1) || chr(10) || coalesce(c.text, '') ELSE c.text END AS text
+FROM conversations c LEFT JOIN u a ON a.conv_id = c.conv_id AND a.turn = c.turn - 1 LEFT JOIN u b ON b.conv_id = c.conv_id AND b.turn = c.turn - 2)"""
 ORACLE_SQL: dict[str, str] = {
     "op6_decontamination": f"""WITH d AS (SELECT doc_id, regexp_extract_all({_LOWER}, {_ALNUM}) AS w FROM documents), i AS (SELECT item_id, regexp_extract_all({_LOWER}, {_ALNUM}) AS w FROM benchmark),
 q AS (SELECT item_id, least(len(w), 10) AS n, unnest(range(1, greatest(len(w) - 9, 1) + 1)) AS s, w FROM i WHERE len(w) > 0), k AS (SELECT DISTINCT item_id, n, array_to_string(w[s : s + n - 1], ' ') AS k FROM q),
@@ -68,7 +89,7 @@ SELECT d.doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_item
 y AS (SELECT doc_id, s, min(doc_id) OVER (PARTITION BY array_to_string(w[s : s + 49], ' ')) AS first FROM x), g AS (SELECT DISTINCT doc_id, unnest(range(s, s + 50)) AS pos FROM y WHERE first < doc_id),
 e AS (SELECT doc_id, unnest(w) AS word, unnest(range(1, len(w) + 1)) AS pos FROM d), k AS (SELECT e.doc_id, count(*) AS kept, string_agg(word, ' ' ORDER BY e.pos) AS text FROM e LEFT JOIN g ON e.doc_id = g.doc_id AND e.pos = g.pos WHERE g.pos IS NULL GROUP BY 1)
 SELECT d.doc_id, len(w) AS n_words, len(w) - coalesce(kept, 0) AS n_removed, sha256(coalesce(k.text, '')) AS kept_sha256 FROM d LEFT JOIN k USING (doc_id)""",
-    "op8_quote_threads": rf"""WITH RECURSIVE l AS (SELECT conv_id, turn, role, unnest(string_split_regex(coalesce(text, ''), '\r?\n')) AS s, unnest(range(len(string_split_regex(coalesce(text, ''), '\r?\n')))) AS i FROM conversations),
+    "op8_quote_threads": rf"""WITH RECURSIVE {_TALKS}, l AS (SELECT conv_id, turn, role, unnest(string_split_regex(coalesce(text, ''), '\r?\n')) AS s, unnest(range(len(string_split_regex(coalesce(text, ''), '\r?\n')))) AS i FROM talks),
 p AS (SELECT conv_id, turn, role, i, length(replace(regexp_extract(s, '{quote_threads.QUOTE}'), ' ', '')) AS level, regexp_replace(regexp_replace(s, '{quote_threads.QUOTE}', ''), '^ ', '') AS s FROM l),
 c AS (SELECT *, CASE WHEN level = lag(level) OVER w THEN 0 ELSE 1 END AS opens FROM p WINDOW w AS (PARTITION BY conv_id, turn ORDER BY i)), g AS (SELECT *, sum(opens) OVER (PARTITION BY conv_id, turn ORDER BY i) AS part FROM c),
 k AS (SELECT conv_id, turn, any_value(level) AS level, trim(regexp_replace(lower(string_agg(s, ' ' ORDER BY i)), '\s+', ' ', 'g')) AS body FROM g GROUP BY conv_id, turn, part UNION SELECT conv_id, turn, level, trim(regexp_replace(lower(s), '\s+', ' ', 'g')) FROM p),

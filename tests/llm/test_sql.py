@@ -28,9 +28,15 @@ def test_quotes_match_sql(spark):
     con = duckdb.connect()
     frame = pd.DataFrame(rows, columns=["conv_id", "turn", "role", "text"])  # noqa: F841
     con.sql("create table conversations as select * from frame")
-    want = con.sql(queries.ORACLE_SQL["op8_quote_threads"])
+    want = con.sql(queries.ORACLE_SQL["op8_quote_threads"].replace(queries._TALKS, "talks AS (SELECT * FROM conversations)"))
     from quadrille.llm import quote_threads
 
     got = quote_threads.format_messages(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"))
     key = lambda r: tuple(map(str, r))
     assert sorted(map(key, got.select(*want.columns).collect())) == sorted(map(key, want.fetchall()))
+
+
+def test_the_registered_conversations_quote(spark):
+    got = queries.QUERIES["op8_quote_threads"](spark, SF)
+    r = got.selectExpr("count(*) n", "count_if(reply_to is not null) linked", "max(depth) deep", "count_if(n_quoted > 0) quoting").first()
+    assert r.linked == r.quoting > r.n / 2 and r.deep == 2
