@@ -29,7 +29,6 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -37,7 +36,7 @@ from quadrille.llm import _bitmap, _spark, _text
 from quadrille.llm.fm_index import FMIndex, earlier_windows
 
 WIDTH, GRAM = 50, 16
-SHARD_WORDS = 400_000
+SHARD_WORDS = 300_000
 HOT = 1000
 
 
@@ -179,16 +178,23 @@ def _around(rows: DataFrame, shared: DataFrame, column: str) -> DataFrame:
     return pieces(_bitmap.likely(rows, chosen).join(chosen, "doc_id").select("doc_id", "text", "shared"))
 
 
-def _windows(batches):
-    """Rows (doc_id, begins, words) to a row for each of their windows."""
-    for batch in batches:
-        key, doc, at = [], [], []
-        for d, begins, words in zip(*(c.to_pylist() for c in batch.columns)):
-            for i in range(len(words) // 4 - WIDTH + 1):
-                key.append(xxhash.xxh3_128_digest(words[4 * i : 4 * (i + WIDTH)]))
-                doc.append(d)
-                at.append([b + i for b in begins])
-        yield pa.RecordBatch.from_arrays([pa.array(key, pa.binary()), pa.array(doc, pa.int64()), pa.array(at, pa.list_(pa.int32()))], names=["key", "doc_id", "begins"])
+def _windows(batches, rows: int = 1000):
+    """Rows (doc_id, begins, words) to a row for each of their windows, named by 128 bits."""
+    for whole in batches:
+        for at in range(0, whole.num_rows, rows):
+            doc, begins, words = whole.slice(at, rows).columns
+            n = np.array([len(w) // 4 for w in words.to_pylist()], dtype=np.int64)
+            flat = np.frombuffer(b"".join(words.to_pylist()), np.uint32).astype(np.uint64)
+            windows = n - WIDTH + 1
+            own = np.repeat(np.arange(len(n)), windows)
+            inside = _text.ranges(np.zeros(len(n), np.int64), windows)
+            start = (np.cumsum(n) - n)[own] + inside
+            keys = [_text.run_hashes(_text.mix(flat + np.uint64(salt)), WIDTH)[start].view(np.int64) for salt in (3, 5)]
+            size = np.diff(begins.offsets.to_numpy())
+            first = np.cumsum(size) - size
+            places = begins.flatten().to_numpy()[_text.ranges(first[own], size[own])] + np.repeat(inside, size[own])
+            bounds = np.concatenate([[0], np.cumsum(size[own])])
+            yield pa.RecordBatch.from_arrays([*map(pa.array, keys), doc.take(pa.array(own)), _text.ragged(places.astype(np.int32), bounds, pa.int32())], names=["key", "check", "doc_id", "begins"])
 
 
 def _hot_cuts(around: DataFrame, hot: int) -> tuple[DataFrame, list[DataFrame]]:
@@ -202,9 +208,9 @@ def _hot_cuts(around: DataFrame, hot: int) -> tuple[DataFrame, list[DataFrame]]:
     sizes = distinct.groupBy("anchor").agg(F.count("*").alias("n")).withColumn("many", F.col("n") > hot)
     rows = _spark.skew_join(distinct.select("anchor", "first.doc_id", "first.begins", "words"), sizes, ["anchor"], heavy=hot)
     cuts = whole.unionByName(_shards(rows.filter("not many").drop("many")))
-    single = _spark.materialise(rows.filter("many").select("doc_id", "begins", "words").mapInArrow(_windows, "key binary, doc_id long, begins array<int>"), "hot-windows")
-    first = single.groupBy("key").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("last"), F.count("*").alias("n")).filter("least < last").drop("last")
-    again = _spark.skew_join(single, first, ["key"], heavy=hot).filter(F.col("doc_id") > F.col("least")).select("doc_id", F.explode("begins").alias("a"))
+    single = _spark.materialise(rows.filter("many").select("doc_id", "begins", "words").mapInArrow(_windows, "key long, check long, doc_id long, begins array<int>"), "hot-windows")
+    first = single.groupBy("key", "check").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("last"), F.count("*").alias("n")).filter("least < last").drop("last")
+    again = _spark.skew_join(single, first, ["key", "check"], heavy=hot).filter(F.col("doc_id") > F.col("least")).select("doc_id", F.explode("begins").alias("a"))
     return cuts.unionByName(again.select("doc_id", "a", (F.col("a") + WIDTH).cast("int").alias("b"))), [around, distinct, single]
 
 
