@@ -195,10 +195,31 @@ def region_metadata(spark, d):
     return s.join(near, "region_id").select("region_id", "station_count", F.round(lat, 6).alias("centroid_lat"), F.round(lng, 6).alias("centroid_lng"), F.round(g.area_km2(F.col("region_id")), 6).alias("area_km2"), "n_neighbors")
 
 
-@query(f"""WITH s AS ({STATIONS}), x AS (SELECT *, cos(radians(lat)) * cos(radians(lng)) AS x, cos(radians(lat)) * sin(radians(lng)) AS y, sin(radians(lat)) AS z FROM s), t AS (SELECT id, z / y AS u0, -1 * x / y AS v0, -1 * x / y AS q, z / y AS p FROM x)
-SELECT id, '4/' || CAST(CAST(floor((CASE WHEN p >= 0 THEN 0.5 * sqrt(1 + 3 * p) ELSE 1 - 0.5 * sqrt(1 - 3 * p) END) * 8192) AS BIGINT) AS VARCHAR) || '/' || CAST(CAST(floor((CASE WHEN q >= 0 THEN 0.5 * sqrt(1 + 3 * q) ELSE 1 - 0.5 * sqrt(1 - 3 * q) END) * 8192) AS BIGINT) AS VARCHAR) AS cell FROM t""")
+# the stations lie on face 4; the curve is followed bit by bit: where a quarter stands under each turn, and how it turns the next
+_TOKENS = f"""x AS (SELECT *, cos(radians(lat)) * cos(radians(lng)) AS x, cos(radians(lat)) * sin(radians(lng)) AS y, sin(radians(lat)) AS z FROM s), t AS (SELECT id, -1 * x / y AS q, z / y AS p FROM x),
+f AS (SELECT id, CAST(floor((CASE WHEN p >= 0 THEN 0.5 * sqrt(1 + 3 * p) ELSE 1 - 0.5 * sqrt(1 - 3 * p) END) * 8192) AS BIGINT) AS i, CAST(floor((CASE WHEN q >= 0 THEN 0.5 * sqrt(1 + 3 * q) ELSE 1 - 0.5 * sqrt(1 - 3 * q) END) * 8192) AS BIGINT) AS j FROM t),
+r AS (SELECT id, i, j, 12 AS k, 0::BIGINT AS pos, 0 AS turn FROM f UNION ALL SELECT id, i, j, k - 1, pos * 4 + place, xor(turn, [1, 0, 0, 3][place + 1]) FROM (SELECT *, [[0, 1, 3, 2], [0, 3, 1, 2], [2, 3, 1, 0], [2, 1, 3, 0]][turn + 1][1 + (i >> k & 1) * 2 + (j >> k & 1)] AS place FROM r WHERE k >= 0) y)"""
+
+
+@query(f"""WITH RECURSIVE s AS ({STATIONS}), {_TOKENS} SELECT r.id, '4/' || CAST(f.i AS VARCHAR) || '/' || CAST(f.j AS VARCHAR) AS cell, rtrim(printf('%016x', (4::UBIGINT << 61) | ((pos::UBIGINT * 2 + 1) << 34)), '0') AS token FROM r JOIN f ON r.id = f.id WHERE k = -1""")
 def s2_cells(spark, d):
-    return stations(spark, d).select("id", spatial.S2Grid(13).index(F.col("lat"), F.col("lng")).alias("cell"))
+    g = spatial.S2Grid(13)
+    return stations(spark, d).select("id", g.face_name(F.col("lat"), F.col("lng")).alias("cell"), g.index(F.col("lat"), F.col("lng")).alias("token"))
+
+
+@query(f"""WITH s AS ({STATIONS}), p AS (SELECT *, (SELECT sqrt(4 * pi() * 6371.0088 * 6371.0088 / (2 + 120 * pow(7, 8)) * 2 / (3 * sqrt(3)))) AS size, radians(lng) * 6371.0088 * cos(radians(40.7)) AS x, sin(radians(lat)) * 6371.0088 / cos(radians(40.7)) AS y FROM s),
+c AS (SELECT DISTINCT i.id, i.lat, i.lng, i.size, i.x, i.y, CAST(round(i.x / (i.size * sqrt(3)) - round(i.y / (1.5::DOUBLE * i.size)) / 2) + a AS BIGINT) AS q, CAST(round(i.y / (1.5::DOUBLE * i.size)) + b AS BIGINT) AS r FROM p i, (SELECT unnest([-1, 0, 1]) AS a) u, (SELECT unnest([-1, 0, 1]) AS b) v),
+n AS (SELECT id, lat, lng, q, r, row_number() OVER (PARTITION BY id ORDER BY pow(x - size * sqrt(3) * (q + r / 2), 2) + pow(y - size * 1.5::DOUBLE * r, 2)) AS nth FROM c), k AS (SELECT q, r, count(*) AS stations FROM n WHERE nth = 1 GROUP BY 1, 2),
+e AS (SELECT k.*, o.q AS near FROM k LEFT JOIN k o ON (o.q, o.r) IN ((k.q + 1, k.r), (k.q - 1, k.r), (k.q, k.r + 1), (k.q, k.r - 1), (k.q + 1, k.r - 1), (k.q - 1, k.r + 1))), z AS (SELECT q, r, stations, count(near) AS n_neighbors FROM e GROUP BY 1, 2, 3), y AS (SELECT any_value(size) AS size FROM p)
+SELECT 'h8_' || CAST(q AS VARCHAR) || '_' || CAST(r AS VARCHAR) AS region_id, stations, n_neighbors, round(degrees(asin(size * 1.5::DOUBLE * r * cos(radians(40.7)) / 6371.0088)), 6) AS centroid_lat, round(degrees(size * sqrt(3) * (q + r / 2) / 6371.0088 / cos(radians(40.7))), 6) AS centroid_lng, round(1.5::DOUBLE * sqrt(3) * size * size, 6) AS area_km2 FROM z, y""")
+def hex_regions(spark, d):
+    """Hexagonal cells with stations: index, first ring, centroid, area.  The SQL takes the nearest of nine centres."""
+    g = spatial.HexGrid(8)
+    s = stations(spark, d).groupBy(g.index(F.col("lat"), F.col("lng")).alias("region_id")).agg(F.count("*").alias("stations"))
+    ring = s.select("region_id", F.explode(g.ring(F.col("region_id"))).alias("cell"))
+    near = ring.join(s.select(F.col("region_id").alias("cell")), "cell").groupBy("region_id").agg((F.count("*") - 1).alias("n_neighbors"))
+    lat, lng = g.centroid(F.col("region_id"))
+    return s.join(near, "region_id").select("region_id", "stations", "n_neighbors", F.round(lat, 6).alias("centroid_lat"), F.round(lng, 6).alias("centroid_lng"), F.round(g.area_km2(F.col("region_id")), 6).alias("area_km2"))
 
 
 @query("WITH v(system, resolution, area, cells) AS (VALUES ('s2', 12, 5.06638::DOUBLE, 110), ('s2', 13, 1.26659::DOUBLE, 231), ('s2', 14, 0.31665::DOUBLE, 690)) SELECT system, resolution, round(0.7::DOUBLE * abs(ln(area / 0.7372)) + 0.3::DOUBLE * abs(ln(cells / 321.0)), 6) AS score FROM v")
