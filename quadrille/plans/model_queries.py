@@ -7,28 +7,60 @@ from datetime import date
 from pyspark.sql import functions as F
 
 from quadrille.functions import metrics, timeutil
-from quadrille.operators import models
+from quadrille.operators import families, models
 from quadrille.operators import panel as P
-from quadrille.plans.panel_queries import panel
+from quadrille.plans.feature_sql import FEATURES_SQL
+from quadrille.plans.panel_queries import ZONE, panel
 from quadrille.plans.registry import query
+from quadrille.storage import materialise
+
+
+_TARGETS = {(k, h): f"{k}_h{h}" for k in ("pickup", "dropoff") for h in P.HORIZONS}
+_SMALL = [c for c in families.family_columns()["A"] if "672" not in c] + ["hour", "day_of_week", "is_weekend", "tod_sin", "tod_cos", "pickups_roll_mean_12", "dropoffs_roll_mean_12"]
 
 
 def design(spark, d):
-    cols = P.lags(("pickups",), (1, 2, 4, 8, 96)) | {"target": F.lead("pickups", 1).over(P.by_region()), "mean12": F.avg("pickups").over(P.frame(12))}
-    f = panel(spark, d).select("region_id", "ts", F.col("pickups").cast("double").alias("pickups"), *(c.cast("double").alias(n) for n, c in cols.items()))
-    return f.withColumn("hour", F.hour("ts").cast("double")).withColumn("dow", F.extract(F.lit("dayofweek_iso"), "ts").cast("double"))
+    """The panel's own features with the eight targets, and region_idx."""
+    p = panel(spark, d)
+    local = timeutil.utc_to_local(F.col("ts"), ZONE)
+    made = {**families.demand_recent(), **timeutil.calendar(local), **timeutil.cyclical(local), **families.rolling_trend(), **P.targets()}
+    return p.select("region_id", "ts", "pickups", "dropoffs", *(made[c].alias(c) for c in [*_SMALL, *_TARGETS.values()]))
 
 
 @query()
 def boosted_trees_eval(spark, d):
-    """Trees against the same-day naive forecast on the same held-out rows; a fitted model, so checked by tests."""
-    features = ["pickups", "pickups_lag1", "pickups_lag2", "pickups_lag4", "pickups_lag8", "pickups_lag96", "mean12", "hour", "dow"]
-    rows = design(spark, d).dropna()
-    train, test = models.Split("train", date(2024, 1, 1), date(2024, 1, 20)), models.Split("test", date(2024, 1, 21), date(2024, 1, 30))
-    m = models.boosted_trees(rows.filter(train.contains("ts", "UTC")), None, features, "target", rounds=5, depth=3)
-    held = models.score(m, rows.filter(test.contains("ts", "UTC")))
-    long = held.select(F.col("target").alias("actual"), F.inline(F.array(F.struct(F.lit("trees").alias("model"), F.col("predicted").alias("predicted")), F.struct(F.lit("same_day").alias("model"), F.col("pickups_lag96").alias("predicted")))))
-    return metrics.evaluate(long, ["model"])
+    """Eight Poisson models (kind and horizon) with early stopping against the same-day naive forecast on the same held-out rows; fitted models, so checked by tests."""
+    rows = materialise(design(spark, d).dropna(subset=[*_TARGETS.values(), "pickups_lag_96"]), "design")
+    train, valid, test = models.Split("train", date(2024, 1, 2), date(2024, 1, 18)), models.Split("valid", date(2024, 1, 19), date(2024, 1, 23)), models.Split("test", date(2024, 1, 24), date(2024, 1, 30))
+    part = lambda s: rows.filter(s.contains("ts", ZONE))
+    fitted = models.fit_all(part(train), part(valid), _SMALL, _TARGETS, rounds=4, depth=3, patience=2)
+    long = None
+    for (kind, h), m in fitted.items():
+        held = models.score(m, part(test)).select("region_id", "ts", F.lit(kind).alias("kind"), F.lit(h).alias("horizon"), F.col(f"{kind}_h{h}").alias("actual"), F.lit("boosted_trees").alias("model"), "predicted")
+        naive = part(test).select("region_id", "ts", F.lit(kind).alias("kind"), F.lit(h).alias("horizon"), F.col(f"{kind}_h{h}").alias("actual"), F.lit("same_day").alias("model"), F.col(f"{kind}s_lag_96").cast("double").alias("predicted"))
+        long = held.unionByName(naive) if long is None else long.unionByName(held).unionByName(naive)
+    return metrics.evaluate(long, ["kind", "horizon", "model"])
+
+
+@query()
+def ablation_eval(spark, d):
+    """The ablation loop over two cumulative sets with its verdicts; fitted models, so checked by tests."""
+    rows = materialise(design(spark, d).dropna(subset=["pickup_h1", "dropoff_h1", "pickups_lag_96"]), "design")
+    train, valid = models.Split("train", date(2024, 1, 2), date(2024, 1, 23)), models.Split("valid", date(2024, 1, 24), date(2024, 1, 30))
+    first = [c for c in _SMALL if "_lag_" in c]
+    got = models.ablation(rows.filter(train.contains("ts", ZONE)), rows.filter(valid.contains("ts", ZONE)), {"A": first, "B": _SMALL}, ["pickup_h1", "dropoff_h1"], rounds=3, depth=3)
+    return metrics.verdicts(got)
+
+
+_A_TO_C = [c for k in "ABC" for c in families.family_columns()[k]]
+
+
+@query(FEATURES_SQL)
+def series_features(spark, d):
+    """The 124 columns of families A to C."""
+    rows = families.series_features(panel(spark, d), timeutil.holiday_table(spark, (2023, 2024)), ZONE)
+    double = {f.name for f in rows.schema if f.dataType.typeName() == "double"}
+    return rows.select("region_id", "ts", *((F.round(c, 5) + 0.0).alias(c) if c in double else F.col(c) for c in _A_TO_C))
 
 
 _SPLITS = [models.Split("train", date(2024, 1, 1), date(2024, 1, 14)), models.Split("valid", date(2024, 1, 15), date(2024, 1, 21)), models.Split("test", date(2024, 1, 22), date(2024, 1, 30))]

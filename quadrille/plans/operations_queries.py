@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+from datetime import datetime, timezone
+
 from pyspark.sql import functions as F
 
 from quadrille.functions import explain, metrics, timeutil
 from quadrille.operators import inventory as I
 from quadrille.operators import panel as P
-from quadrille.operators import routing, spatial
+from quadrille.operators import models, routing, spatial
 from quadrille.plans.context_queries import KM, STATIONS, stations
 from quadrille.plans.panel_queries import PANEL, ZONE, panel
+from quadrille.plans import serving
 from quadrille.plans.registry import query, table
 
 _MOVES = "m AS (SELECT user_id AS station_id, CAST(ts AS DATE) AS day, ts, event_id AS tie, CASE WHEN event_id % 2 = 1 THEN -1 ELSE 1 END AS delta FROM events)"
@@ -198,13 +201,37 @@ def skill_gate(spark, d):
     return e.select("region_id", *(F.round(c, 6).alias(c) for c in ("day", "week", "model")), F.when(F.col("day") <= F.col("week"), "same_day").otherwise("same_week").alias("best_naive"), F.round(metrics.skill(F.col("model"), best), 6).alias("skill"), (F.col("model") < best).alias("passes"))
 
 
-@query(f"""WITH {PANEL}, f AS (SELECT region_id, ts, {', '.join(f"greatest(lag(pickups, {96 - h}) OVER w, 0) AS p{h}, greatest(lag(dropoffs, {96 - h}) OVER w, 0) AS q{h}" for h in (1, 2, 3, 4))} FROM panel WINDOW w AS (PARTITION BY region_id ORDER BY ts)),
-l AS ({' UNION ALL '.join(f"SELECT region_id, ts, {h} AS horizon, p{h} AS p, q{h} AS q FROM f WHERE ts = TIMESTAMP '2024-01-20 08:00:00'" for h in (1, 2, 3, 4))}), c AS (SELECT *, sum(p) OVER (PARTITION BY region_id ORDER BY horizon) AS cp, sum(q) OVER (PARTITION BY region_id ORDER BY horizon) AS cq FROM l)
-SELECT region_id, ts AS forecast_time, horizon, p AS predicted_pickups, q AS predicted_dropoffs, CAST(cp AS BIGINT) AS cumulative_predicted_pickups, CAST(cq AS BIGINT) AS cumulative_predicted_dropoffs, CAST(least(greatest(10 + cq - cp, 0), 20) AS BIGINT) AS projected_inventory FROM c""")
+# at 13:00 UTC the last known bin is that of 12:45, and horizon 3 is the third from there
+_AT = "TIMESTAMP '2024-01-20 13:00:00'"
+_DAY = f"l AS (SELECT p.region_id, h, q.pickups::DOUBLE AS p, q.dropoffs::DOUBLE AS q FROM (SELECT DISTINCT region_id FROM panel) p, (SELECT unnest([1, 2, 3]) AS h) x JOIN panel q ON q.ts = {_AT} - INTERVAL 15 MINUTE + h * INTERVAL 15 MINUTE - INTERVAL 1 DAY WHERE q.region_id = p.region_id), k AS (SELECT region_id, sum(p) AS cp, sum(q) AS cq, max(CASE WHEN h = 3 THEN p END) AS p, max(CASE WHEN h = 3 THEN q END) AS q FROM l GROUP BY 1)"
+
+
+def serving_engine(spark, d):
+    """The panel and a stand-in inventory: 20 docks a region, ten bikes at the start of each day."""
+    p = panel(spark, d)
+    stock = p.select("region_id", F.to_date("ts").alias("day")).distinct().select("region_id", "day", F.lit(20).alias("capacity"), F.lit(10).alias("start_inventory"))
+    return serving.Engine(p, inventory=stock)
+
+
+_WHEN = datetime(2024, 1, 20, 13, tzinfo=timezone.utc)
+
+
+@query(f"""WITH {PANEL}, {_DAY}, z AS (SELECT *, least(greatest(10 + cq - cp, 0), 20) AS level FROM k)
+SELECT region_id, {_AT} AS forecast_time, 3 AS horizon, p AS predicted_pickups, q AS predicted_dropoffs, level AS projected_inventory, greatest(1 - level, 0) AS shortage, greatest(level - 10, 0) AS surplus, cp AS cumulative_predicted_pickups, cq AS cumulative_predicted_dropoffs,
+20::DOUBLE AS capacity, 'seasonal_naive_same_day' AS model, true AS inventory_estimated FROM z""")
 def predict_naive(spark, d):
-    from quadrille.plans.serving import predict
+    return serving_engine(spark, d).predict("seasonal_naive_same_day", _WHEN, 3)
+
 
-    return predict(panel(spark, d), "same_day", "2024-01-20 08:00:00", [1, 2, 3, 4], inventory=10, capacity=20)
+@query(f"""WITH {PANEL}, {_DAY}, s AS (SELECT user_id AS station_id, event_type AS region_id, count(*) FILTER (WHERE event_id % 2 = 1) AS a, count(*) FILTER (WHERE event_id % 2 = 0) AS b FROM events GROUP BY 1, 2), t AS (SELECT region_id, sum(a) AS sa, sum(b) AS sb, count(*) AS n FROM s GROUP BY 1),
+f AS (SELECT s.station_id, s.region_id, k.p * CASE sa WHEN 0 THEN 1 / n ELSE a / sa END AS p, k.q * CASE sb WHEN 0 THEN 1 / n ELSE b / sb END AS q FROM s JOIN t ON s.region_id = t.region_id JOIN k ON k.region_id = s.region_id)
+SELECT station_id, region_id, round(p, 6) AS predicted_pickups, round(q, 6) AS predicted_dropoffs, CASE WHEN p + q < 1 THEN 'quiet' WHEN (q - p) / (p + q) <= -0.25 THEN 'draining' WHEN (q - p) / (p + q) <= -0.05 THEN 'tightening' WHEN (q - p) / (p + q) < 0.05 THEN 'balanced' WHEN (q - p) / (p + q) < 0.25 THEN 'filling' ELSE 'crowded' END AS verdict FROM f""")
+def station_forecast(spark, d):
+    """A region's forecast by its stations' shares."""
+    e = table(spark, d, "events")
+    s = e.groupBy(F.col("user_id").alias("station_id"), F.col("event_type").alias("region_id")).agg(F.count_if(F.col("event_id") % 2 == 1).alias("pickups"), F.count_if(F.col("event_id") % 2 == 0).alias("dropoffs"))
+    f = serving.station_forecast(serving_engine(spark, d).predict("seasonal_naive_same_day", _WHEN, 3), I.shares(s).drop("pickups", "dropoffs"))
+    return f.select("station_id", "region_id", *(F.round(c, 6).alias(c) for c in ("predicted_pickups", "predicted_dropoffs")), "verdict")
 
 
 @query("WITH n AS (SELECT event_id, 1 + CAST(('0x' || substr(md5(CAST(ts AS VARCHAR)), 1, 6))::BIGINT % 10000 AS BIGINT) AS h FROM events) SELECT event_id FROM n WHERE h <= 2500".replace("CAST(ts AS VARCHAR)", "strftime(ts, '%Y-%m-%d %H:%M')"))
@@ -214,6 +241,12 @@ def hash_sample(spark, d):
     return table(spark, d, "events").filter(h < 2500).select("event_id")
 
 
+@query("SELECT event_id FROM events WHERE ('0x' || substr(md5('42/' || CAST(event_id AS VARCHAR)), 1, 8))::BIGINT < CAST(0.25 * 4294967296 AS BIGINT)")
+def row_sample(spark, d):
+    """A uniform sample of rows by a seed.  A sampling operator: the share is the feature."""
+    return models.sample_rows(table(spark, d, "events"), "event_id", 0.25, 42).select("event_id")
+
+
 @query("SELECT region_id FROM (SELECT DISTINCT user_id AS region_id FROM events) x ORDER BY md5(CAST(region_id AS VARCHAR)) LIMIT 20")
 def region_sample(spark, d):
     """A fixed-size sample by hash order: the size is the feature."""

@@ -1,7 +1,7 @@
 import heapq
 import math
 import random
-from datetime import date, datetime, timedelta
+from datetime import date, datetime, timedelta, timezone
 
 import numpy as np
 import pytest
@@ -221,19 +221,96 @@ def test_split_faults():
     assert len(models.split_faults(bad, date(2024, 1, 1), date(2024, 1, 9))) == 3
 
 
-@pytest.mark.parametrize("when, horizons, model, word", [(datetime(2024, 1, 1, 0, 1), [1], "same_day", "grid"), (datetime(2024, 1, 1), [9], "same_day", "horizon"), (datetime(2024, 1, 1), [1], "oracle", "model")])
-def test_refusals(when, horizons, model, word):
-    with pytest.raises(serving.PredictionError, match=word):
-        serving.check_request(when, horizons, model)
+def engine(spark, **more):
+    from quadrille.plans.panel_queries import panel
 
+    return serving.Engine(panel(spark, "/root/testdata/sf0.001"), **more)
 
-def test_serving_functions(spark):
-    from quadrille.plans.panel_queries import panel
 
-    p = panel(spark, "/root/testdata/sf0.001")
-    when = datetime(2024, 1, 20, 8)
-    assert serving.overview(p, "same_day", when, 3).count() == 3
-    assert serving.compare_models(p, when, [1, 2]).count() == 20 and serving.actuals(p, when, [1, 2]).count() == 10
+UTC = timezone.utc
+
+
+@pytest.mark.parametrize("when, horizon, model, word", [
+    (datetime(2024, 1, 9, 0, 1, tzinfo=UTC), 1, "seasonal_naive_same_day", "grid"), (datetime(2024, 1, 9, tzinfo=UTC), 9, "seasonal_naive_same_day", "horizon"), (datetime(2024, 1, 9, tzinfo=UTC), 1, "oracle", "model"),
+    (datetime(2024, 1, 9), 1, "seasonal_naive_same_day", "zone"), (datetime(2024, 1, 9, tzinfo=UTC), 1, "boosted_trees", "available"), (datetime(2030, 1, 9, tzinfo=UTC), 1, "seasonal_naive_same_week", "nothing")])
+def test_refusals(spark, when, horizon, model, word):
+    with pytest.raises(serving.PredictionError, match=word):
+        engine(spark).predict(model, when, horizon)
+
+
+def test_forecasts_are_aligned_and_cumulated(spark):
+    e = engine(spark)
+    when = datetime(2024, 1, 20, 8, tzinfo=timezone(timedelta(hours=-5)))
+    by = {(r.region_id, r.ts): r for r in e.panel.collect()}
+    regions = sorted({k for k, _ in by})
+    got = {r.region_id: r for r in e.predict("seasonal_naive_same_week", when, 4).collect()}
+    known = datetime(2024, 1, 20, 12, 45)
+    assert sorted(got) == regions and e.available_models() == list(serving.SEASONS)
+    for r in regions:
+        past = [by[r, known + timedelta(minutes=15 * h) - timedelta(days=7)] for h in (1, 2, 3, 4)]
+        assert got[r].predicted_pickups == past[3].pickups and got[r].cumulative_predicted_dropoffs == sum(p.dropoffs for p in past)
+        assert got[r].capacity is None and got[r].projected_inventory is None and got[r].shortage is None and got[r].inventory_estimated is False
+    done = {r.region_id: (r.pickups, r.dropoffs) for r in e.actuals(when, 4).collect()}
+    assert done == {r: (by[r, known + timedelta(hours=1)].pickups, by[r, known + timedelta(hours=1)].dropoffs) for r in regions}
+    assert e.overview("seasonal_naive_same_day", when, 3).count() == 3 and e.compare_models(when, 1).count() == 2 * len(regions)
+    from quadrille.functions import timeutil
+
+    assert e.explain(when, timeutil.holiday_table(spark, (2024,))).count() == len(regions)
+
+
+def test_fitted_models_serve(spark):
+    from quadrille.plans import model_queries as M
+
+    rows = M.design(spark, "/root/testdata/sf0.001")
+    fitted = models.fit_all(rows.filter("pickup_h4 is not null"), None, ["pickups_lag_0", "hour"], M._TARGETS, rounds=1, depth=2)
+    e = engine(spark, features=rows, fitted=fitted, inventory=spark.createDataFrame([("click", date(2024, 1, 20), 10, 4)], "region_id string, day date, capacity int, start_inventory int"))
+    assert e.available_models()[0] == "boosted_trees"
+    got = e.predict("boosted_trees", datetime(2024, 1, 20, 13, tzinfo=UTC), 2).collect()
+    assert all(r.predicted_pickups > 0 and r.cumulative_predicted_pickups >= r.predicted_pickups for r in got)
+    assert sum(r.capacity is not None for r in got) <= 1 and len(got) == len({r.region_id for r in got})
+
+
+def test_poisson_boosting(spark):
+    rng = np.random.default_rng(5)
+    x = rng.uniform(0, 1, (3000, 3))
+    mean = np.exp(0.3 + 1.5 * (x[:, 0] > 0.5) - 1.0 * (x[:, 1] > 0.3))
+    y = rng.poisson(mean)
+    df = spark.createDataFrame([(i, float(a), float(b), float(c), int(v), float(m)) for i, (a, b, c), v, m in zip(range(3000), x.tolist(), y, mean)], "i int, a double, b double, c double, y long, m double")
+    train, valid = df.filter("i < 2400"), df.filter("i >= 2400")
+    model = models.boosted_trees(train, valid, ["a", "b", "c"], "y", rounds=14, depth=3, patience=2)
+    got = models.score(model, valid).toPandas()
+    assert abs(got.predicted / got.m - 1).mean() < 0.15 and model.best_rounds == int(np.argmin(model.history)) + 1
+    assert [n for n, _ in models.importances(model)][2] == "c"
+    deviance = 2 * np.mean([(v * math.log(v / p) if v else 0) - (v - p) for v, p in zip(got.y, got.predicted)])
+    assert abs(deviance - min(model.history)) < 1e-9
+
+
+def test_routes_prefer_what_is_left(spark):
+    rows = [("a", 40.7005, -74.0, 9.0, 1.0), ("b", 40.703, -74.0, 1.0, 5.0), ("c", 40.712, -74.0, 0.0, 9.0)]
+    f = spark.createDataFrame(rows, "station_id string, lat double, lng double, predicted_pickups double, predicted_dropoffs double")
+    e = spark.createDataFrame([("a", "b", 0.3), ("b", "c", 1.0)], "u string, v string, km double")
+    near = serving.route_to_bike(f, 40.7, -74.0, e, prefer_available=False)
+    far = serving.route_to_bike(f, 40.7, -74.0, e)
+    assert near["station_id"] == "a" and far["station_id"] == "b" and far["nearest"] == "a" and far["reached"] and len(far["legs"]) == 1
+    only = serving.route_to_bike(f.filter("station_id <> 'b'").unionByName(f.filter("station_id = 'b'").withColumn("predicted_pickups", F.lit(90.0))), 40.7, -74.0, e)
+    assert only["station_id"] in ("a", "b", "c") and only["metres"] == sum(x["metres"] for x in only["legs"])
+    with pytest.raises(serving.PredictionError, match="no stations"):
+        serving.route_to_bike(f.limit(0), 40.7, -74.0, e)
+
+
+def test_regions_as_geojson(spark):
+    import json
+
+    g = spatial.HexGrid(8)
+    f = spark.createDataFrame([(40.7, -74.0, 1.0)], "lat double, lng double, predicted_pickups double").select(g.index(F.col("lat"), F.col("lng")).alias("region_id"), "predicted_pickups", *(F.lit(0.5).alias(c) for c in ("predicted_dropoffs", "projected_inventory", "shortage", "surplus")))
+    r = json.loads(serving.regions_geojson(f, g).first().feature)
+    assert r["geometry"]["type"] == "Polygon" and len(r["geometry"]["coordinates"][0]) == 7 and r["properties"]["predicted_pickups"] == 1.0
+
+
+def test_row_samples(spark):
+    df = spark.range(20000).withColumnRenamed("id", "k")
+    a, b = ({r.k for r in models.sample_rows(d, "k", 0.25, 42).collect()} for d in (df, df.repartition(7)))
+    assert a == b and 4700 < len(a) < 5300 and a != {r.k for r in models.sample_rows(df, "k", 0.25, 43).collect()}
 
 
 def test_messages():
