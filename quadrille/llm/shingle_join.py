@@ -24,6 +24,8 @@ from quadrille.llm import _spark, _text
 WORDS, SIMILARITY = 5, 0.8
 BANDS, ROWS = 25, 5
 BLOCK = 1024
+HELD = 200_000
+HEAVY = 1000
 _ODD = np.random.Generator(np.random.PCG64(11)).integers(1, 1 << 63, BANDS * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
@@ -71,8 +73,11 @@ def sketches(docs: DataFrame) -> DataFrame:
     return _spark.texts(docs).mapInArrow(run, "doc_id long, s long, keys array<long>, members binary")
 
 
-def _groups(batches):
-    """Rows (key, s) sorted by key to (grp, s, size) of every key with several members; the number depends on the members only."""
+def _groups(batches, held: int):
+    """Rows (key, s) sorted by key to (grp, s, size) of every key with several members; the number depends on the members only.
+
+    A key of over `held` rows is passed on as it streams by, with size -1, and counted afterwards."""
+    frequent = None
     rest = [np.zeros(0, np.int64), np.zeros(0, np.int64)]
 
     def work(key, s):
@@ -86,14 +91,27 @@ def _groups(batches):
         pick = np.repeat(size > 1, size)
         return pa.RecordBatch.from_arrays([pa.array(np.repeat(number, size)[pick].view(np.int64)), pa.array(s[pick]), pa.array(np.repeat(size, size)[pick])], names=["grp", "s", "size"])
 
+    def stream(key, s):
+        s = np.unique(s)
+        number = _text.mix(np.full(1, key, dtype=np.int64).view(np.uint64) ^ np.uint64(1)).view(np.int64)
+        return pa.RecordBatch.from_arrays([pa.array(number.repeat(len(s))), pa.array(s), pa.array(np.full(len(s), -1, np.int64))], names=["grp", "s", "size"])
+
     for batch in batches:
         rest = [np.concatenate([r, batch.column(i).to_numpy(zero_copy_only=False)]) for i, r in enumerate(rest)]
+        if len(rest[0]) and rest[0][0] == frequent:
+            n = int(np.searchsorted(rest[0], frequent, side="right"))
+            yield stream(frequent, rest[1][:n])
+            rest = [r[n:] for r in rest]
         if not len(rest[0]):
             continue
         last = int(np.searchsorted(rest[0], rest[0][-1]))
         if last:
             yield work(rest[0][:last], rest[1][:last])
         rest = [r[last:] for r in rest]
+        if len(rest[0]) > held:
+            frequent = rest[0][0]
+            yield stream(frequent, rest[1])
+            rest = [r[:0] for r in rest]
     if len(rest[0]):
         yield work(*rest)
 
@@ -124,8 +142,11 @@ def links_of(sets: list[np.ndarray], least: float = SIMILARITY) -> list[tuple[in
 def near_links(rows: DataFrame, least: float = SIMILARITY) -> DataFrame:
     """(a, b): links between the sets of sketches rows, enough to connect all similar ones that meet."""
     keyed = rows.groupBy("s").agg(F.first("keys").alias("keys")).select(F.explode("keys").alias("key"), "s")
-    groups = keyed.repartition("key").sortWithinPartitions("key").mapInArrow(_groups, "grp long, s long, size long")
-    groups = _spark.materialise(groups.dropDuplicates(["grp", "s"]), "shingle-groups")
+    held = HELD
+    groups = keyed.repartition("key").sortWithinPartitions("key").mapInArrow(lambda it: _groups(it, held), "grp long, s long, size long")
+    stored = _spark.materialise(groups.dropDuplicates(["grp", "s"]), "shingle-groups")
+    counted = stored.filter("size < 0").groupBy("grp").agg(F.count("*").alias("members"))
+    groups = stored.join(counted, "grp", "left").select("grp", "s", F.coalesce("members", "size").alias("size"))
     # members of large groups go to every pair of blocks that holds theirs
     parts = F.ceil(F.col("size") / BLOCK).cast("long")
     own = F.pmod(F.xxhash64("s"), parts)
@@ -152,13 +173,20 @@ def near_links(rows: DataFrame, least: float = SIMILARITY) -> DataFrame:
         if out := links():
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out)], names=["a", "b"])
 
-    return dealt.join(sets, "s").select("grp", "s", "members").repartition("grp").sortWithinPartitions("grp").mapInArrow(verify, "a long, b long")
+    found = dealt.join(sets, "s").select("grp", "s", "members").repartition("grp").sortWithinPartitions("grp").mapInArrow(verify, "a long, b long")
+    found = _spark.materialise(found.distinct(), "shingle-links")
+    _spark.discard(stored)
+    return found
 
 
 def similar_documents(docs: DataFrame, least: float = SIMILARITY) -> DataFrame:
     """(a, b): links between doc_ids whose shingle sets are equal or similar, each class standing for its least doc_id."""
     rows = _spark.materialise(sketches(docs), "shingles")
-    classes = rows.groupBy("s").agg(F.min("doc_id").alias("rep"))
+    classes = _spark.materialise(rows.groupBy("s").agg(F.min("doc_id").alias("rep"), F.count("*").alias("n")), "shingle-classes")
     found = near_links(rows, least)
-    found = found.join(classes.select(F.col("s").alias("a"), F.col("rep").alias("x")), "a").join(classes.select(F.col("s").alias("b"), F.col("rep").alias("y")), "b")
-    return found.select(F.col("x").alias("a"), F.col("y").alias("b")).union(rows.join(classes, "s").select(F.col("doc_id").alias("a"), F.col("rep").alias("b")).filter("a <> b"))
+    of = lambda c, rep: classes.select(F.col("s").alias(c), F.col("rep").alias(rep))
+    between = found.join(of("a", "x"), "a").join(of("b", "y"), "b").select(F.col("x").alias("a"), F.col("y").alias("b"))
+    copies = _spark.skew_join(rows.select("doc_id", "s"), classes.filter("n > 1"), ["s"], heavy=HEAVY).select(F.col("doc_id").alias("a"), F.col("rep").alias("b")).filter("a <> b")
+    out = _spark.materialise(between.union(copies), "similar")
+    _spark.discard(rows, classes, found)
+    return out
