@@ -153,9 +153,48 @@ def on_grid(t: datetime, minutes: int = 15) -> bool:
 
 
 def same_clock_in(year: int, now: datetime) -> datetime:
-    """The time in `year` nearest to now's day of year that has its weekday and clock."""
+    """The first time from now's date in `year` on that has its weekday and clock."""
     base = now.replace(year=year) if (now.month, now.day) != (2, 29) else now.replace(year=year, day=28)
-    return base + timedelta(days=(now.weekday() - base.weekday() + 3) % 7 - 3)
+    return base + timedelta(days=(now.weekday() - base.weekday()) % 7)
+
+
+class TimeOutside(ValueError):
+    """A time that can't be read, or of which nothing is known."""
+
+
+def resolve_time(when: str | None, now: datetime, zone: str, first: datetime, last: datetime, fallback: datetime, minutes: int = 15) -> tuple[datetime, str]:
+    """(UTC bin start, mode) of a request; all times but the text are aware.
+
+    Nothing or "now" means the same weekday and clock in the last known year, or the fallback where that isn't known
+    (mode "typical_conditions"); anything else is an ISO time, local unless it says otherwise (mode "explicit").  A time outside
+    [first, last] is refused."""
+    tz, mode = ZoneInfo(zone), "explicit"
+    if when in (None, "", "now"):
+        mode, at = "typical_conditions", same_clock_in(last.year, now.astimezone(tz))
+        at = at if first <= at <= last else fallback
+    else:
+        try:
+            at = datetime.fromisoformat(when)
+        except ValueError as e:
+            raise TimeOutside(f"{when!r} is no ISO time") from e
+        at = at if at.tzinfo else at.replace(tzinfo=tz)
+    utc = snap(at.astimezone(timezone.utc), minutes)
+    if not first <= utc <= last:
+        raise TimeOutside(f"{utc:%Y-%m-%d %H:%M} UTC is outside {first:%Y-%m-%d} to {last:%Y-%m-%d}")
+    return utc, mode
+
+
+def after_page(chunk: tuple[date, date], rows: int, limit: int) -> list[tuple[date, date]]:
+    """What is left to ask for after a page of `rows`: nothing, or both halves of a chunk whose page was full and may lack rows.
+
+    A single day that fills a page can't be halved, and losing rows silently isn't an answer: ValueError."""
+    if rows < limit:
+        return []
+    days = (chunk[1] - chunk[0]).days
+    if days < 2:
+        raise ValueError(f"the page of {chunk[0]} is full at {limit} rows; ask for more rows a page")
+    mid = chunk[0] + timedelta(days=days // 2)
+    return [(chunk[0], mid), (mid, chunk[1])]
 
 
 def day_chunks(start: date, end: date, days: int) -> list[tuple[date, date]]:

@@ -84,6 +84,28 @@ class Graph:
         return None
 
 
+class StreetError(ValueError):
+    """A street network that can't be used, with the reason."""
+
+
+def walk_route(edges: DataFrame, nodes: DataFrame, origin: tuple[float, float], goal: tuple[float, float]) -> dict:
+    """A way along streets between two points, over the edges(u, v, km) and nodes(id, lat, lng) of one request's box.
+
+    Says how far each end lies from its street; real street lengths need no detour factor."""
+    rows = [(r.u, r.v, r.km) for r in edges.collect()]
+    if not rows:
+        raise StreetError("no walkable streets in that area")
+    graph = Graph({r.id: (r.lat, r.lng) for r in nodes.collect()}, rows)
+    a, b = graph.snap(*origin), graph.snap(*goal)
+    if a == b:
+        raise StreetError("both points lie at the same street node")
+    found = graph.path(a, b)
+    if found is None:
+        raise StreetError("no walkable path between those points")
+    gaps = km_between(origin, graph.places[a]) * 1000, km_between(goal, graph.places[b]) * 1000
+    return {"metres": found[1] * 1000 + sum(gaps), "street_metres": found[1] * 1000, "snap_metres": tuple(map(round, gaps)), "nodes": len(found[0]), "line": line_string([origin, *(graph.places[n] for n in found[0]), goal])}
+
+
 def route_scores(candidates: DataFrame, prefer_available: bool = True) -> DataFrame:
     """Order stations(station_id, km, pickups, dropoffs) for a walker: the detoured walk and, if wanted, the pressure penalty; the first by score is the choice.
 

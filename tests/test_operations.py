@@ -159,6 +159,21 @@ def test_street_payload(spark):
     assert set(e) == {(1, 2), (2, 3)} and all(abs(v - 0.1112) < 1e-3 for v in e.values())
 
 
+def test_walks_along_streets(spark):
+    body = '{"elements":[{"type":"node","id":1,"lat":40.7,"lon":-74.0},{"type":"node","id":2,"lat":40.701,"lon":-74.0},{"type":"node","id":3,"lat":40.702,"lon":-74.0},{"type":"node","id":4,"lat":40.71,"lon":-74.0},{"type":"node","id":5,"lat":40.711,"lon":-74.0},{"type":"way","id":7,"nodes":[1,2,3,12345],"tags":{"highway":"footway"}},{"type":"way","id":8,"nodes":[3,4],"tags":{"highway":"motorway"}},{"type":"way","id":9,"nodes":[3,4],"tags":{"highway":"path","access":"private"}},{"type":"way","id":10,"nodes":[4,5]}]}'
+    ways, nodes = text.street_payload(spark.createDataFrame([(body,)], "p string"), "p")
+    e = routing.street_edges(ways, nodes)
+    assert {(r.u, r.v) for r in e.collect()} == {(1, 2), (2, 3), (4, 5)}
+    got = routing.walk_route(e, nodes, (40.6999, -74.0), (40.7021, -74.0))
+    assert got["nodes"] == 3 and abs(got["metres"] - 244.6) < 1 and got["snap_metres"] == (11, 11) and len(got["line"]["coordinates"]) == 5
+    for goal, word in (((40.7111, -74.0), "no walkable path"), ((40.69, -74.0), "same street node")):
+        with pytest.raises(routing.StreetError, match=word):
+            routing.walk_route(e, nodes, (40.6999, -74.0), goal)
+    with pytest.raises(routing.StreetError, match="no walkable streets"):
+        routing.walk_route(e.limit(0), nodes, (40.7, -74.0), (40.702, -74.0))
+    assert "motorway_link" in text.street_query(40.7, -74.0, 40.8, -73.9) and "(40.70000,-74.00000,40.80000,-73.90000)" in text.street_query(40.7, -74.0, 40.8, -73.9)
+
+
 def test_near_joins_match_all_pairs(spark):
     rng = random.Random(9)
     pts = [(i, 40.6 + rng.random() / 5, -74.1 + rng.random() / 5) for i in range(120)]
