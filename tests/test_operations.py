@@ -345,3 +345,27 @@ def test_place_names(spark):
     best = text.search_places(places, "Fifth Avenue").collect()
     assert [r.name for r in best] == ["Fifth Avenue", "5 Av & W 21 St"] and best[0].is_confident
     assert [(r.name, r.is_confident) for r in text.search_places(places, "Main St").collect()] == [("Wall St", False), ("5 Av & W 21 St", False)]
+
+
+def test_context_families(spark):
+    """Families D to H over one region and its neighbour, against values worked out by hand."""
+    zero = datetime(2024, 1, 31, 22)
+    bins = [zero + timedelta(minutes=15 * i) for i in range(40)]
+    rows = spark.createDataFrame([(r, t, i % 5 + (r == "b"), 2 * i % 7) for r in "abc" for i, t in enumerate(bins)], "region_id string, ts timestamp_ntz, pickups long, dropoffs long")
+    hours = [zero + timedelta(hours=h) for h in range(9)]  # the tenth hour has no reading
+    weather = spark.createDataFrame([(t, *([float(k)] * 10)) for k, t in enumerate(hours)], "weather_timestamp timestamp_ntz, " + ", ".join(f"{c} double" for c in families.WEATHER))
+    events = spark.createDataFrame([("a", bins[3], 2, 1, 1, 0, 2)], "region_id string, ts timestamp_ntz, " + ", ".join(f"{c} long" for c in families.EVENTS[1:]))
+    speeds = [("a", bins[i], 30.0 + i, 25.0, 3, 0.9, 1.1) for i in (2, 3, 6)]
+    traffic = spark.createDataFrame(speeds, "region_id string, ts timestamp_ntz, traffic_speed_mean double, traffic_speed_min double, traffic_link_count long, congestion_index double, travel_time_index double")
+    edges = spark.createDataFrame([("a", "b"), ("a", "c"), ("b", "a")], "region_id string, neighbor_id string")
+    stations = spark.createDataFrame([("a", "202401", 4, 1.5, 100, 0.7)], "region_id string, month string, active_station_count long, station_density_km2 double, region_hist_trip_volume long, region_area_km2 double")
+    out = families.context_features(rows, weather, events, traffic, edges, stations, "America/New_York")
+    assert set(c for k in "DEFGH" for c in families.family_columns()[k]) <= set(out.columns)
+    got = {(r.region_id, bins.index(r.ts)): r for r in out.collect()}
+    assert len(got) == 120
+    r = got["a", 3]  # the forecast time is the next bin, one hour on
+    assert (r.temperature_2m, r.is_raining, r.weather_missing, r.event_present, r.event_count, r.event_attendee_types) == (1.0, True, False, True, 2, 2)
+    assert (r.traffic_speed_mean, r.traffic_change_15m, r.traffic_missing) == (33.0, 1.0, False) and got["a", 6].traffic_change_15m == 3.0 and got["b", 3].traffic_missing
+    assert (r.nb_pickups_sum, r.nb_pickups_mean, r.nb_pickups_max, r.neighbor_count, r.pickups_vs_neighbor_mean) == (7, 3.5, 4, 2, -0.5) and got["c", 3].neighbor_count is None
+    assert got["a", 7].temp_change_1h == 1.0 and got["a", 2].temp_change_1h is None and got["a", 39].weather_missing and got["a", 39].temp_change_3h is None
+    assert r.active_station_count == 4 and got["a", 30].active_station_count is None and got["b", 3].event_count == 0  # 30 bins on it is February there
