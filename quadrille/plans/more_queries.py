@@ -118,10 +118,13 @@ def safe_ratio(spark, d):
     return panel(spark, d).select("region_id", "ts", F.round(F.col("dropoffs") / F.nullif("pickups", F.lit(0)), 6).alias("ratio"), F.least(F.greatest(F.col("pickups") - F.col("dropoffs"), F.lit(-2)), F.lit(2)).alias("clipped"))
 
 
-@query()
+_MEANS = ", ".join(f"round(sum(b.pickups * pow({n - 1}::DOUBLE / {n + 1}, a.i - b.i)) / sum(pow({n - 1}::DOUBLE / {n + 1}, a.i - b.i)), 6) AS pickups_ewm{n}" for n in (4, 96))
+
+
+@query(f"""WITH {PANEL}, n AS (SELECT *, row_number() OVER (PARTITION BY region_id ORDER BY ts) AS i FROM panel) SELECT a.region_id, a.ts, {_MEANS} FROM n a JOIN n b ON a.region_id = b.region_id AND b.i <= a.i GROUP BY 1, 2""")
 def exact_long_means(spark, d):
-    """Exponentially weighted means of a day's span, per region in one Arrow task each; checked by tests against the short form."""
-    return P.ewm_exact(panel(spark, d), "pickups", [4, 96])
+    """Exponentially weighted means of an hour's and a day's span, per region in one Arrow task each."""
+    return P.ewm_exact(panel(spark, d), "pickups", [4, 96]).withColumns({c: F.round(c, 6) for c in ("pickups_ewm4", "pickups_ewm96")})
 
 
 @query(f"""WITH {PANEL}, s AS (SELECT region_id, avg(pickups) AS mean, stddev_pop(pickups) AS std FROM panel WHERE ts < TIMESTAMP '2024-01-21' GROUP BY 1)

@@ -98,9 +98,11 @@ def twelve_hour_clock(spark, d):
     return rows.withColumn("parsed", timeutil.parse_timestamp("raw", (timeutil.TWELVE_HOUR,)))
 
 
-@query()
+@query(f"""WITH s AS ({STATIONS}), c AS (SELECT floor(lat / 0.05) AS r, floor(lng / 0.05) AS q, count(*) AS n FROM s GROUP BY 1, 2), e AS (SELECT *, CAST(round(q * 0.05, 6) AS VARCHAR) AS w, CAST(round(r * 0.05, 6) AS VARCHAR) AS s, CAST(round((q + 1) * 0.05, 6) AS VARCHAR) AS e, CAST(round((r + 1) * 0.05, 6) AS VARCHAR) AS n2, CAST(CAST(r AS BIGINT) AS VARCHAR) || '_' || CAST(CAST(q AS BIGINT) AS VARCHAR) AS id FROM c)
+SELECT id AS region_id, '{{"type":"Feature","geometry":{{"type":"Polygon","coordinates":[[[' || w || ',' || s || '],[' || e || ',' || s || '],[' || e || ',' || n2 || '],[' || w || ',' || n2 || '],[' || w || ',' || s || ']]]}},"properties":{{"region_id":"' || id || '","stations":' || CAST(n AS VARCHAR) || '}}}}' AS feature FROM e""")
 def region_polygons(spark, d):
     """GeoJSON features of the cells that have stations."""
     g = spatial.SquareGrid(0.05)
     cells = stations(spark, d).groupBy(g.index(F.col("lat"), F.col("lng")).alias("region_id")).agg(F.count("*").alias("stations"))
-    return cells.select("region_id", text.polygon_geojson(g.boundary(F.col("region_id")), {"region_id": F.col("region_id"), "stations": F.col("stations")}).alias("feature"))
+    ring = F.transform(g.boundary(F.col("region_id")), lambda p: F.transform(p, lambda x: F.round(x, 6)))
+    return cells.select("region_id", text.polygon_geojson(ring, {"region_id": F.col("region_id"), "stations": F.col("stations")}).alias("feature"))
