@@ -1,7 +1,8 @@
 """A training-corpus pipeline: each stage calls one operator on all that the stage before it kept.
 
-Null and empty texts pass all stages as texts without words; rows that repeat a doc_id are kept or dropped
-together; an empty table stays empty; extra columns of documents are carried through all but the last stage."""
+Null and empty texts are texts without words: they pass every stage but near_dedup, which keeps one of all documents
+without words; very long texts are read whole; rows that repeat a doc_id are kept or dropped together, and rows with a
+null doc_id are kept; an empty table stays empty; extra columns of documents are carried through all but the last stage."""
 
 from __future__ import annotations
 
@@ -60,8 +61,11 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages, each written to the shared folder and read again, over the whole documents table."""
-    docs = _spark.table(spark, sf_dir, "documents")
-    for name, stage in STAGES[:-1]:
-        docs = _spark.materialise(stage(spark, docs, sf_dir), f"stage-{name}")
+    """All stages, each written to the shared folder and read again, over the whole documents table; a stage's table goes when the next one stands."""
+    docs = before = _spark.table(spark, sf_dir, "documents")
+    for k, (name, stage) in enumerate(STAGES[:-1]):
+        docs = _spark.materialise(stage(spark, before, sf_dir), f"stage-{name}")
+        if k:
+            _spark.discard(before)
+        before = docs
     return STAGES[-1][1](spark, docs, sf_dir)
