@@ -347,6 +347,17 @@ def test_place_names(spark):
     assert [(r.name, r.is_confident) for r in text.search_places(places, "Main St").collect()] == [("Wall St", False), ("5 Av & W 21 St", False)]
 
 
+def test_tied_places_have_one_order(spark):
+    """Forty places of one name and score: the five that the limit keeps are those of the least coordinates, however the rows are dealt."""
+    rows = [("Main St", 40.0 + k * 17 % 40 // 4 / 100, -74.0 + k * 17 % 40 / 100, True) for k in range(40)]
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")  # else one task sorts all that are so few
+    try:
+        best = text.search_places(spark.createDataFrame(rows, "name string, lat double, lng double, is_station boolean"), "Main Street").collect()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert [(r.lat, r.lng) for r in best] == sorted((lat, lng) for _, lat, lng, _ in rows)[:5]
+
+
 def test_context_families(spark):
     """Families D to H over one region and its neighbour, against values worked out by hand."""
     zero = datetime(2024, 1, 31, 22)
