@@ -10,15 +10,21 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quadrille.llm import _spark, line_dedup, phrase_index, sentence_pieces, shingle_join, simhash, toxicity
+from quadrille.llm import _bitmap, _spark, line_dedup, phrase_index, sentence_pieces, shingle_join, simhash, toxicity
 from quadrille.llm.components import connected_components
 
 
+def without(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """The rows of docs whose doc_id isn't among `ids`; only rows that a bitmap of the ids doesn't rule out are joined."""
+    gone = _spark.materialise(ids.select("doc_id").distinct(), "gone")
+    some, rest = _bitmap.split(docs, gone)
+    return rest.union(some.join(gone, "doc_id", "left_anti").select(*docs.columns))
+
+
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the class-conditional models don't predict to be toxic; the columns stay."""
     scored = toxicity.toxicity(docs, _spark.table(spark, sf_dir, "labels"))
-    rejected = scored.filter("predicted = 1").select("doc_id").distinct()
-    return docs.join(rejected, "doc_id", "left_anti").select(*docs.columns)
+    return without(docs, scored.filter("predicted = 1"))
 
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -34,14 +40,13 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     as copies of each other."""
     near = simhash.near_duplicates(docs).select(F.col("doc_id").alias("a"), F.col("component_id").alias("b"))
     groups = connected_components(near.union(shingle_join.similar_documents(docs))).select(F.col("node").alias("doc_id"), F.col("component").alias("component_id"))
-    gone = groups.filter("doc_id <> component_id").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    return without(docs, groups.filter("doc_id <> component_id"))
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in which no window of a benchmark item occurs."""
     found = phrase_index.contamination(docs, _spark.table(spark, sf_dir, "benchmark"))
-    return docs.join(found.filter("contaminated").select("doc_id").distinct(), "doc_id", "left_anti").select(*docs.columns)
+    return without(docs, found.filter("contaminated"))
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

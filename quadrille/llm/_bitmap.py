@@ -60,7 +60,9 @@ def split(rows: DataFrame, ids: DataFrame) -> tuple[DataFrame, DataFrame]:
 
     The first has all rows that are in, and few others while the set isn't full; put before a join on
     doc_id, it spares the shuffle of rows that the join would drop or leave as they are."""
-    shared = rows.sparkSession.sparkContext.broadcast(build(ids.select(F.xxhash64("doc_id"))))
+    shared = rows.sparkSession.sparkContext.broadcast(build(ids.select(F.xxhash64(F.col("doc_id").cast("long")))))
+
+    last = "_" + max(rows.columns, key=len)  # no column's name
 
     def chosen(inside: bool):
         def run(batches):
@@ -68,7 +70,7 @@ def split(rows: DataFrame, ids: DataFrame) -> tuple[DataFrame, DataFrame]:
                 keep = holds(shared.value, batch.column(batch.num_columns - 1).to_numpy(zero_copy_only=False)) == inside
                 yield pa.RecordBatch.from_arrays([pc.filter(c, pa.array(keep)) for c in batch.columns[:-1]], schema=pa.schema(list(batch.schema)[:-1]))
 
-        return rows.withColumn("_hash", F.xxhash64("doc_id")).mapInArrow(run, rows.schema)
+        return rows.withColumn(last, F.xxhash64(F.col("doc_id").cast("long"))).mapInArrow(run, rows.schema)
 
     return chosen(True), chosen(False)
 

@@ -3,12 +3,13 @@
 A text is the set of its shingles' 32-bit hashes.  Sets meet under the bands of a min-hash signature (25 bands of
 5 rows: a pair of similarity 0.8 shares none with probability 5e-5, a pair of 0.9 practically never) and are
 verified by the exact similarity of the two sets.  Bands only propose pairs; a pair below the limit is never linked.
+Only band keys are stored for every text; the sets of texts that meet another are made again when they are compared.
 
 Equal sets are one class before the join.  Bands with the same members are verified once; a band's members give
 only the links that their union still needs; bands of more than `BLOCK` members are split into pairs of blocks,
 each pair verified in a task of its own, so that no pair is left out.
 
-Cases: texts without words are in no class; a text of fewer than five words is one shingle; repeated doc_ids and
+Cases: texts without words are in no class; texts of null doc_ids only link nothing; a text of fewer than five words is one shingle; repeated doc_ids and
 repeated shingles count once; extra columns are ignored; an empty table gives an empty result.
 """
 
@@ -19,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quadrille.llm import _spark, _text
+from quadrille.llm import _bitmap, _spark, _text
 
 WORDS, SIMILARITY = 5, 0.8
 BANDS, ROWS = 25, 5
@@ -57,8 +58,8 @@ def band_keys(flat: np.ndarray, bounds: np.ndarray) -> np.ndarray:
     return _text.mix(out + np.arange(1, BANDS + 1, dtype=np.uint64))
 
 
-def sketches(docs: DataFrame) -> DataFrame:
-    """(doc_id, s, keys, members): a hash of each text's set, its band keys and the set itself (bytes of uint32)."""
+def sketches(docs: DataFrame, members: bool = False) -> DataFrame:
+    """(doc_id, s, keys): a hash of each text's set and its band keys; with `members` the set itself (bytes of uint32) instead of the keys."""
     def run(batches):
         for part, data, offsets in _text.slices(batches):
             flat, bounds = shingle_sets(data, offsets)
@@ -67,10 +68,13 @@ def sketches(docs: DataFrame) -> DataFrame:
                 continue
             cut = np.append(bounds[some], bounds[-1])
             s = _text.mix(np.add.reduceat(_text.mix(flat.astype(np.uint64) + np.uint64(7)), cut[:-1]) + np.diff(cut).astype(np.uint64))
-            keys = pa.FixedSizeListArray.from_arrays(pa.array(band_keys(flat, cut).ravel().view(np.int64)), BANDS).cast(pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(some)), pa.array(s.view(np.int64)), keys, pa.array([flat[a:b].tobytes() for a, b in zip(cut, cut[1:])], pa.binary())], names=["doc_id", "s", "keys", "members"])
+            if members:
+                last = pa.array([flat[a:b].tobytes() for a, b in zip(cut, cut[1:])], pa.binary())
+            else:
+                last = pa.FixedSizeListArray.from_arrays(pa.array(band_keys(flat, cut).ravel().view(np.int64)), BANDS).cast(pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(some)), pa.array(s.view(np.int64)), last], names=["doc_id", "s", "members" if members else "keys"])
 
-    return _spark.texts(docs).mapInArrow(run, "doc_id long, s long, keys array<long>, members binary")
+    return _spark.texts(docs).mapInArrow(run, f"doc_id long, s long, {'members binary' if members else 'keys array<long>'}")
 
 
 def _groups(batches, held: int):
@@ -139,9 +143,9 @@ def links_of(sets: list[np.ndarray], least: float = SIMILARITY) -> list[tuple[in
     return out
 
 
-def near_links(rows: DataFrame, least: float = SIMILARITY) -> DataFrame:
-    """(a, b): links between the sets of sketches rows, enough to connect all similar ones that meet."""
-    keyed = rows.groupBy("s").agg(F.first("keys").alias("keys")).select(F.explode("keys").alias("key"), "s")
+def near_links(classes: DataFrame, docs: DataFrame, least: float = SIMILARITY) -> DataFrame:
+    """(a, b): links between the sets s of classes(s, rep, keys), enough to connect all similar ones that meet; a set is that of its document rep in docs."""
+    keyed = classes.select(F.explode("keys").alias("key"), "s")
     held = HELD
     groups = keyed.repartition("key").sortWithinPartitions("key").mapInArrow(lambda it: _groups(it, held), "grp long, s long, size long")
     stored = _spark.materialise(groups.dropDuplicates(["grp", "s"]), "shingle-groups")
@@ -152,7 +156,8 @@ def near_links(rows: DataFrame, least: float = SIMILARITY) -> DataFrame:
     own = F.pmod(F.xxhash64("s"), parts)
     pair = F.explode(F.transform(F.sequence(F.lit(0).cast("long"), parts - 1), lambda o: F.least(o, own) * parts + F.greatest(o, own)))
     dealt = groups.select(F.col("grp"), "s", pair.alias("pair")).select(F.xxhash64("grp", "pair").alias("grp"), "s")
-    sets = rows.select("s", "members").join(groups.select("s").distinct(), "s", "left_semi").dropDuplicates(["s"])
+    reps = _spark.materialise(classes.join(stored.select("s").distinct(), "s", "left_semi").select(F.col("rep").alias("doc_id"), "s"), "shingle-reps")
+    sets = sketches(_bitmap.likely(_spark.texts(docs), reps), members=True).join(reps, ["doc_id", "s"], "left_semi").select("s", "members").dropDuplicates(["s"])
 
     def verify(batches):
         grp, held = None, []
@@ -175,18 +180,19 @@ def near_links(rows: DataFrame, least: float = SIMILARITY) -> DataFrame:
 
     found = dealt.join(sets, "s").select("grp", "s", "members").repartition("grp").sortWithinPartitions("grp").mapInArrow(verify, "a long, b long")
     found = _spark.materialise(found.distinct(), "shingle-links")
-    _spark.discard(stored)
+    _spark.discard(stored, reps)
     return found
 
 
 def similar_documents(docs: DataFrame, least: float = SIMILARITY) -> DataFrame:
     """(a, b): links between doc_ids whose shingle sets are equal or similar, each class standing for its least doc_id."""
-    rows = _spark.materialise(sketches(docs), "shingles")
-    classes = _spark.materialise(rows.groupBy("s").agg(F.min("doc_id").alias("rep"), F.count("*").alias("n")), "shingle-classes")
-    found = near_links(rows, least)
+    rows = _spark.materialise(sketches(docs).filter("doc_id is not null"), "shingles")
+    classes = _spark.materialise(rows.groupBy("s").agg(F.min("doc_id").alias("rep"), F.count("*").alias("n"), F.first("keys").alias("keys")), "shingle-classes")
+    found = near_links(classes, docs, least)
+    stored, classes = classes, classes.drop("keys")
     of = lambda c, rep: classes.select(F.col("s").alias(c), F.col("rep").alias(rep))
     between = found.join(of("a", "x"), "a").join(of("b", "y"), "b").select(F.col("x").alias("a"), F.col("y").alias("b"))
     copies = _spark.skew_join(rows.select("doc_id", "s"), classes.filter("n > 1"), ["s"], heavy=HEAVY).select(F.col("doc_id").alias("a"), F.col("rep").alias("b")).filter("a <> b")
     out = _spark.materialise(between.union(copies), "similar")
-    _spark.discard(rows, classes, found)
+    _spark.discard(rows, stored, found)
     return out
