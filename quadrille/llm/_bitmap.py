@@ -5,12 +5,16 @@ holds back, and none is ever lost by it."""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quadrille.llm import _text
+
 BITS = 1 << 26
 CHUNKS = 64
 _STEP = BITS // 8 // CHUNKS
@@ -55,24 +59,37 @@ def holds(bitmap: np.ndarray, h: np.ndarray) -> np.ndarray:
     return (bitmap[cell >> 3] >> (7 - (cell & 7)).astype(np.uint8) & 1).astype(bool)
 
 
+def sieve(rows: DataFrame, ids: DataFrame) -> tuple[DataFrame, Callable]:
+    """The rows (doc_id, ...) with one column more, and what makes of their batches those of the rows as they were whose
+    doc_id may be in `ids` (or surely isn't): to be called in another mapInArrow, which then needs no second Python worker."""
+    shared = rows.sparkSession.sparkContext.broadcast(build(ids.select(F.xxhash64(F.col("doc_id").cast("long")))))
+
+    last = "_" + max(rows.columns, key=len)  # no column's name
+
+    def chosen(batches, inside: bool = True):
+        for batch in batches:
+            keep = holds(shared.value, batch.column(batch.num_columns - 1).to_numpy(zero_copy_only=False)) == inside
+            yield pa.RecordBatch.from_arrays([pc.filter(c, pa.array(keep)) for c in batch.columns[:-1]], schema=pa.schema(list(batch.schema)[:-1]))
+
+    return rows.withColumn(last, F.xxhash64(F.col("doc_id").cast("long"))), chosen
+
+
 def split(rows: DataFrame, ids: DataFrame) -> tuple[DataFrame, DataFrame]:
     """The rows (doc_id, ...) whose doc_id may be in `ids`, and those whose doc_id surely isn't.
 
     The first has all rows that are in, and few others while the set isn't full; put before a join on
     doc_id, it spares the shuffle of rows that the join would drop or leave as they are."""
-    shared = rows.sparkSession.sparkContext.broadcast(build(ids.select(F.xxhash64(F.col("doc_id").cast("long")))))
-
-    last = "_" + max(rows.columns, key=len)  # no column's name
+    marked, chosen = sieve(rows, ids)
 
-    def chosen(inside: bool):
+    def part(inside: bool):
         def run(batches):
-            for batch in batches:
-                keep = holds(shared.value, batch.column(batch.num_columns - 1).to_numpy(zero_copy_only=False)) == inside
-                yield pa.RecordBatch.from_arrays([pc.filter(c, pa.array(keep)) for c in batch.columns[:-1]], schema=pa.schema(list(batch.schema)[:-1]))
+            _text.release()
+            yield from chosen(batches, inside)
+            _text.release()
 
-        return rows.withColumn(last, F.xxhash64(F.col("doc_id").cast("long"))).mapInArrow(run, rows.schema)
+        return marked.mapInArrow(run, rows.schema)
 
-    return chosen(True), chosen(False)
+    return part(True), part(False)
 
 
 def likely(rows: DataFrame, ids: DataFrame) -> DataFrame:

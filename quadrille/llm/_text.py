@@ -7,6 +7,7 @@ word (and each run of words) a 64-bit hash without visiting words one by one in
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -53,10 +54,19 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h
 
 
+def release() -> None:
+    """Give freed memory back to the system: a Python worker lives through many tasks and would keep the most that any has used."""
+    pa.default_memory_pool().release_unused()
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):  # glibc only
+        trim(0)
+
+
 def slices(batches, column: str = "text", limit: int = SLICE_BYTES) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
     """Cut batches so that a slice holds at most `limit` bytes of text (or one longer document).
 
-    Yields the slice, its bytes and its row offsets.  Null texts are empty."""
+    Yields the slice, its bytes and its row offsets.  Null texts are empty.  Memory that earlier tasks have freed
+    is given back at first, this one's at the end."""
+    release()
     for batch in batches:
         col = batch.column(batch.schema.get_field_index(column))
         if col.null_count:
@@ -77,6 +87,7 @@ def slices(batches, column: str = "text", limit: int = SLICE_BYTES) -> Iterator[
             b = min(n, max(b, a + 1))
             yield batch.slice(a, b - a), raw[offs[a] : offs[b]], offs[a : b + 1] - offs[a]
             a = b
+    release()
 
 
 def space_table() -> np.ndarray:

@@ -58,10 +58,14 @@ def band_keys(flat: np.ndarray, bounds: np.ndarray) -> np.ndarray:
     return _text.mix(out + np.arange(1, BANDS + 1, dtype=np.uint64))
 
 
-def sketches(docs: DataFrame, members: bool = False) -> DataFrame:
-    """(doc_id, s, keys): a hash of each text's set and its band keys; with `members` the set itself (bytes of uint32) instead of the keys."""
+def sketches(docs: DataFrame, among: DataFrame | None = None) -> DataFrame:
+    """(doc_id, s, keys): a hash of each text's set and its band keys; given `among`, the set itself (bytes of uint32, named members)
+    instead of the keys, of all documents whose doc_id is there and few others."""
+    members = among is not None
+    rows, chosen = _bitmap.sieve(_spark.texts(docs), among) if members else (_spark.texts(docs), iter)
+
     def run(batches):
-        for part, data, offsets in _text.slices(batches):
+        for part, data, offsets in _text.slices(chosen(batches)):
             flat, bounds = shingle_sets(data, offsets)
             some = np.flatnonzero(np.diff(bounds))
             if not len(some):
@@ -74,7 +78,7 @@ def sketches(docs: DataFrame, members: bool = False) -> DataFrame:
                 last = pa.FixedSizeListArray.from_arrays(pa.array(band_keys(flat, cut).ravel().view(np.int64)), BANDS).cast(pa.list_(pa.int64()))
             yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(some)), pa.array(s.view(np.int64)), last], names=["doc_id", "s", "members" if members else "keys"])
 
-    return _spark.texts(docs).mapInArrow(run, f"doc_id long, s long, {'members binary' if members else 'keys array<long>'}")
+    return rows.mapInArrow(run, f"doc_id long, s long, {'members binary' if members else 'keys array<long>'}")
 
 
 def _groups(batches, held: int):
@@ -157,7 +161,7 @@ def near_links(classes: DataFrame, docs: DataFrame, least: float = SIMILARITY) -
     pair = F.explode(F.transform(F.sequence(F.lit(0).cast("long"), parts - 1), lambda o: F.least(o, own) * parts + F.greatest(o, own)))
     dealt = groups.select(F.col("grp"), "s", pair.alias("pair")).select(F.xxhash64("grp", "pair").alias("grp"), "s")
     reps = _spark.materialise(classes.join(stored.select("s").distinct(), "s", "left_semi").select(F.col("rep").alias("doc_id"), "s"), "shingle-reps")
-    sets = sketches(_bitmap.likely(_spark.texts(docs), reps), members=True).join(reps, ["doc_id", "s"], "left_semi").select("s", "members").dropDuplicates(["s"])
+    sets = sketches(docs, reps).join(reps, ["doc_id", "s"], "left_semi").select("s", "members").dropDuplicates(["s"])
 
     def verify(batches):
         grp, held = None, []
