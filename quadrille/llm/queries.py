@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quadrille.llm import language_id, line_dedup, matroska, phrase_index, quote_threads, sentence_pieces, simhash, substring_dedup, token_counts, toxicity
+from quadrille.llm import language_id, lexical_packing, line_dedup, matroska, periodic_runs, phrase_index, quote_threads, sentence_pieces, simhash, substring_dedup, token_counts, toxicity
 from quadrille.llm._spark import table
 
 
@@ -64,11 +64,39 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.substring_dedup(table(spark, sf_dir, "documents"))
 
 
+def op11_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pieces = lexical_packing.packed(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+    return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
+
+
+def repeating(docs: DataFrame) -> DataFrame:
+    """The texts with periods put in: in a tenth of them (by doc_id) the words from a place on go through the same few words again and again."""
+    h = F.crc32(F.col("doc_id").cast("string"))
+    g = F.floor(h / 10)
+    words = F.regexp_extract_all("text", F.lit(r"[^\x20\x09-\x0D]+"), F.lit(0))
+    n = F.size(words)
+    a = g % F.greatest(n, F.lit(1))
+    p = 1 + F.floor((n - a) / (3 + g % 8))
+    made = F.array_join(F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.get(words, F.when(i < a, i).otherwise(a + (i - a) % p).cast("int"))), " ")
+    return docs.select("doc_id", F.when((h % 10 == 0) & (n > 0), made).otherwise(F.col("text")).alias("text"))
+
+
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    got = periodic_runs.periodic_runs(repeating(table(spark, sf_dir, "documents")))
+    best = F.array_max(F.transform("runs", lambda r: F.struct(r.length.alias("length"), (-r.start).alias("start"), (-r.period).alias("period"))))
+    lines = F.array_join(F.transform("runs", lambda r: F.concat_ws(",", r.start, r.length, r.period)), "\n")
+    lines = F.when(F.size("runs") > 0, F.concat(lines, F.lit("\n"))).otherwise("")
+    rows = got.select("doc_id", F.size("runs").cast("long").alias("n_runs"), best.alias("best"), lines.alias("lines"), "collapsed")
+    length, period = F.col("best.length"), -F.col("best.period")
+    return rows.select("doc_id", "n_runs", (-F.col("best.start")).alias("start"), length.alias("length"), period.alias("period"), F.floor(1000 * length / period).alias("exponent_milli"),
+                       F.sha2("lines", 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         op1_line_dedup, op2_toxicity, op3_token_counts, op4_sentence_pieces, op5_media_columns,
-        op6_decontamination, op7_simhash, op8_quote_threads, op9_language_id, op10_substring_dedup)
+        op6_decontamination, op7_simhash, op8_quote_threads, op9_language_id, op10_substring_dedup, op11_packing, op12_periodic_runs)
 }
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 _ALNUM = r"'[^\x00-\x2F\x3A-\x60\x7B-\x7F]+'"
