@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quadrille.llm import language_id, lexical_packing, line_dedup, matroska, periodic_runs, phrase_index, quote_threads, sentence_pieces, simhash, substring_dedup, token_counts, toxicity
+from quadrille.llm import language_id, lexical_packing, line_dedup, matroska, periodic_runs, phrase_index, quote_threads, ranked_search, sentence_pieces, simhash, substring_dedup, token_counts, toxicity
 from quadrille.llm._spark import table
 
 
@@ -92,11 +92,15 @@ def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
                        F.sha2("lines", 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"))
 
 
+def op13_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranked_search.ranked(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         op1_line_dedup, op2_toxicity, op3_token_counts, op4_sentence_pieces, op5_media_columns,
-        op6_decontamination, op7_simhash, op8_quote_threads, op9_language_id, op10_substring_dedup, op11_packing, op12_periodic_runs)
+        op6_decontamination, op7_simhash, op8_quote_threads, op9_language_id, op10_substring_dedup, op11_packing, op12_periodic_runs, op13_ranked_search)
 }
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 _ALNUM = r"'[^\x00-\x2F\x3A-\x60\x7B-\x7F]+'"
@@ -117,6 +121,12 @@ SELECT d.doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_item
 y AS (SELECT doc_id, s, min(doc_id) OVER (PARTITION BY array_to_string(w[s : s + 49], ' ')) AS first FROM x), g AS (SELECT DISTINCT doc_id, unnest(range(s, s + 50)) AS pos FROM y WHERE first < doc_id),
 e AS (SELECT doc_id, unnest(w) AS word, unnest(range(1, len(w) + 1)) AS pos FROM d), k AS (SELECT e.doc_id, count(*) AS kept, string_agg(word, ' ' ORDER BY e.pos) AS text FROM e LEFT JOIN g ON e.doc_id = g.doc_id AND e.pos = g.pos WHERE g.pos IS NULL GROUP BY 1)
 SELECT d.doc_id, len(w) AS n_words, len(w) - coalesce(kept, 0) AS n_removed, sha256(coalesce(k.text, '')) AS kept_sha256 FROM d LEFT JOIN k USING (doc_id)""",
+    "op13_ranked_search": f"""WITH w AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all({_LOWER}, {_ALNUM}) AS t FROM documents), d AS (SELECT r, doc_id, CAST(len(t) AS BIGINT) AS n FROM w WHERE len(t) > 0),
+s AS (SELECT count(*) AS docs, CAST(sum(n) AS BIGINT) AS terms FROM d), e AS (SELECT r, unnest(t) AS term FROM w), c AS (SELECT r, term, count(*) AS tf FROM e GROUP BY 1, 2), f AS (SELECT term, count(*) AS df FROM c GROUP BY 1),
+i AS (SELECT row_number() OVER () AS q, item_id, regexp_extract_all({_LOWER}, {_ALNUM}) AS t FROM benchmark), u AS (SELECT q, item_id, unnest(t) AS term FROM i), v AS (SELECT q, item_id, term, count(*) AS repeats FROM u GROUP BY 1, 2, 3),
+g AS (SELECT v.q, v.item_id, c.r, repeats * CAST(floor(1000 * ln((2 * docs + 2) / (2 * df + 1))) AS BIGINT) * ((1000000000 * tf) // (1000 * tf + 8 * (25 + (75 * n * docs) // terms))) AS gain FROM v JOIN f USING (term) JOIN c USING (term) JOIN d USING (r), s),
+p AS (SELECT q, item_id, r, CAST(sum(gain) AS BIGINT) AS score FROM g GROUP BY 1, 2, 3 HAVING sum(gain) > 0), o AS (SELECT q, item_id, doc_id, score, row_number() OVER (PARTITION BY q ORDER BY score DESC, doc_id NULLS LAST) AS k FROM p JOIN d USING (r))
+SELECT item_id, CAST(k AS INTEGER) AS rank, doc_id, score FROM o WHERE k <= 10""",
     "op8_quote_threads": rf"""WITH RECURSIVE {_TALKS}, l AS (SELECT conv_id, turn, role, unnest(string_split_regex(coalesce(text, ''), '\r?\n')) AS s, unnest(range(len(string_split_regex(coalesce(text, ''), '\r?\n')))) AS i FROM talks),
 p AS (SELECT conv_id, turn, role, i, length(replace(regexp_extract(s, '{quote_threads.QUOTE}'), ' ', '')) AS level, regexp_replace(regexp_replace(s, '{quote_threads.QUOTE}', ''), '^ ', '') AS s FROM l),
 c AS (SELECT *, CASE WHEN level = lag(level) OVER w THEN 0 ELSE 1 END AS opens FROM p WINDOW w AS (PARTITION BY conv_id, turn ORDER BY i)), g AS (SELECT *, sum(opens) OVER (PARTITION BY conv_id, turn ORDER BY i) AS part FROM c),
