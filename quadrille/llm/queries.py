@@ -72,13 +72,14 @@ def op11_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def repeating(docs: DataFrame) -> DataFrame:
     """The texts with periods put in: in a tenth of them (by doc_id) the words from a place on go through the same few words again and again."""
     h = F.crc32(F.col("doc_id").cast("string"))
-    g = F.floor(h / 10)
-    words = F.regexp_extract_all("text", F.lit(r"[^\x20\x09-\x0D]+"), F.lit(0))
-    n = F.size(words)
-    a = g % F.greatest(n, F.lit(1))
-    p = 1 + F.floor((n - a) / (3 + g % 8))
-    made = F.array_join(F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.get(words, F.when(i < a, i).otherwise(a + (i - a) % p).cast("int"))), " ")
-    return docs.select("doc_id", F.when((h % 10 == 0) & (n > 0), made).otherwise(F.col("text")).alias("text"))
+    tenth = docs.select("doc_id", "text", h.alias("h"), F.when(h % 10 == 0, F.regexp_extract_all("text", F.lit(r"[^\x20\x09-\x0D]+"), F.lit(0))).alias("words"))
+    g, n = F.floor(F.col("h") / 10), F.size("words")
+    a = (g % F.greatest(n, F.lit(1))).cast("int")
+    p = (1 + F.floor((n - a) / (3 + g % 8))).cast("int")
+    # words only through functions of whole arrays: a function of each element would find all of them again for each
+    again = F.flatten(F.array_repeat(F.slice("words", a + 1, p), F.ceil((n - a) / p).cast("int")))
+    made = F.array_join(F.concat(F.slice("words", F.lit(1), a), F.slice(again, F.lit(1), n - a)), " ")
+    return tenth.select("doc_id", F.when(n > 0, made).otherwise(F.col("text")).alias("text"))
 
 
 def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
