@@ -16,10 +16,11 @@ groups with the same members are verified once, and keys of more than `BLOCK` me
 pairs of blocks, each pair verified in a task of its own.  A key of over `HELD` rows is passed on as it
 streams by and counted afterwards.
 
-Cases: null texts have no line; blank lines are never duplicates; repeated rows give equal lines; ties
-(equal doc_id and line) are one line; rows with a null doc_id are counted, but nothing is removed from them and
-they are no originals; very long lines are joined like others; extra columns are ignored; an empty table gives
-an empty result.
+Cases: null texts have no line; blank lines are never duplicates; a row is its doc_id and text: rows that repeat both
+are judged alike, and rows with other texts under one doc_id each by their own lines (of two near lines with one doc_id and
+number, the one with the lesser name stays); rows with a null doc_id are counted, but nothing is removed from them and
+they are no originals; very long lines are joined like others; extra columns, whatever their names, are ignored by the report and
+carried by `without_duplicate_lines`; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -155,18 +156,24 @@ def join_keys(lines: list[str], edits: int = 2) -> tuple[np.ndarray, np.ndarray,
 
 
 def line_rows(docs: DataFrame) -> DataFrame:
-    """(doc_id, line_no, id) of all lines that aren't blank."""
+    """(doc_id, mark, line_no, id) of all lines of (doc_id, text, mark) that aren't blank."""
     def run(batches):
         for part, _, _ in _text.slices(batches):
-            doc, no, ids = [], [], []
-            for d, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist()):
-                for i, s in lines_of(text):
-                    doc.append(d)
-                    no.append(i)
-                    ids.append(line_id(s))
-            yield pa.RecordBatch.from_arrays([pa.array(doc, pa.int64()), pa.array(no, pa.int32()), pa.array(ids, pa.binary())], names=["doc_id", "line_no", "id"])
+            n, no, ids = [], [], []
+            for text in part.column(1).to_pylist():
+                lines = lines_of(text)
+                n.append(len(lines))
+                no += [i for i, _ in lines]
+                ids += [line_id(s) for _, s in lines]
+            of = pa.array(np.repeat(np.arange(len(n)), n))
+            yield pa.RecordBatch.from_arrays([part.column(0).take(of), part.column(2).take(of), pa.array(no, pa.int32()), pa.array(ids, pa.binary())], names=["doc_id", "mark", "line_no", "id"])
 
-    return docs.mapInArrow(run, "doc_id long, line_no int, id binary")
+    return docs.mapInArrow(run, "doc_id long, mark long, line_no int, id binary")
+
+
+def marked(docs: DataFrame) -> DataFrame:
+    """(doc_id, text, mark): the mark tells texts under one doc_id apart."""
+    return _spark.texts(docs).withColumn("mark", F.xxhash64("text"))
 
 
 def _fresh(batches):
@@ -328,47 +335,51 @@ def near_links(docs: DataFrame, edits: int = 2) -> DataFrame:
 
 
 def duplicate_lines(docs: DataFrame, edits: int = 2) -> DataFrame:
-    """(doc_id, line_no, kept_doc, kept_line): each line that goes, with the first line of its component."""
-    docs = _spark.texts(docs).filter("doc_id is not null")
+    """(doc_id, mark, line_no, kept_doc, kept_line): each line that goes, with the first line of its component."""
+    docs = marked(docs).filter("doc_id is not null")
     rows = _spark.materialise(line_rows(docs), "lines")
-    place = F.struct("doc_id", "line_no")
-    classes = rows.groupBy("id").agg(F.min(place).alias("first"), F.count("*").alias("n"))
-    links = near_links(docs, edits)
+    classes = rows.groupBy("id").agg(F.min(F.struct("doc_id", "line_no")).alias("first"), F.count("*").alias("n"))
+    links = near_links(docs.select("doc_id", "text"), edits)
     parts = connected_components(links)
     # a line that stands once and has no link stays: it isn't looked up again
     named = classes.join(parts, F.col("id") == F.col("node"), "left").filter("n > 1 or node is not null").select("id", "n", "first", F.coalesce("component", "id").alias("component"))
     named = _spark.materialise(named, "line-classes")
-    heads = named.groupBy("component").agg(F.min("first").alias("head"), F.count("*").alias("_size"))
+    heads = named.groupBy("component").agg(F.min(F.struct("first.doc_id", "first.line_no", "id")).alias("head"), F.count("*").alias("_size"))
     several = _spark.skew_join(named, heads, ["component"], n="_size", heavy=HEAVY).select("id", "head", "n")
-    gone = _spark.skew_join(rows, several, ["id"], heavy=HEAVY).filter(place != F.col("head")).select("doc_id", "line_no", F.col("head.doc_id").alias("kept_doc"), F.col("head.line_no").alias("kept_line"))
+    stays = F.struct("doc_id", "line_no", "id") == F.col("head")
+    gone = _spark.skew_join(rows, several, ["id"], heavy=HEAVY).filter(~stays).select("doc_id", "mark", "line_no", F.col("head.doc_id").alias("kept_doc"), F.col("head.line_no").alias("kept_line"))
     out = _spark.materialise(gone, "lines-gone")
     _spark.discard(rows, links, named)
     return out
 
 
 def line_counts(docs: DataFrame) -> DataFrame:
-    """(doc_id, n_lines) of every row."""
+    """(doc_id, mark, n_lines) of every row."""
     def run(batches):
         for part, _, _ in _text.slices(batches):
-            yield pa.RecordBatch.from_arrays([part.column(0), pa.array([len(lines_of(t)) for t in part.column(1).to_pylist()], pa.int64())], names=["doc_id", "n_lines"])
+            yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), pa.array([len(lines_of(t)) for t in part.column(1).to_pylist()], pa.int64())], names=["doc_id", "mark", "n_lines"])
 
-    return _spark.texts(docs).mapInArrow(run, "doc_id long, n_lines long")
+    return marked(docs).mapInArrow(run, "doc_id long, mark long, n_lines long")
 
 
 def line_report(docs: DataFrame, edits: int = 2) -> DataFrame:
     """doc_id, n_lines (not blank), n_removed, removed (line numbers, ascending) and kept_docs (doc_ids of the lines kept instead)."""
-    gone = duplicate_lines(docs, edits).groupBy("doc_id").agg(F.sort_array(F.collect_set("line_no")).alias("removed"), F.sort_array(F.collect_set("kept_doc")).alias("kept_docs"))
-    return line_counts(docs).join(gone, "doc_id", "left").select(
+    gone = duplicate_lines(docs, edits).groupBy("doc_id", "mark").agg(F.sort_array(F.collect_set("line_no")).alias("removed"), F.sort_array(F.collect_set("kept_doc")).alias("kept_docs"))
+    return line_counts(docs).join(gone, ["doc_id", "mark"], "left").select(
         "doc_id", "n_lines", F.coalesce(F.size("removed"), F.lit(0)).cast("long").alias("n_removed"),
         F.coalesce("removed", F.array().cast("array<int>")).alias("removed"), F.coalesce("kept_docs", F.array().cast("array<long>")).alias("kept_docs"))
 
 
 def without_duplicate_lines(docs: DataFrame, edits: int = 2) -> DataFrame:
-    """`docs` with the text of each document rid of its duplicate lines; other columns stay, n_chars is counted anew."""
-    gone = duplicate_lines(docs, edits).groupBy("doc_id").agg(F.collect_set("line_no").alias("_removed"))
+    """`docs` with the text of each row rid of its duplicate lines; other columns stay, but n_chars is counted anew if it is a whole number."""
+    own = "_" + max(docs.columns, key=len)  # no column's name begins so
+    mark, removed = f"{own}_mark", f"{own}_removed"
+    gone = duplicate_lines(docs, edits).groupBy("doc_id", F.col("mark").alias(mark)).agg(F.collect_set("line_no").alias(removed))
     numbered = F.transform(F.split("text", "\n"), lambda s, i: F.struct(s.alias("s"), i.alias("i")))
-    kept = F.array_join(F.transform(F.filter(numbered, lambda x: ~F.array_contains("_removed", x["i"])), lambda x: x["s"]), "\n")
-    out = docs.join(gone, "doc_id", "left").withColumn("text", F.when(F.col("_removed").isNull(), F.col("text")).otherwise(kept))
-    if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.col("_removed").isNull(), F.col("n_chars")).otherwise(F.char_length("text").cast("long")))
+    kept = F.array_join(F.transform(F.filter(numbered, lambda x: ~F.array_contains(removed, x["i"])), lambda x: x["s"]), "\n")
+    out = docs.withColumn(mark, F.xxhash64(F.col("text").cast("string"))).join(gone, ["doc_id", mark], "left")
+    out = out.withColumn("text", F.when(F.col(removed).isNull(), F.col("text")).otherwise(kept))
+    kind = dict(docs.dtypes).get("n_chars")
+    if kind in ("smallint", "int", "bigint"):
+        out = out.withColumn("n_chars", F.when(F.col(removed).isNull(), F.col("n_chars")).otherwise(F.char_length("text").cast(kind)))
     return out.select(*docs.columns)

@@ -17,9 +17,11 @@ are a shard like any other, with all places that each has in its least document.
 more distinct pieces (a very common passage in ever new surroundings) are compared by themselves, one row per
 distinct piece and window under a 128-bit hash, so that the work stays in proportion to the distinct pieces.
 
-Cases: null and short texts have no window; equal windows within one document aren't removed for each
-other; ties cannot occur among distinct doc_ids, and rows that repeat a doc_id with the same text are
-judged alike; rows with a null doc_id are neither removed from nor a source; extra columns are ignored;
+What is removed is known by doc_id, place and a hash of the words there, so that of several texts under one doc_id each
+loses only words that it has itself.
+
+Cases: null and short texts have no window; equal windows within one document, or in rows that share a doc_id, aren't removed for each
+other; rows that repeat a doc_id with the same text are judged alike, with other texts each by its own words; rows with a null doc_id are neither removed from nor a source; extra columns are ignored;
 an empty table gives an empty result.
 """
 
@@ -29,6 +31,7 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -71,6 +74,14 @@ def _hashed(data, offsets):
     return _text.word_hashes(data, starts, ends), first
 
 
+def span_marks(short: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """A hash of the words [a, b) for each pair, from the words' short hashes."""
+    up, down = _text._WORDS.get(len(short) + 1)
+    acc = np.zeros(len(short) + 1, dtype=np.uint64)
+    np.cumsum(_text.mix(short.astype(np.uint64) + np.uint64(9)) * up[: len(short)], out=acc[1:])
+    return _text.mix((acc[b] - acc[a]) * down[a]).view(np.int64)
+
+
 def anchor_rows(docs: DataFrame) -> DataFrame:
     """(anchor, doc_id, pos) of every document."""
     def run(batches):
@@ -88,12 +99,12 @@ def anchor_rows(docs: DataFrame) -> DataFrame:
 
 
 def pieces(docs: DataFrame) -> DataFrame:
-    """(anchor, doc_id, begin, words) of the shared stretches of rows (doc_id, text, shared: array of first windows)."""
+    """(anchor, doc_id, begin, words, mark) of the shared stretches of rows (doc_id, text, shared: array of first windows)."""
     def run(batches):
         for part, data, offsets in _text.slices(batches):
             h, first = _hashed(data, offsets)
             short = (h >> np.uint64(32)).astype(np.uint32)
-            key, who, begin, blob = [], [], [], []
+            key, who, begin, blob, end = [], [], [], [], []
             for i, (doc, shared) in enumerate(zip(part.column(0).to_pylist(), part.column(2).to_pylist())):
                 a, b = int(first[i]), int(first[i + 1])
                 at, size, g = anchors(h[a:b])
@@ -103,10 +114,12 @@ def pieces(docs: DataFrame) -> DataFrame:
                 who += [doc] * len(low)
                 begin += low.tolist()
                 blob += [short[a + x : a + y].tobytes() for x, y in zip(low.tolist(), high.tolist())]
+                end += [np.column_stack([a + low, a + high])]
             if key:
-                yield pa.RecordBatch.from_arrays([pa.array(key, pa.int64()), pa.array(who, pa.int64()), pa.array(begin, pa.int32()), pa.array(blob, pa.binary())], names=["anchor", "doc_id", "begin", "words"])
+                marks = span_marks(short, *np.concatenate(end).T)
+                yield pa.RecordBatch.from_arrays([pa.array(key, pa.int64()), pa.array(who, pa.int64()), pa.array(begin, pa.int32()), pa.array(blob, pa.binary()), pa.array(marks)], names=["anchor", "doc_id", "begin", "words", "mark"])
 
-    return docs.mapInArrow(run, "anchor long, doc_id long, begin int, words binary")
+    return docs.mapInArrow(run, "anchor long, doc_id long, begin int, words binary, mark long")
 
 
 class _Shard:
@@ -128,10 +141,11 @@ class _Shard:
         self.begins[i] += begins
 
     def removed(self):
-        """A batch (doc_id, begins, ends) of removed word ranges."""
+        """A batch (doc_id, begins, ends, marks) of removed word ranges."""
         texts = [np.frombuffer(w, np.uint32) for _, w in self.ids]
         lengths = np.array([len(t) for t in texts], dtype=np.int64)
-        flat = np.unique(np.concatenate(texts), return_inverse=True)[1] + 1
+        short = np.concatenate(texts)
+        flat = np.unique(short, return_inverse=True)[1] + 1
         # documents in order; a piece counts from its least document on
         order = np.unique(np.concatenate([np.array(d, np.int64) for d in self.docs]))
         least = np.searchsorted(order, np.array([min(d) for d in self.docs]))
@@ -143,8 +157,9 @@ class _Shard:
         start = np.cumsum(lengths) - lengths
         text = flat[_text.ranges(start[stream], lengths[stream])]
         who, a, b = earlier_windows(index, text, lengths[stream], limit, WIDTH)
-        doc, x, y = [], [], []
-        for s, p, q in zip(who.tolist(), a.tolist(), b.tolist()):
+        doc, x, y, m = [], [], [], []
+        marks = span_marks(short, start[stream[who]] + a, start[stream[who]] + b)
+        for s, p, q, mark in zip(who.tolist(), a.tolist(), b.tolist(), marks.tolist()):
             i = int(stream[s])
             first = order[least[i]]
             for d, at in zip(self.docs[i], self.begins[i]):
@@ -152,7 +167,8 @@ class _Shard:
                     doc.append(d)
                     x.append(at + p)
                     y.append(at + q)
-        return pa.RecordBatch.from_arrays([pa.array(doc, pa.int64()), pa.array(x, pa.int32()), pa.array(y, pa.int32())], names=["doc_id", "a", "b"])
+                    m.append(mark)
+        return pa.RecordBatch.from_arrays([pa.array(doc, pa.int64()), pa.array(x, pa.int32()), pa.array(y, pa.int32()), pa.array(m, pa.int64())], names=["doc_id", "a", "b", "mark"])
 
 
 def _search(batches, most: int):
@@ -169,7 +185,7 @@ def _search(batches, most: int):
         yield shard.removed()
 
 
-CUTS = "doc_id long, a int, b int"
+CUTS = "doc_id long, a int, b int, mark long"
 
 
 def _around(rows: DataFrame, shared: DataFrame, column: str) -> DataFrame:
@@ -189,12 +205,12 @@ def _windows(batches, rows: int = 1000):
             own = np.repeat(np.arange(len(n)), windows)
             inside = _text.ranges(np.zeros(len(n), np.int64), windows)
             start = (np.cumsum(n) - n)[own] + inside
-            keys = [_text.run_hashes(_text.mix(flat + np.uint64(salt)), WIDTH)[start].view(np.int64) for salt in (3, 5)]
+            keys = [_text.run_hashes(_text.mix(flat + np.uint64(salt)), WIDTH)[start].view(np.int64) for salt in (3, 5)] + [span_marks(flat, start, start + WIDTH)]
             size = np.diff(begins.offsets.to_numpy())
             first = np.cumsum(size) - size
             places = begins.flatten().to_numpy()[_text.ranges(first[own], size[own])] + np.repeat(inside, size[own])
             bounds = np.concatenate([[0], np.cumsum(size[own])])
-            yield pa.RecordBatch.from_arrays([*map(pa.array, keys), doc.take(pa.array(own)), _text.ragged(places.astype(np.int32), bounds, pa.int32())], names=["key", "check", "doc_id", "begins"])
+            yield pa.RecordBatch.from_arrays([*map(pa.array, keys), doc.take(pa.array(own)), _text.ragged(places.astype(np.int32), bounds, pa.int32())], names=["key", "check", "mark", "doc_id", "begins"])
 
 
 def _hot_cuts(around: DataFrame, hot: int) -> tuple[DataFrame, list[DataFrame]]:
@@ -204,14 +220,14 @@ def _hot_cuts(around: DataFrame, hot: int) -> tuple[DataFrame, list[DataFrame]]:
     distinct = _spark.materialise(own.groupBy("anchor", "words").agg(F.min(F.struct("doc_id", "begins")).alias("first"), F.sum("n").alias("n")), "hot-distinct")
     least = distinct.filter("n > 1").select("anchor", "words", F.col("first.doc_id").alias("least"), "n")
     later = _spark.skew_join(around, least, ["anchor", "words"], heavy=hot).filter(F.col("doc_id") > F.col("least"))
-    whole = later.select("doc_id", F.col("begin").alias("a"), (F.col("begin") + F.length("words") / 4).cast("int").alias("b"))
+    whole = later.select("doc_id", F.col("begin").alias("a"), (F.col("begin") + F.length("words") / 4).cast("int").alias("b"), "mark")
     sizes = distinct.groupBy("anchor").agg(F.count("*").alias("n")).withColumn("many", F.col("n") > hot)
     rows = _spark.skew_join(distinct.select("anchor", "first.doc_id", "first.begins", "words"), sizes, ["anchor"], heavy=hot)
     cuts = whole.unionByName(_shards(rows.filter("not many").drop("many")))
-    single = _spark.materialise(rows.filter("many").select("doc_id", "begins", "words").mapInArrow(_windows, "key long, check long, doc_id long, begins array<int>"), "hot-windows")
+    single = _spark.materialise(rows.filter("many").select("doc_id", "begins", "words").mapInArrow(_windows, "key long, check long, mark long, doc_id long, begins array<int>"), "hot-windows")
     first = single.groupBy("key", "check").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("last"), F.count("*").alias("n")).filter("least < last").drop("last")
-    again = _spark.skew_join(single, first, ["key", "check"], heavy=hot).filter(F.col("doc_id") > F.col("least")).select("doc_id", F.explode("begins").alias("a"))
-    return cuts.unionByName(again.select("doc_id", "a", (F.col("a") + WIDTH).cast("int").alias("b"))), [around, distinct, single]
+    again = _spark.skew_join(single, first, ["key", "check"], heavy=hot).filter(F.col("doc_id") > F.col("least")).select("doc_id", F.explode("begins").alias("a"), "mark")
+    return cuts.unionByName(again.select("doc_id", "a", (F.col("a") + WIDTH).cast("int").alias("b"), "mark")), [around, distinct, single]
 
 
 def _shards(around: DataFrame) -> DataFrame:
@@ -220,7 +236,7 @@ def _shards(around: DataFrame) -> DataFrame:
 
 
 def removed_ranges(docs: DataFrame, hot: int | None = None) -> DataFrame:
-    """(doc_id, ranges: array of (a, b) word ranges to remove) of the documents that lose words."""
+    """(doc_id, ranges: array of (a, b, mark) word ranges to remove where the words have that mark) of the documents that lose words."""
     hot = hot or HOT
     rows = docs.filter("doc_id is not null")
     found = _spark.materialise(anchor_rows(rows), "anchors")
@@ -234,7 +250,7 @@ def removed_ranges(docs: DataFrame, hot: int | None = None) -> DataFrame:
     if several.filter("hot").limit(1).count():
         more, tables = _hot_cuts(_around(rows, shared, "hot"), hot)
         cuts, used = cuts.unionByName(more), used + tables
-    out = _spark.materialise(cuts.groupBy("doc_id").agg(F.collect_set(F.struct("a", "b")).alias("ranges")), "removed")
+    out = _spark.materialise(cuts.groupBy("doc_id").agg(F.collect_set(F.struct("a", "b", "mark")).alias("ranges")), "removed")
     _spark.discard(*used)
     return out
 
@@ -245,14 +261,23 @@ def kept_texts(docs: DataFrame, ranges: DataFrame, with_text: bool = False) -> D
         for part, data, offsets in _text.slices(batches):
             raw, cut = data.tobytes(), offsets.tolist()
             n, gone, sha, text = [], [], [], []
-            for a, b, spans in zip(cut, cut[1:], part.column(2).to_pylist()):
+            spans, size = part.column(2).flatten(), pc.fill_null(pc.list_value_length(part.column(2)), 0).to_numpy()
+            if len(spans):
+                h, first = _hashed(data, offsets)
+                x, y, mark = (c.to_numpy(zero_copy_only=False).astype(np.int64) for c in spans.flatten())
+                base, end = np.repeat(first[:-1], size), np.repeat(first[1:], size)
+                inside = base + y <= end
+                x, y, mark, base = x[inside], y[inside], mark[inside], base[inside]
+                mine = span_marks((h >> np.uint64(32)).astype(np.uint32), base + x, base + y) == mark
+                edge = np.zeros(len(h) + 1, dtype=np.int64)
+                np.add.at(edge, (base + x)[mine], 1)
+                np.add.at(edge, (base + y)[mine], -1)
+                keep = np.cumsum(edge)[:-1] == 0
+            for i, (a, b) in enumerate(zip(cut, cut[1:])):
                 w = raw[a:b].split()
                 n.append(len(w))
-                if spans:
-                    keep = np.ones(len(w), dtype=bool)
-                    for s in spans:
-                        keep[s["a"] : s["b"]] = False
-                    w = [w[i] for i in np.flatnonzero(keep)]
+                if size[i]:
+                    w = [w[k] for k in np.flatnonzero(keep[first[i] : first[i + 1]]).tolist()]
                 kept = b" ".join(w)
                 gone.append(n[-1] - len(w))
                 sha.append(hashlib.sha256(kept).hexdigest())
