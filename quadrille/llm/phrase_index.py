@@ -11,7 +11,7 @@ set is more searches of the stored index, and the hits of a row of documents are
 The answer is the same for any number of blocks.
 
 Cases: a null or empty text has no words (0 words, 0 hits); an item without words has no window;
-repeated items each count as an item; rows that repeat a doc_id are each judged by their own text; a very long
+repeated items each count as an item; rows with a null item_id are no items; rows that repeat a doc_id are each judged by their own text; a very long
 text is a slice of its own and indexed whole; an empty table or an empty test set gives no hits; extra columns
 are ignored.
 """
@@ -78,6 +78,7 @@ class Queries:
 
 def compile_windows(items: list[tuple[object, str | None]], width: int = 10) -> Queries:
     """All runs of `width` words of each item; an item of fewer words, but not none, is one run."""
+    items = [(key, t) for key, t in items if key is not None]
     texts = [(t or "").encode() for _, t in items]
     offsets = np.cumsum([0, *map(len, texts)])
     h, first = token_hashes(np.frombuffer(b"".join(texts), dtype=np.uint8), offsets)
