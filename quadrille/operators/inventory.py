@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import functools
+import heapq
+import math
 
 import numpy as np
 from pyspark.sql import Column, DataFrame
@@ -125,30 +127,44 @@ MOVES, RADIUS_KM = 150, 3.0  # of one round
 def plan_moves(shortage: np.ndarray, surplus: np.ndarray, stock: np.ndarray, cap: np.ndarray, km_from, most: int = MOVES, radius_km: float = RADIUS_KM) -> list[tuple[int, int, int, float]]:
     """One round of moves (source, destination, bikes, km) between places by number; km_from(i) gives the distances from i to all.
 
-    The largest shortage takes whole bikes from the nearest surplus in reach.  Half a bike or less is no shortage and no
-    surplus.  A move is held by the shortage, the surplus, what the source holds and what fits the destination;
-    a source that can give nothing is left out from then on, and so is a destination without a source in reach.
-    Each of these steps counts towards `most`; ties go to the lesser number."""
-    need, spare, stock = shortage.astype(float), surplus.astype(float), stock.astype(float)
-    out = []
+    Whole bikes go to the place that lacks most, from the nearest one in reach that has some to spare; half a bike or less
+    is neither lack nor spare.  A move is held by the lack, by what the source can spare and holds, and by what fits.
+    A source that can't give a whole bike then is out, as is a place with no source left in reach; each of these
+    steps counts towards `most`, and ties go to the lesser number.
+
+    Lacks are a heap.  What sources can spare only falls, so that each place goes through its sources once, nearest first."""
+    lacks = [(-x, i) for i, x in enumerate(shortage.tolist()) if x > 0.5]
+    heapq.heapify(lacks)
+    spare = {i: x for i, x in enumerate(surplus.tolist()) if x > 0.5}
+    held = stock.astype(float)
+    near: dict[int, list[int]] = {}
+    out: list[tuple[int, int, int, float]] = []
     for _ in range(most):
-        to = int(need.argmax()) if len(need) else 0
-        givers = np.flatnonzero(spare > 0.5)
-        if not len(givers) or need[to] <= 0.5:
+        if not lacks or not spare:
             break
-        km = km_from(to)[givers]
-        if not (km <= radius_km).any():
-            need[to] = 0.0
+        lack, to = -lacks[0][0], lacks[0][1]
+        km = km_from(to)
+        if to not in near:  # nearest last, to be taken from the end
+            near[to] = sorted((i for i in spare if km[i] <= radius_km), key=lambda i: (km[i], i), reverse=True)
+        while near[to] and near[to][-1] not in spare:
+            near[to].pop()
+        if not near[to]:
+            heapq.heappop(lacks)
             continue
-        source = int(givers[np.where(km <= radius_km, km, np.inf).argmin()])
-        n = int(min(need[to], spare[source], stock[source], cap[to] - stock[to]))
-        if n < 1:
-            spare[source] = 0.0
+        source = near[to][-1]
+        bikes = math.floor(min(lack, spare[source], held[source], cap[to] - held[to]))
+        if bikes < 1:
+            del spare[source]
             continue
-        out.append((source, to, n, float(km_from(to)[source])))
-        stock[[source, to]] += (-n, n)
-        spare[source] -= n
-        need[to] -= n
+        out.append((source, to, bikes, float(km[source])))
+        held[source], held[to] = held[source] - bikes, held[to] + bikes
+        if spare[source] - bikes > 0.5:
+            spare[source] -= bikes
+        else:
+            del spare[source]
+        heapq.heappop(lacks)
+        if lack - bikes > 0.5:
+            heapq.heappush(lacks, (bikes - lack, to))
     return out
 
 

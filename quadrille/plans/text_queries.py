@@ -106,3 +106,31 @@ def region_polygons(spark, d):
     cells = stations(spark, d).groupBy(g.index(F.col("lat"), F.col("lng")).alias("region_id")).agg(F.count("*").alias("stations"))
     ring = F.transform(g.boundary(F.col("region_id")), lambda p: F.transform(p, lambda x: F.round(x, 6)))
     return cells.select("region_id", text.polygon_geojson(ring, {"region_id": F.col("region_id"), "stations": F.col("stations")}).alias("feature"))
+
+
+_OPENINGS = ("How many bikes are near ", "what about ", "And why ", "See [the map](https://x.y/z) ![i](http://z) ", "will there be any")
+_CLOSINGS = (" at 5pm?", " on 2024-06-05 07:15", " around 12:20 AM.", "", " on 2024-07-01T18:45!", " at 13:99 pm")
+_LIST = lambda xs: "[" + ", ".join(f"'{x}'" for x in xs) + "]"
+_CLOCK_SQL = r"(?i)\b(\d{1,2})\s*(?::(\d{2}))?\s*(am|pm)\b"
+
+
+def messages(spark, d):
+    """What people ask, made from the conversations: an opening, their text, and a time."""
+    c = table(spark, d, "conversations")
+    pick = lambda xs, k: F.get(F.array(*map(F.lit, xs)), k.cast("int"))
+    return c.select("conv_id", "turn", F.concat(pick(_OPENINGS, F.col("turn") % len(_OPENINGS)), F.coalesce("text", F.lit("")), pick(_CLOSINGS, (F.col("conv_id") + F.col("turn")) % len(_CLOSINGS))).alias("message"))
+
+
+# written apart from the code: the clock as minutes of the day, the words as a list
+@query(rf"""WITH m AS (SELECT conv_id, turn, {_LIST(_OPENINGS)}[1 + turn % {len(_OPENINGS)}] || coalesce(text, '') || {_LIST(_CLOSINGS)}[1 + (conv_id + turn) % {len(_CLOSINGS)}] AS message FROM conversations),
+t AS (SELECT *, regexp_extract(message, '\b(\d{{4}}-\d{{2}}-\d{{2}}(?:[T ]\d{{2}}:\d{{2}})?)\b', 1) AS iso, try_cast(regexp_extract(message, '{_CLOCK_SQL}', 1) AS INT) AS h, coalesce(try_cast(regexp_extract(message, '{_CLOCK_SQL}', 2) AS INT), 0) AS mi, lower(regexp_extract(message, '{_CLOCK_SQL}', 3)) AS half,
+list_filter(string_split_regex(regexp_replace(regexp_replace(regexp_replace(message, '\b(\d{{4}}-\d{{2}}-\d{{2}}(?:[T ]\d{{2}}:\d{{2}})?)\b', ' ', 'g'), '{_CLOCK_SQL}', ' ', 'g'), '[?.,!]', ' ', 'g'), '\s+'), lambda w: w <> '') AS words FROM m),
+p AS (SELECT *, list_filter(words, lambda w: lower(w) NOT IN ({", ".join(f"'{w}'" for w in text.FILLER)})) AS telling FROM t)
+SELECT conv_id, turn, strftime(CASE WHEN iso <> '' THEN CAST(iso AS TIMESTAMP) WHEN h BETWEEN 1 AND 12 AND mi < 60 THEN TIMESTAMP '2024-06-03 00:00:00' + to_minutes(60 * (h % 12 + CASE WHEN half = 'pm' THEN 12 ELSE 0 END) + mi) ELSE TIMESTAMP '2024-06-03 09:30:00' END, '%Y-%m-%d %H:%M') AS asked,
+array_to_string(CASE WHEN len(telling) > 0 THEN telling ELSE words END, ' ') AS place, regexp_matches(lower(ltrim(message)), '^(?:{"|".join(text.FOLLOW_UPS)})\b') AS goes_on,
+regexp_replace(regexp_replace(regexp_replace(message, '!\[[^\]]*\]\([^)]*\)|\[([^\]]+)\]\((?:https?|data):[^)]*\)', '\1', 'g'), '\n{{3,}}', chr(10) || chr(10), 'g'), '^\s+|\s+$', '', 'g') AS clean FROM p""")
+def message_requests(spark, d):
+    """Times and places that messages ask for, and the messages as they are shown."""
+    m = F.col("message")
+    asked = text.request_time(m, F.lit("2024-06-03 09:30:00").cast("timestamp_ntz"))
+    return messages(spark, d).select("conv_id", "turn", F.date_format(asked, "yyyy-MM-dd HH:mm").alias("asked"), text.request_place(m).alias("place"), text.goes_on(m).alias("goes_on"), text.without_links(m).alias("clean"))

@@ -328,13 +328,17 @@ def test_row_samples(spark):
     assert a == b and 4700 < len(a) < 5300 and a != {r.k for r in models.sample_rows(df, "k", 0.25, 43).collect()}
 
 
-def test_messages():
+def test_messages(spark):
     now = "2024-06-03T09:30:00"
-    assert text.request_time("bikes at 5pm near Main St?", now) == "2024-06-03T17:00:00" and text.request_time("12:15 AM", now) == "2024-06-03T00:15:00"
-    assert text.request_time("no time", now) == now and text.request_time("at 5pm") is None and text.request_time("on 2024-06-05 07:15") == "2024-06-05T07:15"
-    assert text.request_place("How many bikes near Main St at 5pm?") == "Main St" and text.request_place("will there be any?") == "will there be any"
-    assert text.goes_on("And why?") and text.goes_on("how come it is so") and not text.goes_on("Main St") and not text.goes_on("sofa street")
-    assert text.without_links("see [map](http://x) ![i](http://y) [a](b.md)\n\n\n\nend") == "see map  [a](b.md)\n\nend"
+    at = F.lit(now).cast("timestamp_ntz")
+    asked = [("bikes at 5pm near Main St?", "2024-06-03 17:00:00"), ("12:15 AM", "2024-06-03 00:15:00"), ("no time", "2024-06-03 09:30:00"), ("on 2024-06-05 07:15", "2024-06-05 07:15:00"), ("on 2024-06-05T07:15 or 3 pm", "2024-06-05 07:15:00"), ("2024-06-05", "2024-06-05 00:00:00"), ("at 14:99 pm", "2024-06-03 09:30:00"), (None, "2024-06-03 09:30:00")]
+    rows = spark.createDataFrame(asked, "m string, want string").coalesce(1)
+    assert [str(r[0]) for r in rows.select(text.request_time(F.col("m"), at)).collect()] == [w for _, w in asked]
+    assert rows.filter("m like '%5pm%'").select(text.request_time(F.col("m"), F.lit(None).cast("timestamp_ntz"))).first()[0] is None
+    one = lambda f, *ms: [r[0] for r in spark.createDataFrame([(m,) for m in ms], "m string").coalesce(1).select(f(F.col("m"))).collect()]
+    assert one(text.request_place, "How many bikes near Main St at 5pm?", "will there be any?", "") == ["Main St", "will there be any", ""]
+    assert one(text.goes_on, "And why?", " how come it is so", "Main St", "sofa street", "android") == [True, True, False, False, False]
+    assert one(text.without_links, "see [map](http://x) ![i](http://y) [a](b.md)\n\n\n\nend ") == ["see map  [a](b.md)\n\nend"]
 
 
 def test_place_names(spark):
