@@ -7,7 +7,7 @@ from datetime import date
 from pyspark.sql import functions as F
 
 from quadrille.functions import metrics, timeutil
-from quadrille.operators import families, models
+from quadrille.operators import families, leafwise, models, tuning
 from quadrille.operators import panel as P
 from quadrille.plans.feature_sql import FEATURES_SQL
 from quadrille.plans.panel_queries import ZONE, panel
@@ -42,6 +42,42 @@ def boosted_trees_eval(spark, d):
     return metrics.evaluate(long, ["kind", "horizon", "model"])
 
 
+def _panel_split(spark, d):
+    """Features of the panel as training, validation and test rows."""
+    rows = materialise(design(spark, d).dropna(subset=[*_TARGETS.values(), "pickups_lag_96"]), "design")
+    return [rows.filter(models.Split(n, a, b).contains("ts", ZONE)) for n, a, b in (("train", date(2024, 1, 2), date(2024, 1, 18)), ("valid", date(2024, 1, 19), date(2024, 1, 23)), ("test", date(2024, 1, 24), date(2024, 1, 30)))]
+
+
+@query()
+def leafwise_trees_eval(spark, d):
+    """Leaf-wise Poisson trees with early stopping for one horizon of both kinds, and the naive forecast, on the same held-out rows; fitted models, so checked by tests."""
+    train, valid, test = _panel_split(spark, d)
+    long = None
+    for kind in ("pickup", "dropoff"):
+        m = leafwise.fit(train, valid, _SMALL, f"{kind}_h1", leafwise.Setting(rounds=40, rate=0.15, leaves=15, least_rows=50, bins=64, patience=3))
+        keys = ["region_id", "ts", F.lit(kind).alias("kind"), F.col(f"{kind}_h1").alias("actual")]
+        both = leafwise.score(m, test).select(*keys, F.lit("leafwise_trees").alias("model"), "predicted").unionByName(test.select(*keys, F.lit("same_day").alias("model"), F.col(f"{kind}s_lag_96").cast("double").alias("predicted")))
+        long = both if long is None else long.unionByName(both)
+    return metrics.evaluate(long, ["kind", "model"])
+
+
+@query()
+def parzen_search_eval(spark, d):
+    """Trials of a Parzen search and of a grid of as many settings, with their held-out mean absolute errors; fitted models, so checked by tests."""
+    train, valid, _ = _panel_split(spark, d)
+    fixed = {"rounds": 4, "bins": 32}
+    space = {"leaves": tuning.Range(3, 31, whole=True), "rate": tuning.Range(0.02, 0.8, log=True), "least_rows": tuning.Range(20, 500, whole=True)}
+    tried = tuning.tune_trees(train, valid, _SMALL, "pickup_h1", 8, space, at_once=2, seed=5, **fixed)
+    grid = [{"leaves": n, "rate": r, "least_rows": k} for n in (3, 31) for r in (0.02, 0.8) for k in (20, 500)]
+    rows = [("parzen", i, s, v) for i, (s, v) in enumerate(tried)] + [("grid", i, s, leafwise_error(train, valid, {**fixed, **s})) for i, s in enumerate(grid)]
+    return spark.createDataFrame([(how, i, s["leaves"], float(s["rate"]), s["least_rows"], v) for how, i, s, v in rows], "search string, trial int, leaves int, rate double, least_rows int, mae double")
+
+
+def leafwise_error(train, valid, setting):
+    m = leafwise.fit(train, valid, _SMALL, "pickup_h1", leafwise.Setting(**setting))
+    return leafwise.score(m, valid).agg(F.avg(F.abs(F.col("predicted") - F.col("pickup_h1")))).first()[0]
+
+
 @query()
 def ablation_eval(spark, d):
     """The ablation loop over two cumulative sets with its verdicts; fitted models, so checked by tests."""
