@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from quadrille.functions import timeutil
-from quadrille.operators import external
+from quadrille.operators import external, scan
 from quadrille.operators import panel as P
 
 TARGETS = ("pickups", "dropoffs")
@@ -58,21 +58,8 @@ def rolling_trend() -> dict[str, Column]:
 
 
 def with_ewm(panel: DataFrame, spans=SPANS) -> DataFrame:
-    """The panel with {target}_ewm_{span}: adjusted exponentially weighted means, a region's series at a time."""
-    from quadrille.session import ship
-
-    ship(panel.sparkSession)
-    names = [f"{t}_ewm_{s}" for t in TARGETS for s in spans]
-    schema = panel.schema.simpleString()[7:-1].replace(":", " ").replace(",", ", ") + ", " + ", ".join(f"{n} double" for n in names)
-
-    def run(pdf):
-        pdf = pdf.sort_values("ts")
-        for t in TARGETS:
-            for s in spans:
-                pdf[f"{t}_ewm_{s}"] = pdf[t].astype(float).ewm(span=s, adjust=True, ignore_na=True).mean()
-        return pdf
-
-    return panel.groupBy("region_id").applyInPandas(run, schema)
+    """The panel with {target}_ewm_{span}: adjusted exponentially weighted means of whole histories."""
+    return scan.ewm_means(panel, list(TARGETS), list(spans), label="{name}_ewm_{span}")
 
 
 def family_columns() -> dict[str, list[str]]:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from quadrille.operators import external, spatial
+from quadrille.operators import external, scan, spatial
 from quadrille.operators import panel as P
 from quadrille.plans.context_queries import KM, STATIONS, _WEATHER, sides, stations, weather
 from quadrille.plans.panel_queries import PANEL, panel
@@ -123,8 +123,8 @@ _MEANS = ", ".join(f"round(sum(b.pickups * pow({n - 1}::DOUBLE / {n + 1}, a.i -
 
 @query(f"""WITH {PANEL}, n AS (SELECT *, row_number() OVER (PARTITION BY region_id ORDER BY ts) AS i FROM panel) SELECT a.region_id, a.ts, {_MEANS} FROM n a JOIN n b ON a.region_id = b.region_id AND b.i <= a.i GROUP BY 1, 2""")
 def exact_long_means(spark, d):
-    """Exponentially weighted means of an hour's and a day's span, per region in one Arrow task each."""
-    return P.ewm_exact(panel(spark, d), "pickups", [4, 96]).withColumns({c: F.round(c, 6) for c in ("pickups_ewm4", "pickups_ewm96")})
+    """Exponentially weighted means of an hour's and a day's span over whole histories."""
+    return scan.ewm_means(panel(spark, d), ["pickups"], [4, 96], chunk="day").select("region_id", "ts", *(F.round(c, 6).alias(c) for c in ("pickups_ewm4", "pickups_ewm96")))
 
 
 @query(f"""WITH {PANEL}, s AS (SELECT region_id, avg(pickups) AS mean, stddev_pop(pickups) AS std FROM panel WHERE ts < TIMESTAMP '2024-01-21' GROUP BY 1)

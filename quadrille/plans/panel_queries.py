@@ -9,6 +9,7 @@ from pyspark.sql import Window as W
 
 from quadrille.functions import metrics, timeutil
 from quadrille.operators import panel as P
+from quadrille.operators import scan
 from quadrille.plans.registry import query, table
 
 LO, HI = datetime(2024, 1, 1), datetime(2024, 1, 31)
@@ -95,7 +96,7 @@ def ewm_span4(spark, d):
 SELECT a.region_id, a.ts, round(sum(b.pickups * pow(11.0::DOUBLE / 13, a.i - b.i)) / sum(pow(11.0::DOUBLE / 13, a.i - b.i)), 6) AS pickups_ewm12
 FROM n a JOIN n b ON a.region_id = b.region_id AND b.i BETWEEN a.i - 250 AND a.i GROUP BY 1, 2""")
 def ewm_span12_exact(spark, d):
-    return P.ewm_exact(panel(spark, d), "pickups", [12]).withColumn("pickups_ewm12", F.round("pickups_ewm12", 6))
+    return scan.ewm_means(panel(spark, d), ["pickups"], [12], chunk="day").select("region_id", "ts", F.round("pickups_ewm12", 6).alias("pickups_ewm12"))
 
 
 @query(f"""WITH {PANEL} SELECT region_id, ts, pickups - lag(pickups, 1) OVER w AS pickups_delta1, pickups - lag(pickups, 2) OVER w AS pickups_delta2, pickups - lag(pickups, 4) OVER w AS pickups_delta4,
