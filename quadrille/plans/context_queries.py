@@ -7,7 +7,7 @@ from datetime import datetime
 from pyspark.sql import functions as F
 
 from quadrille.functions import timeutil
-from quadrille.operators import external, spatial
+from quadrille.operators import external, nearest, spatial
 from quadrille.plans.panel_queries import PANEL, panel
 from quadrille.plans.registry import query, table
 
@@ -160,6 +160,16 @@ def haversine_knn(spark, d):
     return spatial.nearest(a, b, 4, 12.0).select("a_id", "b_id", "rank", F.round("km", 6).alias("km"))
 
 
+@query(f"""WITH s AS ({STATIONS}), c AS (SELECT c_custkey AS id, -85::DOUBLE + (c_custkey * 7919 % 17000)::DOUBLE / 100 AS lat, -180::DOUBLE + (c_custkey * 104729 % 36000)::DOUBLE / 100 AS lng FROM customer),
+p AS (SELECT c.id AS point, s.id AS station, {KM.format(a='c.lat', b='c.lng', c='s.lat', d='s.lng')} AS km FROM c, s), r AS (SELECT *, row_number() OVER (PARTITION BY point ORDER BY km, station) AS rank FROM p)
+SELECT point, station, CAST(rank AS INTEGER) AS rank, round(km, 5) AS km FROM r WHERE rank <= 5""")
+def knn_exact(spark, d):
+    """The five stations nearest to each customer, wherever on the globe."""
+    k = F.col("c_custkey")
+    points = table(spark, d, "customer").select(k.alias("id"), (-85 + k * 7919 % 17000 / 100).alias("lat"), (-180 + k * 104729 % 36000 / 100).alias("lng"))
+    return nearest.k_nearest(points, stations(spark, d), 5, 32).select(F.col("id").alias("point"), F.col("other").alias("station"), "rank", F.round("km", 5).alias("km"))
+
+
 @query(f"""WITH {_PAIRS}, r AS (SELECT *, row_number() OVER (PARTITION BY a_id ORDER BY km, b_id) AS n FROM p WHERE km <= 4 AND a_id <> b_id), e AS (SELECT a_id AS u, b_id AS v, km FROM r WHERE n <= 3 UNION SELECT b_id, a_id, km FROM r WHERE n <= 3)
 SELECT u, v, round(min(km), 6) AS km FROM e GROUP BY 1, 2""")
 def station_graph(spark, d):
