@@ -9,7 +9,7 @@ from quadrille.operators import external, scan, spatial
 from quadrille.operators import panel as P
 from quadrille.plans.context_queries import KM, STATIONS, _WEATHER, sides, stations, weather
 from quadrille.plans.panel_queries import PANEL, panel
-from quadrille.plans.registry import query, table
+from quadrille.plans.registry import ORACLE_SQL, query, table
 
 
 @query("""WITH e AS (SELECT 40.55::DOUBLE + ((user_id * 37) % 450)::DOUBLE / 1000 AS lat, -74.15::DOUBLE + ((user_id * 53) % 450)::DOUBLE / 1000 AS lng FROM events
@@ -136,3 +136,31 @@ def tensor_rows(spark, d):
     p = panel(spark, d)
     s = p.filter("ts < timestamp_ntz'2024-01-21'").groupBy("region_id").agg(F.avg("pickups").alias("mean"), F.stddev_pop("pickups").alias("std"))
     return sinks.tensor_long(p, s).select("ts", F.concat_ws(",", F.transform("demand", lambda x: F.round(F.round(x, 4) * 1000).cast("long").cast("string"))).alias("demand"))
+
+
+@query("SELECT event_id, user_id, ts, value FROM events")
+def paged_events(spark, d):
+    """All events through a source that answers by windows of time: two days a partition, windows halved until no page is full."""
+    from datetime import timedelta
+
+    from quadrille.sources import paged
+
+    lo, hi = table(spark, d, "events").agg(F.min("ts"), F.max("ts")).first()
+    end = hi.replace(microsecond=0) + timedelta(seconds=1)
+    rows = paged.register(spark).read.format("paged").schema("event_id long, user_id long, ts timestamp_ntz, value double")
+    return rows.options(transport="quadrille.sources.paged:stored", path=f"{d}/events.parquet", time="ts", start=lo.replace(microsecond=0).isoformat(), end=end.isoformat(), window_hours=48, page_rows=1000).load()
+
+
+@query(ORACLE_SQL["tensor_rows"])
+def tensor_bundle(spark, d):
+    """The scaled time-by-region tensor written as a bundle of numpy shards and read back from them."""
+    from quadrille.sources import bundle, sinks
+    from quadrille.storage import shared_dir
+
+    p = panel(spark, d)
+    s = p.filter("ts < timestamp_ntz'2024-01-21'").groupBy("region_id").agg(F.avg("pickups").alias("mean"), F.stddev_pop("pickups").alias("std"))
+    path = f"{shared_dir(spark)}/quadrille-bundle"
+    rows = sinks.tensor_long(p, s)
+    bundle.write_bundle(rows.select("ts", F.transform("demand", lambda x: F.coalesce(x, F.lit(0.0))).alias("demand")).repartitionByRange(8, "ts").sortWithinPartitions("ts"), path, {"scaling_fitted_on": "train"}, overwrite=True, shard_rows=500)
+    back = bundle.read_bundle(spark, path)
+    return back.select(F.timestamp_micros("ts").cast("timestamp_ntz").alias("ts"), F.concat_ws(",", F.transform("demand", lambda x: F.round(F.round(x, 4) * 1000).cast("long").cast("string"))).alias("demand"))
