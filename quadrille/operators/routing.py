@@ -26,22 +26,30 @@ def street_edges(ways: DataFrame, nodes: DataFrame) -> DataFrame:
     return j.select("u", "v", haversine_km("a", "b", "c", "d").alias("km"))
 
 
-def shortest_paths(edges: DataFrame, source: str) -> DataFrame:
+def shortest_paths(edges: DataFrame, source: str, goal: str | None = None) -> DataFrame:
     """(node, km): least distance from `source` over edges(u, v, km) in any number of hops, to every node that it reaches.
 
+    Given a goal, nodes that are farther than the goal are not gone on from, so that only distances up to the goal's are sure to be least.
+
     Each round relaxes only the nodes that came nearer in the last one, and is a table of its own, so that plans don't
     grow; it ends when no distance changes."""
     spark = edges.sparkSession
     both = materialise(edges.select("u", "v", "km").union(edges.select("v", "u", "km")).groupBy("u", "v").agg(F.min("km").alias("km")), "edges")
     best = materialise(spark.createDataFrame([(source, 0.0, True)], "node string, km double, moved boolean"), "paths")
+    reach = None
     while best.filter("moved").limit(1).count():
-        step = best.filter("moved").withColumnRenamed("km", "_from").join(both, F.col("node") == F.col("u")).select(F.col("v").alias("node"), (F.col("_from") + F.col("km")).alias("_new"))
+        if goal is not None and (found := best.filter(F.col("node") == goal).first()):
+            reach = found.km
+        front = best.filter("moved") if reach is None else best.filter("moved").filter(F.col("km") < reach)
+        step = front.withColumnRenamed("km", "_from").join(both, F.col("node") == F.col("u")).select(F.col("v").alias("node"), (F.col("_from") + F.col("km")).alias("_new"))
         near = step.groupBy("node").agg(F.min("_new").alias("_new"))
         closer = F.col("_new").isNotNull() & (F.col("km").isNull() | (F.col("_new") < F.col("km")))
         old, best = best, materialise(best.drop("moved").join(near, "node", "full").select("node", F.when(closer, F.col("_new")).otherwise(F.col("km")).alias("km"), closer.alias("moved")), "paths")
         discard(old)
     discard(both)
-    return best.select("node", "km")
+    out = best.select("node", "km")
+    out._table_path = best._table_path
+    return out
 
 
 def km_between(a: tuple[float, float], b: tuple[float, float]) -> float:
@@ -84,26 +92,96 @@ class Graph:
         return None
 
 
+MOST_EDGES = 200_000  # that one machine searches at once
+NEAR = 1e-9  # of a length, for the rounding of sums
+
+
+def landmark_distances(edges: DataFrame, k: int = 4) -> DataFrame:
+    """(node, d): distances from k landmarks over edges(u, v, km), null where there is no way.
+
+    The first landmark is the least node; each further one is the node farthest from those before it, of all parts of the
+    graph the ones not reached yet first.  Made once for a graph, it bounds every search."""
+    e = edges.select(F.col("u").cast("string").alias("u"), F.col("v").cast("string").alias("v"), F.col("km").cast("double").alias("km"))
+    nodes = materialise(e.select(F.col("u").alias("node")).union(e.select("v")).distinct(), "nodes")
+    table = nodes.select("node", F.array().cast("array<double>").alias("d"))
+    for _ in range(k):
+        away = F.array_min("d")  # null before the first landmark and for what none has reached
+        found = table.orderBy(away.desc_nulls_first(), "node").first()
+        if found is None or (found.d and min((x for x in found.d if x is not None), default=1.0) == 0.0):
+            break
+        old, from_it = table, shortest_paths(e, found.node)
+        table = materialise(table.join(from_it, "node", "left").select("node", F.array_append("d", F.col("km")).alias("d")), "landmarks")
+        if hasattr(old, "_table_path"):
+            discard(old)
+        discard(from_it)
+    return table
+
+
+def corridor(edges: DataFrame, landmarks: DataFrame, start: str, goal: str) -> DataFrame:
+    """The edges whose ends can lie on a shortest path, by the triangle inequality over landmark distances: all edges if these give no bound."""
+    ends = {r.node: r.d for r in landmarks.filter(F.col("node").isin(start, goal)).collect()}
+    if len(ends) < len({start, goal}):
+        return edges.limit(0)
+    a, b = ends[start], ends[goal]
+    if any((x is None) != (y is None) for x, y in zip(a, b)):
+        return edges.limit(0)  # in different parts of the graph
+    known = [i for i, x in enumerate(a) if x is not None]
+    if not known:
+        return edges
+    longest = min(a[i] + b[i] for i in known) * (1 + NEAR)
+    low = lambda d: F.greatest(F.lit(0.0), *(F.abs(F.get("d", F.lit(i)) - d[i]) for i in known))
+    inside = landmarks.filter(low(a) + low(b) <= longest).select("node")
+    ids = lambda c: F.col(c).cast("string")
+    return edges.join(inside, ids("u") == F.col("node"), "left_semi").join(inside, ids("v") == F.col("node"), "left_semi")
+
+
+def path_between(edges: DataFrame, start, goal, landmarks: DataFrame | None = None, places: dict | None = None) -> tuple[list, float] | None:
+    """A shortest path (nodes, km) over edges(u, v, km) without directions; None if there is none.
+
+    Landmark distances leave a corridor of the graph.  Up to `MOST_EDGES` of them are searched on the driver; of more, distances from both ends are
+    relaxed on the executors, and only the edges of shortest paths come to the driver."""
+    s, g = str(start), str(goal)
+    part = edges.select("u", "v", "km") if landmarks is None else corridor(edges.select("u", "v", "km"), landmarks, s, g)
+    if part.limit(MOST_EDGES + 1).count() > MOST_EDGES:
+        e = part.select(F.col("u").cast("string").alias("u"), F.col("v").cast("string").alias("v"), F.col("km").cast("double").alias("km"))
+        there = shortest_paths(e, s, g)
+        found = there.filter(F.col("node") == g).first()
+        if found is None:
+            discard(there)
+            return None
+        back = shortest_paths(e, g, s)
+        on = materialise(there.join(back.withColumnRenamed("km", "left"), "node").filter(F.col("km") + F.col("left") <= found.km * (1 + NEAR)).select("node"), "on-the-way")
+        discard(there, back)
+        part = part.join(on, F.col("u").cast("string") == F.col("node"), "left_semi").join(on, F.col("v").cast("string") == F.col("node"), "left_semi")
+    rows = [(r.u, r.v, r.km) for r in part.collect()]
+    nodes = {n for u, v, _ in rows for n in (u, v)} | {start, goal}
+    return Graph({n: (places or {}).get(n, (0.0, 0.0)) for n in nodes} if places and nodes <= set(places) else dict.fromkeys(nodes, (0.0, 0.0)), rows).path(start, goal)
+
+
 class StreetError(ValueError):
     """A street network that can't be used, with the reason."""
 
 
-def walk_route(edges: DataFrame, nodes: DataFrame, origin: tuple[float, float], goal: tuple[float, float]) -> dict:
-    """A way along streets between two points, over the edges(u, v, km) and nodes(id, lat, lng) of one request's box.
+def walk_route(edges: DataFrame, nodes: DataFrame, origin: tuple[float, float], goal: tuple[float, float], landmarks: DataFrame | None = None) -> dict:
+    """A way along streets between two points, over edges(u, v, km) and nodes(id, lat, lng).
+
+    Says how far each end lies from its street; real street lengths need no detour factor.  `landmarks` (see `landmark_distances`) keep the search of a large network to a corridor."""
+    from quadrille.operators.spatial import haversine_km
 
-    Says how far each end lies from its street; real street lengths need no detour factor."""
-    rows = [(r.u, r.v, r.km) for r in edges.collect()]
-    if not rows:
+    if not edges.limit(1).count():
         raise StreetError("no walkable streets in that area")
-    graph = Graph({r.id: (r.lat, r.lng) for r in nodes.collect()}, rows)
-    a, b = graph.snap(*origin), graph.snap(*goal)
-    if a == b:
+    ends = edges.filter("u <> v").select(F.col("u").alias("id")).union(edges.filter("u <> v").select("v")).distinct()
+    there = nodes.join(ends, "id", "left_semi")
+    snap = lambda p: there.orderBy(haversine_km(F.lit(p[0]), F.lit(p[1]), F.col("lat"), F.col("lng")), "id").select("id").first()
+    a, b = snap(origin), snap(goal)
+    if a is None or a == b:
         raise StreetError("both points lie at the same street node")
-    found = graph.path(a, b)
+    found = path_between(edges, a.id, b.id, landmarks)
     if found is None:
         raise StreetError("no walkable path between those points")
-    gaps = km_between(origin, graph.places[a]) * 1000, km_between(goal, graph.places[b]) * 1000
-    return {"metres": found[1] * 1000 + sum(gaps), "street_metres": found[1] * 1000, "snap_metres": tuple(map(round, gaps)), "nodes": len(found[0]), "line": line_string([origin, *(graph.places[n] for n in found[0]), goal])}
+    places = {r.id: (r.lat, r.lng) for r in nodes.filter(F.col("id").isin(found[0])).collect()}  # of the path
+    gaps = km_between(origin, places[a.id]) * 1000, km_between(goal, places[b.id]) * 1000
+    return {"metres": found[1] * 1000 + sum(gaps), "street_metres": found[1] * 1000, "snap_metres": tuple(map(round, gaps)), "nodes": len(found[0]), "line": line_string([origin, *(places[n] for n in found[0]), goal])}
 
 
 def route_scores(candidates: DataFrame, prefer_available: bool = True) -> DataFrame:

@@ -268,6 +268,19 @@ def shortest_path(spark, d):
     return routing.shortest_paths(e, source).withColumn("km", F.round("km", 6))
 
 
+@query(f"""WITH RECURSIVE {_E}, r AS (SELECT (SELECT u FROM g ORDER BY u LIMIT 1) AS node, 0.0::DOUBLE AS km, 0 AS hops UNION ALL SELECT node, min(km), max(hops) + 1 FROM (SELECT g.v AS node, r.km + g.km AS km, r.hops FROM r JOIN g ON r.node = g.u WHERE r.hops < 40 UNION ALL SELECT node, km, hops FROM r WHERE hops < 40) x GROUP BY node),
+m AS (SELECT node, min(km) AS km FROM r GROUP BY 1) SELECT CAST(node AS VARCHAR) AS node, round(km, 6) AS km FROM m WHERE node IN (SELECT max(node) FROM m)""")
+def landmark_path(spark, d):
+    """The way from a road graph's first node to its last reachable one, through the corridor that landmark distances leave."""
+    s = stations(spark, d).groupBy((F.col("id") % 40).alias("id")).agg(F.avg("lat").alias("lat"), F.avg("lng").alias("lng"))
+    e = spatial.station_graph(s, 3, 40.0)
+    marks = routing.landmark_distances(e, 3)
+    source = e.agg(F.min("u")).first()[0]
+    goal = marks.filter(F.get("d", F.lit(0)).isNotNull()).agg(F.max(F.col("node").cast("long"))).first()[0]
+    path, km = routing.path_between(e, source, goal, marks)
+    return spark.createDataFrame([(str(path[-1]), round(km, 6))], "node string, km double")
+
+
 @query(f"""WITH s AS ({STATIONS}), w AS (SELECT id % 20 AS way_id, id, lead(id) OVER (PARTITION BY id % 20 ORDER BY id) AS nxt FROM s), e AS (SELECT DISTINCT least(id, nxt) AS u, greatest(id, nxt) AS v FROM w WHERE nxt IS NOT NULL)
 SELECT u, v, round({KM.format(a='a.lat', b='a.lng', c='b.lat', d='b.lng')}, 6) AS km FROM e JOIN s a ON e.u = a.id JOIN s b ON e.v = b.id""")
 def street_edges(spark, d):

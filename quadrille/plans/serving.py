@@ -139,7 +139,7 @@ def stations_near(stations: DataFrame, lat: float, lng: float, k: int = 5) -> Da
     return stations.withColumn("distance_km", km).orderBy("distance_km", "station_id").limit(k)
 
 
-def route_to_bike(forecast: DataFrame, lat: float, lng: float, edges: DataFrame, candidates: int = 8, prefer_available: bool = True) -> dict:
+def route_to_bike(forecast: DataFrame, lat: float, lng: float, edges: DataFrame, candidates: int = 8, prefer_available: bool = True, landmarks: DataFrame | None = None) -> dict:
     """The station worth walking to from a point, and the way: straight if it is one hop away, else over the graph of edges(u, v, km).
 
     forecast: station_id, lat, lng, predicted_pickups, predicted_dropoffs; `candidates` nearest ones are weighed."""
@@ -148,12 +148,11 @@ def route_to_bike(forecast: DataFrame, lat: float, lng: float, edges: DataFrame,
     rows = scored.orderBy("score", "station_id").collect()  # `candidates` rows
     if not rows:
         raise PredictionError("no stations near that point")
-    places = {r.station_id: (r.lat, r.lng) for r in forecast.select("station_id", "lat", "lng").collect()}
     best, entry, path = rows[0], min(rows, key=lambda r: (r.walk_km, r.station_id)), [rows[0].station_id]
     if not best.direct:
-        graph = routing.Graph(places, [(r.u, r.v, r.km) for r in edges.collect()])
-        found = graph.path(entry.station_id, best.station_id)
+        found = routing.path_between(edges, entry.station_id, best.station_id, landmarks)
         path = found[0] if found else [entry.station_id]
+    places = {r.station_id: (r.lat, r.lng) for r in forecast.filter(F.col("station_id").isin(path)).select("station_id", "lat", "lng").collect()}  # of the path
     at, legs = (lat, lng), []
     for s in path:
         legs.append({"to": s, "metres": round(routing.km_between(at, places[s]) * 1000 * routing.DETOUR)})

@@ -159,6 +159,28 @@ def test_street_payload(spark):
     assert set(e) == {(1, 2), (2, 3)} and all(abs(v - 0.1112) < 1e-3 for v in e.values())
 
 
+@pytest.mark.parametrize("most", [10**6, 5])
+def test_paths_through_a_corridor(spark, monkeypatch, most):
+    """A street grid of 8 x 5 with random lengths and a part of its own: the shortest ways, from a fraction of the edges."""
+    monkeypatch.setattr(routing, "MOST_EDGES", most)
+    rng = random.Random(2)
+    node = lambda x, y: x * 100 + y
+    edges = [(node(x, y), node(x + i, y + j), rng.uniform(1, 1.3)) for x in range(8) for y in range(5) for i, j in ((1, 0), (0, 1)) if x + i < 8 and y + j < 5] + [(9000, 9001, 1.0)]
+    df = spark.createDataFrame(edges, "u long, v long, km double")
+    marks = routing.landmark_distances(df, 3)
+    d = {r.node: r.d for r in marks.collect()}
+    assert len(d) == 42 and sum(x is None for x in d["0"]) == 1 and d["9001"][0] is None
+    g = routing.Graph({n: (0.0, 0.0) for u, v, _ in edges for n in (u, v)}, edges)
+    for a, b in ((node(0, 0), node(3, 2)), (node(7, 4), node(0, 3))) if most > 5 else ((node(1, 1), node(3, 2)),):
+        path, km = routing.path_between(df, a, b, marks)
+        assert abs(km - g.path(a, b)[1]) < 1e-9 and path[0] == a and path[-1] == b
+        assert abs(sum(g.links[x][y] for x, y in zip(path, path[1:])) - km) < 1e-9
+        assert routing.corridor(df, marks, str(a), str(b)).count() < 0.8 * len(edges)
+    if most > 5:
+        assert abs(routing.path_between(df, a, b)[1] - km) < 1e-9 and routing.path_between(df, 0, 9001) is None
+    assert routing.path_between(df, 0, 9001, marks) is None and routing.path_between(df, 0, 77777, marks) is None
+
+
 def test_walks_along_streets(spark):
     body = '{"elements":[{"type":"node","id":1,"lat":40.7,"lon":-74.0},{"type":"node","id":2,"lat":40.701,"lon":-74.0},{"type":"node","id":3,"lat":40.702,"lon":-74.0},{"type":"node","id":4,"lat":40.71,"lon":-74.0},{"type":"node","id":5,"lat":40.711,"lon":-74.0},{"type":"way","id":7,"nodes":[1,2,3,12345],"tags":{"highway":"footway"}},{"type":"way","id":8,"nodes":[3,4],"tags":{"highway":"motorway"}},{"type":"way","id":9,"nodes":[3,4],"tags":{"highway":"path","access":"private"}},{"type":"way","id":10,"nodes":[4,5]}]}'
     ways, nodes = text.street_payload(spark.createDataFrame([(body,)], "p string"), "p")
