@@ -155,12 +155,12 @@ def paged_events(spark, d):
 def tensor_bundle(spark, d):
     """The scaled time-by-region tensor written as a bundle of numpy shards and read back from them."""
     from quadrille.sources import bundle, sinks
-    from quadrille.storage import shared_dir
+    from quadrille.storage import new_path
 
     p = panel(spark, d)
     s = p.filter("ts < timestamp_ntz'2024-01-21'").groupBy("region_id").agg(F.avg("pickups").alias("mean"), F.stddev_pop("pickups").alias("std"))
-    path = f"{shared_dir(spark)}/quadrille-bundle"
+    path = new_path(spark, "bundle")
     rows = sinks.tensor_long(p, s)
-    bundle.write_bundle(rows.select("ts", F.transform("demand", lambda x: F.coalesce(x, F.lit(0.0))).alias("demand")).repartitionByRange(8, "ts").sortWithinPartitions("ts"), path, {"scaling_fitted_on": "train"}, overwrite=True, shard_rows=500)
+    bundle.write_bundle(rows.select("ts", F.transform("demand", lambda x: F.coalesce(x, F.lit(0.0))).alias("demand")).repartitionByRange(8, "ts").sortWithinPartitions("ts"), path, {"scaling_fitted_on": "train"}, shard_rows=500)
     back = bundle.read_bundle(spark, path)
     return back.select(F.timestamp_micros("ts").cast("timestamp_ntz").alias("ts"), F.concat_ws(",", F.transform("demand", lambda x: F.round(F.round(x, 4) * 1000).cast("long").cast("string"))).alias("demand"))

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
 from datetime import date
 
 from pyspark.sql import functions as F
@@ -13,12 +12,7 @@ from quadrille.operators import spatial
 from quadrille.plans.context_queries import STATIONS, stations
 from quadrille.plans.registry import query, table
 from quadrille.sources import files, sinks
-from quadrille.storage import shared_dir
-
-
-def _folder(spark, label: str) -> str:
-    """A new folder in the shared one: written once, read by the lazy result."""
-    return f"{shared_dir(spark)}/quadrille-{label}-{uuid.uuid4().hex}"
+from quadrille.storage import new_path
 
 
 _RAW = T.StructType([T.StructField("id", T.StringType()), T.StructField("name", T.StringType()), T.StructField("balance", T.DoubleType()), T.StructField("day", T.DateType())])
@@ -32,7 +26,7 @@ def csv_round_trip(spark, d):
     rows = table(spark, d, "customer").select(
         F.format_string("%05d.%02d", k, k % 100).alias("id"), F.when(k % 7 == 0, "NULL").when(k % 11 == 0, "null").otherwise(F.col("c_name")).alias("name"),
         F.when(k % 5 == 0, "NA").otherwise(F.col("c_acctbal").cast("string")).alias("balance"), F.when(k % 3 == 0, "").otherwise(F.date_add(F.lit(date(2024, 1, 1)), (k % 60).cast("int")).cast("string")).alias("day"))
-    path = _folder(spark, "csv")
+    path = new_path(spark, "csv")
     rows.write.option("header", True).option("emptyValue", "").csv(path)
     return files.read_csv(spark, path, _RAW).withColumn("day", F.date_format("day", "yyyy-MM-dd"))
 
@@ -41,7 +35,7 @@ def csv_round_trip(spark, d):
 def month_round_trip(spark, d):
     """Orders in one directory a month, the null month among them, written in two runs and read by partition discovery."""
     rows = table(spark, d, "orders").select("o_orderkey", F.when(F.col("o_orderkey") % 50 != 0, F.date_format("o_orderdate", "yyyyMM")).alias("month"), "o_totalprice")
-    path = _folder(spark, "months")
+    path = new_path(spark, "months")
     for half in (0, 1):
         sinks.write_months(rows.filter(F.col("o_orderkey") % 2 == half), path)
     return spark.read.parquet(path).select("o_orderkey", F.col("month").cast("string").alias("month"), "o_totalprice")
@@ -51,7 +45,7 @@ def month_round_trip(spark, d):
 def months_read(spark, d):
     """Chosen months of partitioned orders, without the partition column, and the empty relation of their schema."""
     rows = table(spark, d, "orders").select("o_orderkey", "o_totalprice", F.date_format("o_orderdate", "yyyyMM").alias("month"))
-    path = _folder(spark, "months")
+    path = new_path(spark, "months")
     sinks.write_months(rows, path)
     got = files.read_months(spark, path, ["199701", "199702", "200003"])
     return got.unionByName(files.empty_like(got))
@@ -60,7 +54,7 @@ def months_read(spark, d):
 @query("""WITH m AS (SELECT event_id, CAST(time_bucket(INTERVAL 15 MINUTE, ts) AS TIMESTAMP) AS ts, event_type AS region_id, value FROM events) SELECT region_id, strftime(ts, '%Y%m') AS month, count(*) AS n_rows, min(ts) AS first_ts, max(ts) AS last_ts, round(sum(value), 2) AS value FROM m GROUP BY 1, 2""")
 def panel_round_trip(spark, d):
     """A panel's rows written by month, sorted by region and time, and read back."""
-    path = _folder(spark, "panel")
+    path = new_path(spark, "panel")
     sinks.write_panel(table(spark, d, "events").select("event_id", timeutil.bin_start("ts", 15).alias("ts"), F.col("event_type").alias("region_id"), "value"), path)
     back = spark.read.parquet(path)
     return back.groupBy("region_id", F.col("month").cast("string").alias("month")).agg(F.count("*").alias("n_rows"), F.min("ts").alias("first_ts"), F.max("ts").alias("last_ts"), F.round(F.sum("value"), 2).alias("value"))
@@ -69,7 +63,7 @@ def panel_round_trip(spark, d):
 @query("SELECT count(*) AS n_rows, min(o_totalprice) AS low, max(o_totalprice) AS high, 0::BIGINT AS overlaps FROM orders")
 def sorted_round_trip(spark, d):
     """Orders in globally sorted files: no file's range overlaps the next one's."""
-    path = _folder(spark, "sorted")
+    path = new_path(spark, "sorted")
     sinks.write_sorted(table(spark, d, "orders").select("o_totalprice", "o_orderkey"), path, ["o_totalprice", "o_orderkey"])
     from pyspark.sql import Window as W
 

@@ -27,16 +27,21 @@ def _filesystem(spark: SparkSession, path: str) -> tuple:
     return where.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()), where
 
 
+def new_path(spark: SparkSession, label: str) -> str:
+    """A place in the shared folder that nothing is at yet; `sweep` or the end of the driver's process deletes what was put there."""
+    folder = f"{shared_dir(spark)}/quadrille/{_RUN}"
+    if folder not in _FOLDERS:
+        _FOLDERS[folder] = _filesystem(spark, folder)
+    return f"{folder}/{label}-{uuid.uuid4().hex}"
+
+
 def materialise(df: DataFrame, label: str, codec: str = "snappy") -> DataFrame:
     """Cut lineage by writing a table into the shared folder and reading it back.
 
     The files are visible to every executor, so a lost executor costs a re-read and no recomputation.  What
     `discard` doesn't delete, `sweep` or the end of the driver's process does."""
     spark = df.sparkSession
-    folder = f"{shared_dir(spark)}/quadrille/{_RUN}"
-    if folder not in _FOLDERS:
-        _FOLDERS[folder] = _filesystem(spark, folder)
-    path = f"{folder}/{label}-{uuid.uuid4().hex}"
+    path = new_path(spark, label)
     df.write.mode("overwrite").option("compression", codec).parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._table_path = path
