@@ -62,7 +62,7 @@ def build_index(docs: DataFrame) -> DataFrame:
 
 def store_index(docs: DataFrame) -> DataFrame:
     """The index as a table in the shared folder; `_spark.discard` deletes it."""
-    return _spark.materialise(build_index(docs), "phrase-index", "zstd")
+    return _spark.materialise(build_index(docs), "phrase-index", "zstd", 8)
 
 
 @dataclass

@@ -79,6 +79,11 @@ def build_index(docs: DataFrame, total_docs: int, total_terms: int) -> DataFrame
     return _spark.texts(docs).mapInArrow(run, INDEX)
 
 
+def store_index(docs: DataFrame, total_docs: int, total_terms: int) -> DataFrame:
+    """The index as a table in the shared folder, a shard a row group."""
+    return _spark.materialise(build_index(docs, total_docs, total_terms), "impact-index", "zstd", 1)
+
+
 @dataclass
 class Queries:
     """Distinct terms and, for each query, its terms, how often it has them, and where they begin."""
@@ -206,7 +211,7 @@ def ranked(docs: DataFrame, items: DataFrame, k: int = 10, block_bytes: int = BL
     """item_id, rank, doc_id, score: each item's k best documents with a score above 0."""
     spark = docs.sparkSession
     total_docs, total_terms = statistics(docs)
-    index = _spark.materialise(build_index(docs, total_docs, total_terms), "impact-index", "zstd")
+    index = store_index(docs, total_docs, total_terms)
     parts = []
     before = 0
     for block in query_blocks(items, block_bytes):

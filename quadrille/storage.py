@@ -35,14 +35,17 @@ def new_path(spark: SparkSession, label: str) -> str:
     return f"{folder}/{label}-{uuid.uuid4().hex}"
 
 
-def materialise(df: DataFrame, label: str, codec: str = "snappy") -> DataFrame:
+def materialise(df: DataFrame, label: str, codec: str = "snappy", group_rows: int | None = None) -> DataFrame:
     """Cut lineage by writing a table into the shared folder and reading it back.
 
     The files are visible to every executor, so a lost executor costs a re-read and no recomputation.  What
-    `discard` doesn't delete, `sweep` or the end of the driver's process does."""
+    `discard` doesn't delete, `sweep` or the end of the driver's process does.  Tables whose rows are megabytes long say
+    how many of them a row group may hold: writers look at a group's size after 100 rows only, and readers hold a group at a
+    time.  Such tables have no statistics, since a writer keeps each group's least and greatest values whole until its file ends."""
     spark = df.sparkSession
     path = new_path(spark, label)
-    df.write.mode("overwrite").option("compression", codec).parquet(path)
+    more = {"parquet.block.row.count.limit": group_rows, "parquet.column.statistics.enabled": False} if group_rows else {}
+    df.write.mode("overwrite").options(compression=codec, **more).parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._table_path = path
     return out
