@@ -7,7 +7,6 @@ the radius, and distance is the residual."""
 from __future__ import annotations
 
 import math
-from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -289,8 +288,8 @@ def station_registry(e: DataFrame) -> DataFrame:
     return a.join(best, "station_id").withColumn("spread_km", km).withColumn("coord_anomaly", km > 0.5)
 
 
-def within(a: DataFrame, b: DataFrame, radius_km: float, keep: Callable[[Column], Column] | None = None) -> DataFrame:
-    """Pairs of a(a_id, a_lat, a_lng) and b(b_id, b_lat, b_lng) at most radius_km apart, with km.
+def _meet(a: DataFrame, b: DataFrame, radius_km: float) -> DataFrame:
+    """Rows of a(a_lat, a_lng) and b(b_lat, b_lng) at most radius_km apart, with km.
 
     Both sides meet in latitude bands as high as the radius, cut into as many columns as keep each at least as wide as the radius
     at the band's and its neighbours' highest latitude; columns go round the globe, and a band at a pole is one."""
@@ -310,10 +309,25 @@ def within(a: DataFrame, b: DataFrame, radius_km: float, keep: Callable[[Column]
     return left.join(right, ["_r", "_c"]).withColumn("km", km).filter(F.col("km") <= radius_km).drop("_r", "_c")
 
 
+def within(a: DataFrame, b: DataFrame, radius_km: float) -> DataFrame:
+    """Pairs of a(a_id, a_lat, a_lng) and b(b_id, b_lat, b_lng) at most radius_km apart, with km."""
+    return _meet(a, b, radius_km)
+
+
+def _candidates(a: DataFrame, b: DataFrame, k: int, radius_km: float) -> DataFrame:
+    """Each row of a with the k nearest rows of b within radius_km of its coordinate.
+
+    Of rows of b at one coordinate only the k least ids can be among them, and a coordinate of a asks once for all that are there."""
+    least = b.withColumn("_n", F.row_number().over(W.partitionBy("b_lat", "b_lng").orderBy("b_id"))).filter(F.col("_n") <= k).drop("_n")
+    near = _meet(a.select("a_lat", "a_lng").distinct(), least, radius_km)
+    near = near.withColumn("_n", F.row_number().over(W.partitionBy("a_lat", "a_lng").orderBy("km", "b_id"))).filter(F.col("_n") <= k).drop("_n")
+    return a.join(near, ["a_lat", "a_lng"]).select(*a.columns, *b.columns, "km")
+
+
 def nearest(a: DataFrame, b: DataFrame, k: int, radius_km: float) -> DataFrame:
     """The k nearest b within radius_km of each a, ranked; ties go to the lesser b_id."""
     w = W.partitionBy("a_id").orderBy("km", "b_id")
-    return within(a, b, radius_km).withColumn("rank", F.row_number().over(w).cast("long")).filter(F.col("rank") <= k)
+    return _candidates(a, b, k, radius_km).withColumn("rank", F.row_number().over(w).cast("long")).filter(F.col("rank") <= k)
 
 
 def station_graph(points: DataFrame, k: int = 6, cap_km: float = 0.75) -> DataFrame:
