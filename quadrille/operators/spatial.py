@@ -331,12 +331,12 @@ def nearest(a: DataFrame, b: DataFrame, k: int, radius_km: float) -> DataFrame:
 
 
 def station_graph(points: DataFrame, k: int = 6, cap_km: float = 0.75) -> DataFrame:
-    """Symmetric edges (u, v, km) of each point(id, lat, lng) to its k nearest within cap_km."""
+    """Symmetric edges (u, v, km) of each point(id, lat, lng) to its k nearest within cap_km; ids are unique."""
     a = points.select(F.col("id").alias("a_id"), F.col("lat").alias("a_lat"), F.col("lng").alias("a_lng"))
     b = points.select(F.col("id").alias("b_id"), F.col("lat").alias("b_lat"), F.col("lng").alias("b_lng"))
     w = W.partitionBy("a_id").orderBy("km", "b_id")
-    e = within(a, b, cap_km).filter("a_id <> b_id").withColumn("_n", F.row_number().over(w)).filter(F.col("_n") <= k)
-    return e.select(F.col("a_id").alias("u"), F.col("b_id").alias("v"), "km").union(e.select("b_id", "a_id", "km")).dropDuplicates(["u", "v"])
+    e = _candidates(a, b, k + 1, cap_km).filter("a_id <> b_id").withColumn("_n", F.row_number().over(w)).filter(F.col("_n") <= k)  # one of the k + 1 may be the point itself
+    return e.select(F.col("a_id").alias("u"), F.col("b_id").alias("v"), "km").union(e.select("b_id", "a_id", "km")).groupBy("u", "v").agg(F.min("km").alias("km"))
 
 
 def padded_box(points: list[tuple[float, float]], pad_km: float) -> tuple[float, float, float, float]:

@@ -48,3 +48,11 @@ def test_nearest_joins_coordinates(spark, rows):
     assert most_joined(got) <= max(20 * 20 * 3, rows * 3)  # all pairs before
     want = ranked(piles(rows), 3, 2.0, True)
     assert sorted((r.a_id, r["rank"], r.b_id) for r in got.collect()) == sorted((i, n, j) for i, x in want.items() for n, j in enumerate(x, 1))
+
+
+@pytest.mark.parametrize("rows", [300, 3000])
+def test_graph_joins_coordinates(spark, rows):
+    got = spatial.station_graph(spark.createDataFrame(piles(rows), "id long, lat double, lng double"), 2, 2.0)
+    assert most_joined(got) <= max(20 * 20 * 3, rows * 3)  # all pairs before
+    edges = {(i, j) for i, x in ranked(piles(rows), 2, 2.0, False).items() for j in x}
+    assert sorted((r.u, r.v) for r in got.collect()) == sorted(edges | {(v, u) for u, v in edges})
