@@ -14,6 +14,9 @@ from pyspark.sql import Window as W
 
 EARTH_KM = 6371.0088
 KM_PER_DEGREE = EARTH_KM * math.pi / 180
+PILE = 512  # rows at one coordinate that are paired as one list
+TASK_PAIRS = 1 << 22
+MOST_TASKS = 20_000
 
 
 def haversine_km(lat1, lng1, lat2, lng2) -> Column:
@@ -309,9 +312,27 @@ def _meet(a: DataFrame, b: DataFrame, radius_km: float) -> DataFrame:
     return left.join(right, ["_r", "_c"]).withColumn("km", km).filter(F.col("km") <= radius_km).drop("_r", "_c")
 
 
+def _piles(p: DataFrame, side: str) -> tuple[DataFrame, DataFrame]:
+    """The coordinates of p with the number of rows at each, and p's rows in lists of about `PILE` at one coordinate."""
+    at = [f"{side}_lat", f"{side}_lng"]
+    spots = p.groupBy(*at).agg(F.count("*").alias(f"_{side}n"))
+    part = F.pmod(F.xxhash64(f"{side}_id"), F.ceil(F.col(f"_{side}n") / PILE)).alias(f"_{side}part")
+    return spots, p.join(spots, at).groupBy(*at, part).agg(F.collect_list(F.struct(*(c for c in p.columns if c not in at))).alias(f"_{side}"))
+
+
 def within(a: DataFrame, b: DataFrame, radius_km: float) -> DataFrame:
-    """Pairs of a(a_id, a_lat, a_lng) and b(b_id, b_lat, b_lng) at most radius_km apart, with km."""
-    return _meet(a, b, radius_km)
+    """Pairs of a(a_id, a_lat, a_lng) and b(b_id, b_lat, b_lng) at most radius_km apart, with km.
+
+    Distances are those of distinct coordinates.  What is there is paired in lists, which are dealt by the number of pairs, so
+    that a task makes about `TASK_PAIRS` of them whatever the crowds."""
+    (here, own), (there, others) = _piles(a, "a"), _piles(b, "b")
+    pairs = _meet(here, there, radius_km)
+    total = pairs.agg(F.sum(F.col("_an").cast("double") * F.col("_bn"))).first()[0] or 0.0
+    dealt = pairs.drop("_an", "_bn").join(own, ["a_lat", "a_lng"]).join(others, ["b_lat", "b_lng"])
+    dealt = dealt.repartition(min(MOST_TASKS, int(total // TASK_PAIRS) + 1), "a_lat", "a_lng", "_apart", "b_lat", "b_lng", "_bpart")
+    out = dealt.withColumn("_a", F.explode("_a")).withColumn("_b", F.explode("_b"))
+    held = lambda df, side: (F.col(c) if c in (f"{side}_lat", f"{side}_lng") else F.col(f"_{side}")[c].alias(c) for c in df.columns)
+    return out.select(*held(a, "a"), *held(b, "b"), "km")
 
 
 def _candidates(a: DataFrame, b: DataFrame, k: int, radius_km: float) -> DataFrame:

@@ -3,6 +3,7 @@
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from quadrille.operators import routing, spatial
 
@@ -56,3 +57,15 @@ def test_graph_joins_coordinates(spark, rows):
     assert most_joined(got) <= max(20 * 20 * 3, rows * 3)  # all pairs before
     edges = {(i, j) for i, x in ranked(piles(rows), 2, 2.0, False).items() for j in x}
     assert sorted((r.u, r.v) for r in got.collect()) == sorted(edges | {(v, u) for u, v in edges})
+
+
+def test_pairs_of_piles_are_dealt(spark, monkeypatch):
+    monkeypatch.setattr(spatial, "TASK_PAIRS", 20_000, raising=False)
+    monkeypatch.setattr(spatial, "PILE", 32, raising=False)
+    got = spatial.within(*sides(spark, 800), 2.0)
+    part = got.groupBy(F.spark_partition_id().alias("p")).count().collect()
+    pts = piles(800)
+    want = sorted((i, j) for i, *p in pts for j, *q in pts if routing.km_between(p, q) <= 2.0)
+    assert sum(r["count"] for r in part) == len(want) and max(r["count"] for r in part) < len(want) / 5  # most of them in one task before
+    assert sorted(map(tuple, got.select("a_id", "b_id").collect())) == want
+    assert got.columns == ["a_id", "a_lat", "a_lng", "b_id", "b_lat", "b_lng", "km"]
