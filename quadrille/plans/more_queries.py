@@ -147,8 +147,9 @@ def paged_events(spark, d):
 
     lo, hi = table(spark, d, "events").agg(F.min("ts"), F.max("ts")).first()
     end = hi.replace(microsecond=0) + timedelta(seconds=1)
+    path = paged.in_time_order(table(spark, d, "events").select("event_id", "user_id", "ts", "value"), "ts")
     rows = paged.register(spark).read.format("paged").schema("event_id long, user_id long, ts timestamp_ntz, value double")
-    return rows.options(transport="quadrille.sources.paged:stored", path=f"{d}/events.parquet", time="ts", start=lo.replace(microsecond=0).isoformat(), end=end.isoformat(), window_hours=48, page_rows=1000).load()
+    return rows.options(transport="quadrille.sources.paged:ordered", path=path, time="ts", start=lo.replace(microsecond=0).isoformat(), end=end.isoformat(), window_hours=48, page_rows=1000).load()
 
 
 @query(ORACLE_SQL["tensor_rows"])

@@ -7,10 +7,12 @@ task that fails is run again by Spark, and since only finished tasks count, no r
 time up to which windows have been asked for.
 
 How pages are fetched is a transport, named `module:function` so that executors find it: a function of (lo, hi, limit, options) that
-returns an Arrow table of the rows with lo <= time < hi, the earliest `limit` of them."""
+returns an Arrow table of the rows with lo <= time < hi, the earliest `limit` of them.  One marked `opens` is a function of the options that gives such a
+function, once for each partition."""
 
 from __future__ import annotations
 
+import bisect
 import hashlib
 import importlib
 import json
@@ -24,15 +26,18 @@ from dataclasses import dataclass
 from datetime import datetime, timedelta
 
 import pyarrow as pa
+import pyarrow.compute as pc
 import pyarrow.csv
 import pyarrow.dataset
 import pyarrow.fs
+import pyarrow.parquet as pq
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStreamReader, InputPartition
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from quadrille.session import ship
 from quadrille.sources.files import NULL_TOKENS
+from quadrille.storage import new_path
 
 BUSY = (429, 500, 502, 503, 504)  # answers that may pass by themselves
 SECOND = timedelta(seconds=1)
@@ -95,6 +100,33 @@ def stored(lo: datetime, hi: datetime, limit: int, options: dict) -> pa.Table:
     return data.to_table(filter=inside).sort_by(options["time"]).slice(0, limit)
 
 
+def ordered(options: dict) -> Callable:
+    """Opens `stored` for a Parquet folder whose files, by name, and rows are in time order: a page reads the row groups that may hold it, and no more than it gives."""
+    files, folder = pyarrow.fs.FileSystem.from_uri(options["path"])
+    names = sorted(f.path for f in files.get_file_info(pyarrow.fs.FileSelector(folder)) if f.path.endswith(".parquet"))
+    held = []  # least and greatest time of each row group, from footers read once
+    for f in (pq.ParquetFile(name, filesystem=files) for name in names):
+        column = f.schema_arrow.get_field_index(options["time"])
+        stats = [f.metadata.row_group(i).column(column).statistics for i in range(f.metadata.num_row_groups)]
+        held += [(x.min.replace(tzinfo=None), x.max.replace(tzinfo=None), f, i) for i, x in enumerate(stats) if x.has_min_max]
+    greatest = [g[1] for g in held]
+    empty = pq.read_schema(names[0], filesystem=files).empty_table()
+
+    def page(lo: datetime, hi: datetime, limit: int, options: dict) -> pa.Table:
+        got, n, k = [empty], 0, bisect.bisect_left(greatest, lo)
+        while k < len(held) and held[k][0] < hi and n < limit:
+            rows = held[k][2].read_row_group(held[k][3])
+            at = rows.column(options["time"])
+            got.append(rows.filter(pc.and_(pc.greater_equal(at, pa.scalar(lo, at.type)), pc.less(at, pa.scalar(hi, at.type)))))
+            n, k = n + got[-1].num_rows, k + 1
+        return pa.concat_tables(got).slice(0, limit)
+
+    return page
+
+
+ordered.opens = True
+
+
 def _get(options: dict, **asked) -> bytes:
     url = options["url"].format(**asked)
     headers = {k[7:]: v for k, v in options.items() if k.startswith("header.")}
@@ -151,6 +183,13 @@ def cached(fetch: Callable, options: dict, clock: Callable[[], float] = time.tim
     return get
 
 
+def in_time_order(df: DataFrame, time: str, group_rows: int = 8192) -> str:
+    """Where the rows now lie for `ordered`: dealt by ranges of time, sorted, in row groups of which a page needs few."""
+    path = new_path(df.sparkSession, "by-time")
+    df.repartitionByRange(time).sortWithinPartitions(time).write.option("parquet.block.row.count.limit", group_rows).parquet(path)
+    return path
+
+
 # ---- the data source ----
 
 
@@ -174,6 +213,7 @@ class _Pages:
     def read(self, partition: TimeWindow) -> Iterator[pa.RecordBatch]:
         o = self.options
         get = named(o["transport"])
+        get = get(o) if getattr(get, "opens", False) else get
         get = cached(get, o) if "cache" in o else get
         ask = lambda lo, hi: patiently(lambda: get(lo, hi, self.limit, o), int(o.get("attempts", 5)), float(o.get("wait_seconds", 2)))
         want = to_arrow_schema(self.schema)

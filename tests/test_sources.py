@@ -175,3 +175,15 @@ def test_an_aborted_job_leaves_nothing(spark, tmp_path, fault, message):
     with pytest.raises(Exception, match=message):
         bundle.write_bundle(spark.range(200).selectExpr("id", f"{fault} as v").repartitionByRange(4, "id").sortWithinPartitions("id"), str(path), shard_rows=10)
     assert not list(path.glob("**/*.npy")) and not (path / "meta.json").exists()
+
+
+def test_pages_in_time_order_read_what_they_give(spark, recorded):
+    rows = spark.read.parquet(recorded[0]).repartition(3)
+    path = paged.in_time_order(rows, "at", 50)
+    got = load(spark, (path, recorded[1]), transport="quadrille.sources.paged:ordered").collect()
+    assert sorted(map(tuple, got)) == sorted(map(tuple, load(spark, recorded).collect())) and len(got) == len(recorded[1])
+    options = {"path": path, "time": "at"}
+    page = paged.ordered(options)
+    for lo, hi, limit in ((START, START + timedelta(days=3), 40), (START + timedelta(hours=30), START + timedelta(hours=31), 1000), (START - timedelta(days=2), START, 5)):
+        want = paged.stored(lo, hi, limit, {**options, "path": recorded[0]})
+        assert page(lo, hi, limit, options).column("at").to_pylist() == want.column("at").to_pylist()
